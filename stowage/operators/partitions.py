@@ -8,6 +8,7 @@ instants by their UTC day or hour.
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
@@ -64,6 +65,13 @@ class PartitionConfig:
         values = asdict(self)
         return {**values, "range": list(self.range) if self.range else None, "columns": list(self.columns)}
 
+    def to_json(self) -> str:
+        return json.dumps(self.to_dict())
+
+    @classmethod
+    def from_json(cls, text: str) -> PartitionConfig:
+        return cls.from_dict(json.loads(text))
+
     @classmethod
     def from_dict(cls, values: dict | None) -> PartitionConfig | None:
         if not values:

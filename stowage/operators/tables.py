@@ -139,7 +139,7 @@ def write_table(
     if required:
         properties[catalog.REQUIRED] = json.dumps(required)
     if partition is not None:
-        properties[catalog.PARTITION] = json.dumps(partition.to_dict())
+        properties[catalog.PARTITION] = partition.to_json()
     if partition is not None and partition.is_derived:
         properties[catalog.KIND] = "table"
         return publish(spark, database, table, df, visible, partition, properties, description, clustered)
@@ -157,7 +157,7 @@ def append_rows(spark: SparkSession, database: str, table: str, df: DataFrame) -
     properties = catalog.properties_of(found)
     config = partition_of(found)
     schema = schemas.from_json(
-        schemas.to_json(spark.table(quoted(database, table)).schema, json.loads(properties.get(catalog.REQUIRED, "[]")))
+        schemas.to_json(spark.table(quoted(database, table)).schema, catalog.required_of(properties))
     )
     df = schemas.with_attributes(df, schema)
     target = table
@@ -167,7 +167,8 @@ def append_rows(spark: SparkSession, database: str, table: str, df: DataFrame) -
     if config is not None:
         df = parts.cluster_for_write(df, config)
     counted = Observation(f"rows-{uuid.uuid4().hex}")
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).writeTo(quoted(database, target)).append()
+    in_order = [F.col(f"`{c}`") for c in spark.table(quoted(database, target)).columns]
+    df.select(in_order).observe(counted, F.count(F.lit(1)).alias("rows")).write.insertInto(quoted(database, target))
     return counted.get["rows"]
 
 
@@ -175,7 +176,7 @@ def partition_of(description: dict) -> PartitionConfig | None:
     """The partitioning an object was created with."""
     text = catalog.properties_of(description).get(catalog.PARTITION)
     if text:
-        return PartitionConfig.from_dict(json.loads(text))
+        return PartitionConfig.from_json(text)
     columns = description.get("partition_columns")
     return parts.column_partition(*columns) if columns else None
 

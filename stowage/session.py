@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -25,6 +25,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/stowage/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as a parquet table and read it back, which cuts its lineage for good.
+
+    Unlike cached blocks the files survive the loss of an executor, and later steps cannot pull the
+    work that made them into their own plans again.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextlib.contextmanager
 def using_database(spark: SparkSession, database: str) -> Iterator[None]:
     """Make ``database`` current inside the block and put the previous one back afterwards."""

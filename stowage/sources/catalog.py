@@ -38,6 +38,11 @@ def labels_of(description: dict) -> dict[str, str]:
     return {k: v for k, v in properties_of(description).items() if not k.startswith(RESERVED)}
 
 
+def required_of(properties: dict[str, str]) -> list[str]:
+    """Columns that must not be NULL."""
+    return json.loads(properties.get(REQUIRED, "[]"))
+
+
 def describe_database(spark: SparkSession, database: str) -> dict:
     """Comment, location and properties of a database."""
     rows = {r.info_name: r.info_value for r in spark.sql(f"DESCRIBE DATABASE EXTENDED {quoted(database)}").collect()}
