@@ -8,7 +8,8 @@ everything else to Spark, which analyses the statement anyway when it is run.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ TOKEN_PATTERN = (
     r"|\s+"
     r"|(?s:.)"
 )
-NAME_START = r"^(?:`|[\p{L}_])"
-IGNORED_START = r"^(?:\s|--|/\*)"
+NAME_START = r"^(?![rR]['\"])(?:`|[\p{L}_])"
+# Names and the marks that steer reading; operators, numbers, literals and comments change nothing.
+SIGNIFICANT = r"^(?![rR]['\"])(?:`|[\p{L}_]|[(),;]$)"
 
 # Keywords after which a FROM list is over.
 ENDS_FROM_LIST = ("WHERE", "GROUP", "HAVING", "ORDER", "SORT", "CLUSTER", "DISTRIBUTE", "LIMIT", "OFFSET", "WINDOW",
@@ -61,7 +63,7 @@ def _significant(token_array: Column) -> Column:
     """Tokens that carry meaning, with their positions."""
     return F.filter(
         F.transform(token_array, lambda t, i: F.struct(t.alias("text"), i.alias("at"))),
-        lambda s: ~s["text"].rlike(IGNORED_START),
+        lambda s: s["text"].rlike(SIGNIFICANT),
     )
 
 
@@ -79,64 +81,59 @@ def _with_next(kept: Column) -> Column:
     )
 
 
-def _read(significant: Column) -> Column:
-    """Fold over a statement; collects table references with their positions, and CTE names."""
-    start = F.struct(
-        F.lit(_OUTSIDE).alias("levels"),
-        F.lit("").alias("previous"),
-        F.array().cast("array<struct<at: int, name: string>>").alias("tables"),
-        F.array().cast("array<string>").alias("ctes"),
+def _words(words: Iterable[str]) -> str:
+    return ", ".join(f"'{word}'" for word in words)
+
+
+# Written as SQL, because one parsed expression is built far faster than hundreds of column calls.
+# ``s`` is the state, ``t`` the token, ``l`` holds what both branches of a step need.
+_READ = f"""
+aggregate(
+  __parts,
+  named_struct(
+    'levels', '{_OUTSIDE}',
+    'previous', '',
+    'tables', CAST(array() AS ARRAY<STRUCT<at: INT, name: STRING>>),
+    'ctes', CAST(array() AS ARRAY<STRING>)
+  ),
+  (s, t) -> transform(
+    array(named_struct(
+      'top', right(s.levels, 1),
+      'below', left(s.levels, length(s.levels) - 1),
+      'expects_table', right(s.levels, 1) = '{_EXPECT}' AND t.is_name
+        AND t.word NOT IN ('LATERAL', 'ONLY', 'TABLE', 'WITH', {_words(ENDS_FROM_LIST)}),
+      'names_cte', right(s.levels, 1) = '{_WITH}' AND t.is_name AND t.word <> 'RECURSIVE'
+    )),
+    l -> named_struct(
+      'levels', CASE
+        WHEN t.word = '(' THEN CASE
+          WHEN s.previous IN ({_words(FROM_ARGUMENT_FUNCTIONS)}) THEN concat(s.levels, '{_ARGUMENT}')
+          WHEN l.top = '{_EXPECT}' THEN concat(l.below, '{_AFTER}{_EXPECT}')
+          ELSE concat(s.levels, '{_OUTSIDE}') END
+        WHEN t.word = ')' THEN IF(length(s.levels) > 1, l.below, s.levels)
+        WHEN t.word = ';' THEN '{_OUTSIDE}'
+        WHEN t.word = 'FROM' AND l.top <> '{_ARGUMENT}' AND s.previous <> 'DISTINCT' THEN concat(l.below, '{_EXPECT}')
+        WHEN t.word IN ('JOIN', 'INTO') THEN concat(l.below, '{_EXPECT}')
+        WHEN t.word = 'OVERWRITE' AND s.previous = 'INSERT' THEN concat(l.below, '{_EXPECT}')
+        WHEN t.word = 'UPDATE' AND s.previous IN ('', ';') THEN concat(l.below, '{_EXPECT}')
+        WHEN t.word = 'USING' AND l.top = '{_AFTER}' AND t.next <> '(' THEN concat(l.below, '{_EXPECT}')
+        WHEN t.word = 'WITH' AND l.top IN ('{_OUTSIDE}', '{_EXPECT}') THEN concat(l.below, '{_WITH}')
+        WHEN l.names_cte THEN concat(l.below, '{_CTE}')
+        WHEN t.word = ',' AND l.top = '{_AFTER}' THEN concat(l.below, '{_EXPECT}')
+        WHEN t.word = ',' AND l.top = '{_CTE}' THEN concat(l.below, '{_WITH}')
+        WHEN t.word IN ({_words(ENDS_FROM_LIST)}) AND l.top <> '{_ARGUMENT}' THEN concat(l.below, '{_OUTSIDE}')
+        WHEN l.expects_table THEN concat(l.below, '{_AFTER}')
+        ELSE s.levels END,
+      'previous', t.word,
+      -- A name before a parenthesis is a table function, except for the column list of an INSERT.
+      'tables', IF(
+        l.expects_table AND (t.next <> '(' OR s.previous IN ('INTO', 'TABLE', 'OVERWRITE')),
+        array_append(s.tables, named_struct('at', t.at, 'name', replace(t.text, '`', ''))), s.tables),
+      'ctes', IF(l.names_cte, array_append(s.ctes, lower(replace(t.text, '`', ''))), s.ctes)
     )
-
-    def step(state: Column, token: Column) -> Column:
-        levels, previous, word = state["levels"], state["previous"], token["word"]
-        top = F.right(levels, F.lit(1))
-        below = F.left(levels, F.length(levels) - 1)
-        expects_table = (
-            (top == _EXPECT)
-            & token["is_name"]
-            & ~word.isin("LATERAL", "ONLY", "TABLE", "WITH", *ENDS_FROM_LIST)
-        )
-        # A name before a parenthesis is a table function, except for the column list of an INSERT.
-        is_table = expects_table & ((token["next"] != "(") | previous.isin("INTO", "TABLE", "OVERWRITE"))
-        names_cte = (top == _WITH) & token["is_name"] & (word != "RECURSIVE")
-
-        opened = (
-            F.when(previous.isin(*FROM_ARGUMENT_FUNCTIONS), F.concat(levels, F.lit(_ARGUMENT)))
-            .when(top == _EXPECT, F.concat(below, F.lit(_AFTER + _EXPECT)))
-            .otherwise(F.concat(levels, F.lit(_OUTSIDE)))
-        )
-        changed = (
-            F.when(word == "(", opened)
-            .when(word == ")", F.when(F.length(levels) > 1, below).otherwise(levels))
-            .when(word == ";", F.lit(_OUTSIDE))
-            .when((word == "FROM") & (top != _ARGUMENT) & (previous != "DISTINCT"), F.concat(below, F.lit(_EXPECT)))
-            .when(word.isin("JOIN", "INTO"), F.concat(below, F.lit(_EXPECT)))
-            .when((word == "OVERWRITE") & (previous == "INSERT"), F.concat(below, F.lit(_EXPECT)))
-            .when((word == "UPDATE") & previous.isin("", ";"), F.concat(below, F.lit(_EXPECT)))
-            .when((word == "USING") & (top == _AFTER) & (token["next"] != "("), F.concat(below, F.lit(_EXPECT)))
-            .when((word == "WITH") & top.isin(_OUTSIDE, _EXPECT), F.concat(below, F.lit(_WITH)))
-            .when(names_cte, F.concat(below, F.lit(_CTE)))
-            .when((word == ",") & (top == _AFTER), F.concat(below, F.lit(_EXPECT)))
-            .when((word == ",") & (top == _CTE), F.concat(below, F.lit(_WITH)))
-            .when(word.isin(*ENDS_FROM_LIST) & (top != _ARGUMENT), F.concat(below, F.lit(_OUTSIDE)))
-            .when(expects_table, F.concat(below, F.lit(_AFTER)))
-            .otherwise(levels)
-        )
-        return F.struct(
-            changed.alias("levels"),
-            word.alias("previous"),
-            F.when(
-                is_table,
-                F.array_append(
-                    state["tables"], F.struct(token["at"].alias("at"), plain_name(token["text"]).alias("name"))
-                ),
-            ).otherwise(state["tables"]).alias("tables"),
-            F.when(names_cte, F.array_append(state["ctes"], F.lower(plain_name(token["text"]))))
-            .otherwise(state["ctes"]).alias("ctes"),
-        )
-
-    return F.aggregate(significant, start, step)
+  )[0]
+)
+"""
 
 
 def _analysed(df: DataFrame, sql_col: str) -> DataFrame:
@@ -151,7 +148,8 @@ def _analysed(df: DataFrame, sql_col: str) -> DataFrame:
     )
     df = df.withColumn("__parts", _significant(F.col("__tokens")))
     df = df.withColumn("__parts", _with_next(F.col("__parts")))
-    return df.withColumn("__read", _read(F.col("__parts")))
+    # A fold over the tokens; collects table references with their positions, and CTE names.
+    return df.withColumn("__read", F.expr(_READ))
 
 
 def _not_a_cte(name: Column, ctes: Column) -> Column:
@@ -251,16 +249,46 @@ def _lookup(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*entries)
 
 
-def _head(parts: Column, count: Column | int) -> Column:
-    return F.lower(F.array_join(F.slice(parts, 1, count), "."))
-
-
-def _tail(parts: Column, count: Column | int) -> Column:
-    rest = F.transform(
-        F.slice(parts, F.lit(count) + 1, F.greatest(F.size(parts) - F.lit(count), F.lit(0))),
-        lambda p: F.when(p.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$"), p).otherwise(F.concat(F.lit("`"), p, F.lit("`"))),
-    )
-    return F.when(F.size(rest) > 0, F.concat(F.lit("."), F.array_join(rest, "."))).otherwise("")
+# The new text of one token ``t`` at position ``i``. ``n`` holds the parts of its name.
+_REPLACED = r"""
+transform(__tokens, (t, i) -> IF(
+  NOT t RLIKE '__name_start',
+  t,
+  transform(
+    array(split(replace(t, '`', ''), '\\.')),
+    n -> coalesce(
+      CASE
+        WHEN array_contains(__at, i) THEN coalesce(
+          __whole[lower(array_join(n, '.'))],
+          __datasets[lower(array_join(slice(n, 1, size(n) - 1), '.'))] || __tail(n, size(n) - 1))
+        WHEN array_contains(__calls, i) THEN
+          __datasets[lower(array_join(slice(n, 1, size(n) - 1), '.'))] || __tail(n, size(n) - 1)
+        WHEN size(n) > 1 THEN try_element_at(
+          filter(
+            transform(sequence(1, least(size(n) - 1, 3)), k -> IF(
+              array_contains(__names, lower(array_join(slice(n, 1, k), '.'))),
+              coalesce(
+                __whole[lower(array_join(slice(n, 1, k), '.'))],
+                __datasets[lower(array_join(slice(n, 1, k - 1), '.'))] || __tail(slice(n, 1, k), k - 1)
+              ) || __tail(n, k),
+              NULL)),
+            x -> x IS NOT NULL),
+          -1)
+      END,
+      t)
+  )[0]
+))
+"""
+# The rest of a name after its first ``count`` parts, quoted where it needs to be.
+_TAIL = (
+    r"aggregate(slice({parts}, {count} + 1, size({parts})), '', "
+    r"(a, p) -> a || '.' || IF(p RLIKE '^[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*$', p, concat('`', p, '`')))"
+)
+_REPLACED = re.sub(
+    r"__tail\(((?:slice\([^()]*\)|n)), ((?:size\(n\)|k)(?: - 1)?)\)",
+    lambda m: _TAIL.format(parts=m[1], count=m[2]),
+    _REPLACED,
+).replace("__name_start", NAME_START.replace("\\", "\\\\").replace("'", "\\'"))
 
 
 def rewrite_references(
@@ -277,40 +305,21 @@ def rewrite_references(
     qualified by a full table name follow that table. String literals, comments, aliases and names
     that merely contain a key stay as they are. Names compare without regard to case.
     """
-    datasets, whole = _lookup(mapping), _lookup(table_mapping or {})
     read, parts = F.col("__read"), F.col("__parts")
-
-    def renamed(name_parts: Column) -> Column:
-        size = F.size(name_parts)
-        by_dataset = datasets[_head(name_parts, size - 1)]
-        return F.coalesce(whole[_head(name_parts, size)], F.concat(by_dataset, _tail(name_parts, size - 1)))
-
     df = _analysed(df, sql_col)
-    df = df.withColumn("__calls", F.transform(_calls(parts, read), lambda c: c["at"]))
-    df = df.withColumn(
-        "__tables",
-        F.filter(read["tables"], lambda t: _not_a_cte(t["name"], read["ctes"])),
+    df = df.withColumns(
+        {
+            "__calls": F.transform(_calls(parts, read), lambda c: c["at"]),
+            "__tables": F.filter(read["tables"], lambda t: _not_a_cte(t["name"], read["ctes"])),
+        }
+    )
+    df = df.withColumns(
+        {
+            "__at": F.transform("__tables", lambda t: t["at"]),
+            "__names": F.transform("__tables", lambda t: F.lower(t["name"])),
+            "__datasets": _lookup(mapping),
+            "__whole": _lookup(table_mapping or {}),
+        }
     )
-    df = df.withColumn("__at", F.transform("__tables", lambda t: t["at"]))
-    df = df.withColumn("__names", F.transform("__tables", lambda t: F.lower(t["name"])))
-
-    def replaced(token: Column, at: Column) -> Column:
-        name_parts = F.split(plain_name(token), r"\.")
-        size = F.size(name_parts)
-        as_call = F.concat(datasets[_head(name_parts, size - 1)], _tail(name_parts, size - 1))
-        as_column = F.lit(None).cast("string")
-        for length in (1, 2, 3):
-            names_table = (size > length) & F.array_contains("__names", _head(name_parts, length))
-            as_column = F.when(
-                names_table, F.concat(renamed(F.slice(name_parts, 1, length)), _tail(name_parts, length))
-            ).otherwise(as_column)
-        changed = (
-            F.when(~token.rlike(NAME_START), None)
-            .when(F.array_contains("__at", at), renamed(name_parts))
-            .when(F.array_contains("__calls", at), as_call)
-            .otherwise(as_column)
-        )
-        return F.coalesce(changed, token)
-
-    df = df.withColumn(sql_col, F.array_join(F.transform("__tokens", replaced), ""))
-    return _drop_helpers(df).drop("__calls", "__tables", "__at", "__names")
+    df = df.withColumn(sql_col, F.array_join(F.expr(_REPLACED), ""))
+    return _drop_helpers(df).drop("__calls", "__tables", "__at", "__names", "__datasets", "__whole")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage.errors import ObjectExists, StowageError
-from stowage.session import literal, quoted, using_database
+from stowage.session import literal, quoted, small_frame, using_database
 from stowage.sources.catalog import ROUTINES
 
 ROUTINE_SCHEMA = T.StructType.fromDDL(
@@ -59,7 +59,7 @@ def _store(spark: SparkSession, database: str, row: Mapping[str, object], overwr
     elif not overwrite and read_routines(spark, database).filter(F.col("name") == row["name"]).take(1):
         raise ObjectExists(f"routine {database}.{row['name']} exists")
     values = {**row, "version": time.time_ns()}
-    spark.createDataFrame([tuple(values.get(n) for n in ROUTINE_SCHEMA.names)], ROUTINE_SCHEMA).write.insertInto(table)
+    small_frame(spark, [tuple(values.get(n) for n in ROUTINE_SCHEMA.names)], ROUTINE_SCHEMA).write.insertInto(table)
 
 
 def read_routines(spark: SparkSession, database: str) -> DataFrame:

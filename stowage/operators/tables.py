@@ -53,12 +53,12 @@ def create_physical(df: DataFrame, database: str, name: str, partition_columns:
     )
     for key, value in properties.items():
         writer = writer.tableProperty(key, value)
-    if description:
-        writer = writer.tableProperty("comment", description)
     columns = [F.col(f"`{c}`") for c in partition_columns]
     if columns:
         writer = writer.partitionedBy(*columns)
     writer.create()
+    if description:
+        df.sparkSession.sql(f"COMMENT ON TABLE {quoted(database, name)} IS {literal(description)}")
     return counted.get["rows"]
 
 

@@ -65,13 +65,11 @@ def restore_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     base = scratch_dir(spark, "waves")
     state_path = base + "/state"
 
-    duplicates = [r.key for r in nodes.groupBy("key").count().filter("count > 1").limit(5).collect()]
-    if duplicates:
-        raise GraphError(f"duplicate nodes: {', '.join(map(str, duplicates))}")
     links = written(dependency_edges(nodes, edges), base + "/edges")
 
     waiting = links.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
-    state = nodes.select("key").join(waiting, "key", "left").select("key", F.coalesce("left", F.lit(0)).alias("left"))
+    copies = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    state = copies.join(waiting, "key", "left").select("key", F.coalesce("left", F.lit(0)).alias("left"), "copies")
     wave = 0
     while True:
         state, found = _counted(
@@ -79,7 +77,11 @@ def restore_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             f"{state_path}/wave={wave}",
             ready=F.count_if(F.col("left") == 0),
             waiting=F.count_if(F.col("left") > 0),
+            duplicates=F.count_if(F.col("copies") > 1),
         )
+        if found["duplicates"]:
+            some = [str(r.key) for r in state.filter("copies > 1").select("key").orderBy("key").limit(5).collect()]
+            raise GraphError(f"duplicate nodes: {', '.join(some)}")
         if found["waiting"] == 0:
             break
         blocked = state.filter("left > 0")
@@ -89,7 +91,7 @@ def restore_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ready = state.filter("left = 0").select(F.col("key").alias("requisite"))
         released = links.join(ready, "requisite").groupBy("key").agg(F.count(F.lit(1)).alias("released"))
         state = blocked.join(released, "key", "left").select(
-            "key", (F.col("left") - F.coalesce("released", F.lit(0))).alias("left")
+            "key", (F.col("left") - F.coalesce("released", F.lit(0))).alias("left"), "copies"
         )
         wave += 1
     return spark.read.parquet(state_path).filter("left = 0").select("key", "wave")

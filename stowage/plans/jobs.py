@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+from stowage.session import small_frame
+
 STATUS_SCHEMA = "kind string, name string, status string, rows bigint, error string"
 
 OK, FAILED, SKIPPED, UNSUPPORTED, BLOCKED, NOT_RUN = "OK", "FAILED", "SKIPPED", "UNSUPPORTED", "BLOCKED", "NOT_RUN"
@@ -45,7 +47,7 @@ class Ledger:
 
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
         rows = sorted(self.rows, key=lambda r: (r.kind, r.name))
-        return spark.createDataFrame([r.as_row() for r in rows], STATUS_SCHEMA)
+        return small_frame(spark, [r.as_row() for r in rows], STATUS_SCHEMA)
 
 
 def short_error(error: BaseException) -> str:

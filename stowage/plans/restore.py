@@ -15,34 +15,41 @@ from stowage.operators.partitions import PartitionConfig
 from stowage.operators.tables import load_table
 from stowage.plans.graph import blocked_dependents, restore_waves
 from stowage.plans.jobs import BLOCKED, FAILED, NOT_RUN, SKIPPED, UNSUPPORTED, Ledger, Status, run_all
-from stowage.session import literal, properties_clause, quoted, scratch_dir, written
-from stowage.sources import formats, manifest, schemas
+from stowage.session import literal, properties_clause, quoted, scratch_dir, small_frame, written
+from stowage.sources import formats, layout, manifest, schemas
 
 DATA_KINDS = ("table", "external_table")
 ORDERED_KINDS = ("function", "view", "materialized_view")
 RELATION, FUNCTION = "relation ", "function "
 
 
-def relocated(rows: DataFrame, target_project: str | None, target_dataset: str | None,
-              mapping: Mapping[str, str] | None = None, table_mapping: Mapping[str, str] | None = None) -> DataFrame:
+def relocated(rows: DataFrame, source_project: str, source_dataset: str, target_project: str | None,
+              target_dataset: str | None, mapping: Mapping[str, str] | None = None,
+              table_mapping: Mapping[str, str] | None = None) -> DataFrame:
     """Manifest rows of any number of snapshots of one dataset, with target columns and rewritten SQL.
 
     A missing target part falls back to the source's.
     """
-    address = rows.select("project", "dataset").distinct().limit(2).collect()
-    if len(address) != 1:
-        raise ValueError(f"expected one source dataset, found {len(address)}")
-    source = address[0]
     full = refs.relocation_mapping(
-        source.project, source.dataset, target_project or source.project, target_dataset or source.dataset, mapping
+        source_project, source_dataset, target_project or source_project, target_dataset or source_dataset, mapping
     )
-    placed = rows.withColumn("target_project", F.coalesce(F.lit(target_project), "project")).withColumn(
-        "target_dataset", F.coalesce(F.lit(target_dataset), "dataset")
+    placed = rows.withColumns(
+        {
+            "target_project": F.coalesce(F.lit(target_project), "project"),
+            "target_dataset": F.coalesce(F.lit(target_dataset), "dataset"),
+        }
     )
     if not full and not table_mapping:
         return placed
-    placed = refs.rewrite_references(placed, "query", full, table_mapping)
-    return refs.rewrite_references(placed, "body", full, table_mapping)
+    # An object has a query or a body, so both are rewritten as one column.
+    placed = placed.withColumn("statement", F.coalesce("query", F.when(F.upper("language") == "SQL", F.col("body"))))
+    placed = refs.rewrite_references(placed, "statement", full, table_mapping)
+    return placed.withColumns(
+        {
+            "query": F.when(F.col("query").isNotNull(), F.col("statement")),
+            "body": F.when(F.upper("language") == "SQL", F.col("statement")).otherwise(F.col("body")),
+        }
+    ).drop("statement")
 
 
 def object_keys(rows: DataFrame) -> DataFrame:
@@ -107,10 +114,11 @@ def restore_dataset(
     ``overwrite_existing`` drops the target database with its contents.
     """
     rows = manifest.read_manifest(spark, snapshot)
-    skipped = spark.createDataFrame([(n,) for n, skip in (skip_restore or {}).items() if skip], "name string")
+    skipped = small_frame(spark, [(n,) for n, skip in (skip_restore or {}).items() if skip], "name string")
+    project, dataset = layout.address_of(snapshot)
     # Written out once: every later step reads the rewritten rows instead of rewriting them again.
     placed = written(
-        relocated(rows, None, target, statement_replacement_mapping, table_replacement_mapping),
+        relocated(rows, project, dataset, None, target, statement_replacement_mapping, table_replacement_mapping),
         scratch_dir(spark, "relocated"),
     )
     wanted = placed.join(F.broadcast(skipped), "name", "left_anti")
@@ -122,7 +130,7 @@ def restore_dataset(
         ledger.add(Status(row.kind, row.name, SKIPPED))
 
     run = _Restore(spark, snapshot, ledger, overwrite_existing, append, attach_archive_ts_to_label, as_of, allow_code)
-    database = run.create_database(by_kind.get("dataset", []), target or rows.first().dataset, location)
+    database = run.create_database(by_kind.get("dataset", []), target or dataset, location)
     for row in by_kind.get("unsupported", []):
         ledger.add(Status(row.kind, row.name, UNSUPPORTED, None, row.error))
 
@@ -215,7 +223,7 @@ class _Restore:
                 if s.status in (FAILED, UNSUPPORTED) and (s.kind, s.name) in waves
             ]
             if keys and not self.ledger.stopped:
-                failed = self.spark.createDataFrame(keys, "key string")
+                failed = small_frame(self.spark, keys, "key string")
                 blocked = {
                     r.key: r.failed_requisite
                     for r in blocked_dependents(nodes.select("key"), edges, failed).collect()

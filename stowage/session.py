@@ -5,9 +5,12 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+ROWS_PER_TASK = 10_000
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -25,6 +28,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/stowage/{label}-{uuid.uuid4().hex}"
 
 
+def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A DataFrame of a few driver rows, such as names of objects, in few partitions.
+
+    Without this a large cluster would start as many tasks as it has cores for a handful of rows.
+    """
+    return spark.createDataFrame(list(rows), schema).coalesce(1 + len(rows) // ROWS_PER_TASK)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a parquet table and read it back, which cuts its lineage for good.
 

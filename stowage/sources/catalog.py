@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.session import quoted
+from stowage.session import quoted, small_frame
 
 # Table properties the library keeps for itself; every other property is a label.
 RESERVED = "stowage."
@@ -96,7 +96,7 @@ def list_objects(spark: SparkSession, database: str) -> DataFrame:
         from stowage.functions.routines import read_routines
 
         rows += [(r.name, r.routine_type, None, r.language) for r in read_routines(spark, database).collect()]
-    return spark.createDataFrame(rows, "name string, object_type string, marker string, language string")
+    return small_frame(spark, rows, "name string, object_type string, marker string, language string")
 
 
 def kind_of(object_type: Column, marker: Column) -> Column:

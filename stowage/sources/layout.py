@@ -44,6 +44,12 @@ def prefix_of(snapshot: str) -> str:
     return head
 
 
+def address_of(snapshot: str) -> tuple[str, str]:
+    """Project and dataset of a snapshot path."""
+    parts = dict(p.partition("=")[::2] for p in snapshot.rstrip("/").split("/") if "=" in p)
+    return parts["project"], parts["dataset"]
+
+
 def data_path(table: str) -> str:
     """Data directory of a table, relative to its snapshot, so that a snapshot may be moved."""
     directory, key = KIND_DIRECTORIES["table"]

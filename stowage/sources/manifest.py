@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage.errors import SnapshotIncomplete, VersionMismatch
+from stowage.session import small_frame
 from stowage.sources import layout
 
 METADATA_VERSION = "v1"
@@ -47,7 +48,7 @@ def write_manifest(spark: SparkSession, snapshot: str, rows: list[dict]) -> None
     tell a committed snapshot from a broken one whatever the file system.
     """
     rows = [{**row, "object_count": len(rows)} for row in rows]
-    df = spark.createDataFrame([tuple(row[n] for n in OBJECT_SCHEMA.names) for row in rows], OBJECT_SCHEMA)
+    df = small_frame(spark, [tuple(row[n] for n in OBJECT_SCHEMA.names) for row in rows], OBJECT_SCHEMA)
     for kind in sorted({row["kind"] for row in rows} & set(layout.KIND_DIRECTORIES)):
         directory, key = layout.KIND_DIRECTORIES[kind]
         (
