@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from stowage.errors import GraphError
 from stowage.session import scratch_dir, written
 
+SHRINK_FACTOR = 4
+
 
 def _counted(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFrame, dict]:
     """Write ``df`` and read it back; ``metrics`` are aggregates taken during the write."""
@@ -70,7 +72,7 @@ def restore_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     waiting = links.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
     copies = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     state = copies.join(waiting, "key", "left").select("key", F.coalesce("left", F.lit(0)).alias("left"), "copies")
-    wave = 0
+    wave, kept = 0, 0
     while True:
         state, found = _counted(
             state,
@@ -85,9 +87,15 @@ def restore_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if found["waiting"] == 0:
             break
         blocked = state.filter("left > 0")
+        if wave == 0:
+            kept = found["waiting"]
         if found["ready"] == 0:
             some = [str(r.key) for r in blocked.select("key").orderBy("key").limit(5).collect()]
             raise GraphError(f"{found['waiting']} nodes wait for each other in a cycle, such as {', '.join(some)}")
+        if found["waiting"] * SHRINK_FACTOR <= kept:
+            # Edges of finished nodes are dead weight in every later round.
+            kept = found["waiting"]
+            links = written(links.join(blocked.select("key"), "key", "left_semi"), f"{base}/edges-{wave}")
         ready = state.filter("left = 0").select(F.col("key").alias("requisite"))
         released = links.join(ready, "requisite").groupBy("key").agg(F.count(F.lit(1)).alias("released"))
         state = blocked.join(released, "key", "left").select(

@@ -7,10 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-ROWS_PER_TASK = 10_000
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -29,11 +30,31 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
-    """A DataFrame of a few driver rows, such as names of objects, in few partitions.
+    """A DataFrame of a few driver rows, such as names of objects.
 
-    Without this a large cluster would start as many tasks as it has cores for a handful of rows.
+    Handed over as one Arrow table, which Spark keeps as a local relation: no Python worker starts,
+    and a large cluster does not run a task per core for a handful of rows.
     """
-    return spark.createDataFrame(list(rows), schema).coalesce(1 + len(rows) // ROWS_PER_TASK)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    table = pa.Table.from_pylist(
+        [{f.name: _arrow_value(v, f.dataType) for f, v in zip(schema, row, strict=True)} for row in rows],
+        to_arrow_schema(schema),
+    )
+    return spark.createDataFrame(table, schema)
+
+
+def _arrow_value(value: object, data_type: T.DataType) -> object:
+    """Arrow takes maps as pairs and structs as dicts."""
+    if value is None:
+        return None
+    if isinstance(data_type, T.MapType):
+        return list(value.items())
+    if isinstance(data_type, T.StructType):
+        fields = value.items() if isinstance(value, dict) else zip(data_type.names, value, strict=True)
+        return {name: _arrow_value(v, data_type[name].dataType) for name, v in fields}
+    if isinstance(data_type, T.ArrayType):
+        return [_arrow_value(v, data_type.elementType) for v in value]
+    return value
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
