@@ -31,8 +31,7 @@ TOKEN_PATTERN = (
     r"|(?s:.)"
 )
 NAME_START = r"^(?![rR]['\"])(?:`|[\p{L}_])"
-# Names and the marks that steer reading; operators, numbers, literals and comments change nothing.
-SIGNIFICANT = r"^(?![rR]['\"])(?:`|[\p{L}_]|[(),;]$)"
+IGNORED = r"^(?:\s|--|/\*)"
 
 # Keywords after which a FROM list is over.
 ENDS_FROM_LIST = ("WHERE", "GROUP", "HAVING", "ORDER", "SORT", "CLUSTER", "DISTRIBUTE", "LIMIT", "OFFSET", "WINDOW",
@@ -59,17 +58,17 @@ def plain_name(token: Column) -> Column:
     return F.replace(token, F.lit("`"), F.lit(""))
 
 
-def _significant(token_array: Column) -> Column:
-    """Tokens that carry meaning, with their positions."""
+def _meaningful(token_array: Column) -> Column:
+    """Tokens but white space and comments, with their positions."""
     return F.filter(
         F.transform(token_array, lambda t, i: F.struct(t.alias("text"), i.alias("at"))),
-        lambda s: s["text"].rlike(SIGNIFICANT),
+        lambda s: ~s["text"].rlike(IGNORED),
     )
 
 
-def _with_next(kept: Column) -> Column:
-    """Add the upper-case form and the token that follows."""
-    return F.transform(
+def _significant(kept: Column) -> Column:
+    """Names and marks, with their upper-case form and the token that follows in the text."""
+    with_next = F.transform(
         kept,
         lambda s, i: F.struct(
             s["text"].alias("text"),
@@ -79,6 +78,7 @@ def _with_next(kept: Column) -> Column:
             F.coalesce(F.get(kept, i + 1)["text"], F.lit("")).alias("next"),
         ),
     )
+    return F.filter(with_next, lambda s: s["is_name"] | s["text"].isin("(", ")", ",", ";"))
 
 
 def _words(words: Iterable[str]) -> str:
@@ -93,6 +93,7 @@ aggregate(
   named_struct(
     'levels', '{_OUTSIDE}',
     'previous', '',
+    'opens', false,
     'tables', CAST(array() AS ARRAY<STRUCT<at: INT, name: STRING>>),
     'ctes', CAST(array() AS ARRAY<STRING>)
   ),
@@ -107,7 +108,7 @@ aggregate(
     l -> named_struct(
       'levels', CASE
         WHEN t.word = '(' THEN CASE
-          WHEN s.previous IN ({_words(FROM_ARGUMENT_FUNCTIONS)}) THEN concat(s.levels, '{_ARGUMENT}')
+          WHEN s.opens AND s.previous IN ({_words(FROM_ARGUMENT_FUNCTIONS)}) THEN concat(s.levels, '{_ARGUMENT}')
           WHEN l.top = '{_EXPECT}' THEN concat(l.below, '{_AFTER}{_EXPECT}')
           ELSE concat(s.levels, '{_OUTSIDE}') END
         WHEN t.word = ')' THEN IF(length(s.levels) > 1, l.below, s.levels)
@@ -125,6 +126,7 @@ aggregate(
         WHEN l.expects_table THEN concat(l.below, '{_AFTER}')
         ELSE s.levels END,
       'previous', t.word,
+      'opens', t.next = '(',
       -- A name before a parenthesis is a table function, except for the column list of an INSERT.
       'tables', IF(
         l.expects_table AND (t.next <> '(' OR s.previous IN ('INTO', 'TABLE', 'OVERWRITE')),
@@ -146,8 +148,9 @@ def _analysed(df: DataFrame, sql_col: str) -> DataFrame:
             sql.isNotNull(), F.raise_error(F.lit("statement could not be cut into tokens"))
         ),
     )
-    df = df.withColumn("__parts", _significant(F.col("__tokens")))
-    df = df.withColumn("__parts", _with_next(F.col("__parts")))
+    df = df.withColumn("__parts", _meaningful(F.col("__tokens")))
+    # Operators, numbers and literals change nothing in how a statement is read.
+    df = df.withColumn("__parts", _significant(F.col("__parts")))
     # A fold over the tokens; collects table references with their positions, and CTE names.
     return df.withColumn("__read", F.expr(_READ))
 
