@@ -6,6 +6,7 @@ small append-only table in the database keeps them; the newest row of a name cou
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Iterable, Mapping
 
@@ -16,23 +17,26 @@ from pyspark.sql import types as T
 from stowage.errors import ObjectExists, StowageError
 from stowage.session import literal, quoted, small_frame, using_database
 from stowage.sources.catalog import ROUTINES
+from stowage.sources.manifest import ARGUMENTS, fields
 
-ROUTINE_SCHEMA = T.StructType.fromDDL(
-    "name string, routine_type string, language string, body string, "
-    "arguments array<struct<name: string, type: string>>, return_type string, description string, "
-    "imported_libraries array<string>, version bigint"
+ROUTINE_SCHEMA = fields(
+    name=T.StringType(), routine_type=T.StringType(), language=T.StringType(), body=T.StringType(), arguments=ARGUMENTS,
+    return_type=T.StringType(), description=T.StringType(), imported_libraries=T.ArrayType(T.StringType()),
+    version=T.LongType(),
 )
 
 
 def create_function(spark: SparkSession, database: str, name: str, arguments_sql: str, return_type: str, body: str,
                     description: str | None = None, overwrite: bool = False) -> None:
     """Create a SQL scalar function; names in its body resolve in ``database``."""
-    if not overwrite and function_exists(spark, database, name):
-        raise ObjectExists(f"function {database}.{name} exists")
+    if function_exists(spark, database, name):
+        if not overwrite:
+            raise ObjectExists(f"function {database}.{name} exists")
+        spark.sql(f"DROP FUNCTION {quoted(database, name)}")
     comment = f"COMMENT {literal(description)}" if description else ""
     with using_database(spark, database):
         spark.sql(
-            f"CREATE OR REPLACE FUNCTION {quoted(database, name)} ({arguments_sql}) RETURNS {return_type} {comment} "
+            f"CREATE FUNCTION {quoted(database, name)} ({arguments_sql}) RETURNS {return_type} {comment} "
             f"RETURN {body}"
         )
 
@@ -44,12 +48,26 @@ def function_exists(spark: SparkSession, database: str, name: str) -> bool:
     )
 
 
+# A piece of a parameter list in which commas separate nothing: a literal, or brackets (two deep).
+_ENCLOSED = r"'(?:[^'\\]|\\.)*'|\((?:[^()]|\([^()]*\))*\)|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>"
+
+
+def drop_functions(spark: SparkSession, database: str) -> None:
+    """Drop the functions of a database, which dropping the database itself would leave cached in the session."""
+    for (name,) in spark.sql(f"SHOW USER FUNCTIONS IN {quoted(database)}").collect():
+        if "." in name:
+            spark.sql(f"DROP FUNCTION IF EXISTS {quoted(database, name.rpartition('.')[2].strip('`'))}")
+
+
 def arguments_of(arguments_sql: str) -> list[dict]:
-    """Argument names and types from the text of a parameter list."""
-    if not arguments_sql.strip():
-        return []
-    schema = T.StructType.fromDDL(arguments_sql)
-    return [{"name": f.name, "type": f.dataType.simpleString()} for f in schema]
+    """Argument names and types from the text of a parameter list; defaults and comments are left out."""
+    arguments = []
+    for piece in re.findall(rf"(?:{_ENCLOSED}|[^,])+", arguments_sql):
+        declared = re.split(r"\s+(?:DEFAULT|COMMENT)\s+", piece.strip(), maxsplit=1, flags=re.IGNORECASE)[0]
+        if declared:
+            name, _, data_type = declared.partition(" ")
+            arguments.append({"name": name.strip("`"), "type": data_type.strip().lower()})
+    return arguments
 
 
 def _store(spark: SparkSession, database: str, row: Mapping[str, object], overwrite: bool) -> None:

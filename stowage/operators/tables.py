@@ -122,7 +122,8 @@ def write_table(
     database, table = split_name(spark, name)
     if mode not in ("error", "overwrite", "append"):
         raise StowageError(f"unknown mode {mode!r}")
-    schema = schema or df.schema
+    # Without a schema nothing is required, even where Spark infers that an expression is never NULL.
+    schema = schema or schemas.from_json(schemas.to_json(df.schema))
     if spark.catalog.tableExists(quoted(database, table)):
         if mode == "error":
             raise ObjectExists(f"{database}.{table} exists")

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions import references as refs
-from stowage.functions.routines import create_code_function, create_function, create_script, register_code_functions
+from stowage.functions.routines import (
+    create_code_function,
+    create_function,
+    create_script,
+    drop_functions,
+    register_code_functions,
+)
 from stowage.operators import views
 from stowage.operators.partitions import PartitionConfig
 from stowage.operators.tables import load_table
@@ -170,7 +176,8 @@ class _Restore:
     def create_database(self, rows: list[Row], database: str, location: str | None) -> str:
         """Create the target database; a skipped dataset row means it must exist already."""
         for row in rows:
-            if self.overwrite:
+            if self.overwrite and self.spark.catalog.databaseExists(database):
+                drop_functions(self.spark, database)
                 self.spark.sql(f"DROP DATABASE IF EXISTS {quoted(database)} CASCADE")
             comment = f"COMMENT {literal(row.description)}" if row.description else ""
             place = f"LOCATION {literal(location)}" if location else ""

@@ -13,23 +13,33 @@ from stowage.sources import layout
 
 METADATA_VERSION = "v1"
 
-OBJECT_SCHEMA = T.StructType.fromDDL(
-    """
-    kind string, name string, status string, error string,
-    metadata_version string, archiver_version string, object_count bigint,
-    description string, labels map<string, string>,
-    schema_json string,
-    columns array<struct<name: string, type: string, mode: string, description: string, default_expression: string>>,
-    format string, compression string, data_path string, rows bigint, multi_line boolean,
-    partition struct<category: string, field: string, unit: string, expiration_ms: bigint, require_filter: boolean,
-                     range: array<bigint>, columns: array<string>>,
-    query string, namespace string, enable_refresh boolean, refresh_interval_seconds bigint,
-    provider string, location string, options map<string, string>,
-    language string, body string, arguments array<struct<name: string, type: string>>, arguments_sql string,
-    return_type string, imported_libraries array<string>
-    """
+
+def fields(**types: T.DataType) -> T.StructType:
+    """A struct of nullable fields; unlike a DDL text it needs no running session."""
+    return T.StructType([T.StructField(name, data_type) for name, data_type in types.items()])
+
+
+_TEXT, _COUNT, _FLAG = T.StringType(), T.LongType(), T.BooleanType()
+_TEXTS = T.MapType(_TEXT, _TEXT)
+ARGUMENTS = T.ArrayType(fields(name=_TEXT, type=_TEXT))
+
+OBJECT_SCHEMA = fields(
+    kind=_TEXT, name=_TEXT, status=_TEXT, error=_TEXT,
+    metadata_version=_TEXT, archiver_version=_TEXT, object_count=_COUNT,
+    description=_TEXT, labels=_TEXTS,
+    schema_json=_TEXT,
+    columns=T.ArrayType(fields(name=_TEXT, type=_TEXT, mode=_TEXT, description=_TEXT, default_expression=_TEXT)),
+    format=_TEXT, compression=_TEXT, data_path=_TEXT, rows=_COUNT, multi_line=_FLAG,
+    partition=fields(
+        category=_TEXT, field=_TEXT, unit=_TEXT, expiration_ms=_COUNT, require_filter=_FLAG,
+        range=T.ArrayType(_COUNT), columns=T.ArrayType(_TEXT),
+    ),
+    query=_TEXT, namespace=_TEXT, enable_refresh=_FLAG, refresh_interval_seconds=_COUNT,
+    provider=_TEXT, location=_TEXT, options=_TEXTS,
+    language=_TEXT, body=_TEXT, arguments=ARGUMENTS, arguments_sql=_TEXT, return_type=_TEXT,
+    imported_libraries=T.ArrayType(_TEXT),
 )
-ADDRESS_SCHEMA = T.StructType.fromDDL("project string, dataset string, archive_ts string")
+ADDRESS_SCHEMA = fields(project=_TEXT, dataset=_TEXT, archive_ts=_TEXT)
 MANIFEST_SCHEMA = T.StructType(OBJECT_SCHEMA.fields + ADDRESS_SCHEMA.fields)
 
 
