@@ -20,7 +20,7 @@ from stowage.operators.tables import load_table, read_snapshot, read_table, snap
 from stowage.plans import graph
 from stowage.plans.archive import archive_dataset, snapshot_of
 from stowage.plans.restore import restore_dataset
-from stowage.session import literal, quoted, scratch_dir
+from stowage.session import literal, quoted, scratch_dir, spread
 from stowage.sources import catalog, manifest, schemas
 from stowage.sources.formats import FileFormat
 
@@ -342,7 +342,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     for priority, (form, *_rest) in _FORMS.items():
         text = F.when(F.col("o_orderpriority") == priority, F.lit(form)).otherwise(text)
     number = F.col("o_custkey").cast("string")
-    return orders.select("o_orderkey", F.replace(text, F.lit("{n}"), number).alias("sql"))
+    return spread(orders).select("o_orderkey", F.replace(text, F.lit("{n}"), number).alias("sql"))
 
 
 def table_references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,13 @@ NOT_A_CALL = ("AND", "OR", "NOT", "IN", "AS", "ON", "USING", "VALUES", "SELECT",
               "INTERSECT", "EXCEPT", "DISTINCT", "PIVOT", "UNPIVOT", "FOR", "SETS", "CUBE", "ROLLUP", "LATERAL",
               "BETWEEN", "LIKE", "RLIKE", "IS", "TABLESAMPLE", "WITH", "TABLE", "RETURN", "IF", "PARTITION", "LIMIT")
 
+# Words that may stand between a keyword and the name it announces.
+PASSED_OVER = ("LATERAL", "ONLY", "TABLE", "RECURSIVE")
+# Words and marks that change how the text after them is read; none of them is a name itself.
+STEERING = ("(", ")", ",", ";", "FROM", "JOIN", "INTO", "OVERWRITE", "UPDATE", "USING", "WITH", *PASSED_OVER, *ENDS_FROM_LIST)
+# What stands right before a table or CTE name.
+BEFORE_NAMES = ("FROM", "JOIN", "INTO", "OVERWRITE", "UPDATE", "USING", "WITH", ",", "(", *PASSED_OVER)
+
 # States of one parenthesis level while reading a statement.
 _OUTSIDE, _EXPECT, _AFTER, _ARGUMENT, _WITH, _CTE = "N", "E", "A", "X", "W", "C"
 
@@ -67,18 +74,27 @@ def _meaningful(token_array: Column) -> Column:
 
 
 def _significant(kept: Column) -> Column:
-    """Names and marks, with their upper-case form and the token that follows in the text."""
-    with_next = F.transform(
-        kept,
+    """Tokens the reading of a statement depends on, with their neighbours in the text.
+
+    These are the marks and words that steer it, names in places where a table or CTE may stand, and
+    names that are called.
+    """
+    word = F.transform(kept, lambda s: F.upper(s["text"]))
+    with_neighbours = F.transform(
+        F.arrays_zip(kept.alias("token"), word.alias("word")),
         lambda s, i: F.struct(
-            s["text"].alias("text"),
-            s["at"].alias("at"),
-            F.upper(s["text"]).alias("word"),
-            s["text"].rlike(NAME_START).alias("is_name"),
+            s["token"]["text"].alias("text"),
+            s["token"]["at"].alias("at"),
+            s["word"].alias("word"),
+            s["word"].isin(*STEERING).alias("steers"),
+            F.when(i > 0, F.upper(F.get(kept, i - 1)["text"])).otherwise("").alias("before"),
             F.coalesce(F.get(kept, i + 1)["text"], F.lit("")).alias("next"),
         ),
     )
-    return F.filter(with_next, lambda s: s["is_name"] | s["text"].isin("(", ")", ",", ";"))
+    return F.filter(
+        with_neighbours,
+        lambda s: s["steers"] | ((s["before"].isin(*BEFORE_NAMES) | (s["next"] == "(")) & s["text"].rlike(NAME_START)),
+    )
 
 
 def _words(words: Iterable[str]) -> str:
@@ -86,54 +102,53 @@ def _words(words: Iterable[str]) -> str:
 
 
 # Written as SQL, because one parsed expression is built far faster than hundreds of column calls.
-# ``s`` is the state, ``t`` the token, ``l`` holds what both branches of a step need.
+# ``s`` is the state: ``top`` is the state of the innermost parenthesis level, ``below`` those around it.
 _READ = f"""
 aggregate(
   __parts,
   named_struct(
-    'levels', '{_OUTSIDE}',
-    'previous', '',
-    'opens', false,
+    'top', '{_OUTSIDE}',
+    'below', '',
     'tables', CAST(array() AS ARRAY<STRUCT<at: INT, name: STRING>>),
     'ctes', CAST(array() AS ARRAY<STRING>)
   ),
-  (s, t) -> transform(
-    array(named_struct(
-      'top', right(s.levels, 1),
-      'below', left(s.levels, length(s.levels) - 1),
-      'expects_table', right(s.levels, 1) = '{_EXPECT}' AND t.is_name
-        AND t.word NOT IN ('LATERAL', 'ONLY', 'TABLE', 'WITH', {_words(ENDS_FROM_LIST)}),
-      'names_cte', right(s.levels, 1) = '{_WITH}' AND t.is_name AND t.word <> 'RECURSIVE'
-    )),
-    l -> named_struct(
-      'levels', CASE
-        WHEN t.word = '(' THEN CASE
-          WHEN s.opens AND s.previous IN ({_words(FROM_ARGUMENT_FUNCTIONS)}) THEN concat(s.levels, '{_ARGUMENT}')
-          WHEN l.top = '{_EXPECT}' THEN concat(l.below, '{_AFTER}{_EXPECT}')
-          ELSE concat(s.levels, '{_OUTSIDE}') END
-        WHEN t.word = ')' THEN IF(length(s.levels) > 1, l.below, s.levels)
-        WHEN t.word = ';' THEN '{_OUTSIDE}'
-        WHEN t.word = 'FROM' AND l.top <> '{_ARGUMENT}' AND s.previous <> 'DISTINCT' THEN concat(l.below, '{_EXPECT}')
-        WHEN t.word IN ('JOIN', 'INTO') THEN concat(l.below, '{_EXPECT}')
-        WHEN t.word = 'OVERWRITE' AND s.previous = 'INSERT' THEN concat(l.below, '{_EXPECT}')
-        WHEN t.word = 'UPDATE' AND s.previous IN ('', ';') THEN concat(l.below, '{_EXPECT}')
-        WHEN t.word = 'USING' AND l.top = '{_AFTER}' AND t.next <> '(' THEN concat(l.below, '{_EXPECT}')
-        WHEN t.word = 'WITH' AND l.top IN ('{_OUTSIDE}', '{_EXPECT}') THEN concat(l.below, '{_WITH}')
-        WHEN l.names_cte THEN concat(l.below, '{_CTE}')
-        WHEN t.word = ',' AND l.top = '{_AFTER}' THEN concat(l.below, '{_EXPECT}')
-        WHEN t.word = ',' AND l.top = '{_CTE}' THEN concat(l.below, '{_WITH}')
-        WHEN t.word IN ({_words(ENDS_FROM_LIST)}) AND l.top <> '{_ARGUMENT}' THEN concat(l.below, '{_OUTSIDE}')
-        WHEN l.expects_table THEN concat(l.below, '{_AFTER}')
-        ELSE s.levels END,
-      'previous', t.word,
-      'opens', t.next = '(',
-      -- A name before a parenthesis is a table function, except for the column list of an INSERT.
-      'tables', IF(
-        l.expects_table AND (t.next <> '(' OR s.previous IN ('INTO', 'TABLE', 'OVERWRITE')),
-        array_append(s.tables, named_struct('at', t.at, 'name', replace(t.text, '`', ''))), s.tables),
-      'ctes', IF(l.names_cte, array_append(s.ctes, lower(replace(t.text, '`', ''))), s.ctes)
-    )
-  )[0]
+  (s, t) -> named_struct(
+    'top', CASE
+      WHEN NOT t.steers THEN CASE s.top
+        WHEN '{_EXPECT}' THEN '{_AFTER}'
+        WHEN '{_WITH}' THEN '{_CTE}'
+        ELSE s.top END
+      WHEN t.word = ',' THEN CASE s.top
+        WHEN '{_AFTER}' THEN '{_EXPECT}'
+        WHEN '{_CTE}' THEN '{_WITH}'
+        ELSE s.top END
+      WHEN t.word = '(' THEN CASE
+        WHEN t.before IN ({_words(FROM_ARGUMENT_FUNCTIONS)}) THEN '{_ARGUMENT}'
+        WHEN s.top = '{_EXPECT}' THEN '{_EXPECT}'
+        ELSE '{_OUTSIDE}' END
+      WHEN t.word = ')' THEN IF(s.below = '', s.top, right(s.below, 1))
+      WHEN t.word = ';' THEN '{_OUTSIDE}'
+      WHEN t.word = 'FROM' THEN IF(s.top = '{_ARGUMENT}' OR t.before = 'DISTINCT', s.top, '{_EXPECT}')
+      WHEN t.word IN ('JOIN', 'INTO') THEN '{_EXPECT}'
+      WHEN t.word = 'OVERWRITE' THEN IF(t.before = 'INSERT', '{_EXPECT}', s.top)
+      WHEN t.word = 'UPDATE' THEN IF(t.before IN ('', ';'), '{_EXPECT}', s.top)
+      WHEN t.word = 'USING' THEN IF(s.top = '{_AFTER}' AND t.next <> '(', '{_EXPECT}', s.top)
+      WHEN t.word = 'WITH' THEN IF(s.top IN ('{_OUTSIDE}', '{_EXPECT}'), '{_WITH}', s.top)
+      WHEN t.word IN ({_words(PASSED_OVER)}) OR s.top = '{_ARGUMENT}' THEN s.top
+      ELSE '{_OUTSIDE}' END,
+    'below', CASE
+      WHEN NOT t.steers THEN s.below
+      WHEN t.word = '(' THEN s.below || IF(s.top = '{_EXPECT}', '{_AFTER}', s.top)
+      WHEN t.word = ')' THEN left(s.below, length(s.below) - 1)
+      WHEN t.word = ';' THEN ''
+      ELSE s.below END,
+    -- A name before a parenthesis is a table function, except for the column list of an INSERT.
+    'tables', IF(
+      NOT t.steers AND s.top = '{_EXPECT}' AND (t.next <> '(' OR t.before IN ('INTO', 'TABLE', 'OVERWRITE')),
+      array_append(s.tables, named_struct('at', t.at, 'name', replace(t.text, '`', ''))), s.tables),
+    'ctes', IF(
+      NOT t.steers AND s.top = '{_WITH}', array_append(s.ctes, lower(replace(t.text, '`', ''))), s.ctes)
+  )
 )
 """
 
@@ -165,7 +180,7 @@ def _calls(parts: Column, read: Column) -> Column:
     return F.transform(
         F.filter(
             parts,
-            lambda p: p["is_name"]
+            lambda p: ~p["steers"]
             & (p["next"] == "(")
             & ~p["word"].isin(*NOT_A_CALL)
             & ~F.array_contains(table_positions, p["at"])

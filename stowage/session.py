@@ -57,6 +57,16 @@ def _arrow_value(value: object, data_type: T.DataType) -> object:
     return value
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of an input that has fewer splits than the cluster has cores.
+
+    For work that costs far more per row than moving the row. A large input already has more splits
+    than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a parquet table and read it back, which cuts its lineage for good.
 
