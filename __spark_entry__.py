@@ -251,7 +251,7 @@ def snapshot_addressing(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifests = manifest.read_manifests(spark, f"{ws.path}/archive")
     newest = manifest.latest_snapshots(manifests)
     return (
-        manifests.join(F.broadcast(newest.withColumnRenamed("archive_ts", "newest_ts")), ["project", "dataset"])
+        manifests.join(newest.withColumnRenamed("archive_ts", "newest_ts"), ["project", "dataset"])
         .filter("kind = 'table'")
         .select("archive_ts", "name", "rows", (F.col("archive_ts") == F.col("newest_ts")).alias("newest"))
     )
@@ -358,6 +358,19 @@ def rewrite_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.rewrite_references(_statements(spark, sf_dir), "sql", _MAPPING).select("o_orderkey", "sql")
 
 
+def rewrite_table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table names are mapped; aliases, literals and comments of the same name stay."""
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_custkey"))
+    statements = orders.select(
+        "o_orderkey",
+        F.concat(
+            F.lit("SELECT raw.a, s.raw.b, x.c FROM raw JOIN s.raw ON raw.k = s.raw.k JOIN p.s.t"),
+            F.col("o_custkey").cast("string"), F.lit(" x WHERE c = 'raw "), "o_orderpriority", F.lit("' -- raw"),
+        ).alias("sql"),
+    )
+    return refs.rewrite_references(statements, "sql", {"p.s": "q.s"}, {"raw": "clean", "s.raw": "s-2.clean"})
+
+
 def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"))
     edges = nodes.filter("key > 0").select("key", F.floor(F.col("key") / 2).cast("bigint").alias("requisite"))
@@ -621,7 +634,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             time_partition_year, range_partition, column_partition, partition_expiration, guarded_read,
             guarded_range_read, archive_status, skip_restore, manifest_columns, snapshot_addressing,
             restore_newest_snapshot, table_labels, view_union_except, view_chain, table_references,
-            function_references, rewrite_references, restore_waves, blocked_dependents, ready_nodes,
+            function_references, rewrite_references, rewrite_table_names, restore_waves, blocked_dependents, ready_nodes,
             external_requisites, materialized_refresh, materialized_partition, external_table, external_partitioned,
             external_over_snapshot, sql_function, tag_struct, python_function, script_insert, check_suite, check_build,
             check_relationship, check_unique, same_content, changed_content,
@@ -744,6 +757,9 @@ def oracle_sql() -> dict[str, str]:
         "rewrite_references": "SELECT o_orderkey, CASE o_orderpriority "
         + " ".join(f"WHEN {_sql_text(p)} THEN {_numbered(form[2])}" for p, form in _FORMS.items())
         + " END AS sql FROM orders",
+        "rewrite_table_names": "SELECT o_orderkey, 'SELECT clean.a, `s-2`.clean.b, x.c FROM clean JOIN `s-2`.clean "
+        "ON clean.k = `s-2`.clean.k JOIN q.s.t' || CAST(o_custkey AS VARCHAR) || ' x WHERE c = ''raw ' "
+        "|| o_orderpriority || chr(39) || ' -- raw' AS sql FROM orders",
         "restore_waves": "WITH RECURSIVE up(key, place, steps) AS (SELECT o_orderkey, o_orderkey, CAST(0 AS BIGINT) FROM orders "
         "UNION ALL SELECT key, place // 2, steps + 1 FROM up WHERE place > 0) SELECT key, max(steps) AS wave FROM up GROUP BY key",
         "blocked_dependents": "WITH RECURSIVE failed AS (SELECT o_orderkey AS key FROM orders WHERE o_orderstatus = 'P' "

@@ -127,12 +127,12 @@ def restore_dataset(
         relocated(rows, project, dataset, None, target, statement_replacement_mapping, table_replacement_mapping),
         scratch_dir(spark, "relocated"),
     )
-    wanted = placed.join(F.broadcast(skipped), "name", "left_anti")
+    wanted = placed.join(skipped, "name", "left_anti")
     by_kind: dict[str, list[Row]] = {}
     for row in wanted.orderBy("kind", "name").collect():
         by_kind.setdefault(row.kind, []).append(row)
     ledger = Ledger(continue_on_failure)
-    for row in placed.join(F.broadcast(skipped), "name", "left_semi").select("kind", "name").collect():
+    for row in placed.join(skipped, "name", "left_semi").select("kind", "name").collect():
         ledger.add(Status(row.kind, row.name, SKIPPED))
 
     run = _Restore(spark, snapshot, ledger, overwrite_existing, append, attach_archive_ts_to_label, as_of, allow_code)
@@ -215,15 +215,7 @@ class _Restore:
                     )
                 else:
                     ready.append(row)
-            # Data is written in parallel only by materialized views; the rest is catalog work that
-            # depends on the current database, which threads of one session share.
-            data = [r for r in ready if r.kind == "materialized_view"]
-            run_all(self.spark, self.ledger, [self.item(r) for r in ready if r not in data], 1)
-            by_home: dict[str, list[Row]] = {}
-            for row in data:
-                by_home.setdefault(self.home(row), []).append(row)
-            for same_home in by_home.values():
-                run_all(self.spark, self.ledger, [self.item(r) for r in same_home], concurrency)
+            run_all(self.spark, self.ledger, [self.item(r) for r in ready], concurrency)
             keys = [
                 (waves[s.kind, s.name][1],)
                 for s in self.ledger.rows

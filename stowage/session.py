@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+_CURRENT_DATABASE = threading.RLock()
+
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -79,13 +82,18 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 @contextlib.contextmanager
 def using_database(spark: SparkSession, database: str) -> Iterator[None]:
-    """Make ``database`` current inside the block and put the previous one back afterwards."""
-    previous = spark.catalog.currentDatabase()
-    spark.catalog.setCurrentDatabase(database)
-    try:
-        yield
-    finally:
-        spark.catalog.setCurrentDatabase(previous)
+    """Make ``database`` current inside the block and put the previous one back afterwards.
+
+    The current database belongs to the session, which threads share, so only one block runs at a time.
+    Keep it to the analysis of a statement and let data be written outside of it.
+    """
+    with _CURRENT_DATABASE:
+        previous = spark.catalog.currentDatabase()
+        spark.catalog.setCurrentDatabase(database)
+        try:
+            yield
+        finally:
+            spark.catalog.setCurrentDatabase(previous)
 
 
 def quoted(*parts: str) -> str:

@@ -346,3 +346,34 @@ def test_archive_of_a_partitioned_table_needs_no_shuffle_to_load(spark, database
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert same_rows(spark.table(f"{target}.t"), df)
+
+
+def test_a_lost_database_comes_back_in_place(spark, fixture_database, tmp_path):
+    before = {n: spark.table(f"{fixture_database}.{n}").collect() for n in ("z_literal", "general")}
+    snapshot = archive(spark, fixture_database, tmp_path)
+    routines.drop_functions(spark, fixture_database)
+    spark.sql(f"DROP DATABASE {fixture_database} CASCADE")
+    result = restore_dataset(spark, snapshot, concurrency=4)
+    assert set(statuses(result).values()) == {"OK"}, [tuple(r) for r in result.filter("error is not null").collect()]
+    for name, rows in before.items():
+        assert sorted(spark.table(f"{fixture_database}.{name}").collect(), key=repr) == sorted(rows, key=repr)
+    assert spark.table(f"{fixture_database}.a_top").count() == 61
+
+
+def test_short_names_in_parallel_materialized_views(spark, database, target, tmp_path):
+    write_table(spark, f"{database}.t", spark.range(100))
+    for i in range(8):
+        views.create_materialized_view(spark, f"{database}.m{i}", f"SELECT count(*) AS n FROM t WHERE id % 8 <= {i}")
+    result = restore_dataset(spark, archive(spark, database, tmp_path), target, concurrency=8)
+    assert set(statuses(result).values()) == {"OK"}
+    assert spark.catalog.currentDatabase() == "default"
+    assert spark.table(f"{target}.m7").first().n == 100
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_partition_values_keep_their_text(spark, database, target, tmp_path, fmt):
+    values = ["01", "1", "a b/c=d", "2024-01-01", "%", "é", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, k string")
+    write_table(spark, f"{database}.t", df, parts.column_partition("k"))
+    restore_dataset(spark, archive(spark, database, tmp_path, table_data_archive_format=fmt), target)
+    assert same_rows(spark.table(f"{target}.t"), df)
