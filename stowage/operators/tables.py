@@ -129,7 +129,9 @@ def write_table(
             raise ObjectExists(f"{database}.{table} exists")
         if mode == "append":
             return append_rows(spark, database, table, df)
-        drop_object(spark, database, table)
+        behind_view = catalog.STORAGE in catalog.properties_of(catalog.describe(spark, database, table))
+        if not (behind_view and partition is not None and partition.is_derived):
+            drop_object(spark, database, table)
 
     hidden = parts.HIDDEN_COLUMN if parts.HIDDEN_COLUMN in df.columns else None
     visible = T.StructType([f for f in schema if f.name != hidden])

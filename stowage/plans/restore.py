@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions import references as refs
@@ -82,18 +82,17 @@ def object_edges(rows: DataFrame) -> DataFrame:
         F.when(F.coalesce("namespace", "dataset") == F.col("dataset"), F.col("target_dataset"))
         .otherwise(F.col("namespace")).alias("home"),
     ).filter("sql is not null")
-    found = refs.with_references(statements, "sql")
-
-    def full(names: str, kind: str):
-        return F.transform(
-            names, lambda n: F.concat(F.lit(kind), F.lower(refs.qualify(n, F.col("target_project"), F.col("home"))))
-        )
-
-    return (
-        found.withColumn("requisite", F.explode_outer(F.concat(full("tables", RELATION), full("functions", FUNCTION))))
-        .filter(F.col("requisite").isNotNull())
-        .select("key", "requisite")
-    )
+    def named(names: str, kind: str) -> Column:
+        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), F.lower(n).alias("name")))
+
+    found = refs.with_references(statements, "sql").select(
+        "key", "target_project", "home", F.explode_outer(F.concat(named("tables", RELATION), named("functions", FUNCTION))).alias("r")
+    ).filter(F.col("r").isNotNull()).select("key", "target_project", "home", "r.kind", "r.name")
+    # An unqualified name of a built-in function always means the built-in one.
+    builtin = rows.sparkSession.sql("SHOW SYSTEM FUNCTIONS").select(F.lower("function").alias("builtin"))
+    found = found.join(builtin, (F.col("kind") == FUNCTION) & (F.col("name") == F.col("builtin")), "left_anti")
+    requisite = F.concat("kind", refs.qualify(F.col("name"), F.lower("target_project"), F.lower("home")))
+    return found.select("key", requisite.alias("requisite")).filter("key <> requisite").distinct()
 
 
 def restore_dataset(

@@ -380,3 +380,23 @@ def test_partition_values_keep_their_text(spark, database, target, tmp_path, fmt
     write_table(spark, f"{database}.t", df, parts.column_partition("k"))
     restore_dataset(spark, archive(spark, database, tmp_path, table_data_archive_format=fmt), target)
     assert same_rows(spark.table(f"{target}.t"), df)
+
+
+def test_functions_named_like_builtin_ones_are_no_cycle(spark, database, target, tmp_path):
+    routines.create_function(spark, database, "upper", "x STRING", "STRING", "concat('up:', upper(x))")
+    routines.create_function(spark, database, "trim", "x STRING", "STRING", f"{database}.upper(trim(x))")
+    result = restore_dataset(spark, archive(spark, database, tmp_path), target)
+    assert set(statuses(result).values()) == {"OK"}, [tuple(r) for r in result.filter("error is not null").collect()]
+    assert spark.sql(f"SELECT {target}.trim(' a ')").first()[0] == "up:A"
+
+
+def test_overwriting_a_partitioned_table_keeps_it_until_the_new_data_is_there(spark, database):
+    config = parts.range_partition("id", 0, 10, 5)
+    write_table(spark, f"{database}.t", spark.range(10), config)
+    broken = spark.range(3).select(F.when(F.col("id") < 2, F.col("id")).otherwise(F.raise_error(F.lit("boom"))).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="boom"):
+        write_table(spark, f"{database}.t", broken, config, mode="overwrite")
+    assert spark.table(f"{database}.t").count() == 10
+    write_table(spark, f"{database}.t", spark.range(4), config, mode="overwrite")
+    assert spark.table(f"{database}.t").count() == 4
+    assert len(spark.catalog.listTables(database)) == 2
