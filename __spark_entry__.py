@@ -24,6 +24,12 @@ from stowage.session import literal, quoted, scratch_dir, spread
 from stowage.sources import catalog, manifest, schemas
 from stowage.sources.formats import FileFormat
 
+try:
+    import corpus_pipeline
+    from stowage.llm import queries as llm
+except ImportError:  # the subpackage may be left out
+    corpus_pipeline = llm = None
+
 PARQUET = FileFormat("parquet", "zstd")
 CSV = FileFormat("csv", "gzip")
 
@@ -626,7 +632,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         f.__name__: f
         for f in (
             roundtrip_parquet, roundtrip_csv_schema, roundtrip_csv_text, roundtrip_csv_inferred, roundtrip_nested,
@@ -640,6 +646,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             check_relationship, check_unique, same_content, changed_content,
         )
     }
+    if llm is not None:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def _sql_text(text: str) -> str:
@@ -678,7 +687,7 @@ def _plain(*columns: tuple[str, str]) -> list[tuple]:
 
 def oracle_sql() -> dict[str, str]:
     count = "(SELECT count(*) FROM {})"
-    return {
+    found = {
         "roundtrip_parquet": "SELECT * FROM orders",
         "roundtrip_csv_schema": "SELECT * FROM lineitem",
         "roundtrip_csv_text": "SELECT * FROM documents",
@@ -803,3 +812,6 @@ def oracle_sql() -> dict[str, str]:
         "changed_content": "SELECT *, CAST(1 AS BIGINT) AS left_rows, CAST(0 AS BIGINT) AS right_rows FROM orders WHERE o_orderstatus = 'P' AND o_totalprice <> 0 "
         "UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, 0.0, o_orderdate, o_orderpriority, 0, 1 FROM orders WHERE o_orderstatus = 'P' AND o_totalprice <> 0",
     }
+    if llm is not None:
+        found |= llm.oracle_sql()
+    return found
