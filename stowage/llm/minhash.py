@@ -10,8 +10,10 @@ documents have in common brings together only documents which it nearly fills. A
 ``k`` is its own sketch, and its numbers hold without any chance.
 
 Within a list every class is first compared with the list's *hub*, the class whose values are the most common: for a
-group of many edited copies that is close to the text they were made from. Classes of a list that are then in one component
-need no further comparison, so a large group costs its size and not its square; all others are compared in pairs.
+group of many edited copies that is close to the text they were made from. Lists whose classes are then in one component
+are done, so a large group costs its size and not its square. The classes on the others are put on lists once more,
+now by the rarest members of their full sets, with their places: from the places at which two sets first meet follows
+how much they can share, and nearly all pairs of edited copies that are no link are never formed.
 The union of two sketches estimates their similarity and drops most candidates; the rest is
 confirmed on full sets, read from the texts again.
 """
@@ -200,17 +202,69 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, compared: DataFrame) -> DataFrame:
-    """``(a, b)``: classes that meet on a list, lie in different components of ``labels(node, component)`` and were not
-    ``compared(a, b)``. A list whose classes are all in one component is left out."""
-    labelled = lists.join(labels, lists["doc_id"] == labels["node"], "left").select(
-        "value", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label")
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with the component of each class in ``labels(node, component)``; of one without links, itself."""
+    joined = postings.join(labels, postings["doc_id"] == labels["node"], "left")
+    return joined.select(*postings.columns, F.coalesce("component", "doc_id").alias("label"))
+
+
+def _on_mixed_lists(labelled: DataFrame) -> DataFrame:
+    """Postings on lists whose classes are not all in one component."""
+    mixed = labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return labelled.join(mixed.select("value"), "value", "left_semi")
+
+
+def set_postings(docs: DataFrame, classes: DataFrame, open_ids: DataFrame, scratch: str, width: int) -> DataFrame:
+    """``(value, doc_id, n_shingles, position)`` for the classes in ``open_ids(doc_id)``: the rarest members of full sets.
+
+    Members are put in one order for all classes, rarest among these classes first. The overlap that a link needs is at
+    least ``PERCENT`` of a set, so two linked sets share a member within the first ``n - needed + 1`` of either.
+    """
+    wanted = written(classes.select("doc_id", "set_digest").join(open_ids, "doc_id", "left_semi"), f"{scratch}/open")
+    sets = full_sets(_texts(docs).join(wanted, "doc_id", "left_semi"), width)
+    sets = sets.join(wanted, ["doc_id", "set_digest"], "left_semi").dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "members"):
+            members = [np.frombuffer(m, np.int64) for m in column(batch, "members")]
+            sizes = np.array([len(m) for m in members], np.int64)
+            ids = np.repeat(np.array(column(batch, "doc_id"), np.int64), sizes)
+            arrays = [pa.array(np.concatenate(members)), pa.array(ids), pa.array(np.repeat(sizes, sizes))]
+            yield pa.RecordBatch.from_arrays(arrays, ["value", "doc_id", "n_shingles"])
+
+    entries = written(sets.mapInArrow(run, "value bigint, doc_id bigint, n_shingles bigint"), f"{scratch}/members")
+    common = entries.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    by_class = entries.join(common, "value").groupBy("doc_id", "n_shingles").agg(
+        F.sort_array(F.collect_list(F.struct("classes", "value"))).alias("met")
     )
-    mixed = labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
-    left = labelled.join(mixed, "value", "left_semi")
-    right = left.select("value", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "n_shingles", "label")])
+    alone = (F.col("n_shingles") - F.size("met")).cast("int")
+    spare = (F.col("n_shingles") - F.floor((F.col("n_shingles") * PERCENT + 99) / 100)).cast("int")
+    first = F.slice("met", F.lit(1), F.greatest(F.lit(0), spare + 1 - alone))
+    placed = by_class.select("doc_id", "n_shingles", alone.alias("alone"), F.posexplode(first).alias("place", "m"))
+    placed = placed.select("m.value", "doc_id", "n_shingles", (F.col("alone") + F.col("place")).alias("position"))
+    return written(placed, f"{scratch}/postings")
+
+
+def _leaves_room(size: Column, position: Column, partner: Column) -> Column:
+    """Whether sets that first meet at this position can still share what a link between such sizes needs."""
+    return (size - position) * (100 + PERCENT) >= PERCENT * (size + partner)
+
+
+def cross_pairs(postings: DataFrame, labels: DataFrame, compared: DataFrame) -> DataFrame:
+    """``(a, b)``: classes of different components that meet where a link is still possible, and were not ``compared``.
+
+    Postings too far down for any partner on their list go first, which takes most lists out as a whole.
+    """
+    least = postings.groupBy("value").agg(F.min("n_shingles").alias("least"))
+    some = postings.join(least, "value").where(_leaves_room(F.col("n_shingles"), F.col("position"), F.col("least"))).drop("least")
+    left = _on_mixed_lists(_labelled(some, labels))
+    right = left.select("value", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "n_shingles", "position", "label")])
+    size, other = F.col("n_shingles"), F.col("other_n_shingles")
     met = left.join(right, "value").where(
-        (F.col("label") < F.col("other_label")) & _similar_sizes(F.col("n_shingles"), F.col("other_n_shingles"))
+        (F.col("label") < F.col("other_label"))
+        & _similar_sizes(size, other)
+        & _leaves_room(size, F.col("position"), other)
+        & _leaves_room(other, F.col("other_position"), size)
     )
     pairs = met.select(F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b")).distinct()
     known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -239,7 +293,9 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH, width: int = WORDS) -> Dat
     likely = written(candidate_pairs(compared, classes, k, shared), f"{scratch}/hub-candidates")
     links = written(confirmed(likely, classes, docs, f"{scratch}/hub"), f"{scratch}/hub-links")
     labels = components(links)
-    rest = written(cross_pairs(lists, labels, compared), f"{scratch}/cross-pairs")
+    open_ids = _on_mixed_lists(_labelled(lists.select("value", "doc_id"), labels)).select("doc_id").distinct()
+    postings = set_postings(docs, classes, written(open_ids, f"{scratch}/open-ids"), scratch, width)
+    rest = written(cross_pairs(postings, labels, compared), f"{scratch}/cross-pairs")
     likely = written(candidate_pairs(rest, classes, k, shared), f"{scratch}/cross-candidates")
     more = written(confirmed(likely, classes, docs, f"{scratch}/cross"), f"{scratch}/cross-links")
     if not more.isEmpty():
