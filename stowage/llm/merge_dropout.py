@@ -122,7 +122,7 @@ class Encoder:
         self.limit = np.uint64(min(int(rate * 2**64), 2**64 - 1))
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
 
-    UNUSUAL = re.compile(r"  | \n|\A\Z|\x00")
+    UNUSUAL = re.compile(r"  | \n|\A |\A\Z|\x00")
     UNIT = re.compile(r"\n| *[^ \n]+| +")
 
     def units(self, text: str) -> list[str]:
