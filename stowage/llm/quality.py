@@ -32,6 +32,8 @@ GRAMS, SHARDS, IN_SHARD = 1 << GRAM_BITS, 1 << SHARD_BITS, 1 << (GRAM_BITS - SHA
 SPREAD = 0x9E375  # odd, so that multiplying by it permutes the codes
 DIGIT, BLANK, BREAK, SENTENCE, MARK, OTHER = range(26, 32)
 QUANTILE, SLACK = 0.99, 1.1
+#: Nats by which the mean of n symbols may lie above the threshold are this over the root of n: about two deviations.
+ALLOWANCE = 3.0
 
 
 @functools.cache
@@ -243,11 +245,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return marks.where("doc_id IS NOT NULL AND quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK,
+             allowance: float = ALLOWANCE) -> DataFrame:
     """``(doc_id, lang, n_symbols, perplexity, threshold, kept)``, one row for each row of ``docs(doc_id, text, lang)``.
 
-    A document stays if its perplexity is at most ``slack`` times the ``quantile`` of the trusted documents of its
-    language. Null is a language of its own; one without trusted documents takes the quantile of all trusted
+    A document stays if its perplexity is at most its ``threshold``: ``slack`` times the ``quantile`` of the trusted
+    documents of its language, times ``exp(allowance / sqrt(n_symbols))``, as the mean over a short text varies more. Null is a language of its own; one without trusted documents takes the quantile of all trusted
     documents, and without any the threshold is null and every text stays. Null and empty texts have no perplexity
     and do not stay: there is nothing in them to train on. Rows that share an id are judged each by itself. Other columns
     are ignored; an empty input gives no rows.
@@ -261,11 +264,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     level = F.percentile_approx("perplexity", quantile, 10_000) * slack
     by_language = known.groupBy(F.col("lang").alias("of_lang")).agg(level.alias("own"))
     overall = known.agg(level.alias("overall")).first()["overall"]
+    language_level = F.coalesce("own", F.lit(overall).cast("double"))
+    threshold = language_level * F.exp(allowance / F.sqrt(F.greatest(F.col("n_symbols"), F.lit(1))))
+    fits = F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
     return scores.join(by_language, scores["lang"].eqNullSafe(F.col("of_lang")), "left").select(
-        "doc_id",
-        "lang",
-        "n_symbols",
-        "perplexity",
-        F.coalesce("own", F.lit(overall).cast("double")).alias("threshold"),
-        (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.coalesce("own", F.lit(overall).cast("double")), F.lit(True))).alias("kept"),
+        "doc_id", "lang", "n_symbols", "perplexity", threshold.alias("threshold"),
+        (F.col("perplexity").isNotNull() & fits).alias("kept"),
     )
