@@ -122,7 +122,7 @@ class Encoder:
         self.limit = np.uint64(min(int(rate * 2**64), 2**64 - 1))
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
 
-    UNUSUAL = re.compile(r"  | \n|\A |\A\Z|\x00")
+    UNUSUAL = ("  ", " \n", "\0")
     UNIT = re.compile(r"\n| *[^ \n]+| +")
 
     def units(self, text: str) -> list[str]:
@@ -130,7 +130,7 @@ class Encoder:
 
         In the usual case the one blank before a unit is left out, and a unit that starts with a line break has none.
         """
-        if self.UNUSUAL.search(text):
+        if text[:1] in ("", " ") or any(x in text for x in self.UNUSUAL):
             return ["\0" + u for u in self.UNIT.findall(" " + text)] if text else []
         return text.replace("\n", " \n").split(" ")
 
