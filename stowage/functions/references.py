@@ -14,18 +14,20 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Alternatives in order: line comment, block comment, raw and plain string literals, a name with bare
-# hyphens (only right after FROM, JOIN or INTO), a dotted chain of names, number, white space, any
-# other character.
+# Alternatives in order: line comment, block comment, raw, triple-quoted and plain string literals, a dotted chain of
+# names, number, white space, any other character.
+_NAME = r"(?:`(?:[^`]|``)+`|[\p{L}_][\p{L}\p{N}_$]*)"
+_NEXT_NAME = r"(?:`(?:[^`]|``)+`|[\p{L}\p{N}_$]+)"
 TOKEN_PATTERN = (
     r"--[^\n]*"
     r"|(?s:/\*.*?\*/)"
+    r"|(?s:[rR]?'''.*?''')"
+    r'|(?s:[rR]?""".*?""")'
     r"|[rR]'[^']*'"
     r'|[rR]"[^"]*"'
     r"|'[^'\\]*+(?:(?:\\(?s:.)|'')[^'\\]*+)*+'"
     r'|"[^"\\]*+(?:(?:\\(?s:.)|"")[^"\\]*+)*+"'
-    r"|(?=[A-Za-z_]\w*-)(?<=(?i:\bfrom|\bjoin|\binto)\s{1,20})[A-Za-z_]\w*(?:-\w+)+(?:\.(?:`[^`]+`|\w+))*"
-    r"|(?:`[^`]+`|[\p{L}_][\p{L}\p{N}_$]*)(?:\.(?:`[^`]+`|[\p{L}\p{N}_$]+))*"
+    rf"|{_NAME}(?:\.{_NEXT_NAME})*"
     r"|[0-9][\w.]*"
     r"|\s+"
     r"|(?s:.)"
@@ -35,7 +37,7 @@ IGNORED = r"^(?:\s|--|/\*)"
 
 # Keywords after which a FROM list is over.
 ENDS_FROM_LIST = ("WHERE", "GROUP", "HAVING", "ORDER", "SORT", "CLUSTER", "DISTRIBUTE", "LIMIT", "OFFSET", "WINDOW",
-                  "QUALIFY", "UNION", "INTERSECT", "EXCEPT", "MINUS", "SELECT", "VALUES", "SET", "VIEW", "WHEN")
+                  "QUALIFY", "UNION", "INTERSECT", "EXCEPT", "MINUS", "SELECT", "VALUES", "SET", "WHEN")
 # Functions whose arguments may hold the word FROM.
 FROM_ARGUMENT_FUNCTIONS = ("EXTRACT", "TRIM", "SUBSTRING", "SUBSTR", "OVERLAY", "POSITION")
 # Keywords that may stand before a parenthesis without being a call.
@@ -44,15 +46,28 @@ NOT_A_CALL = ("AND", "OR", "NOT", "IN", "AS", "ON", "USING", "VALUES", "SELECT",
               "INTERSECT", "EXCEPT", "DISTINCT", "PIVOT", "UNPIVOT", "FOR", "SETS", "CUBE", "ROLLUP", "LATERAL",
               "BETWEEN", "LIKE", "RLIKE", "IS", "TABLESAMPLE", "WITH", "TABLE", "RETURN", "IF", "PARTITION", "LIMIT")
 
+# Words before TABLE, VIEW or the like in a statement that names the object.
+DEFINING = ("CREATE", "REPLACE", "TEMP", "TEMPORARY", "EXTERNAL", "MATERIALIZED", "DROP", "ALTER", "TRUNCATE", "REFRESH",
+            "DESCRIBE", "DESC", "ANALYZE", "CACHE", "UNCACHE", "REPAIR", "COMMENT", "ON")
+OBJECTS = ("TABLE", "VIEW", "FUNCTION", "PROCEDURE")
+# Where a statement begins, besides the start of the text.
+STATEMENT_STARTS = ("", ";", "BEGIN", "THEN", "ELSE", "DO")
+# Where a query begins that may be just ``TABLE name``.
+QUERY_STARTS = (*STATEMENT_STARTS, "(", "AS", "UNION", "ALL", "INTERSECT", "EXCEPT", "MINUS")
+
 # Words that may stand between a keyword and the name it announces.
-PASSED_OVER = ("LATERAL", "ONLY", "TABLE", "RECURSIVE")
+PASSED_OVER = ("LATERAL", "ONLY", "RECURSIVE", "IF", "NOT", "EXISTS", "EXTENDED", "FORMATTED", "LAZY")
 # Words and marks that change how the text after them is read; none of them is a name itself.
-STEERING = ("(", ")", ",", ";", "FROM", "JOIN", "INTO", "OVERWRITE", "UPDATE", "USING", "WITH", *PASSED_OVER, *ENDS_FROM_LIST)
+STEERING = ("(", ")", ",", ";", "FROM", "JOIN", "INTO", "OVERWRITE", "UPDATE", "MERGE", "USING", "WITH", "DESCRIBE", "DESC",
+            "LIKE", "CLONE", "COPY", "TO", *OBJECTS, *PASSED_OVER, *ENDS_FROM_LIST)
 # What stands right before a table or CTE name.
-BEFORE_NAMES = ("FROM", "JOIN", "INTO", "OVERWRITE", "UPDATE", "USING", "WITH", ",", "(", *PASSED_OVER)
+BEFORE_NAMES = ("FROM", "JOIN", "INTO", "OVERWRITE", "UPDATE", "MERGE", "USING", "WITH", ",", "(", "DESCRIBE", "DESC", "LIKE", "CLONE",
+                "COPY", "TO", *OBJECTS, *PASSED_OVER)
 
 # States of one parenthesis level while reading a statement.
 _OUTSIDE, _EXPECT, _AFTER, _ARGUMENT, _WITH, _CTE = "N", "E", "A", "X", "W", "C"
+# A name is defined, changed or dropped here; it has been.
+_DEFINES, _DEFINED = "D", "F"
 
 
 def tokens(sql: Column) -> Column:
@@ -61,8 +76,13 @@ def tokens(sql: Column) -> Column:
 
 
 def plain_name(token: Column) -> Column:
-    """A dotted name without its backticks."""
-    return F.replace(token, F.lit("`"), F.lit(""))
+    """A dotted name without its backticks; a doubled one stands for itself."""
+    single = F.replace(F.replace(token, F.lit("``"), F.lit("\0")), F.lit("`"), F.lit(""))
+    return F.replace(single, F.lit("\0"), F.lit("`"))
+
+
+# The same for an expression in SQL text.
+_PLAIN = "replace(replace(replace({0}, '``', char(0)), '`', ''), char(0), '`')"
 
 
 def _meaningful(token_array: Column) -> Column:
@@ -109,6 +129,7 @@ aggregate(
   named_struct(
     'top', '{_OUTSIDE}',
     'below', '',
+    'object', '',
     'tables', CAST(array() AS ARRAY<STRUCT<at: INT, name: STRING>>),
     'ctes', CAST(array() AS ARRAY<STRING>)
   ),
@@ -116,6 +137,7 @@ aggregate(
     'top', CASE
       WHEN NOT t.steers THEN CASE s.top
         WHEN '{_EXPECT}' THEN '{_AFTER}'
+        WHEN '{_DEFINES}' THEN '{_DEFINED}'
         WHEN '{_WITH}' THEN '{_CTE}'
         ELSE s.top END
       WHEN t.word = ',' THEN CASE s.top
@@ -131,7 +153,16 @@ aggregate(
       WHEN t.word = 'FROM' THEN IF(s.top = '{_ARGUMENT}' OR t.before = 'DISTINCT', s.top, '{_EXPECT}')
       WHEN t.word IN ('JOIN', 'INTO') THEN '{_EXPECT}'
       WHEN t.word = 'OVERWRITE' THEN IF(t.before = 'INSERT', '{_EXPECT}', s.top)
-      WHEN t.word = 'UPDATE' THEN IF(t.before IN ('', ';'), '{_EXPECT}', s.top)
+      WHEN t.word = 'UPDATE' THEN IF(t.before IN ({_words(STATEMENT_STARTS)}), '{_EXPECT}', s.top)
+      WHEN t.word = 'MERGE' THEN IF(t.before IN ({_words(STATEMENT_STARTS)}), '{_EXPECT}', s.top)
+      WHEN t.word IN ('DESCRIBE', 'DESC') THEN IF(t.before IN ({_words(STATEMENT_STARTS)}), '{_DEFINES}', s.top)
+      WHEN t.word IN ({_words(OBJECTS)}) THEN CASE
+        WHEN t.before IN ({_words(DEFINING)}) AND s.top NOT IN ('{_EXPECT}', '{_AFTER}') THEN '{_DEFINES}'
+        WHEN t.word = 'TABLE' AND t.before IN ({_words(QUERY_STARTS)}) AND t.next <> '(' THEN '{_EXPECT}'
+        WHEN t.word = 'VIEW' THEN '{_OUTSIDE}'
+        ELSE s.top END
+      WHEN t.word IN ('LIKE', 'CLONE', 'COPY') THEN IF(s.top = '{_DEFINED}', '{_DEFINES}', s.top)
+      WHEN t.word = 'TO' THEN IF(s.top = '{_DEFINED}' AND t.before = 'RENAME', '{_DEFINES}', s.top)
       WHEN t.word = 'USING' THEN IF(s.top = '{_AFTER}' AND t.next <> '(', '{_EXPECT}', s.top)
       WHEN t.word = 'WITH' THEN IF(s.top IN ('{_OUTSIDE}', '{_EXPECT}'), '{_WITH}', s.top)
       WHEN t.word IN ({_words(PASSED_OVER)}) OR s.top = '{_ARGUMENT}' THEN s.top
@@ -142,12 +173,14 @@ aggregate(
       WHEN t.word = ')' THEN left(s.below, length(s.below) - 1)
       WHEN t.word = ';' THEN ''
       ELSE s.below END,
+    'object', IF(t.word IN ({_words(OBJECTS)}), t.word, s.object),
     -- A name before a parenthesis is a table function, except for the column list of an INSERT.
     'tables', IF(
-      NOT t.steers AND s.top = '{_EXPECT}' AND (t.next <> '(' OR t.before IN ('INTO', 'TABLE', 'OVERWRITE')),
-      array_append(s.tables, named_struct('at', t.at, 'name', replace(t.text, '`', ''))), s.tables),
+      NOT t.steers AND (s.top = '{_EXPECT}' AND (t.next <> '(' OR t.before IN ('INTO', 'TABLE', 'OVERWRITE'))
+        OR s.top = '{_DEFINES}' AND (t.next <> '(' OR s.object <> 'FUNCTION')),
+      array_append(s.tables, named_struct('at', t.at, 'name', t.text)), s.tables),
     'ctes', IF(
-      NOT t.steers AND s.top = '{_WITH}', array_append(s.ctes, lower(replace(t.text, '`', ''))), s.ctes)
+      NOT t.steers AND s.top = '{_WITH}', array_append(s.ctes, lower({_PLAIN.format('t.text')})), s.ctes)
   )
 )
 """
@@ -167,7 +200,37 @@ def _analysed(df: DataFrame, sql_col: str) -> DataFrame:
     # Operators, numbers and literals change nothing in how a statement is read.
     df = df.withColumn("__parts", _significant(F.col("__parts")))
     # A fold over the tokens; collects table references with their positions, and CTE names.
-    return df.withColumn("__read", F.expr(_READ))
+    df = df.withColumn("__read", F.expr(_READ))
+    # Where a table name stands, bare hyphens belong to it.
+    df = df.withColumn("__spans", F.expr(_SPANS))
+    df = df.withColumn("__tokens", F.expr(_JOINED))
+    named = F.transform(
+        F.col("__read")["tables"],
+        lambda t: F.struct(t["at"].alias("at"), plain_name(F.get(F.col("__tokens"), t["at"])).alias("name")),
+    )
+    return df.withColumn("__read", F.col("__read").withField("tables", named)).drop("__spans")
+
+
+# For each table name that a hyphen follows, its position and that of the last token which belongs to it.
+_SPANS = r"""
+transform(
+  filter(__read.tables, t -> get(__tokens, t.at + 1) = '-'),
+  t -> named_struct('at', t.at, 'last', t.at + aggregate(
+    slice(__tokens, t.at + 2, size(__tokens)),
+    named_struct('n', 0, 'whole', 0, 'on', true),
+    (s, x) -> named_struct(
+      'n', s.n + 1,
+      'whole', IF(s.on AND s.n % 2 = 1 AND x RLIKE '^[`\\p{L}\\p{N}_]', s.n + 1, s.whole),
+      'on', s.on AND IF(s.n % 2 = 0, x = '-', x RLIKE '^[`\\p{L}\\p{N}_]')),
+    s -> s.whole)))
+"""
+_JOINED = """
+IF(size(__spans) = 0, __tokens, transform(__tokens, (x, i) -> CASE
+  WHEN exists(__spans, s -> s.at = i)
+    THEN array_join(slice(__tokens, i + 1, filter(__spans, s -> s.at = i)[0].last - i + 1), '')
+  WHEN exists(__spans, s -> s.at < i AND i <= s.last) THEN ''
+  ELSE x END))
+"""
 
 
 def _not_a_cte(name: Column, ctes: Column) -> Column:
@@ -273,7 +336,7 @@ transform(__tokens, (t, i) -> IF(
   NOT t RLIKE '__name_start',
   t,
   transform(
-    array(split(replace(t, '`', ''), '\\.')),
+    array(split(__plain(t), '\\.')),
     n -> coalesce(
       CASE
         WHEN array_contains(__at, i) THEN coalesce(
@@ -283,7 +346,7 @@ transform(__tokens, (t, i) -> IF(
           __datasets[lower(array_join(slice(n, 1, size(n) - 1), '.'))] || __tail(n, size(n) - 1)
         WHEN size(n) > 1 THEN try_element_at(
           filter(
-            transform(sequence(1, least(size(n) - 1, 3)), k -> IF(
+            transform(sequence(1, size(n) - 1), k -> IF(
               array_contains(__names, lower(array_join(slice(n, 1, k), '.'))),
               coalesce(
                 __whole[lower(array_join(slice(n, 1, k), '.'))],
@@ -300,13 +363,13 @@ transform(__tokens, (t, i) -> IF(
 # The rest of a name after its first ``count`` parts, quoted where it needs to be.
 _TAIL = (
     r"aggregate(slice({parts}, {count} + 1, size({parts})), '', "
-    r"(a, p) -> a || '.' || IF(p RLIKE '^[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*$', p, concat('`', p, '`')))"
+    r"(a, p) -> a || '.' || IF(p RLIKE '^[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*$', p, concat('`', replace(p, '`', '``'), '`')))"
 )
 _REPLACED = re.sub(
     r"__tail\(((?:slice\([^()]*\)|n)), ((?:size\(n\)|k)(?: - 1)?)\)",
     lambda m: _TAIL.format(parts=m[1], count=m[2]),
     _REPLACED,
-).replace("__name_start", NAME_START.replace("\\", "\\\\").replace("'", "\\'"))
+).replace("__plain(t)", _PLAIN.format("t")).replace("__name_start", NAME_START.replace("\\", "\\\\").replace("'", "\\'"))
 
 
 def rewrite_references(

@@ -48,8 +48,20 @@ def function_exists(spark: SparkSession, database: str, name: str) -> bool:
     )
 
 
-# A piece of a parameter list in which commas separate nothing: a literal, or brackets (two deep).
-_ENCLOSED = r"'(?:[^'\\]|\\.)*'|\((?:[^()]|\([^()]*\))*\)|<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>"
+# What a parameter list is read by: a literal, a bracket, a comma, or a stretch of other text.
+_PARAMETER_TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|[(<\[]|[)>\]]|,|[^'()<>\[\],]+", re.DOTALL)
+
+
+def _split_parameters(text: str) -> list[str]:
+    """Cut at the commas that lie in no bracket, however deep brackets go."""
+    pieces, depth = [""], 0
+    for token in _PARAMETER_TOKEN.findall(text):
+        if token == "," and not depth:
+            pieces.append("")
+            continue
+        depth += (token in "(<[") - (token in ")>]")
+        pieces[-1] += token
+    return pieces
 
 
 def drop_functions(spark: SparkSession, database: str) -> None:
@@ -62,7 +74,7 @@ def drop_functions(spark: SparkSession, database: str) -> None:
 def arguments_of(arguments_sql: str) -> list[dict]:
     """Argument names and types from the text of a parameter list; defaults and comments are left out."""
     arguments = []
-    for piece in re.findall(rf"(?:{_ENCLOSED}|[^,])+", arguments_sql):
+    for piece in _split_parameters(arguments_sql):
         declared = re.split(r"\s+(?:DEFAULT|COMMENT)\s+", piece.strip(), maxsplit=1, flags=re.IGNORECASE)[0]
         if declared:
             name, _, data_type = declared.partition(" ")
