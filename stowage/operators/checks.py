@@ -7,6 +7,7 @@ per task.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from stowage.errors import StowageError
 from stowage.operators.views import create_materialized_view
-from stowage.plans.jobs import short_error
-from stowage.session import small_frame
+from stowage.plans.jobs import error_text
+from stowage.session import quoted, small_frame
 
 PASS, FAIL, ERROR, NOT_RUN = "PASS", "FAIL", "ERROR", "NOT_RUN"
 RESULT_SCHEMA = "check string, target string, status string, violations bigint, message string"
@@ -62,10 +63,10 @@ def count_violations(condition: Column) -> Column:
 def row_condition(check: Check) -> Column:
     """What holds for a good row, with NULL meaning it does not."""
     if check.kind == "not_null":
-        return _all(F.col(f"`{c}`").isNotNull() for c in check.columns)
+        return _all(F.col(quoted(c)).isNotNull() for c in check.columns)
     if check.kind == "accepted_values":
         # A missing value is not_null's business.
-        column = F.col(f"`{check.columns[0]}`")
+        column = F.col(quoted(check.columns[0]))
         return column.isNull() | column.isin(list(check.values))
     if not check.sql:
         raise StowageError(f"check {check.name} needs sql")
@@ -82,8 +83,8 @@ def _all(conditions: Iterable[Column]) -> Column:
 def duplicate_rows(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Values that occur more than once, with their number of rows; rows with a NULL do not count."""
     columns = list(columns)
-    present = df.filter(_all(F.col(f"`{c}`").isNotNull() for c in columns))
-    return present.groupBy([F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    present = df.filter(_all(F.col(quoted(c)).isNotNull() for c in columns))
+    return present.groupBy([F.col(quoted(c)) for c in columns]).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
 def orphan_rows(df: DataFrame, columns: Iterable[str], parent: DataFrame, parent_columns: Iterable[str]) -> DataFrame:
@@ -93,12 +94,13 @@ def orphan_rows(df: DataFrame, columns: Iterable[str], parent: DataFrame, parent
     """
     columns, parent_columns = list(columns), list(parent_columns)
     values = (
-        df.filter(_all(F.col(f"`{c}`").isNotNull() for c in columns))
-        .groupBy([F.col(f"`{c}`") for c in columns])
+        df.filter(_all(F.col(quoted(c)).isNotNull() for c in columns))
+        .groupBy([F.col(quoted(c)) for c in columns])
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    keys = parent.select([F.col(f"`{p}`").alias(f"__{i}") for i, p in enumerate(parent_columns)])
-    matches = [F.col(f"`{c}`") == F.col(f"__{i}") for i, c in enumerate(columns)]
+    # Distinct, because the right side of an anti join is not split: a parent key may fill a third of the table.
+    keys = parent.select([F.col(quoted(p)).alias(f"__{i}") for i, p in enumerate(parent_columns)]).distinct()
+    matches = [F.col(quoted(c)) == F.col(f"__{i}") for i, c in enumerate(columns)]
     return values.join(keys, matches, "left_anti")
 
 
@@ -110,7 +112,7 @@ def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     if [f.dataType for f in left.schema] != [f.dataType for f in right.schema] or left.columns != right.columns:
         raise StowageError("tables with different columns cannot be compared")
     both = left.withColumn("__left", F.lit(1)).unionAll(right.withColumn("__left", F.lit(0)))
-    counted = both.groupBy([F.col(f"`{c}`") for c in left.columns]).agg(
+    counted = both.groupBy([F.col(quoted(c)) for c in left.columns]).agg(
         F.sum("__left").alias("left_rows"), F.sum(F.lit(1) - F.col("__left")).alias("right_rows")
     )
     return counted.filter("left_rows <> right_rows")
@@ -136,8 +138,15 @@ def run_checks(
     selected = select_checks(checks, tags, target)
     sources = dict(sources or {})
     results: dict[str, tuple] = {}
+    repeated = sorted(name for name, n in Counter(c.name for c in selected).items() if n > 1)
+    if repeated:
+        raise StowageError(f"several checks are called {', '.join(repeated)}")
+    broken: dict[str, str] = {}
     for name, query in (models or {}).items():
-        create_materialized_view(spark, sources.get(name, name), query, overwrite=True)
+        try:
+            create_materialized_view(spark, sources.get(name, name), query, overwrite=True)
+        except Exception as error:  # noqa: BLE001 - reported as a row for each of its checks
+            broken[name] = error_text(error)
 
     def put(check: Check, status: str, violations: int | None = None, message: str | None = None) -> None:
         results[check.name] = (check.name, check.table, status, violations, message)
@@ -154,7 +163,7 @@ def run_checks(
                 for check in group:
                     attempt([check], lambda check=check: _row_counts(spark, [check], sources, variables))
                 return
-            put(group[0], ERROR, None, short_error(error))
+            put(group[0], ERROR, None, error_text(error))
             return
         for check, violations in zip(group, counts, strict=True):
             put(check, FAIL if violations else PASS, violations,
@@ -162,7 +171,10 @@ def run_checks(
 
     by_table: dict[str, list[Check]] = {}
     for check in selected:
-        if check.kind in ROW_KINDS:
+        failed = [broken[t] for t in (check.table, check.to) if t in broken]
+        if failed:
+            put(check, ERROR, None, failed[0])
+        elif check.kind in ROW_KINDS:
             by_table.setdefault(check.table, []).append(check)
         elif check.kind not in SET_KINDS:
             put(check, ERROR, None, f"unknown check kind {check.kind!r}")
@@ -170,7 +182,7 @@ def run_checks(
         if not stopped():
             attempt(group, lambda group=group: _row_counts(spark, group, sources, variables))
     for check in selected:
-        if check.kind in SET_KINDS and not stopped():
+        if check.kind in SET_KINDS and check.name not in results and not stopped():
             attempt([check], lambda check=check: [_set_count(spark, check, sources)])
     for check in selected:
         if check.name not in results:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage.errors import PartitionFilterRequired, StowageError
+from stowage.session import quoted
 
 HIDDEN_COLUMN = "stowage_part"
 TIME_UNITS = ("HOUR", "DAY", "MONTH", "YEAR")
@@ -122,7 +124,7 @@ def partition_value(column: Column, data_type: T.DataType, config: PartitionConf
 def add_partition_column(df: DataFrame, config: PartitionConfig) -> DataFrame:
     """Append the derived partition column."""
     return df.withColumn(
-        HIDDEN_COLUMN, partition_value(F.col(f"`{config.field}`"), df.schema[config.field].dataType, config)
+        HIDDEN_COLUMN, partition_value(F.col(quoted(config.field)), df.schema[config.field].dataType, config)
     )
 
 
@@ -132,7 +134,7 @@ def cluster_for_write(df: DataFrame, config: PartitionConfig) -> DataFrame:
     A rebalance, not a repartition: adaptive execution joins small partitions and cuts a hot one
     into several tasks, so a partition with most of the rows does not end up in one task.
     """
-    return df.hint("rebalance", *[F.col(f"`{name}`") for name in config.physical_columns])
+    return df.hint("rebalance", *[F.col(quoted(name)) for name in config.physical_columns])
 
 
 def retention_predicate(config: PartitionConfig, as_of: datetime.datetime | None) -> Column | None:
@@ -160,7 +162,7 @@ def filter_predicate(filters: Iterable[Filter], schema: T.StructType, config: Pa
     predicate = None
     for name, operator, value in filters:
         data_type = schema[name].dataType
-        one = _compare(F.col(f"`{name}`"), operator, value, data_type)
+        one = _compare(F.col(quoted(name)), operator, value, data_type)
         if config is not None and config.is_derived and name.lower() == config.field.lower():
             bound = _partition_bound(operator, value, data_type, config)
             if bound is not None:
@@ -225,6 +227,67 @@ def _partition_bound(operator: str, value: object, data_type: T.DataType, config
     return None if value >= end else part.isNull() if value < start else part.isNull() | (part <= bucket(value))
 
 
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]+`|[\w.]+|<=>|[<>!]=|<>|\S")
+_MOMENT = re.compile(r"\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d(?::\d\d(?:\.\d{1,6})?)?)?")
+_MIRRORED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def bounds_in(where: str, schema: T.StructType, config: PartitionConfig, utc: bool) -> list[Filter]:
+    """Filters on the partition field that every row of ``where`` meets.
+
+    Read are the conditions that the predicate joins by AND outside of parentheses: the field compared with a literal, or
+    BETWEEN two. Anything else is passed over, and a predicate with a comment, or OR or CASE outside of parentheses, has none.
+    ``utc`` tells whether the session's time zone is UTC: elsewhere, instants and zone-less times are not compared.
+    """
+    conditions: list[list[str]] = [[]]
+    depth, between = 0, False
+    if "--" in where or "/*" in where:
+        return []
+    for token in _TOKEN.findall(where):
+        word = token.upper()
+        depth += (token == "(") - (token == ")")
+        if depth or token == ")":
+            conditions[-1].append("(")
+            continue
+        if word in ("OR", "CASE"):
+            return []
+        if word == "AND" and not between:
+            conditions.append([])
+            continue
+        between = word == "BETWEEN" or between and word != "AND"
+        conditions[-1].append(token)
+
+    field = schema[next(f.name for f in schema if f.name.lower() == config.field.lower())]
+
+    def value(tokens: list[str]) -> object | None:
+        prefix, text = (tokens[0].upper(), tokens[1]) if len(tokens) == 2 else ("", tokens[0]) if len(tokens) == 1 else ("", "")
+        if config.category == "RANGE":
+            return int(text) if not prefix and re.fullmatch(r"\d+", text) else None
+        local = not isinstance(field.dataType, T.TimestampType)
+        crosses = prefix == ("TIMESTAMP" if local else "TIMESTAMP_NTZ")
+        if prefix not in ("", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ") or crosses and not utc:
+            return None
+        return text[1:-1] if text[:1] == "'" and _MOMENT.fullmatch(text[1:-1]) else None
+
+    def is_field(token: str) -> bool:
+        return token.strip("`").lower() == config.field.lower()
+
+    found: list[Filter] = []
+    for condition in conditions:
+        words = [t.upper() for t in condition]
+        if len(condition) >= 3 and is_field(condition[0]) and condition[1] in _MIRRORED:
+            bound = value(condition[2:])
+            found += [(field.name, condition[1], bound)] if bound is not None else []
+        elif len(condition) >= 3 and is_field(condition[-1]) and condition[-2] in _MIRRORED:
+            bound = value(condition[:-2])
+            found += [(field.name, _MIRRORED[condition[-2]], bound)] if bound is not None else []
+        elif len(condition) >= 5 and is_field(condition[0]) and words[1] == "BETWEEN" and "AND" in words:
+            middle = words.index("AND")
+            low, high = value(condition[2:middle]), value(condition[middle + 1 :])
+            found += [(field.name, "between", (low, high))] if low is not None and high is not None else []
+    return found
+
+
 def require_partition_filter(name: str, config: PartitionConfig, filtered: set[str]) -> None:
     """Raise unless a filter names the partition field of a table that demands it."""
     if config.require_filter and (config.field or "").lower() not in {f.lower() for f in filtered}:

@@ -51,9 +51,9 @@ def create_physical(df: DataFrame, database: str, name: str, partition_columns:
         .using("parquet")
         .option("compression", "zstd")
     )
-    for key, value in properties.items():
+    for key, value in catalog.stored(properties).items():
         writer = writer.tableProperty(key, value)
-    columns = [F.col(f"`{c}`") for c in partition_columns]
+    columns = [F.col(quoted(c)) for c in partition_columns]
     if columns:
         writer = writer.partitionedBy(*columns)
     writer.create()
@@ -94,7 +94,7 @@ def publish(spark: SparkSession, database: str, name: str, df: DataFrame, schema
     comment = f"COMMENT {literal(description)}" if description else ""
     spark.sql(
         f"CREATE OR REPLACE VIEW {quoted(database, name)} ({view_columns(schema)}) {comment} "
-        f"TBLPROPERTIES {properties_clause({**properties, catalog.STORAGE: storage})} "
+        f"TBLPROPERTIES {properties_clause(catalog.stored({**properties, catalog.STORAGE: storage}))} "
         f"AS SELECT {selected} FROM {quoted(database, storage)}"
     )
     if previous:
@@ -131,7 +131,13 @@ def write_table(
             return append_rows(spark, database, table, df)
         behind_view = catalog.STORAGE in catalog.properties_of(catalog.describe(spark, database, table))
         if not (behind_view and partition is not None and partition.is_derived):
+            # Written beside the old content, which may be read on the way and stays if the write fails.
+            staged = f"{table}__{uuid.uuid4().hex[:12]}"
+            rows = write_table(spark, f"{database}.{staged}", df, partition, description, labels, schema, "error", clustered)
             drop_object(spark, database, table)
+            kind = "VIEW" if partition is not None and partition.is_derived else "TABLE"
+            spark.sql(f"ALTER {kind} {quoted(database, staged)} RENAME TO {quoted(database, table)}")
+            return rows
 
     hidden = parts.HIDDEN_COLUMN if parts.HIDDEN_COLUMN in df.columns else None
     visible = T.StructType([f for f in schema if f.name != hidden])
@@ -170,7 +176,7 @@ def append_rows(spark: SparkSession, database: str, table: str, df: DataFrame) -
     if config is not None:
         df = parts.cluster_for_write(df, config)
     counted = Observation(f"rows-{uuid.uuid4().hex}")
-    in_order = [F.col(f"`{c}`") for c in spark.table(quoted(database, target)).columns]
+    in_order = [F.col(quoted(c)) for c in spark.table(quoted(database, target)).columns]
     df.select(in_order).observe(counted, F.count(F.lit(1)).alias("rows")).write.insertInto(quoted(database, target))
     return counted.get["rows"]
 
@@ -188,24 +194,27 @@ def read_table(spark: SparkSession, name: str, filters: Iterable[parts.Filter] =
     """Read a table, pruning partitions by ``filters`` on the partition field.
 
     ``filters`` is a conjunction of ``(column, operator, value)`` with operators ``= > >= < <= in
-    between``; ``where`` is a SQL predicate on top. A table that requires a partition filter
-    raises unless one of them names its partition field.
+    between``; ``where`` is a SQL predicate on top, and conditions in it that bound the partition field prune too.
+    A table that requires a partition filter raises unless one of them bounds its partition field.
     """
     database, table = split_name(spark, name)
     filters = list(filters)
     found = catalog.describe(spark, database, table)
     config = partition_of(found)
     visible = spark.table(quoted(database, table))
+    bounds = []
+    if config is not None and config.is_derived and where:
+        utc = spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z")
+        bounds = parts.bounds_in(where, visible.schema, config, utc)
     if config is not None:
-        named = {f[0] for f in filters} | set(re.findall(r"\w+", re.sub(r"'(?:[^'\\]|\\.)*'", " ", where or "")))
-        parts.require_partition_filter(f"{database}.{table}", config, named)
+        parts.require_partition_filter(f"{database}.{table}", config, {f[0] for f in [*filters, *bounds]})
     df = visible
     if config is not None and config.is_derived:
         df = spark.table(quoted(database, catalog.properties_of(found)[catalog.STORAGE]))
-    predicate = parts.filter_predicate(filters, visible.schema, config)
+    predicate = parts.filter_predicate([*filters, *bounds], visible.schema, config)
     if predicate is not None:
         df = df.filter(predicate)
-    df = df.select([F.col(f"`{c}`") for c in visible.columns])
+    df = df.select([F.col(quoted(c)) for c in visible.columns])
     return df.filter(where) if where else df
 
 

@@ -33,7 +33,7 @@ def create_view(spark: SparkSession, name: str, query: str, schema: T.StructType
     _make_room(spark, database, view, overwrite)
     columns = f"({view_columns(schema)})" if schema is not None else ""
     comment = f"COMMENT {literal(description)}" if description else ""
-    properties = f"TBLPROPERTIES {properties_clause(dict(labels))}" if labels else ""
+    properties = f"TBLPROPERTIES {properties_clause(catalog.stored(labels))}" if labels else ""
     with using_database(spark, namespace or database):
         spark.sql(f"CREATE VIEW {quoted(database, view)} {columns} {comment} {properties} AS {query}")
 
@@ -130,7 +130,7 @@ def create_external_table(
     if description:
         clauses.append(f"COMMENT {literal(description)}")
     if labels:
-        clauses.append(f"TBLPROPERTIES {properties_clause(dict(labels))}")
+        clauses.append(f"TBLPROPERTIES {properties_clause(catalog.stored(labels))}")
     spark.sql(" ".join(clauses))
     if partition_columns:
         spark.sql(f"ALTER TABLE {quoted(database, table)} RECOVER PARTITIONS")

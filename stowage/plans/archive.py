@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions.routines import arguments_of, read_routines
 from stowage.operators.tables import partition_of, snapshot_table
-from stowage.plans.jobs import FAILED, UNSUPPORTED, Ledger, Status, run_all
+from stowage.plans.jobs import FAILED, Ledger, OK, Status, UNSUPPORTED, run_all
 from stowage.session import quoted
 from stowage.sources import catalog, formats, layout, manifest, schemas
 
@@ -74,6 +75,9 @@ def archive_dataset(
         dataset = manifest.object_row(
             "dataset", database, description=described["description"], labels=described["labels"]
         )
+        if not ledger.rows:
+            # An empty database has a snapshot too.
+            ledger.add(Status("dataset", database, OK))
         manifest.write_manifest(spark, snapshot, [dataset, *(rows[key] for key in sorted(rows))])
     return ledger.to_dataframe(spark).withColumn("snapshot", F.lit(snapshot))
 
@@ -84,7 +88,13 @@ def _archive_object(spark: SparkSession, database: str, kind: str, name: str, sn
         return _archive_routine(spark, database, kind, name, routines)
     found = catalog.describe(spark, database, name)
     properties = catalog.properties_of(found)
-    schema = spark.table(quoted(database, name)).schema
+    try:
+        schema = spark.table(quoted(database, name)).schema
+    except AnalysisException:
+        # The base of the view is gone or out of reach; its definition says what its columns were.
+        if kind != "view":
+            raise
+        schema = catalog.schema_of(found)
     common = {
         "description": found.get("comment"),
         "labels": catalog.labels_of(found),
@@ -109,7 +119,7 @@ def _archive_object(spark: SparkSession, database: str, kind: str, name: str, sn
     if kind == "external_table":
         return manifest.object_row(
             kind, name, provider=found["provider"], location=found["location"],
-            options=found.get("storage_properties") or {}, **common,
+            options=catalog.options_of(found), **common,
         )
     fmt = formats.resolve_format(name, options)
     path = layout.data_path(name)

@@ -53,7 +53,7 @@ def ready_nodes(nodes: DataFrame, edges: DataFrame, done: DataFrame) -> DataFram
     finished = done.select("key")
     remaining = nodes.select("key").join(finished, "key", "left_anti")
     pending = dependency_edges(nodes, edges).join(finished.withColumnRenamed("key", "requisite"), "requisite", "left_anti")
-    return remaining.join(pending, "key", "left_anti")
+    return remaining.join(pending.select("key").distinct(), "key", "left_anti")
 
 
 def restore_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -50,8 +50,9 @@ class Ledger:
         return small_frame(spark, [r.as_row() for r in rows], STATUS_SCHEMA)
 
 
-def short_error(error: BaseException) -> str:
-    return f"{type(error).__name__}: {str(error).strip().splitlines()[0] if str(error).strip() else ''}"
+def error_text(error: BaseException) -> str:
+    """All of an error's message, without the stack of the JVM."""
+    return f"{type(error).__name__}: {str(error).partition('JVM stacktrace:')[0].strip()}"
 
 
 def run_all(spark: SparkSession, ledger: Ledger, items: Sequence[tuple[str, str, Callable[[], int | None]]],
@@ -67,7 +68,7 @@ def run_all(spark: SparkSession, ledger: Ledger, items: Sequence[tuple[str, str,
         try:
             return Status(kind, name, OK, job())
         except Exception as error:  # noqa: BLE001 - every failure becomes a status row
-            return Status(kind, name, FAILED, None, short_error(error))
+            return Status(kind, name, FAILED, None, error_text(error))
 
     with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
         futures = [pool.submit(inheritable_thread_target(spark)(attempt), *item) for item in items]

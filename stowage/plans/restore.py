@@ -22,7 +22,7 @@ from stowage.operators.tables import load_table
 from stowage.plans.graph import blocked_dependents, restore_waves
 from stowage.plans.jobs import BLOCKED, FAILED, NOT_RUN, SKIPPED, UNSUPPORTED, Ledger, Status, run_all
 from stowage.session import literal, properties_clause, quoted, scratch_dir, small_frame, written
-from stowage.sources import formats, layout, manifest, schemas
+from stowage.sources import catalog, formats, layout, manifest, schemas
 
 DATA_KINDS = ("table", "external_table")
 ORDERED_KINDS = ("function", "view", "materialized_view")
@@ -183,7 +183,7 @@ class _Restore:
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)} {comment} {place}")
             labels = self.labels(row)
             if labels:
-                self.spark.sql(f"ALTER DATABASE {quoted(database)} SET DBPROPERTIES {properties_clause(labels)}")
+                self.spark.sql(f"ALTER DATABASE {quoted(database)} SET DBPROPERTIES {properties_clause(catalog.stored(labels))}")
             self.ledger.add(Status("dataset", database))
         return database
 

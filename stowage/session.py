@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator, Sequence
@@ -21,14 +20,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused directory for intermediate tables.
 
     On a cluster this must be the shared folder named by ``spark.checkpoint.dir``; only a
-    local session may fall back to the machine's temporary folder.
+    local session may fall back to its warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.conf.get("spark.master", "local")
         if not master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="stowage-")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/stowage/{label}-{uuid.uuid4().hex}"
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stowage.errors import StowageError
 from stowage.session import quoted, small_frame
 
 # Table properties the library keeps for itself; every other property is a label.
@@ -21,6 +25,10 @@ NAMESPACE = RESERVED + "namespace"
 ENABLE_REFRESH = RESERVED + "enable_refresh"
 REFRESH_INTERVAL = RESERVED + "refresh_interval_seconds"
 REFRESHED_AT = RESERVED + "refreshed_at"
+LABELS = RESERVED + "labels"
+
+# Fixed value: what Spark shows in place of a property whose key or value looks like a secret or an address.
+REDACTED = "*********(redacted)"
 
 ROUTINES = "stowage_routines"
 
@@ -30,12 +38,80 @@ def describe(spark: SparkSession, database: str, name: str) -> dict:
     return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(database, name)} AS JSON").first()[0])
 
 
+def _encoded(text: str) -> str:
+    return text.encode().hex()
+
+
+def _decoded(text: str) -> str:
+    return bytes.fromhex(text).decode()
+
+
+def stored(properties: Mapping[str, str]) -> dict[str, str]:
+    """Properties as they are put on an object.
+
+    Spark hides values in which it sees a secret or an address, so the library's own are kept as hexadecimal digits, and
+    labels once more in the same way beside their readable form.
+    """
+    labels = {k: str(v) for k, v in properties.items() if not k.startswith(RESERVED)}
+    own = {k: _encoded(str(v)) for k, v in properties.items() if k.startswith(RESERVED)}
+    if labels:
+        own[LABELS] = _encoded(json.dumps(labels))
+    return {**labels, **own}
+
+
+def visible(values: Mapping[str, str], what: str) -> dict[str, str]:
+    """``values``, or an error that names the keys which Spark does not show."""
+    hidden = sorted(k for k, v in values.items() if v == REDACTED)
+    if hidden:
+        raise StowageError(f"Spark hides the value of {what} {', '.join(hidden)}")
+    return dict(values)
+
+
 def properties_of(description: dict) -> dict[str, str]:
-    return description.get("table_properties") or {}
+    """Properties as they were given to :func:`stored`; labels set by other means may be hidden."""
+    found = dict(description.get("table_properties") or {})
+    labels = json.loads(_decoded(found.pop(LABELS, "7b7d")))
+    for key, value in found.items():
+        if key.startswith(RESERVED):
+            found[key] = _decoded(value)
+        elif value == REDACTED:
+            found[key] = labels.get(key, value)
+    return found
 
 
 def labels_of(description: dict) -> dict[str, str]:
-    return {k: v for k, v in properties_of(description).items() if not k.startswith(RESERVED)}
+    labels = {k: v for k, v in properties_of(description).items() if not k.startswith(RESERVED)}
+    return visible(labels, "label")
+
+
+def options_of(description: dict) -> dict[str, str]:
+    """Reader options of an external table."""
+    return visible(description.get("storage_properties") or {}, "option")
+
+
+def _data_type(described: dict) -> T.DataType:
+    kind = described["name"]
+    if kind == "struct":
+        return T.StructType([_field(f) for f in described["fields"]])
+    if kind == "array":
+        return T.ArrayType(_data_type(described["element_type"]), described.get("element_nullable", True))
+    if kind == "map":
+        key, value = _data_type(described["key_type"]), _data_type(described["value_type"])
+        return T.MapType(key, value, described.get("value_nullable", True))
+    if kind == "decimal":
+        return T.DecimalType(described["precision"], described["scale"])
+    length = f"({described['length']})" if "length" in described else ""
+    return T.StructType.fromDDL(f"c {kind}{length}")["c"].dataType
+
+
+def _field(described: dict) -> T.StructField:
+    metadata = {"comment": described["comment"]} if described.get("comment") else {}
+    return T.StructField(described["name"], _data_type(described["type"]), described.get("nullable", True), metadata)
+
+
+def schema_of(description: dict) -> T.StructType:
+    """Columns as the catalog keeps them, without analysing the object."""
+    return T.StructType([_field(c) for c in description["columns"]])
 
 
 def required_of(properties: dict[str, str]) -> list[str]:
@@ -48,10 +124,15 @@ def describe_database(spark: SparkSession, database: str) -> dict:
     rows = {r.info_name: r.info_value for r in spark.sql(f"DESCRIBE DATABASE EXTENDED {quoted(database)}").collect()}
     labels = {}
     text = rows.get("Properties") or ""
-    if text.startswith("(("):
+    kept = re.search(rf"\({re.escape(LABELS)},([0-9a-f]*)\)", text)
+    if kept:
+        labels = json.loads(_decoded(kept[1]))
+    elif text.startswith("(("):
+        # Labels set by plain SQL are only shown as one text.
         for pair in text[2:-2].split("), ("):
             key, _, value = pair.partition(",")
             labels[key.strip()] = value.strip()
+        visible(labels, "label")
     return {"description": rows.get("Comment") or None, "location": rows.get("Location"), "labels": labels}
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage.errors import UnsupportedFormat
+from stowage.session import quoted
 
 # Codecs each format's Spark writer accepts, default first.
 CODECS = {
@@ -142,7 +143,7 @@ def encode(df: DataFrame, fmt: FileFormat, keep: tuple[str, ...] = ()) -> DataFr
     stored = stored_schema(df.schema, fmt, keep)
     columns = []
     for live, kept in zip(df.schema, stored, strict=True):
-        column = F.col(f"`{live.name}`")
+        column = F.col(quoted(live.name))
         if live.name not in keep:
             if live.dataType != kept.dataType:
                 column = column.cast(kept.dataType)
@@ -159,7 +160,7 @@ def decode(df: DataFrame, schema: T.StructType, fmt: FileFormat, keep: tuple[str
     stored = stored_schema(schema, fmt, keep)
     columns = []
     for live, kept in zip(schema, stored, strict=True):
-        column = F.col(f"`{live.name}`")
+        column = F.col(quoted(live.name))
         if live.name not in keep:
             if live.dataType != kept.dataType:
                 column = column.cast(live.dataType)
@@ -175,7 +176,7 @@ def has_line_break(df: DataFrame, fmt: FileFormat, keep: tuple[str, ...] = ()) -
     if fmt.is_text:
         for field in df.schema:
             if isinstance(field.dataType, T.StringType) and field.name not in keep:
-                column = F.col(f"`{field.name}`")
+                column = F.col(quoted(field.name))
                 found = found | F.coalesce(column.contains("\n") | column.contains("\r"), F.lit(False))
     return F.coalesce(F.max(found), F.lit(False))
 

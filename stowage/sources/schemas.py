@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stowage.session import quoted
+
 DEFAULT_KEYS = ("CURRENT_DEFAULT", "EXISTS_DEFAULT")
 
 
@@ -63,7 +65,7 @@ def with_attributes(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _attributed(field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`").cast(field.dataType)
+    column = F.col(quoted(field.name)).cast(field.dataType)
     if not field.nullable:
         column = F.when(
             column.isNull(), F.raise_error(F.lit(f"required column {field.name} holds NULL")).cast(field.dataType)

@@ -154,3 +154,39 @@ def test_a_hot_partition_is_written_by_several_tasks(spark, database):
         assert spark.table(f"{database}.hot").count() == 600_000
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+WHERES = [
+    ("ts >= '2024-01-02'", True), ("TS >= TIMESTAMP '2024-01-02 03:00:00' AND id > 3", True), ("id IN (1, 2) AND ts BETWEEN '2024-01-01' AND '2024-01-02'", True),
+    ("(id = 1 OR id = 2) AND DATE '2024-01-02' <= ts", True), ("`ts` = '2024-01-01 05:00:00'", True), ("ts IS NULL OR true", False), ("ts >= '2024-01-02' OR id = 1", False),
+    ("id = 1 AND 'ts > 1' = 'x'", False), ("(ts >= '2024-01-02')", False), ("date(ts) = '2024-01-02'", False), ("ts + INTERVAL 1 DAY > '2024-01-02'", False),
+]
+
+
+@pytest.mark.parametrize("unit", parts.TIME_UNITS)
+def test_where_prunes_and_guards(spark, database, unit):
+    rows = spark.sql("SELECT id, timestamp_ntz'2023-12-20 01:30:00' + make_dt_interval(0, CAST(id * 7 AS INT)) AS ts FROM range(90)").unionByName(
+        spark.sql("SELECT -1L AS id, CAST(NULL AS TIMESTAMP_NTZ) AS ts")
+    )
+    name = f"{database}.by_{unit.lower()}"
+    write_table(spark, name, rows, parts.time_partition("ts", unit, require_filter=True))
+    for where, bounded in WHERES:
+        if not bounded:
+            with pytest.raises(PartitionFilterRequired):
+                read_table(spark, name, where=where)
+            continue
+        found = read_table(spark, name, where=where)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.where(where).collect())), where
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: []" not in plan and "stowage_part" in plan.split("PartitionFilters:")[1].split("]")[0], where
+
+
+def test_range_bounds_in_where(spark, database):
+    rows = spark.sql("SELECT id - 20 AS x FROM range(150)")
+    name = f"{database}.ranges"
+    write_table(spark, name, rows, parts.range_partition("x", 0, 100, 10, require_filter=True))
+    for where in ("x = 42", "x > 95 AND x < 120", "7 >= x", "x BETWEEN 33 AND 51", "x >= 100"):
+        assert sorted(r.x for r in read_table(spark, name, where=where).collect()) == sorted(r.x for r in rows.where(where).collect()), where
+    for where in ("x > 3 OR x < 2", "x > -5", "x + 1 = 3"):
+        with pytest.raises(PartitionFilterRequired):
+            read_table(spark, name, where=where)
