@@ -10,6 +10,7 @@ import datetime
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -472,52 +473,35 @@ def external_over_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, sf_dir)
     routines.create_function(
-        spark, ws.source, "add_four_divide", "x BIGINT, y BIGINT", "DOUBLE", "(x + 4) / y", "adds four, then divides"
+        spark, ws.source, "net_price", "price DOUBLE, discount DOUBLE, tax DOUBLE", "DOUBLE",
+        "price * (1 - discount) * (1 + tax)", "what a line costs"
     )
     ws.round_trip()
     ws.read("lineitem").createOrReplaceTempView(f"lineitem_{ws.tag}")
     return spark.sql(
-        f"SELECT l_orderkey, l_linenumber, {ws.target}.add_four_divide(l_orderkey, l_linenumber) AS v FROM lineitem_{ws.tag}"
+        f"SELECT l_orderkey, l_linenumber, {ws.target}.net_price(l_extendedprice, l_discount, l_tax) AS v FROM lineitem_{ws.tag}"
     )
 
 
-# Known tag keys and the names of their fields.
-TAG_FIELDS = {
-    "pde": "pillar_id",
-    "campaign_code": "campaign_code",
-    "campaign_type": "campaign_type",
-    "campaign_category": "campaign_category",
-}
-
-
-def tag_struct_definition() -> tuple[str, str]:
-    """Return type and body of the function that turns a JSON list of ``key:value`` tags into a struct."""
-    returns = "STRUCT<" + ", ".join(f"{name}: STRING" for name in TAG_FIELDS.values()) + ">"
-    pieces = ", ".join(
-        f"'{name}', try_element_at(split(try_element_at(filter(from_json(tags, 'array<string>'), "
-        f"t -> split(t, ':')[0] = '{key}'), -1), ':'), 2)"
-        for key, name in TAG_FIELDS.items()
-    )
-    return returns, f"named_struct({pieces})"
-
-
 def tag_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function that reads an event's JSON properties into a struct, used by a view through both of its names."""
     ws = Workspace(spark, sf_dir)
     ws.copy("events")
-    returns, body = tag_struct_definition()
-    routines.create_function(spark, ws.source, "tags_to_struct", "tags STRING", returns, body)
-    tags = (
-        "to_json(array(concat('pde:', event_type), concat('campaign_code:', user_id, ':x'), "
-        "concat('pde:', user_id), concat('unknown:', event_id), concat(event_type, ':c')))"
+    routines.create_function(
+        spark, ws.source, "event_facts", "kind STRING, props STRING, amount DOUBLE",
+        "STRUCT<code: BIGINT, even: BOOLEAN, label: STRING, band: STRING>",
+        "named_struct('code', CAST(get_json_object(props, '$.k') AS BIGINT), "
+        "'even', CAST(get_json_object(props, '$.k') AS BIGINT) % 2 = 0, "
+        "'label', concat_ws(':', kind, get_json_object(props, '$.k'), get_json_object(props, '$.missing')), "
+        "'band', CASE WHEN amount < 10 THEN 'low' WHEN amount < 100 THEN 'middle' ELSE 'high' END)",
     )
     views.create_view(
-        spark, f"{ws.source}.udf_view",
-        f"SELECT event_id, `{ws.source}`.tags_to_struct({tags}).pillar_id AS id, "
-        f"tags_to_struct({tags}).campaign_code AS code, "
-        f"tags_to_struct({tags}).campaign_type AS kind FROM events",
+        spark, f"{ws.source}.facts",
+        f"SELECT event_id, f.code, f.even, f.label, f.band, event_facts(event_type, NULL, NULL).label AS bare "
+        f"FROM (SELECT *, `{ws.source}`.event_facts(event_type, props, value) AS f FROM events)",
     )
     ws.round_trip()
-    return ws.table("udf_view")
+    return ws.table("facts")
 
 
 def python_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,21 +515,117 @@ def python_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A restored script that books a late fee for each order of a customer."""
     ws = Workspace(spark, sf_dir)
-    ws.copy("customer")
+    ws.copy("orders")
     routines.create_script(
-        spark, ws.source, "create_row",
-        "BEGIN DECLARE name STRING; SET name = uuid(); "
-        "INSERT INTO customer (c_custkey, c_name) VALUES (:id, name); "
-        "SELECT format_string('Created customer %s', name) AS message; END",
-        [{"name": "id", "type": "bigint"}],
+        spark, ws.source, "book_fees",
+        "BEGIN DECLARE fee DOUBLE; SET fee = :percent / 100.0; "
+        f"INSERT INTO {ws.source}.orders SELECT -o_orderkey, o_custkey, 'X', round(o_totalprice * fee, 2), o_orderdate, 'fee' "
+        f"FROM orders WHERE o_orderstatus = 'P'; SELECT count(*) AS booked FROM {ws.source}.orders WHERE o_orderstatus = 'X'; END",
+        [{"name": "percent", "type": "bigint"}],
     )
     ws.round_trip()
-    routines.run_script(spark, f"{ws.target}.create_row", id=-123).collect()
-    return ws.table("customer").select(
-        "c_custkey", F.coalesce("c_nationkey", F.lit(-1)).alias("c_nationkey"), F.coalesce("c_acctbal", F.lit(-1.0)).alias("c_acctbal"),
-        F.coalesce("c_mktsegment", F.lit("none")).alias("c_mktsegment"), (F.length("c_name") > 30).alias("has_uuid"),
+    routines.run_script(spark, f"{ws.target}.book_fees", percent=5).collect()
+    source = spark.table(f"{ws.source}.orders").withColumn("place", F.lit("source"))
+    return ws.table("orders").withColumn("place", F.lit("target")).unionByName(source)
+
+
+def script_relocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A restored script that creates, fills, empties and drops tables of its own database, and leaves the source alone."""
+    ws = Workspace(spark, sf_dir)
+    ws.copy("nation", "region", "supplier")
+    db = ws.source
+    routines.create_script(
+        spark, db, "rebuild",
+        f"BEGIN CREATE TABLE IF NOT EXISTS {db}.nation_copy USING parquet AS SELECT * FROM {db}.nation; "
+        f"INSERT INTO {db}.nation_copy SELECT n_nationkey + 100, upper(n_name), n_regionkey FROM {db}.nation; "
+        f"TRUNCATE TABLE {db}.region; DROP TABLE IF EXISTS {db}.supplier; "
+        f"CREATE OR REPLACE VIEW {db}.names AS SELECT n_name FROM {db}.nation_copy; SELECT 1 AS done; END",
+        [],
     )
+    ws.round_trip()
+    routines.run_script(spark, f"{ws.target}.rebuild").collect()
+
+    def rows(database: str, table: str, column: str) -> DataFrame:
+        found = spark.table(f"{database}.{table}") if spark.catalog.tableExists(f"{database}.{table}") else None
+        label = F.lit("source" if database == ws.source else "target").alias("place")
+        empty = spark.range(0).select(label, F.lit(table).alias("object"), F.lit("").alias("value"))
+        return empty if found is None else found.select(label, F.lit(table).alias("object"), F.col(column).cast("string").alias("value"))
+
+    parts = [rows(d, t, c) for d in (ws.source, ws.target) for t, c in (
+        ("nation", "n_name"), ("nation_copy", "n_name"), ("region", "r_name"), ("supplier", "s_name"), ("names", "n_name"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def materialized_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A materialized view, a label and a required column whose names Spark takes for secrets, moved and refreshed."""
+    ws = Workspace(spark, sf_dir)
+    pages = ws.read("pages")
+    write_table(
+        spark, f"{ws.source}.pages", pages, labels={"token_owner": "who?url=1"},
+        schema=schemas.annotate(pages.schema, ["url"]),
+    )
+    views.create_materialized_view(
+        spark, f"{ws.source}.per_url", "SELECT url, count(*) AS pages, sum(length(html)) AS chars FROM pages GROUP BY url",
+        enable_refresh=True, refresh_interval_seconds=60,
+    )
+    ws.round_trip()
+    more = ws.read("pages").where("page_id % 2 = 0").withColumn("page_id", -F.col("page_id") - 1)
+    write_table(spark, f"{ws.target}.pages", more, mode="append")
+    views.refresh_materialized(spark, f"{ws.target}.per_url", datetime.datetime(2999, 1, 1))
+    found = catalog.describe(spark, ws.target, "pages")
+    return ws.table("per_url").withColumn("owner", F.lit(catalog.labels_of(found)["token_owner"])).withColumn(
+        "required", F.lit(",".join(catalog.required_of(catalog.properties_of(found))))
+    )
+
+
+def overwrite_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table overwritten from its own content, and an overwrite that fails and leaves it as it was."""
+    ws = Workspace(spark, sf_dir)
+    ws.copy("customer")
+    name = f"{ws.source}.customer"
+    doubled = spark.table(name).unionByName(spark.table(name).withColumn("c_custkey", -F.col("c_custkey") - 1))
+    write_table(spark, name, doubled, mode="overwrite")
+    broken = spark.table(name).withColumn("c_name", F.when(F.col("c_custkey") > 0, F.raise_error(F.lit("no"))).otherwise(F.col("c_name")))
+    try:
+        write_table(spark, name, broken, mode="overwrite")
+    except PySparkException:
+        return spark.table(name)
+    raise AssertionError("the failing overwrite passed")
+
+
+def archive_stale_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view whose base was dropped is archived by its definition, and serves again once the base is back."""
+    ws = Workspace(spark, sf_dir)
+    ws.copy("supplier")
+    views.create_view(spark, f"{ws.source}.rich", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
+    spark.sql(f"DROP TABLE {ws.source}.supplier")
+    status = archive_dataset(spark, ws.source, f"{ws.path}/archive")
+    columns = manifest.read_manifest(spark, snapshot_of(status)).where("name = 'rich'").select(
+        F.concat_ws(",", F.col("columns.name")).alias("columns"), "status"
+    ).first()
+    spark.sql(f"CREATE DATABASE {quoted(ws.target)} LOCATION {literal(f'{ws.path}/{ws.target}')}")
+    write_table(spark, f"{ws.target}.supplier", ws.read("supplier"))
+    restore_dataset(spark, snapshot_of(status), ws.target)
+    return ws.table("rich").withColumn("archived", F.lit(columns["columns"])).withColumn("status", F.lit(columns["status"]))
+
+
+def check_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown kinds and failing models are rows of the suite and do not end it."""
+    sources = _source_views(spark, sf_dir, "orders")
+    suite = [
+        checks.Check("no_such_kind", "telepathy", "orders"),
+        checks.Check("on_broken", "not_null", "broken", ("o_orderkey",)),
+        checks.Check("keys", "unique", "orders", ("o_orderkey",)),
+        checks.Check("status_known", "accepted_values", "orders", ("o_orderstatus",), values=("F", "O")),
+    ]
+    models = {"broken": f"SELECT no_such_column FROM {sources['orders']}"}
+    found = checks.run_checks(spark, suite, continue_on_failure=True, sources=sources, models=models)
+    return found.select("check", "status", "violations", F.col("message").contains("no_such_column").alias("names_column"))
 
 
 # -- checks ------------------------------------------------------------------------------------
@@ -642,7 +722,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             restore_newest_snapshot, table_labels, view_union_except, view_chain, table_references,
             function_references, rewrite_references, rewrite_table_names, restore_waves, blocked_dependents, ready_nodes,
             external_requisites, materialized_refresh, materialized_partition, external_table, external_partitioned,
-            external_over_snapshot, sql_function, tag_struct, python_function, script_insert, check_suite, check_build,
+            external_over_snapshot, sql_function, tag_struct, python_function, script_insert,
+            script_relocated, materialized_url, overwrite_table, archive_stale_view, check_errors, check_suite, check_build,
             check_relationship, check_unique, same_content, changed_content,
         )
     }
@@ -788,12 +869,24 @@ def oracle_sql() -> dict[str, str]:
         "external_table": "SELECT * FROM part",
         "external_partitioned": "SELECT * FROM customer",
         "external_over_snapshot": "SELECT * FROM orders",
-        "sql_function": "SELECT l_orderkey, l_linenumber, (l_orderkey + 4) / l_linenumber AS v FROM lineitem",
-        "tag_struct": "SELECT event_id, CAST(user_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS code, "
-        "CAST(NULL AS VARCHAR) AS kind FROM events",
+        "sql_function": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS v FROM lineitem",
+        "tag_struct": "SELECT event_id, k AS code, k % 2 = 0 AS even, event_type || ':' || k AS label, CASE WHEN value < 10 THEN 'low' "
+        "WHEN value < 100 THEN 'middle' ELSE 'high' END AS band, event_type AS bare "
+        "FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
         "python_function": "SELECT l_orderkey, l_linenumber, l_extendedprice * 2 AS doubled FROM lineitem",
-        "script_insert": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, FALSE AS has_uuid FROM customer "
-        "UNION ALL SELECT -123, -1, -1.0, 'none', TRUE",
+        "script_insert": "SELECT *, 'source' AS place FROM orders UNION ALL SELECT *, 'target' FROM orders UNION ALL "
+        "SELECT -o_orderkey, o_custkey, 'X', round(o_totalprice * 0.05, 2), o_orderdate, 'fee', 'target' FROM orders WHERE o_orderstatus = 'P'",
+        "script_relocated": "SELECT place, 'nation' AS object, n_name AS value FROM nation, (VALUES ('source'), ('target')) AS p(place) "
+        "UNION ALL SELECT 'target', o, n FROM (SELECT n_name AS n FROM nation UNION ALL SELECT upper(n_name) FROM nation), "
+        "(VALUES ('nation_copy'), ('names')) AS v(o) UNION ALL SELECT 'source', 'region', r_name FROM region "
+        "UNION ALL SELECT 'source', 'supplier', s_name FROM supplier",
+        "materialized_url": "SELECT url, count(*) AS pages, sum(length(html))::BIGINT AS chars, 'who?url=1' AS owner, 'url' AS required FROM "
+        "(SELECT url, html FROM pages UNION ALL SELECT url, html FROM pages WHERE page_id % 2 = 0) GROUP BY url",
+        "overwrite_table": "SELECT * FROM customer UNION ALL SELECT -c_custkey - 1, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+        "archive_stale_view": "SELECT s_suppkey, s_name, s_acctbal, 's_suppkey,s_name,s_acctbal' AS archived, 'OK' AS status FROM supplier WHERE s_acctbal > 0",
+        "check_errors": "SELECT \"check\", status, violations::BIGINT AS violations, names_column FROM (VALUES ('no_such_kind', 'ERROR', NULL, FALSE), "
+        "('on_broken', 'ERROR', NULL, TRUE)) AS v(\"check\", status, violations, names_column) UNION ALL "
+        "SELECT 'keys', 'PASS', 0::BIGINT, NULL UNION ALL SELECT 'status_known', 'FAIL', count(*), FALSE FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
         "check_suite": "SELECT \"check\", CASE WHEN violations > 0 THEN 'FAIL' ELSE 'PASS' END AS status, violations FROM ("
         "SELECT 'price_known' AS \"check\", count(*) AS violations FROM orders WHERE o_totalprice IS NULL OR o_custkey IS NULL "
         "UNION ALL SELECT 'status_values', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') "

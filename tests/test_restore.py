@@ -28,39 +28,39 @@ def statuses(df):
 @pytest.fixture
 def fixture_database(spark, database):
     """The shapes of FIXTURES.md part A."""
-    spark.sql(f"ALTER DATABASE {database} SET DBPROPERTIES ('label0' = 'value0')")
-    days = spark.sql("SELECT id, concat('n', id) AS name, date_add(date'2024-01-01', CAST(id % 5 AS INT)) AS partition_date FROM range(50)")
-    write_table(spark, f"{database}.date_part", days, parts.time_partition("partition_date", "DAY"), "by day", {"label2": "value2"})
-    ids = spark.sql("SELECT id - 20 AS customer_id, 'x' AS name FROM range(150)")
-    write_table(spark, f"{database}.range_part", ids, parts.range_partition("customer_id", 0, 100, 10))
-    general = spark.sql("SELECT id, concat('g', id) AS name, timestamp_ntz'2024-03-10 02:30:00.000001' AS sample_datetime, "
-                        "timestamp'2024-03-10 02:30:00Z' AS sample_timestamp FROM range(10)")
+    spark.sql(f"ALTER DATABASE {database} SET DBPROPERTIES ('owner' = 'plant')")
+    days = spark.sql("SELECT id, concat('n', id) AS name, date_add(date'2024-01-01', CAST(id % 5 AS INT)) AS day FROM range(50)")
+    write_table(spark, f"{database}.by_day", days, parts.time_partition("day", "DAY"), "by day", {"grain": "daily"})
+    ids = spark.sql("SELECT id - 20 AS meter, 'x' AS name FROM range(150)")
+    write_table(spark, f"{database}.by_meter", ids, parts.by_meterition("meter", 0, 100, 10))
+    readings = spark.sql("SELECT id, concat('g', id) AS name, timestamp_ntz'2024-03-10 02:30:00.000001' AS local_time, "
+                        "timestamp'2024-03-10 02:30:00Z' AS seen_at FROM range(10)")
     write_table(
-        spark, f"{database}.general", general, description="general", labels={"label1": "value1"},
-        schema=schemas.annotate(general.schema, ["id"], {"name": "it's a name"}, {"name": "'none'"}),
+        spark, f"{database}.readings", readings, description="readings", labels={"unit": "kwh"},
+        schema=schemas.annotate(readings.schema, ["id"], {"name": "it's a name"}, {"name": "'none'"}),
     )
-    returns = "STRUCT<pillar_id: STRING, code: STRING>"
+    returns = "STRUCT<head: STRING, whole: STRING>"
     routines.create_function(
-        spark, database, "tags_to_struct", "tags STRING", returns, "named_struct('pillar_id', split(tags, ':')[1], 'code', tags)", "tags"
+        spark, database, "split_pair", "pair STRING", returns, "named_struct('head', split(pair, '-')[0], 'whole', pair)", "tags"
     )
-    routines.create_function(spark, database, "add_four_divide", "x BIGINT, y BIGINT DEFAULT 2", "DOUBLE", "(x + 4) / y")
-    routines.create_function(spark, database, "a_caller", "x BIGINT", "DOUBLE", f"{database}.add_four_divide(x, 3L) + {database}.add_four_divide(x)")
+    routines.create_function(spark, database, "per_unit", "x BIGINT, y BIGINT DEFAULT 2", "DOUBLE", "x / y")
+    routines.create_function(spark, database, "a_rate", "x BIGINT", "DOUBLE", f"{database}.per_unit(x, 3L) + {database}.per_unit(x)")
     routines.create_script(
-        spark, database, "create_row",
-        f"BEGIN DECLARE nm STRING; SET nm = uuid(); INSERT INTO {database}.general (id) VALUES (:id); "
-        "SELECT format_string('Created %s', nm) AS m; END", [{"name": "id", "type": "bigint"}], "adds a row",
+        spark, database, "add_reading",
+        f"BEGIN DECLARE nm STRING; SET nm = uuid(); INSERT INTO {database}.readings (id) VALUES (:id); "
+        "SELECT format_string('added %s', nm) AS m; END", [{"name": "id", "type": "bigint"}], "adds a row",
     )
-    views.create_view(spark, f"{database}.z_literal", "SELECT CAST(3 AS BIGINT) AS id, 'ccc' AS name", description="a view", labels={"label3": "v"})
+    views.create_view(spark, f"{database}.z_fixed", "SELECT CAST(3 AS BIGINT) AS id, 'fixed' AS name", description="one row", labels={"role": "v"})
     views.create_view(
-        spark, f"{database}.referencing_view",
-        f"SELECT * EXCEPT (sample_datetime, sample_timestamp) FROM spark_catalog.{database}.general UNION ALL "
-        f"SELECT * EXCEPT (partition_date) FROM {database}.date_part UNION ALL SELECT * FROM z_literal",
+        spark, f"{database}.all_names",
+        f"SELECT * EXCEPT (local_time, seen_at) FROM spark_catalog.{database}.readings UNION ALL "
+        f"SELECT * EXCEPT (day) FROM {database}.by_day UNION ALL SELECT * FROM z_fixed",
     )
-    views.create_view(spark, f"{database}.a_top", "SELECT id, a_caller(id) AS v FROM referencing_view")
-    views.create_view(spark, f"{database}.udf_view", f"SELECT `{database}`.tags_to_struct('pde:1').pillar_id AS id")
+    views.create_view(spark, f"{database}.a_top", "SELECT id, a_rate(id) AS v FROM all_names")
+    views.create_view(spark, f"{database}.heads", f"SELECT `{database}`.split_pair('7-x').head AS id")
     views.create_materialized_view(
-        spark, f"{database}.mat_view", "SELECT partition_date, count(*) AS n FROM date_part GROUP BY partition_date",
-        True, 3700, parts.time_partition("partition_date", "MONTH"), "mat", {"label4": "v"},
+        spark, f"{database}.daily_counts", "SELECT day, count(*) AS n FROM by_day GROUP BY day",
+        True, 3700, parts.time_partition("day", "MONTH"), "mat", {"speed": "v"},
     )
     return database
 
@@ -68,7 +68,7 @@ def fixture_database(spark, database):
 def test_whole_database_moves(spark, fixture_database, target, tmp_path):
     status = archive_dataset(
         spark, fixture_database, str(tmp_path / "archive"), concurrency=4,
-        table_data_archive_format_mapping={"general": "csv", "range_part": "csv"},
+        table_data_archive_format_mapping={"readings": "csv", "by_meter": "csv"},
     )
     assert set(statuses(status).values()) == {"OK"}, [tuple(r)[:5] for r in status.filter("status = 'FAILED'").collect()]
     spark.sql("SET TIME ZONE 'America/New_York'")
@@ -77,32 +77,32 @@ def test_whole_database_moves(spark, fixture_database, target, tmp_path):
         assert set(statuses(result).values()) == {"OK"}, result.collect()
     finally:
         spark.sql("SET TIME ZONE 'UTC'")
-    for name in ("date_part", "range_part", "general", "referencing_view", "a_top", "udf_view", "mat_view", "z_literal"):
+    for name in ("by_day", "by_meter", "readings", "all_names", "a_top", "heads", "daily_counts", "z_fixed"):
         old, new = spark.table(f"{fixture_database}.{name}"), spark.table(f"{target}.{name}")
         assert same_rows(old, new), name
         assert described_columns(old) == described_columns(new), name
-    assert spark.table(f"{fixture_database}.general").schema.json() == spark.table(f"{target}.general").schema.json()
+    assert spark.table(f"{fixture_database}.readings").schema.json() == spark.table(f"{target}.readings").schema.json()
 
     # Nothing depends on the source any more.
     spark.sql(f"DROP DATABASE {fixture_database} CASCADE")
     assert spark.table(f"{target}.a_top").count() == 61
-    assert spark.sql(f"SELECT {target}.a_caller(2L)").first()[0] == 5.0
+    assert spark.sql(f"SELECT {target}.a_rate(2L)").first()[0] == pytest.approx(2 / 3 + 1)
 
-    described = catalog.describe(spark, target, "general")
-    assert described["comment"] == "general"
-    assert catalog.labels_of(described) == {"label1": "value1", "archive_ts": layout_ts(status)}
+    described = catalog.describe(spark, target, "readings")
+    assert described["comment"] == "readings"
+    assert catalog.labels_of(described) == {"unit": "kwh", "archive_ts": layout_ts(status)}
     assert catalog.required_of(catalog.properties_of(described)) == ["id"]
-    assert catalog.describe_database(spark, target)["labels"]["label0"] == "value0"
-    assert catalog.describe_function(spark, target, "tags_to_struct")["description"] == "tags"
-    mat = catalog.properties_of(catalog.describe(spark, target, "mat_view"))
+    assert catalog.describe_database(spark, target)["labels"]["owner"] == "plant"
+    assert catalog.describe_function(spark, target, "split_pair")["description"] == "tags"
+    mat = catalog.properties_of(catalog.describe(spark, target, "daily_counts"))
     assert mat[catalog.REFRESH_INTERVAL] == "3660" and mat[catalog.ENABLE_REFRESH] == "true"
     assert "MONTH" in mat[catalog.PARTITION]
-    pruned = read_table(spark, f"{target}.range_part", [("customer_id", "=", 42)])
-    assert [r.customer_id for r in pruned.collect()] == [42]
-    message = routines.run_script(spark, f"{target}.create_row", id=99).first().m
-    assert message.startswith("Created ")
-    row = spark.table(f"{target}.general").filter("id = 99").first()
-    assert row.name == "none" and row.sample_datetime is None
+    pruned = read_table(spark, f"{target}.by_meter", [("meter", "=", 42)])
+    assert [r.meter for r in pruned.collect()] == [42]
+    message = routines.run_script(spark, f"{target}.add_reading", id=99).first().m
+    assert message.startswith("added ")
+    row = spark.table(f"{target}.readings").filter("id = 99").first()
+    assert row.name == "none" and row.local_time is None
 
 
 def described_columns(df):
@@ -116,43 +116,43 @@ def layout_ts(status):
 def test_existing_objects_are_kept_unless_overwritten(spark, fixture_database, target, tmp_path):
     snapshot = archive(spark, fixture_database, tmp_path)
     restore_dataset(spark, snapshot, target, attach_archive_ts_to_label=False)
-    assert "archive_ts" not in catalog.labels_of(catalog.describe(spark, target, "general"))
+    assert "archive_ts" not in catalog.labels_of(catalog.describe(spark, target, "readings"))
     again = restore_dataset(spark, snapshot, target, continue_on_failure=True)
     found = {r.name: (r.status, r.error or "") for r in again.collect()}
-    for name in ("general", "date_part", "z_literal", "mat_view", "add_four_divide", "create_row"):
+    for name in ("readings", "by_day", "z_fixed", "daily_counts", "per_unit", "add_reading"):
         assert found[name][0] == "FAILED" and "ObjectExists" in found[name][1], name
     assert found["a_top"][0] == "BLOCKED"
-    assert spark.table(f"{target}.date_part").count() == 50
+    assert spark.table(f"{target}.by_day").count() == 50
 
     appended = restore_dataset(spark, snapshot, target, continue_on_failure=True, append=True)
-    assert statuses(appended)["table", "date_part"] == "OK"
-    assert spark.table(f"{target}.date_part").count() == 100
-    assert spark.table(f"{target}.general").count() == 20
+    assert statuses(appended)["table", "by_day"] == "OK"
+    assert spark.table(f"{target}.by_day").count() == 100
+    assert spark.table(f"{target}.readings").count() == 20
 
     over = restore_dataset(spark, snapshot, target, overwrite_existing=True)
     assert set(statuses(over).values()) == {"OK"}, [tuple(r) for r in over.filter("error is not null").collect()]
-    assert spark.table(f"{target}.date_part").count() == 50
+    assert spark.table(f"{target}.by_day").count() == 50
 
 
 def test_first_failure_stops_the_run(spark, fixture_database, target, tmp_path):
     snapshot = archive(spark, fixture_database, tmp_path)
     spark.sql(f"CREATE DATABASE {target}")
-    write_table(spark, f"{target}.date_part", spark.range(1))
+    write_table(spark, f"{target}.by_day", spark.range(1))
     found = statuses(restore_dataset(spark, snapshot, target))
-    assert found["table", "date_part"] == "FAILED"
-    assert found["table", "general"] == found["view", "a_top"] == found["function", "a_caller"] == "NOT_RUN"
+    assert found["table", "by_day"] == "FAILED"
+    assert found["table", "readings"] == found["view", "a_top"] == found["function", "a_rate"] == "NOT_RUN"
 
 
 def test_skipped_objects_count_as_done(spark, fixture_database, target, tmp_path):
     snapshot = archive(spark, fixture_database, tmp_path)
     found = statuses(
-        restore_dataset(spark, snapshot, target, continue_on_failure=True, skip_restore={"z_literal": True, "general": False})
+        restore_dataset(spark, snapshot, target, continue_on_failure=True, skip_restore={"z_fixed": True, "readings": False})
     )
-    assert found["view", "z_literal"] == "SKIPPED"
-    # Spark analyses a view when it is created, so a view over a skipped one fails and blocks its own dependents.
-    assert found["view", "referencing_view"] == "FAILED"
+    assert found["view", "z_fixed"] == "SKIPPED"
+    # Spark analyses one row when it is created, so one row over a skipped one fails and blocks its own dependents.
+    assert found["view", "all_names"] == "FAILED"
     assert found["view", "a_top"] == "BLOCKED"
-    assert found["view", "udf_view"] == "OK"
+    assert found["view", "heads"] == "OK"
 
 
 def test_blocked_rows_name_the_failure(spark, database, target, tmp_path):
@@ -352,7 +352,7 @@ def test_loading_a_partitioned_archive_needs_no_shuffle(spark, database, tmp_pat
 
 
 def test_a_lost_database_comes_back_in_place(spark, fixture_database, tmp_path):
-    before = {n: spark.table(f"{fixture_database}.{n}").collect() for n in ("z_literal", "general")}
+    before = {n: spark.table(f"{fixture_database}.{n}").collect() for n in ("z_fixed", "readings")}
     snapshot = archive(spark, fixture_database, tmp_path)
     routines.drop_functions(spark, fixture_database)
     spark.sql(f"DROP DATABASE {fixture_database} CASCADE")
@@ -391,7 +391,7 @@ def test_functions_named_like_builtin_ones_are_no_cycle(spark, database, target,
 
 
 def test_overwriting_a_partitioned_table_keeps_it_until_the_new_data_is_there(spark, database):
-    config = parts.range_partition("id", 0, 10, 5)
+    config = parts.by_meterition("id", 0, 10, 5)
     write_table(spark, f"{database}.t", spark.range(10), config)
     broken = spark.range(3).select(F.when(F.col("id") < 2, F.col("id")).otherwise(F.raise_error(F.lit("boom"))).cast("bigint").alias("id"))
     with pytest.raises(Exception, match="boom"):
