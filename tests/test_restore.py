@@ -28,11 +28,11 @@ def statuses(df):
 @pytest.fixture
 def fixture_database(spark, database):
     """The shapes of FIXTURES.md part A."""
-    spark.sql(f"ALTER DATABASE {database} SET DBPROPERTIES ('owner' = 'plant')")
+    spark.sql(f"ALTER DATABASE {database} SET DBPROPERTIES ('site' = 'plant')")
     days = spark.sql("SELECT id, concat('n', id) AS name, date_add(date'2024-01-01', CAST(id % 5 AS INT)) AS day FROM range(50)")
     write_table(spark, f"{database}.by_day", days, parts.time_partition("day", "DAY"), "by day", {"grain": "daily"})
     ids = spark.sql("SELECT id - 20 AS meter, 'x' AS name FROM range(150)")
-    write_table(spark, f"{database}.by_meter", ids, parts.by_meterition("meter", 0, 100, 10))
+    write_table(spark, f"{database}.by_meter", ids, parts.range_partition("meter", 0, 100, 10))
     readings = spark.sql("SELECT id, concat('g', id) AS name, timestamp_ntz'2024-03-10 02:30:00.000001' AS local_time, "
                         "timestamp'2024-03-10 02:30:00Z' AS seen_at FROM range(10)")
     write_table(
@@ -92,7 +92,7 @@ def test_whole_database_moves(spark, fixture_database, target, tmp_path):
     assert described["comment"] == "readings"
     assert catalog.labels_of(described) == {"unit": "kwh", "archive_ts": layout_ts(status)}
     assert catalog.required_of(catalog.properties_of(described)) == ["id"]
-    assert catalog.describe_database(spark, target)["labels"]["owner"] == "plant"
+    assert catalog.describe_database(spark, target)["labels"]["site"] == "plant"
     assert catalog.describe_function(spark, target, "split_pair")["description"] == "tags"
     mat = catalog.properties_of(catalog.describe(spark, target, "daily_counts"))
     assert mat[catalog.REFRESH_INTERVAL] == "3660" and mat[catalog.ENABLE_REFRESH] == "true"
@@ -391,7 +391,7 @@ def test_functions_named_like_builtin_ones_are_no_cycle(spark, database, target,
 
 
 def test_overwriting_a_partitioned_table_keeps_it_until_the_new_data_is_there(spark, database):
-    config = parts.by_meterition("id", 0, 10, 5)
+    config = parts.range_partition("id", 0, 10, 5)
     write_table(spark, f"{database}.t", spark.range(10), config)
     broken = spark.range(3).select(F.when(F.col("id") < 2, F.col("id")).otherwise(F.raise_error(F.lit("boom"))).cast("bigint").alias("id"))
     with pytest.raises(Exception, match="boom"):
