@@ -78,7 +78,7 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.lit("\\### Assistant: </turn> ok")
+    said = F.lit(r"\### Assistant: </turn> ok")
     added = spark.range(2).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
@@ -130,5 +130,28 @@ FROM folded WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+_WARC = """
+WITH paid AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+facts AS (SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS first_id FROM paid)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM facts
+"""
+
+_CHAT = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + length(role) + length(regexp_replace(text, '(\\|###|</turn>|<\|)', '\\\1', 'g')))::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": _MIX, "op6_exact_dedup": _DEDUP}
+    return {"op3_warc": _WARC, "op4_mix": _MIX, "op6_exact_dedup": _DEDUP, "op9_chat": _CHAT}
