@@ -31,19 +31,20 @@ from pyspark.sql import functions as F
 
 from stowage.llm.batches import column, slices
 from stowage.llm.components import components
+from stowage.llm.members import likely_among
 from stowage.session import scratch_dir, written
 
 WORDS, PERCENT, SKETCH = 5, 75, 64
 DEVIATIONS = 4.5
 CACHED_WORDS = 300_000
-# Fixed value: the characters of [\x20\x09-\x0D], which separate words, and A-Z, which are lower-cased.
-TABLE = {**dict.fromkeys(range(0x09, 0x0E), " "), **{c: chr(c + 32) for c in range(65, 91)}}
+# Lower-cases A-Z; bytes.split() then cuts at exactly the characters [\x20\x09-\x0D].
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_WORDS: dict[str, int] = {}
+_WORDS: dict[bytes, int] = {}
 
 
-def words(text: str) -> list[str]:
-    return [w for w in text.translate(TABLE).split(" ") if w]
+def words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
 def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
@@ -54,7 +55,7 @@ def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     if len(_WORDS) > CACHED_WORDS:
         _WORDS.clear()
     for word in set(found).difference(_WORDS):
-        _WORDS[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        _WORDS[word] = xxhash.xxh3_64_intdigest(word)
     hashes = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
     size = min(width, len(hashes))
     with np.errstate(over="ignore"):
@@ -174,7 +175,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: st
     """``(a, b)`` of ``pairs(a, b)`` with ``100 * intersection >= PERCENT * union`` on full sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = written(classes.select("doc_id", "set_digest").join(ids, "doc_id", "left_semi"), f"{scratch}/wanted")
-    sets = full_sets(_texts(docs).join(wanted, "doc_id", "left_semi"), width)
+    sets = full_sets(likely_among(_texts(docs), wanted), width)
     # An id that several rows have stands for the one set that its class was made from.
     sets = written(sets.join(wanted, ["doc_id", "set_digest"], "left_semi").dropDuplicates(["doc_id"]), f"{scratch}/sets")
 
@@ -221,7 +222,7 @@ def set_postings(docs: DataFrame, classes: DataFrame, open_ids: DataFrame, scrat
     least ``PERCENT`` of a set, so two linked sets share a member within the first ``n - needed + 1`` of either.
     """
     wanted = written(classes.select("doc_id", "set_digest").join(open_ids, "doc_id", "left_semi"), f"{scratch}/open")
-    sets = full_sets(_texts(docs).join(wanted, "doc_id", "left_semi"), width)
+    sets = full_sets(likely_among(_texts(docs), wanted), width)
     sets = sets.join(wanted, ["doc_id", "set_digest"], "left_semi").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
