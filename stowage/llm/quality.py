@@ -2,12 +2,12 @@
 
 Characters are mapped to 32 classes (letters without case and accents, digits, blank, line break, kinds of marks), and the
 model is of order four over these, so it knows at most 32 ** 4 = 1,048,576 n-grams whatever the corpus. It is
-trained on all trusted documents: tasks count n-grams, the counts are summed by Spark, and joins of each order's counts
+trained on trusted documents: tasks count n-grams, the counts are summed by Spark, and joins of each order's counts
 with those of its contexts and of the next lower order give the probability of every n-gram.
 
-Scoring is a sharded join. An n-gram's code is spread over 16 shards; every document sends each shard its counts of the
-n-grams there, two bytes for each n-gram, and the shard's probabilities turn them into a partial sum. The parts of a
-document are added up to its perplexity, which is held against a quantile of its language.
+Scoring is a sharded join. A shard is the n-grams that begin alike; every document sends each of the 16 shards its counts
+of the n-grams there, compressed, and the shard's probabilities turn them into a partial sum. The parts of a document are
+added up to its perplexity, which is held against a quantile of its language.
 """
 
 from __future__ import annotations
@@ -18,20 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.batches import column, slices
+from stowage.llm.members import exactly_among
 from stowage.session import scratch_dir, written
 
 ORDER, CLASS_BITS, SHARD_BITS = 4, 5, 4
 CLASSES = 1 << CLASS_BITS
 GRAM_BITS = ORDER * CLASS_BITS
 GRAMS, SHARDS, IN_SHARD = 1 << GRAM_BITS, 1 << SHARD_BITS, 1 << (GRAM_BITS - SHARD_BITS)
-SPREAD = 0x9E375  # odd, so that multiplying by it permutes the codes
 DIGIT, BLANK, BREAK, SENTENCE, MARK, OTHER = range(26, 32)
 QUANTILE, SLACK = 0.99, 1.1
+#: One in so many trusted documents is left out of the model and sets the thresholds, as texts the model has seen fit it too well.
+HELD_OUT = 5
 #: Nats by which the mean of n symbols may lie above the threshold are this over the root of n: about two deviations.
 ALLOWANCE = 3.0
 
@@ -139,48 +142,67 @@ def train(spark: SparkSession, texts: DataFrame) -> DataFrame:
 # -- scoring ---------------------------------------------------------------------------------------
 
 VECTORS = (
-    "shard int, salt int, part int, seq int, entries binary, grams binary, counts binary, "
+    "shard int, salt int, part int, seq int, vectors binary, "
     "doc_ids array<bigint>, langs array<string>, lengths array<bigint>"
 )
 PARTIAL = "part int, seq int, sums binary, doc_ids array<bigint>, langs array<string>, lengths array<bigint>"
 SCORES = "doc_id bigint, lang string, n_symbols bigint, perplexity double"
 
 
-def _vectors(texts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
-    """For each shard, what the documents send there: how many entries each, their codes in the shard, their counts."""
+def _pack(entries: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """What a run of documents sends to one shard: entries of each, their codes in ascending order, their counts.
+
+    Codes go as differences and in two planes of bytes, counts in one, with 255 for those that follow in full at the end;
+    compressed, an entry takes about one and a half bytes.
+    """
+    steps = np.diff(codes.astype(np.uint16), prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    large = counts[small == 255].astype("<u4")
+    head = np.array([len(entries), len(codes), len(large)], "<u4")
+    planes = (head, entries.astype("<u4"), large, steps[:, 1], small, steps[:, 0])
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    docs, n, many = np.frombuffer(raw, "<u4", 3).tolist()
+    entries, large = np.frombuffer(raw, "<u4", docs, 12), np.frombuffer(raw, "<u4", many, 12 + 4 * docs)
+    high, small, low = np.frombuffer(raw, np.uint8, 3 * n, 12 + 4 * (docs + many)).reshape(3, n)
+    codes = np.cumsum(high.astype(np.uint16) << np.uint16(8) | low, dtype=np.uint16)
+    counts = small.astype(np.int64)
+    counts[small == 255] = large
+    return entries, codes, counts
+
+
+def _vectors(texts: list[str]) -> list[bytes]:
+    """What the documents send to each shard."""
     docs, codes, counts = [], [], []
     for i, text in enumerate(texts):
-        found, n = np.unique((grams(text) * SPREAD) & (GRAMS - 1), return_counts=True)
+        found, n = np.unique(grams(text), return_counts=True)
         docs.append(np.full(len(found), i, np.int32))
         codes.append(found)
         counts.append(n)
     doc, code, count = (np.concatenate(x) for x in (docs, codes, counts))
     shard = code >> (GRAM_BITS - SHARD_BITS)
     order = np.argsort(shard, kind="stable")
-    doc, code, count = doc[order], (code[order] & (IN_SHARD - 1)).astype("<u2"), count[order]
-    edges = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-    small = np.minimum(count, 255).astype(np.uint8)
-    out = []
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        entries = np.bincount(doc[low:high], minlength=len(texts)).astype("<u4")
-        # A count over 254 is marked by 255 and follows in full at the end.
-        large = count[low:high][small[low:high] == 255].astype("<u4")
-        out.append((entries.tobytes(), code[low:high].tobytes(), small[low:high].tobytes() + large.tobytes()))
-    return out
-
-
-def _partial(table: np.ndarray, entries: bytes, codes: bytes, counts: bytes) -> bytes:
-    size = np.frombuffer(entries, "<u4")
-    code = np.frombuffer(codes, "<u2")
-    count = np.frombuffer(counts, np.uint8, len(code)).astype(np.int64)
-    count[count == 255] = np.frombuffer(counts, "<u4", offset=len(code))
-    doc = np.repeat(np.arange(len(size)), size)
-    return np.bincount(doc, weights=table[code] * count, minlength=len(size)).astype("<f8").tobytes()
+    doc, code, count = doc[order], code[order] & (IN_SHARD - 1), count[order]
+    edges = np.searchsorted(shard[order], np.arange(SHARDS + 1)).tolist()
+    return [
+        _pack(np.bincount(doc[low:high], minlength=len(texts)), code[low:high], count[low:high])
+        for low, high in zip(edges[:-1], edges[1:], strict=True)
+    ]
+
+
+def _partial(table: np.ndarray, vectors: bytes) -> bytes:
+    """Each document's sum over one shard."""
+    entries, codes, counts = _unpack(vectors)
+    doc = np.repeat(np.arange(len(entries)), entries)
+    return np.bincount(doc, weights=table[codes] * counts, minlength=len(entries)).astype("<f8").tobytes()
 
 
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     """``(doc_id, lang, n_symbols, perplexity)`` of whole texts, one row for each row; without text the perplexity is null."""
-    salts = max(1, docs.rdd.getNumPartitions() // 4)
+    salts = max(1, docs.rdd.getNumPartitions() // 2)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -191,19 +213,18 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
             arrays = [
                 pa.array(range(SHARDS), pa.int32()),
                 *(pa.array([x] * SHARDS, pa.int32()) for x in (part % salts, part, seq)),
-                *(pa.array([s[i] for s in sent], pa.binary()) for i in range(3)),
+                pa.array(sent, pa.binary()),
                 pa.array([column(batch, "doc_id"), *first], pa.list_(pa.int64())),
                 pa.array([column(batch, "lang"), *first], pa.list_(pa.string())),
                 pa.array([[len(t) for t in texts], *first], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["shard", "salt", "part", "seq", "entries", "grams", "counts", "doc_ids", "langs", "lengths"])
+            yield pa.RecordBatch.from_arrays(arrays, ["shard", "salt", "part", "seq", "vectors", "doc_ids", "langs", "lengths"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         table = np.zeros(IN_SHARD)
         for row in right.column("logps").to_pylist():
             table[:] = np.frombuffer(row, "<f8")
-        names = ("entries", "grams", "counts")
-        sums = [_partial(table, *row) for row in zip(*(left.column(n).to_pylist() for n in names), strict=True)]
+        sums = [_partial(table, row) for row in left.column("vectors").to_pylist()]
         kept = [left.column(n) for n in ("part", "seq")]
         return pa.table(
             [*kept, pa.array(sums, pa.binary()), *(left.column(n) for n in ("doc_ids", "langs", "lengths"))],
@@ -228,9 +249,8 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
         table[rows.column("place").to_numpy()] = rows.column("logp").to_numpy()
         return pa.table([rows.column("shard").slice(0, 1), pa.array([table.astype("<f8").tobytes()], pa.binary())], names=["shard", "logps"])
 
-    code = F.col("gram").cast("bigint") * SPREAD % GRAMS
     shards = model.select(
-        F.shiftright(code, GRAM_BITS - SHARD_BITS).cast("int").alias("shard"), code.bitwiseAND(IN_SHARD - 1).alias("place"), "logp"
+        F.shiftright("gram", GRAM_BITS - SHARD_BITS).alias("shard"), F.col("gram").bitwiseAND(IN_SHARD - 1).alias("place"), "logp"
     ).groupBy("shard").applyInArrow(pack, "shard int, logps binary")
     shards = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("shard", "salt", "logps")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
@@ -249,19 +269,25 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
              allowance: float = ALLOWANCE) -> DataFrame:
     """``(doc_id, lang, n_symbols, perplexity, threshold, kept)``, one row for each row of ``docs(doc_id, text, lang)``.
 
-    A document stays if its perplexity is at most its ``threshold``: ``slack`` times the ``quantile`` of the trusted
-    documents of its language, times ``exp(allowance / sqrt(n_symbols))``, as the mean over a short text varies more. Null is a language of its own; one without trusted documents takes the quantile of all trusted
-    documents, and without any the threshold is null and every text stays. Null and empty texts have no perplexity
+    The model is trained on four fifths of the trusted documents, chosen by hash; the others set the thresholds. A
+    document stays if its perplexity is at most its ``threshold``: ``slack`` times the ``quantile`` of these documents
+    of its language, times ``1 + 1 / sqrt(documents)``, as a quantile of few is uncertain, and times
+    ``exp(allowance / sqrt(n_symbols))``, as the mean over a short text varies more. Null is a language of its own; one
+    without such documents takes the quantile of all of them, and without any the threshold is null and every text stays. Null and empty texts have no perplexity
     and do not stay: there is nothing in them to train on. Rows that share an id are judged each by itself. Other columns
     are ignored; an empty input gives no rows.
     """
     spark = docs.sparkSession
     scratch = scratch_dir(spark, "quality")
     trusted = written(trusted_ids(labels), f"{scratch}/trusted")
-    model = written(train(spark, docs.join(trusted, "doc_id", "left_semi").select("text")), f"{scratch}/model")
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(HELD_OUT)), F.lit(HELD_OUT)) == 0
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = exactly_among(texts, trusted.where(~held_out), scratch)
+    model = written(train(spark, texts), f"{scratch}/model")
     scores = written(perplexities(docs, model), f"{scratch}/scores")
-    known = scores.join(trusted, "doc_id", "left_semi").where("perplexity IS NOT NULL")
-    level = F.percentile_approx("perplexity", quantile, 10_000) * slack
+    known = scores.join(trusted.where(held_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    # A quantile of few documents is uncertain.
+    level = F.percentile_approx("perplexity", quantile, 10_000) * slack * (1 + 1 / F.sqrt(F.count(F.lit(1))))
     by_language = known.groupBy(F.col("lang").alias("of_lang")).agg(level.alias("own"))
     overall = known.agg(level.alias("overall")).first()["overall"]
     language_level = F.coalesce("own", F.lit(overall).cast("double"))
