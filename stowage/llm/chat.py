@@ -144,7 +144,7 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     """Role and content (placeholders left in) of a formatted turn; an error if it isn't exactly one turn."""
     head, colon, rest = formatted[len(START) :].partition(":\n")
     content = rest[: -len(STOP)]
-    inside = re.sub(r"\\.", "\0", head + content, flags=re.DOTALL)
+    inside = ESCAPED.sub("\0", f"{head}\n{content}")
     if not (formatted.startswith(START) and colon and rest.endswith(STOP)) or "###" in inside or "</turn>" in inside:
         raise ValueError(f"no single turn: {formatted[:80]!r}")
     return unescape(head), unescape(content)

@@ -23,6 +23,19 @@ def test_turns_parse_back(role, texts):
     assert (start is None) == (role != "assistant")
 
 
+@pytest.mark.parametrize("n", range(1, 11))
+def test_runs_of_number_signs_parse_back(n):
+    for text in ("#" * n, "#" * n + " Heading", "a\\" + "#" * n):
+        formatted, *_ = chat.format_turn(text, [{"type": "text", "text": text}], chat.TokenCosts())
+        assert chat.parse_turn(formatted) == (text, text)
+
+
+def test_controls_within_a_turn_are_refused():
+    for inside in ("###", "a ### b", "</turn>", "\\\\###", "\\a###", "\\####\\\\###"):
+        with pytest.raises(ValueError, match="no single turn"):
+            chat.parse_turn(f"### user:\n{inside}</turn>\n")
+
+
 def test_parts_become_placeholders():
     parts = [{"type": "text", "text": "see <|"}, {"type": "image", "ref": "i.png", "amount": 784.0 * 10}, {"type": None, "text": " and "},
              {"type": "audio", "ref": "a.wav", "amount": 2.0}, {"type": "document", "ref": "d.pdf", "amount": 3.0}, {"type": "image"}]
