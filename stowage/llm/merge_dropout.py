@@ -1,12 +1,13 @@
 """SentencePiece (BPE) encoding with seeded merge-dropout, and lossless decoding.
 
 A text is cut at blanks into units that no merge crosses. Within a unit the best merge goes first, the leftmost of equals;
-a candidate merge is skipped for good if its keyed hash falls below the dropout rate. The hash covers seed, draw, unit and the
-places of the two symbols, so the result depends on nothing else and a lost task gives the same ids when it runs
-again. The occurrences of a word are spread by a keyed hash of document and place over a number of *draws*: that
-is how many segmentations one word can have. With rate 0 the ids are the library's own.
+a candidate merge is skipped for good if its keyed hash falls below the dropout rate. The hash covers seed, document, the
+unit's place in it and the places of the two symbols, so every occurrence of a word has a draw of its own, the result
+depends on nothing else, and a lost task gives the same ids when it runs again. With rate 0 the ids are the library's own.
 
-Words are segmented many at a time as rows of a matrix, and every segmentation is remembered for its task.
+What is remembered for a task is the segmentation of a word without skips and with given skips, each with the candidate
+merges it came by. An occurrence that skips none of these takes it; one that does is segmented by itself. Words are
+segmented many at a time as rows of a matrix.
 """
 
 from __future__ import annotations
@@ -14,21 +15,24 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.batches import column, slices
 
-RATE, DRAWS = 0.1, 4
+#: The draw of an occurrence is a 64-bit number.
+RATE, DRAWS = 0.1, 1 << 64
 SPACE = "▁"
 CACHED = 400_000
 LONGEST_ROW = 48
 CELLS = 1 << 18
+#: Candidate merges of a word whose skips fit into one number.
+MASKED = 62
 NONE = np.int32(2**31 - 1)
 UNKNOWN = (1 << 20) - 1
 
@@ -111,16 +115,47 @@ class Model:
         return np.where(hit, self.ranks[slots], NONE), self.ids[slots]
 
 
+def places(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers that stand for candidate merges within a unit."""
+    return (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+
+
+class Known:
+    """Segmentations, each with the candidate merges that must not be skipped for it to hold."""
+
+    def __init__(self) -> None:
+        self.units: dict[str, int] = {}
+        self.skips: dict[tuple[int, int], int] = {}
+        self.long: set[int] = set()
+        self.ids: list[bytes] = []
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.candidates = np.zeros(0, np.uint64)
+
+    def add(self, ids: list[bytes], of_unit: np.ndarray, candidates: np.ndarray) -> None:
+        """``of_unit`` says to which of ``ids`` each candidate belongs, in ascending order."""
+        count = np.bincount(of_unit, minlength=len(ids))
+        self.start = np.concatenate((self.start, len(self.candidates) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.candidates = np.concatenate((self.candidates, candidates))
+        self.ids.extend(ids)
+
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of ``nodes``, place and number of each of their candidates."""
+        counts = self.count[nodes]
+        which = np.repeat(np.arange(len(nodes)), counts)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return which, place, self.candidates[np.repeat(self.start[nodes], counts) + place]
+
+
 class Encoder:
-    """Encodes texts for one seed and rate, and remembers the segmentations of units."""
+    """Encodes texts for one seed and rate, and remembers segmentations of units."""
 
-    def __init__(self, model: Model, rate: float = RATE, seed: int = 0, draws: int = DRAWS) -> None:
-        if not 0 <= rate <= 1 or draws < 1:
-            raise ValueError("rate must lie in [0, 1] and draws be positive")
+    def __init__(self, model: Model, rate: float = RATE, seed: int = 0) -> None:
+        if not 0 <= rate <= 1:
+            raise ValueError("rate must lie in [0, 1]")
         self.model, self.rate, self.seed = model, rate, seed
-        self.draws = draws if rate else 1
         self.limit = np.uint64(min(int(rate * 2**64), 2**64 - 1))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
+        self.known = Known()
 
     UNUSUAL = ("  ", " \n", "\0")
     UNIT = re.compile(r"\n| *[^ \n]+| +")
@@ -140,35 +175,129 @@ class Encoder:
 
     def encode(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; ``keys`` are 64-bit numbers that stand for the documents."""
-        if sum(map(len, self.known)) > CACHED:
-            for known in self.known:
-                known.clear()
+        if len(self.known.ids) > CACHED:
+            self.known = Known()
+        known, before = self.known, len(self.known.ids)
         cut = [self.units(t) for t in texts]
-        draws = [self._draws(k, len(u)) for k, u in zip(keys, cut, strict=True)]
-        for draw, known in enumerate(self.known):
-            wanted = set()
-            for units, drawn in zip(cut, draws, strict=True):
-                wanted.update(units if drawn is None else [u for u, d in zip(units, drawn, strict=True) if d == draw])
-            fresh = list(wanted.difference(known))
-            known.update(zip(fresh, self.segment([self.spelled(u) for u in fresh], draw), strict=True))
-        one = self.known[0].__getitem__
-        return [
-            np.frombuffer(b"".join(map(one, u) if d is None else [self.known[x][w] for w, x in zip(u, d, strict=True)]), np.int32)
-            for u, d in zip(cut, draws, strict=True)
-        ]
-
-    def _draws(self, key: int, count: int) -> list[int] | None:
-        if self.draws == 1:
-            return None
+        flat = [u for units in cut for u in units]
+        fresh = list(set(flat).difference(known.units))
+        known.units.update(zip(fresh, range(before, before + len(fresh)), strict=True))
+        known.long.update(known.units[u] for u in fresh if len(self.spelled(u)) > LONGEST_ROW)
+        known.add(*self.traced([self.spelled(u) for u in fresh]))
+        nodes = np.fromiter(map(known.units.__getitem__, flat), np.int64, len(flat))
+        out = self._dropped(flat, nodes, self._draws(keys, cut), before) if self.rate else list(map(known.ids.__getitem__, nodes.tolist()))
+        ends = np.cumsum([0, *map(len, cut)]).tolist()
+        return [np.frombuffer(b"".join(out[a:b]), np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _draws(self, keys: list[int], cut: list[list[str]]) -> np.ndarray:
+        """The draw of each occurrence of a unit."""
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        starts = np.cumsum(counts) - counts
         with np.errstate(over="ignore"):
-            places = np.arange(count, dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64)
-            return (mixed(places) % np.uint64(self.draws)).tolist()
+            of_text = mixed(np.array([k % 2**64 for k in keys], np.uint64) ^ mixed(np.array([(self.seed + 1) * 0x9E3779B97F4A7C15 % 2**64], np.uint64)))
+            return mixed(np.repeat(of_text, counts) + (np.arange(counts.sum()) - np.repeat(starts, counts)).astype(np.uint64))
+
+    def _dropped(self, flat: list[str], nodes: np.ndarray, draws: np.ndarray, before: int) -> list[bytes]:
+        """Ids of each unit under its draw; ``nodes`` are its segmentations without skips, new ones from ``before`` on."""
+        known, nodes = self.known, nodes.copy()
+        occurrence, place = self._hits(nodes, draws)
+        some, first = np.unique(occurrence, return_index=True)
+        # A unit with more candidates than a number has bits is segmented by itself.
+        wide = np.isin(nodes, list(known.long)) if known.long else np.zeros(len(flat), bool)
+        wide[some] |= known.count[nodes[some]] > MASKED
+        masks = np.bitwise_or.reduceat(np.int64(1) << np.minimum(place, MASKED), first) if len(some) else np.zeros(0, np.int64)
+        narrow = ~wide[some]
+        some, masks = some[narrow], masks[narrow]
+        wanted = list(zip(nodes[some].tolist(), masks.tolist(), strict=True))
+        found = list(map(known.skips.get, wanted))
+        missing = Counter(w for w, f in zip(wanted, found, strict=True) if f is None)
+        # Several skips, or those of a word that is new here, are not likely to come again.
+        kept = [w for w, n in missing.items() if n > 1 or (w[0] < before and w[1] & (w[1] - 1) == 0)]
+        if kept:
+            self._with_skips(kept, dict(zip(nodes.tolist(), flat, strict=True)))
+            found = list(map(known.skips.get, wanted))
+        node = np.array([-1 if f is None else f for f in found], np.int64)
+        alone = wide
+        alone[some[node < 0]] = True
+        some, node = some[node >= 0], node[node >= 0]
+        nodes[some] = node
+        more, _ = self._hits(node, draws[some])
+        alone[some[more]] = True
+        out = list(map(known.ids.__getitem__, nodes.tolist()))
+        rest = np.flatnonzero(alone)
+        for i, ids in zip(rest.tolist(), self.segment([self.spelled(flat[i]) for i in rest.tolist()], draws[rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _hits(self, nodes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrence and place of each candidate of ``nodes`` that its draw skips, in order of occurrence."""
+        occurrence, place, candidates = self.known.of(nodes)
+        hit = np.flatnonzero(self._skipped(draws[occurrence], candidates))
+        return occurrence[hit], place[hit]
+
+    def _with_skips(self, wanted: list[tuple[int, int]], spelled: dict[int, str]) -> None:
+        """Remember the segmentations of units that skip the candidates in a mask and no others."""
+        known = self.known
+        nodes, masks = np.array(wanted, np.int64).T
+        which, place, candidates = known.of(nodes)
+        skipped = masks[which] >> place & 1 == 1
+        ids, of_unit, seen = self.traced([self.spelled(spelled[node]) for node, _ in wanted], (which[skipped], candidates[skipped]))
+        new = ~np.isin(self._in_row(of_unit, seen), self._in_row(which, candidates))
+        known.skips.update(zip(wanted, range(len(known.ids), len(known.ids) + len(ids)), strict=True))
+        known.add(ids, of_unit[new], seen[new])
 
     # -- segmentation ------------------------------------------------------------------------------
 
-    def segment(self, units: list[str], draw: int) -> list[bytes]:
-        """The ids of each unit as 32-bit numbers."""
+    def segment(self, units: list[str], draws: int | np.ndarray) -> list[bytes]:
+        """The ids of each unit as 32-bit numbers, under one draw or a draw for each."""
+        draws = np.broadcast_to(np.asarray(draws, np.uint64), len(units))
         out: list[bytes] = [b""] * len(units)
+        for chosen, width in self._runs(units):
+            own = draws[chosen]
+            if width:
+                found = self._rows([units[i] for i in chosen], width, lambda rows, at, own=own: self._skipped(own[rows], at))
+            else:
+                found = [self._agenda(units[i], int(draws[i])) for i in chosen]
+            for i, ids in zip(chosen, found, strict=True):
+                out[i] = ids
+        return out
+
+    def traced(self, units: list[str], skips: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of each unit, the candidates they came by as numbers of units and of places; none for long units.
+
+        A unit skips the candidates that ``skips`` lists for it in the same form, and no others.
+        """
+        out, traces = [b""] * len(units), [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        listed = np.sort(self._in_row(*skips)) if skips and len(skips[0]) else None
+        for chosen, width in self._runs(units):
+            if not width:
+                for i in chosen:
+                    out[i] = self._agenda(units[i], None)
+                continue
+            numbers = np.array(chosen)
+
+            def skipped(rows: np.ndarray, at: np.ndarray, numbers: np.ndarray = numbers) -> np.ndarray:
+                traces.append((numbers[rows], at))
+                if listed is None:
+                    return np.zeros(len(rows), bool)
+                wanted = self._in_row(numbers[rows], at)
+                return listed[np.minimum(np.searchsorted(listed, wanted), len(listed) - 1)] == wanted
+
+            for i, ids in zip(chosen, self._rows([units[i] for i in chosen], width, skipped), strict=True):
+                out[i] = ids
+        of_unit, at = (np.concatenate(x) for x in zip(*traces, strict=True))
+        order = np.argsort(of_unit, kind="stable")
+        return out, of_unit[order], at[order]
+
+    @staticmethod
+    def _in_row(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Row and candidate of a short unit in one number."""
+        rows, short = rows.astype(np.uint64), np.uint64(127)
+        return rows << np.uint64(21) | (at >> np.uint64(42)) << np.uint64(14) | (at >> np.uint64(21) & short) << np.uint64(7) | at & short
+
+    @staticmethod
+    def _runs(units: list[str]) -> Iterator[tuple[list[int], int]]:
+        """Units of like length that fit into one matrix, with its width; 0 for those too long for one."""
         order = sorted(range(len(units)), key=lambda i: len(units[i]))
         at = 0
         while at < len(order) and len(units[order[at]]) <= LONGEST_ROW:
@@ -176,30 +305,25 @@ class Encoder:
             end = at
             while end < len(order) and len(units[order[end]]) <= width and (end - at) * width < CELLS:
                 end += 1
-            chosen = order[at:end]
-            for i, ids in zip(chosen, self._rows([units[i] for i in chosen], width, draw), strict=True):
-                out[i] = ids
+            yield order[at:end], width
             at = end
-        for i in order[at:]:
-            out[i] = self._agenda(units[i], draw)
-        return out
+        if at < len(order):
+            yield order[at:], 0
 
-    def _key(self, unit: str, draw: int) -> int:
-        return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), seed=(self.seed * 1_000_003 + draw) % 2**64)
-
-    def _skipped(self, keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _skipped(self, draws: np.ndarray, at: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            places = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-            return mixed(keys ^ mixed(places)) < self.limit
+            return mixed(draws ^ (at * np.uint64(0x9E3779B97F4A7C15))) < self.limit
 
     def _codes(self, text: str) -> np.ndarray:
         return self.model.char_ids[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
-    def _rows(self, units: list[str], width: int, draw: int) -> list[bytes]:
-        """Segment units of at most ``width`` characters side by side, one merge in each for every round."""
+    def _rows(self, units: list[str], width: int, skips: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[bytes]:
+        """Segment units of at most ``width`` characters side by side, one merge in each for every round.
+
+        ``skips`` tells which candidate merges are skipped, from their rows and places.
+        """
         n = len(units)
         lengths = np.fromiter(map(len, units), np.int64, n)
-        keys = np.fromiter((self._key(u, draw) for u in units), np.uint64, n) if self.rate else np.zeros(n, np.uint64)
         inside = np.arange(width) < lengths[:, None]
         symbols = np.full((n, width + 1), UNKNOWN, np.int32)
         symbols[:, :width][inside] = self._codes("".join(units))
@@ -216,7 +340,7 @@ class Encoder:
             rank, new = self.model.lookup(symbols[rows, left], symbols[rows, right])
             if self.rate:
                 some = np.flatnonzero(rank != NONE)
-                skipped = self._skipped(keys[rows[some]], left[some], right[some], end[rows[some], right[some]])
+                skipped = skips(rows[some], places(left[some], right[some], end[rows[some], right[some]]))
                 rank[some[skipped]] = NONE
             ranks[rows, left], merged[rows, left] = rank, new
 
@@ -263,10 +387,10 @@ class Encoder:
             ids.extend([int(symbol)] if symbol < self.model.size else [self.model.byte_id[b] for b in char.encode("utf-8", "surrogatepass")])
         return np.array(ids, np.int32).tobytes()
 
-    def _agenda(self, unit: str, draw: int) -> bytes:
-        """The same for one long unit, with a heap as the agenda."""
+    def _agenda(self, unit: str, draw: int | None) -> bytes:
+        """The same for one long unit, with a heap as the agenda; without a draw nothing is skipped."""
         symbols, n = self._codes(unit).tolist(), len(unit)
-        key = np.array([self._key(unit, draw)], np.uint64)
+        draws = np.array([draw or 0], np.uint64)
         following, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
         agenda: list[tuple[int, int, int, int, int]] = []
@@ -275,7 +399,7 @@ class Encoder:
             found = self.model.merges.get(symbols[left] << 20 | symbols[right])
             if found is None:
                 return
-            if self.rate and self._skipped(key, *(np.array([x]) for x in (left, right, end[right])))[0]:
+            if self.rate and draw is not None and self._skipped(draws, places(*(np.array([x]) for x in (left, right, end[right]))))[0]:
                 return
             heapq.heappush(agenda, (found[0], left, right, end[right], found[1]))
 
@@ -305,11 +429,11 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, rate: float, seed: int, draws: int) -> Encoder:
+def encoder(path: str, rate: float, seed: int) -> Encoder:
     """This worker's encoder; the model file must be on every machine."""
-    key = path, rate, seed, draws
+    key = path, rate, seed
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Model(path), rate, seed, draws)
+        _ENCODERS[key] = Encoder(Model(path), rate, seed)
     return _ENCODERS[key]
 
 
@@ -320,7 +444,7 @@ def document_key(doc_id: int | None) -> int:
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>, text_sha256 string, decoded_sha256 string"
 
 
-def encode_documents(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = 0, draws: int = DRAWS) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = 0) -> DataFrame:
     """``(doc_id, n_tokens, ids, text_sha256, decoded_sha256)``, one row for each row of ``docs(doc_id, text)``.
 
     The ids are decoded again in the same task, and the digest of what they say stands beside that of the text. A null
@@ -330,7 +454,7 @@ def encode_documents(docs: DataFrame, model_path: str, rate: float = RATE, seed:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(model_path, rate, seed, draws)
+        tool = encoder(model_path, rate, seed)
         for batch in slices(batches, "text"):
             texts = [t or "" for t in column(batch, "text")]
             found = tool.encode([document_key(d) for d in column(batch, "doc_id")], texts)
@@ -355,7 +479,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """``(doc_id, text)`` from ``encoded(doc_id, ids)``; null ids give a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(model_path, 0.0, 0, 1)
+        tool = encoder(model_path, 0.0, 0)
         for batch in batches:
             texts = [None if ids is None else tool.decode(np.array(ids, np.int64)) for ids in column(batch, "ids")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -1,6 +1,7 @@
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,6 +68,37 @@ def test_dropout_varies_and_repeats(model, real):
     assert all(len(x) == len(t) + 1 for x, t in zip(merge_dropout.Encoder(model, 1.0).encode([0], ["abc"]), ["abc"]))
 
 
+def test_every_occurrence_has_its_own_draw(model, real):
+    words = Counter(" the of antidisestablishment and".split() * 800)
+    text = " ".join(words.elements())
+    ids = merge_dropout.Encoder(model, 0.1, seed=5).encode([3], [text])[0].tolist()
+    pieces, at = [], 0
+    for word in words.elements():
+        spelled, start = "", at
+        while len(spelled) < len(word) + 1:
+            spelled += model.bytes_of[ids[at]].decode()
+            at += 1
+        pieces.append((word, tuple(ids[start:at])))
+    seen = Counter(pieces)
+    assert len({x for w, x in pieces if w == "antidisestablishment"}) > 50 and len({x for w, x in pieces if w == "the"}) >= 4
+    free = Counter(merge_dropout.Encoder(model, 0.1, seed=11)._agenda(" the", d) for d in merge_dropout.mixed(np.arange(1, 4001, dtype=np.uint64)).tolist())
+    for ids_of, n in free.most_common(2):
+        assert abs(seen["the", tuple(np.frombuffer(ids_of, np.int32).tolist())] / 800 - n / 4000) < 0.06
+
+
+def test_remembered_segmentations_are_those_of_each_draw(model, real):
+    texts = [*real[:60], "the and of with " * 500, " 日本語 é\0x\n" + "ab" * 60 + " \n  x" + "n" * 44]
+    for rate in (0.1, 0.3, 1.0):
+        tool = merge_dropout.Encoder(model, rate, seed=3)
+        for part in (texts[:40], texts[20:], texts):
+            keys = list(range(len(part)))
+            cut = [tool.units(t) for t in part]
+            draws, at = tool._draws(keys, cut), 0
+            for ids, units in zip(tool.encode(keys, part), cut, strict=True):
+                assert ids.tobytes() == b"".join(tool.segment([tool.spelled(u) for u in units], draws[at : at + len(units)]))
+                at += len(units)
+
+
 def test_rows_and_agenda_agree(model, real):
     tool = merge_dropout.Encoder(model, 0.15, seed=3)
     units = list({" " + w for t in real[:30] for w in t.split()} | {" 日本語", " é\0x", "\n", "   ", " " + "ab" * 40})
