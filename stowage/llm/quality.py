@@ -8,6 +8,10 @@ with those of its contexts and of the next lower order give the probability of e
 Scoring is a sharded join. A shard is the n-grams that begin alike; every document sends each of the 16 shards its counts
 of the n-grams there, compressed, and the shard's probabilities turn them into a partial sum. The parts of a document are
 added up to its perplexity, which is held against a quantile of its language.
+
+That model cannot grow, so a second one of word pairs does, as rows keyed by hash (see :mod:`stowage.llm.words`). Its shards
+are scored in the same join, their number follows its rows. A third measure catches words that are repeated over and over,
+which are likely to any such model: the share of a document's word pairs that repeat its most frequent pair.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.llm import words as word_pairs
 from stowage.llm.batches import column, slices
 from stowage.llm.members import exactly_among
 from stowage.session import scratch_dir, written
@@ -37,6 +42,9 @@ QUANTILE, SLACK = 0.99, 1.1
 HELD_OUT = 5
 #: Nats by which the mean of n symbols may lie above the threshold are this over the root of n: about two deviations.
 ALLOWANCE = 3.0
+#: The same for the share of repeated pairs, as one pair that comes twice is a large share of a short text.
+REPEATS = 0.5
+MEASURES = ("perplexity", "word_perplexity", "repeated")
 
 
 @functools.cache
@@ -143,10 +151,11 @@ def train(spark: SparkSession, texts: DataFrame) -> DataFrame:
 
 VECTORS = (
     "shard int, salt int, part int, seq int, vectors binary, "
-    "doc_ids array<bigint>, langs array<string>, lengths array<bigint>"
+    "doc_ids array<bigint>, langs array<string>, lengths array<bigint>, counts array<bigint>, repeats array<double>"
 )
-PARTIAL = "part int, seq int, sums binary, doc_ids array<bigint>, langs array<string>, lengths array<bigint>"
-SCORES = "doc_id bigint, lang string, n_symbols bigint, perplexity double"
+ABOUT = ("doc_ids", "langs", "lengths", "counts", "repeats")
+PARTIAL = "part int, seq int, of_words boolean, " + VECTORS.partition("seq int, ")[2].replace("vectors", "sums")
+SCORES = "doc_id bigint, lang string, n_symbols bigint, perplexity double, n_words bigint, word_perplexity double, repeated double"
 
 
 def _pack(entries: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
@@ -200,59 +209,92 @@ def _partial(table: np.ndarray, vectors: bytes) -> bytes:
     return np.bincount(doc, weights=table[codes] * counts, minlength=len(entries)).astype("<f8").tobytes()
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``(doc_id, lang, n_symbols, perplexity)`` of whole texts, one row for each row; without text the perplexity is null."""
-    salts = max(1, docs.rdd.getNumPartitions() // 2)
+def perplexities(docs: DataFrame, model: DataFrame, words: tuple[DataFrame, float] | None = None) -> DataFrame:
+    """``(doc_id, lang, n_symbols, perplexity, n_words, word_perplexity, repeated)`` of whole texts, a row for each row.
+
+    ``words`` is what :func:`stowage.llm.words.train` gives. Without text the perplexity is null, without words or a
+    model of them that of the words.
+    """
+    parts = docs.rdd.getNumPartitions()
+    salts = max(1, parts // 2)
+    unseen = words[1] if words else 0.0
+    word_shards = max(SHARDS, parts, -(-words[0].count() // word_pairs.SHARD_ROWS)) if words else 0
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for seq, batch in enumerate(slices(batches, "text")):
+        for seq, batch in enumerate(slices(batches, "text", 1 << 22)):
             texts = [t or "" for t in column(batch, "text")]
-            sent = _vectors(texts)
-            first = [None] * (SHARDS - 1)
+            of_words, counts, repeats = word_pairs.vectors(texts, max(1, word_shards))
+            sent = [*_vectors(texts), *of_words[:word_shards]]
+            rest = [None] * (len(sent) - 1)
             arrays = [
-                pa.array(range(SHARDS), pa.int32()),
-                *(pa.array([x] * SHARDS, pa.int32()) for x in (part % salts, part, seq)),
+                pa.array(range(len(sent)), pa.int32()),
+                pa.array([part % salts] * SHARDS + [0] * word_shards, pa.int32()),
+                *(pa.array([x] * len(sent), pa.int32()) for x in (part, seq)),
                 pa.array(sent, pa.binary()),
-                pa.array([column(batch, "doc_id"), *first], pa.list_(pa.int64())),
-                pa.array([column(batch, "lang"), *first], pa.list_(pa.string())),
-                pa.array([[len(t) for t in texts], *first], pa.list_(pa.int64())),
+                pa.array([column(batch, "doc_id"), *rest], pa.list_(pa.int64())),
+                pa.array([column(batch, "lang"), *rest], pa.list_(pa.string())),
+                pa.array([[len(t) for t in texts], *rest], pa.list_(pa.int64())),
+                pa.array([counts.tolist(), *rest], pa.list_(pa.int64())),
+                pa.array([repeats.tolist(), *rest], pa.list_(pa.float64())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["shard", "salt", "part", "seq", "vectors", "doc_ids", "langs", "lengths"])
+            yield pa.RecordBatch.from_arrays(arrays, ["shard", "salt", "part", "seq", "vectors", *ABOUT])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = np.zeros(IN_SHARD)
-        for row in right.column("logps").to_pylist():
-            table[:] = np.frombuffer(row, "<f8")
-        sums = [_partial(table, row) for row in left.column("vectors").to_pylist()]
-        kept = [left.column(n) for n in ("part", "seq")]
+        of_words = bool(left.num_rows) and left.column("shard")[0].as_py() >= SHARDS
+        given = b"".join(right.column("logps").to_pylist())
+        if of_words:
+            known = word_pairs.unpacked(given)
+            packer = zstandard.ZstdCompressor(level=1)
+            sums = [packer.compress(word_pairs.partial(known, x, unseen).astype("<f8").tobytes()) for x in left.column("vectors").to_pylist()]
+        else:
+            table = np.frombuffer(given, "<f8") if given else np.zeros(IN_SHARD)
+            sums = [_partial(table, row) for row in left.column("vectors").to_pylist()]
         return pa.table(
-            [*kept, pa.array(sums, pa.binary()), *(left.column(n) for n in ("doc_ids", "langs", "lengths"))],
-            names=["part", "seq", "sums", "doc_ids", "langs", "lengths"],
+            [left.column("part"), left.column("seq"), pa.array([of_words] * len(sums), pa.bool_()), pa.array(sums, pa.binary()), *(left.column(n) for n in ABOUT)],
+            names=["part", "seq", "of_words", "sums", *ABOUT],
         )
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<f8") for x in rows.column("sums").to_pylist())
-        doc_ids, langs, lengths = (
-            next(x for x in rows.column(n).to_pylist() if x is not None) for n in ("doc_ids", "langs", "lengths")
-        )
-        lengths = np.array(lengths, np.int64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            perplexity = np.exp(-total / lengths)
+        about = [next(x for x in rows.column(n).to_pylist() if x is not None) for n in ABOUT]
+        lengths, counts = np.array(about[2], np.int64), np.array(about[3], np.int64)
+        total, of_words = np.zeros(len(lengths)), np.zeros(len(lengths))
+        unpacker = zstandard.ZstdDecompressor()
+        for data, word in zip(rows.column("sums").to_pylist(), rows.column("of_words").to_pylist(), strict=True):
+            if word:
+                of_words += np.frombuffer(unpacker.decompress(data), "<f8")
+            else:
+                total += np.frombuffer(data, "<f8")
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            perplexity, word_perplexity = np.exp(-total / lengths), np.exp(-of_words / (counts + 1))
         return pa.table(
-            [pa.array(doc_ids, pa.int64()), pa.array(langs, pa.string()), pa.array(lengths), pa.array(perplexity, mask=lengths == 0)],
-            names=["doc_id", "lang", "n_symbols", "perplexity"],
+            [
+                pa.array(about[0], pa.int64()), pa.array(about[1], pa.string()), pa.array(lengths), pa.array(perplexity, mask=lengths == 0),
+                pa.array(counts), pa.array(word_perplexity, mask=(counts == 0) | (word_shards == 0)), pa.array(about[4], pa.float64()),
+            ],
+            names=[x.split()[0] for x in SCORES.split(", ")],
         )
 
     def pack(rows: pa.Table) -> pa.Table:
-        table = np.zeros(IN_SHARD)
-        table[rows.column("place").to_numpy()] = rows.column("logp").to_numpy()
-        return pa.table([rows.column("shard").slice(0, 1), pa.array([table.astype("<f8").tobytes()], pa.binary())], names=["shard", "logps"])
-
-    shards = model.select(
-        F.shiftright("gram", GRAM_BITS - SHARD_BITS).alias("shard"), F.col("gram").bitwiseAND(IN_SHARD - 1).alias("place"), "logp"
-    ).groupBy("shard").applyInArrow(pack, "shard int, logps binary")
-    shards = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("shard", "salt", "logps")
+        shard = rows.column("shard").slice(0, 1)
+        if shard[0].as_py() >= SHARDS:
+            data = word_pairs.packed(rows.column("place").to_numpy(), rows.column("logp").to_numpy())
+        else:
+            table = np.zeros(IN_SHARD)
+            table[rows.column("place").to_numpy()] = rows.column("logp").to_numpy()
+            data = table.astype("<f8").tobytes()
+        return pa.table([shard, pa.array([data], pa.binary())], names=["shard", "logps"])
+
+    grams = model.select(
+        F.shiftright("gram", GRAM_BITS - SHARD_BITS).alias("shard"), F.col("gram").bitwiseAND(IN_SHARD - 1).cast("bigint").alias("place"), "logp"
+    )
+    if words:
+        low = F.shiftright(F.col("gram").bitwiseAND((1 << word_pairs.LOW_BITS) - 1), 1)
+        of_words = words[0].select((low % word_shards + SHARDS).cast("int").alias("shard"), F.col("gram").alias("place"), F.col("value").alias("logp"))
+        grams = grams.unionByName(of_words)
+    shards = grams.groupBy("shard").applyInArrow(pack, "shard int, logps binary")
+    copies = F.when(F.col("shard") < SHARDS, F.lit(salts - 1)).otherwise(0)
+    shards = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), copies))).select("shard", "salt", "logps")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     sent = rows.mapInArrow(vectors, VECTORS)
     partial = sent.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInArrow(score, PARTIAL)
@@ -267,9 +309,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK,
              allowance: float = ALLOWANCE) -> DataFrame:
-    """``(doc_id, lang, n_symbols, perplexity, threshold, kept)``, one row for each row of ``docs(doc_id, text, lang)``.
+    """``(doc_id, lang, n_symbols, perplexity, threshold, n_words, word_perplexity, word_threshold, repeated,
+    repeated_threshold, kept)``, one row for each row of ``docs(doc_id, text, lang)``.
 
-    The model is trained on four fifths of the trusted documents, chosen by hash; the others set the thresholds. A
+    The perplexity by words and the share of repeated pairs have thresholds of their own, found in the same way; a document
+    must pass all three. The models are trained on four fifths of the trusted documents, chosen by hash; the others set the thresholds. A
     document stays if its perplexity is at most its ``threshold``: ``slack`` times the ``quantile`` of these documents
     of its language, times ``1 + 1 / sqrt(documents)``, as a quantile of few is uncertain, and times
     ``exp(allowance / sqrt(n_symbols))``, as the mean over a short text varies more. Null is a language of its own; one
@@ -284,16 +328,25 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = exactly_among(texts, trusted.where(~held_out), scratch)
     model = written(train(spark, texts), f"{scratch}/model")
-    scores = written(perplexities(docs, model), f"{scratch}/scores")
+    pairs, unseen = word_pairs.train(spark, texts)
+    scores = written(perplexities(docs, model, (written(pairs, f"{scratch}/pairs"), unseen)), f"{scratch}/scores")
     known = scores.join(trusted.where(held_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     # A quantile of few documents is uncertain.
-    level = F.percentile_approx("perplexity", quantile, 10_000) * slack * (1 + 1 / F.sqrt(F.count(F.lit(1))))
-    by_language = known.groupBy(F.col("lang").alias("of_lang")).agg(level.alias("own"))
-    overall = known.agg(level.alias("overall")).first()["overall"]
-    language_level = F.coalesce("own", F.lit(overall).cast("double"))
-    threshold = language_level * F.exp(allowance / F.sqrt(F.greatest(F.col("n_symbols"), F.lit(1))))
-    fits = F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
+    wider = slack * (1 + 1 / F.sqrt(F.greatest(F.count(F.lit(1)), F.lit(1))))
+    levels = [(F.percentile_approx(m, quantile, 10_000) * wider).alias(f"own_{m}") for m in MEASURES]
+    by_language = known.groupBy(F.col("lang").alias("of_lang")).agg(*levels)
+    overall = known.agg(*levels).first()
+    level = {m: F.coalesce(f"own_{m}", F.lit(overall[f"own_{m}"]).cast("double")) for m in MEASURES}
+    symbols, n_words = (F.sqrt(F.greatest(F.col(c), F.lit(1))) for c in ("n_symbols", "n_words"))
+    thresholds = {
+        "perplexity": level["perplexity"] * F.exp(allowance / symbols),
+        "word_perplexity": level["word_perplexity"] * F.exp(allowance / n_words),
+        "repeated": level["repeated"] + REPEATS / n_words,
+    }
+    fits = [F.coalesce(F.col(m) <= t, F.lit(True)) for m, t in thresholds.items()]
     return scores.join(by_language, scores["lang"].eqNullSafe(F.col("of_lang")), "left").select(
-        "doc_id", "lang", "n_symbols", "perplexity", threshold.alias("threshold"),
-        (F.col("perplexity").isNotNull() & fits).alias("kept"),
+        "doc_id", "lang", "n_symbols", "perplexity", thresholds["perplexity"].alias("threshold"),
+        "n_words", "word_perplexity", thresholds["word_perplexity"].alias("word_threshold"),
+        "repeated", thresholds["repeated"].alias("repeated_threshold"),
+        functools.reduce(Column.__and__, fits, F.col("perplexity").isNotNull()).alias("kept"),
     )

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -5,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.llm import quality
+from stowage.llm import quality, words
 
 
 def naive_model(texts):
@@ -64,6 +65,42 @@ def test_model_and_perplexity_equal_the_definition(spark):
         assert a[:3] == b[:3] and (a[3] == pytest.approx(b[3]) if b[3] is not None else a[3] is None)
 
 
+def test_word_model_equals_the_definition_and_grows(spark):
+    rng = random.Random(2)
+    trained = texts(rng, 40)
+    table = lambda ts: words.train(spark, spark.createDataFrame([(t,) for t in ts] + [(None,), (" ",)], "text string"))
+    pairs, unseen = table(trained)
+    count = Counter(p for t in trained for p in itertools.pairwise(["<", *t.split(), ">"]))
+    after = Counter(b for _, b in count)
+    cut = [quality.discounts(*[sum(1 for n in c.values() if n == i) for i in range(1, 5)]) for c in (after, count)]
+    d = lambda n, by: by[min(n, 3) - 1] if n else 0.0
+
+    def p(a, b):
+        total = sum(after.values())
+        low = (after[b] - d(after[b], cut[0])) / total + sum(d(n, cut[0]) for n in after.values()) / total / (len(after) + 1)
+        of = [n for (x, _), n in count.items() if x == a]
+        return (count[a, b] - d(count[a, b], cut[1])) / sum(of) + sum(d(n, cut[1]) for n in of) / sum(of) * low if of else low
+
+    docs = [(i, "en", t) for i, t in enumerate([*texts(rng, 20), "", " ", None, "the unseen word of", "the " * 50])]
+    model = quality.train(spark, spark.createDataFrame([("the",)], "text string"))
+    scored = quality.perplexities(spark.createDataFrame(docs, "doc_id bigint, lang string, text string").repartition(3), model, (pairs, unseen)).collect()
+    assert len(scored) == len(docs)
+    for r in scored:
+        split = (docs[r.doc_id][2] or "").split()
+        logs = [math.log(p(a, b)) for a, b in itertools.pairwise(["<", *split, ">"])]
+        assert r.n_words == len(split) and r.word_perplexity == (pytest.approx(math.exp(-sum(logs) / len(logs))) if split else None)
+    assert next(r.repeated for r in scored if r.doc_id == len(docs) - 1) == pytest.approx(48 / 51)
+    more = [f"{t} w{i} v{i}" for i, t in enumerate(trained * 3)]
+    assert table(more)[0].count() > pairs.count() + 3 * 3 * len(trained)
+
+
+def test_repeated_words_do_not_stay(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    some = [(-1, "De " * 400, "de"), (-2, "asga " * 60, "es"), (-3, "the and " * 200, "en")]
+    verdict = quality.classify(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(some, "doc_id bigint, text string, lang string")), labels)
+    assert [r.kept for r in verdict.where("doc_id < 0").collect()] == [False] * 3
+
+
 def test_discounts_without_counts():
     assert quality.discounts(0, 0, 0, 0) == (0.5, 0.5, 0.5)
     assert all(0 < d <= i for i, d in enumerate(quality.discounts(100, 40, 20, 10), 1))
