@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.session import scratch_dir, written
 
-MAX_ROUNDS = 100
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``: the smallest node reachable from it.
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     scratch = scratch_dir(edges.sparkSession, "components")
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{scratch}/0")
     state = None
-    for turn in range(1, MAX_ROUNDS + 1):
+    for turn in itertools.count(1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -36,4 +36,4 @@ def components(edges: DataFrame) -> DataFrame:
             roots = own.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return own.unionByName(roots)
         state = found
-    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+    raise AssertionError("unreachable")

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import chat, exact_dedup, merge_dropout, minhash, mixing, quality, sharding, simhash, token_records, warc
+from stowage.llm import (
+    chat, cross_polytope, exact_dedup, hard_negatives, merge_dropout, merkle, minhash, mixing, quality, sharding, simhash, token_records, warc,
+)
 from stowage.session import scratch_dir, written
 
 #: Folder of the public vocabulary files; the same on every machine.
@@ -92,10 +94,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives for every anchor, after every seventh label is made wrong."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % QUERY_STEP == 0)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verification(_table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash, op2_merge_dropout, op3_warc, op4_mix, op5_shards, op6_exact_dedup, op7_quality, op8_token_records,
-        op9_chat, op10_near_dedup,
+        op9_chat, op10_near_dedup, op11_hard_negatives, op12_merkle, op13_near_vectors,
     )
     return {f.__name__: f for f in found}
 
@@ -153,5 +170,78 @@ FROM said GROUP BY conv_id
 """
 
 
+_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_TEXTS = [" || ".join(_FIELD.format(c) for c in (*merkle.FIELDS[:-1], text)) for text in ("text", "seen")]
+_MERKLE = f"""
+WITH RECURSIVE marked AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc
+  FROM documents),
+tampered AS (
+  SELECT *, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS seen FROM marked),
+leaves AS (
+  SELECT doc_id, source, sha256({_TEXTS[0]}) AS leaf, sha256({_TEXTS[1]}) AS seen_leaf FROM tampered),
+nodes AS (
+  SELECT 0 AS level, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, leaf AS digest,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT level + 1, source, r // 16, sha256(string_agg(digest, '' ORDER BY r)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY level, source, r // 16, n),
+roots AS (SELECT source, digest AS subroot FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 100 AS level, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, subroot AS digest, count(*) OVER () AS n FROM roots
+  UNION ALL
+  SELECT level + 1, r // 16, sha256(string_agg(digest, '' ORDER BY r)), (n + 15) // 16 FROM upper WHERE n > 1 GROUP BY level, r // 16, n),
+steps AS (
+  SELECT level, coalesce('=' || source, '') AS tree, r, n, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM (SELECT level, source, r, digest, n FROM nodes UNION ALL SELECT level, '/', r, digest, n FROM upper)
+  WINDOW run AS (PARTITION BY level, source, r // 16 ORDER BY r)),
+places AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM roots),
+walk AS (
+  SELECT doc_id, leaf, coalesce('=' || l.source, '') AS tree, row_number() OVER (PARTITION BY l.source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, p.place, 0 AS level,
+    '' AS proof, seen_leaf AS folded FROM leaves l JOIN places p ON l.source IS NOT DISTINCT FROM p.source
+  UNION ALL
+  SELECT doc_id, leaf, CASE WHEN s.n > 1 THEN w.tree ELSE '=/' END, CASE WHEN s.n > 1 THEN w.r // 16 ELSE place END, place,
+    CASE WHEN s.n > 1 THEN w.level + 1 ELSE 100 END, CASE WHEN s.n > 1 THEN proof || before || after ELSE proof END,
+    CASE WHEN s.n > 1 THEN sha256(before || folded || after) ELSE folded END
+  FROM walk w JOIN steps s ON w.level = s.level AND w.tree = s.tree AND w.r = s.r WHERE w.level < 100 OR s.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM (SELECT w.*, p.source FROM walk w JOIN places p ON w.place = p.place WHERE (w.level, 1) IN (SELECT level, n FROM upper)) w
+JOIN roots o ON w.source IS NOT DISTINCT FROM o.source, (SELECT digest AS root FROM upper WHERE n = 1)
+"""
+
+_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+facts AS (
+  SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(b) FROM reached WHERE a = vec_id), vec_id)) AS component_id FROM embeddings)
+SELECT vec_id, n_links::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM facts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _WARC, "op4_mix": _MIX, "op6_exact_dedup": _DEDUP, "op9_chat": _CHAT}
+    return {
+        "op3_warc": _WARC, "op4_mix": _MIX, "op6_exact_dedup": _DEDUP, "op9_chat": _CHAT, "op11_hard_negatives": _NEGATIVES,
+        "op12_merkle": _MERKLE, "op13_near_vectors": _VECTORS,
+    }

@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for table in ("documents", "pages", "labels", "conversations"):
+    for table in ("documents", "pages", "labels", "conversations", "embeddings"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     return connection
 
@@ -19,16 +19,16 @@ def duck():
 def test_registered():
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] == list(queries.queries()) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_matches_duckdb(spark, duck, name):
-    found, expected = queries.queries()[name](spark, SF_DIR).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
+    found, expected = queries.queries()[name](spark, SF_DIR), duck.sql(queries.oracle_sql()[name])
     columns = sorted(expected.columns)
     assert sorted(found.columns) == columns
-    rows = lambda df: sorted(tuple(map(str, r)) for r in df[columns].itertuples(index=False))
-    assert rows(found) == rows(expected)
+    in_order = lambda rows: sorted(rows, key=str)
+    assert in_order(map(tuple, found.select(columns).collect())) == in_order(expected.select(*columns).fetchall())
 
 
 @pytest.mark.parametrize("name", ["op1_simhash", "op2_merge_dropout", "op5_shards", "op7_quality", "op8_token_records", "op10_near_dedup"])
