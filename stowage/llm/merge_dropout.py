@@ -5,9 +5,9 @@ a candidate merge is skipped for good if its keyed hash falls below the dropout
 unit's place in it and the places of the two symbols, so every occurrence of a word has a draw of its own, the result
 depends on nothing else, and a lost task gives the same ids when it runs again. With rate 0 the ids are the library's own.
 
-What is remembered for a task is the segmentation of a word without skips and with given skips, each with the candidate
-merges it came by. An occurrence that skips none of these takes it; one that does is segmented by itself. Words are
-segmented many at a time as rows of a matrix.
+What is remembered is the segmentation of a word that has come twice, without skips and with given skips, each with the
+candidate merges it came by. An occurrence that skips none of these takes it; one that does, and any word that comes for
+the first time, is segmented by itself. Words are segmented many at a time as rows of a matrix, and ids stay in arrays.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +24,14 @@ from pyspark.sql import functions as F
 
 from stowage.llm.batches import column, slices
 
-#: The draw of an occurrence is a 64-bit number.
-RATE, DRAWS = 0.1, 1 << 64
+RATE = 0.1
 SPACE = "▁"
-CACHED = 400_000
+#: Bytes of what is remembered, about; it is emptied beyond.
+CACHE_BYTES = 64_000_000
 LONGEST_ROW = 48
 CELLS = 1 << 18
-#: Candidate merges of a word whose skips fit into one number.
-MASKED = 62
+#: Candidate merges of a word whose skips fit into one number beside the word's own.
+MASKED, NODE_BITS = 40, 23
 NONE = np.int32(2**31 - 1)
 UNKNOWN = (1 << 20) - 1
 
@@ -120,31 +119,64 @@ def places(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray
     return (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
 
 
+class Ranges:
+    """Stretches of one growing array, by number."""
+
+    def __init__(self, dtype: type) -> None:
+        self.data, self.used = np.zeros(1024, dtype), 0
+        self.start, self.count, self.size = np.zeros(256, np.int64), np.zeros(256, np.int64), 0
+
+    def add(self, data: np.ndarray, counts: np.ndarray) -> None:
+        self.data = _room(self.data, self.used + len(data))
+        self.data[self.used : self.used + len(data)] = data
+        self.start, self.count = _room(self.start, self.size + len(counts)), _room(self.count, self.size + len(counts))
+        self.start[self.size : self.size + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.count[self.size : self.size + len(counts)] = counts
+        self.used, self.size = self.used + len(data), self.size + len(counts)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of ``numbers``, place and value of each element of their stretches."""
+        counts = self.count[numbers]
+        which = np.repeat(np.arange(len(numbers)), counts)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return which, place, self.data[np.repeat(self.start[numbers], counts) + place]
+
+
+def _room(data: np.ndarray, size: int) -> np.ndarray:
+    return data if size <= len(data) else np.concatenate((data, np.zeros(max(size, 2 * len(data)) - len(data), data.dtype)))
+
+
 class Known:
     """Segmentations, each with the candidate merges that must not be skipped for it to hold."""
 
     def __init__(self) -> None:
         self.units: dict[str, int] = {}
-        self.skips: dict[tuple[int, int], int] = {}
-        self.long: set[int] = set()
-        self.ids: list[bytes] = []
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.candidates = np.zeros(0, np.uint64)
-
-    def add(self, ids: list[bytes], of_unit: np.ndarray, candidates: np.ndarray) -> None:
-        """``of_unit`` says to which of ``ids`` each candidate belongs, in ascending order."""
-        count = np.bincount(of_unit, minlength=len(ids))
-        self.start = np.concatenate((self.start, len(self.candidates) + np.cumsum(count) - count))
-        self.count = np.concatenate((self.count, count))
-        self.candidates = np.concatenate((self.candidates, candidates))
-        self.ids.extend(ids)
-
-    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of ``nodes``, place and number of each of their candidates."""
-        counts = self.count[nodes]
-        which = np.repeat(np.arange(len(nodes)), counts)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return which, place, self.candidates[np.repeat(self.start[nodes], counts) + place]
+        self.once: set[str] = set()
+        self.held = 0
+        self.ids, self.candidates = Ranges(np.int32), Ranges(np.uint64)
+        # Words with the skips they were segmented with, in ascending order, and the numbers of the segmentations.
+        self.skips, self.skipped = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def full(self) -> bool:
+        held = self.held + 16 * (self.ids.size + self.candidates.size) + 4 * self.ids.used + 8 * self.candidates.used + 16 * len(self.skips)
+        return held > CACHE_BYTES or self.ids.size >= 1 << NODE_BITS
+
+    def add(self, ids: np.ndarray, counts: np.ndarray, of_unit: np.ndarray, candidates: np.ndarray) -> None:
+        """``of_unit`` says to which segmentation each candidate belongs, in ascending order."""
+        self.ids.add(ids, counts)
+        self.candidates.add(candidates, np.bincount(of_unit, minlength=len(counts)))
+
+    def remember(self, words: list[str], first: int) -> None:
+        self.units.update(zip(words, range(first, first + len(words)), strict=True))
+        self.once.difference_update(words)
+        self.held += sum(map(len, words)) + 150 * len(words)
+
+    def with_skips(self, keys: np.ndarray) -> np.ndarray:
+        """The segmentation for each word and mask, or -1."""
+        if not len(self.skips):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.skips, keys), len(self.skips) - 1)
+        return np.where(self.skips[at] == keys, self.skipped[at], -1)
 
 
 class Encoder:
@@ -175,19 +207,35 @@ class Encoder:
 
     def encode(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; ``keys`` are 64-bit numbers that stand for the documents."""
-        if len(self.known.ids) > CACHED:
+        if self.known.full():
             self.known = Known()
-        known, before = self.known, len(self.known.ids)
+        known = self.known
         cut = [self.units(t) for t in texts]
         flat = [u for units in cut for u in units]
-        fresh = list(set(flat).difference(known.units))
-        known.units.update(zip(fresh, range(before, before + len(fresh)), strict=True))
-        known.long.update(known.units[u] for u in fresh if len(self.spelled(u)) > LONGEST_ROW)
-        known.add(*self.traced([self.spelled(u) for u in fresh]))
-        nodes = np.fromiter(map(known.units.__getitem__, flat), np.int64, len(flat))
-        out = self._dropped(flat, nodes, self._draws(keys, cut), before) if self.rate else list(map(known.ids.__getitem__, nodes.tolist()))
-        ends = np.cumsum([0, *map(len, cut)]).tolist()
-        return [np.frombuffer(b"".join(out[a:b]), np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        nodes = np.array([known.units.get(u, -1) for u in flat], np.int64)
+        new = np.flatnonzero(nodes < 0).tolist()
+        numbers: dict[str, int] = {}
+        number = np.array([numbers.setdefault(flat[i], len(numbers)) for i in new], np.int64)
+        words = list(numbers)
+        often = np.bincount(number, minlength=len(words)) > (1 if self.rate else 0)
+        often |= np.fromiter((w in known.once for w in words), bool, len(words))
+        often &= np.fromiter((len(w) < LONGEST_ROW for w in words), bool, len(words)) | (self.rate == 0)
+        first = known.ids.size
+        chosen = [w for w, o in zip(words, often.tolist(), strict=True) if o]
+        if chosen:
+            known.add(*self.traced([self.spelled(w) for w in chosen]))
+            known.remember(chosen, first)
+        place = np.where(often, first + np.cumsum(often) - 1, -1)
+        nodes[new] = place[number]
+        once = [w for w, o in zip(words, often.tolist(), strict=True) if not o and len(w) < LONGEST_ROW]
+        known.once.update(once)
+        known.held += sum(map(len, once)) + 110 * len(once)
+        data, start, count = self._dropped(flat, nodes, self._draws(keys, cut) if self.rate else None, first)
+        which = np.repeat(start - (np.cumsum(count) - count), count)
+        ids = data[which + np.arange(len(which))]
+        ends = np.cumsum([0, *map(len, cut)])
+        edges = np.concatenate(([0], np.cumsum(count)))[ends].tolist()
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def _draws(self, keys: list[int], cut: list[list[str]]) -> np.ndarray:
         """The draw of each occurrence of a unit."""
@@ -197,97 +245,113 @@ class Encoder:
             of_text = mixed(np.array([k % 2**64 for k in keys], np.uint64) ^ mixed(np.array([(self.seed + 1) * 0x9E3779B97F4A7C15 % 2**64], np.uint64)))
             return mixed(np.repeat(of_text, counts) + (np.arange(counts.sum()) - np.repeat(starts, counts)).astype(np.uint64))
 
-    def _dropped(self, flat: list[str], nodes: np.ndarray, draws: np.ndarray, before: int) -> list[bytes]:
-        """Ids of each unit under its draw; ``nodes`` are its segmentations without skips, new ones from ``before`` on."""
-        known, nodes = self.known, nodes.copy()
-        occurrence, place = self._hits(nodes, draws)
-        some, first = np.unique(occurrence, return_index=True)
-        # A unit with more candidates than a number has bits is segmented by itself.
-        wide = np.isin(nodes, list(known.long)) if known.long else np.zeros(len(flat), bool)
-        wide[some] |= known.count[nodes[some]] > MASKED
-        masks = np.bitwise_or.reduceat(np.int64(1) << np.minimum(place, MASKED), first) if len(some) else np.zeros(0, np.int64)
-        narrow = ~wide[some]
-        some, masks = some[narrow], masks[narrow]
-        wanted = list(zip(nodes[some].tolist(), masks.tolist(), strict=True))
-        found = list(map(known.skips.get, wanted))
-        missing = Counter(w for w, f in zip(wanted, found, strict=True) if f is None)
-        # Several skips, or those of a word that is new here, are not likely to come again.
-        kept = [w for w, n in missing.items() if n > 1 or (w[0] < before and w[1] & (w[1] - 1) == 0)]
-        if kept:
-            self._with_skips(kept, dict(zip(nodes.tolist(), flat, strict=True)))
-            found = list(map(known.skips.get, wanted))
-        node = np.array([-1 if f is None else f for f in found], np.int64)
-        alone = wide
-        alone[some[node < 0]] = True
-        some, node = some[node >= 0], node[node >= 0]
-        nodes[some] = node
-        more, _ = self._hits(node, draws[some])
-        alone[some[more]] = True
-        out = list(map(known.ids.__getitem__, nodes.tolist()))
+    def _dropped(self, flat: list[str], nodes: np.ndarray, draws: np.ndarray | None, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each unit's begin and how many they are; ``nodes`` are the units' segmentations without
+        skips, -1 for units not remembered, new ones from ``before`` on."""
+        known, alone = self.known, nodes < 0
+        if draws is not None:
+            told = np.flatnonzero(~alone)
+            occurrence, place = self._hits(nodes[told], draws[told])
+            some, first = np.unique(occurrence, return_index=True)
+            masks = np.bitwise_or.reduceat(np.int64(1) << np.minimum(place, MASKED - 1), first) if len(some) else np.zeros(0, np.int64)
+            some = told[some]
+            # A unit with more candidates than the mask has bits is segmented by itself.
+            wide = known.candidates.count[nodes[some]] >= MASKED
+            alone[some[wide]] = True
+            some, masks = some[~wide], masks[~wide]
+            keys = nodes[some] << MASKED | masks
+            missing, index, n = np.unique(keys, return_index=True, return_counts=True)
+            # Several skips, or those of a word that is new here, are not likely to come again.
+            worth = (known.with_skips(missing) < 0) & ((n > 1) | ((nodes[some[index]] < before) & (masks[index] & (masks[index] - 1) == 0)))
+            if worth.any():
+                self._with_skips(missing[worth], [flat[i] for i in some[index[worth]].tolist()])
+            node = known.with_skips(keys)
+            alone[some[node < 0]] = True
+            some, node = some[node >= 0], node[node >= 0]
+            nodes[some] = node
+            more, _ = self._hits(node, draws[some])
+            alone[some[more]] = True
         rest = np.flatnonzero(alone)
-        for i, ids in zip(rest.tolist(), self.segment([self.spelled(flat[i]) for i in rest.tolist()], draws[rest]), strict=True):
-            out[i] = ids
-        return out
+        more_ids, more_counts = self._segmented([self.spelled(flat[i]) for i in rest.tolist()], None if draws is None else draws[rest])
+        start, count = known.ids.start[nodes], known.ids.count[nodes]
+        start[rest], count[rest] = known.ids.used + np.cumsum(more_counts) - more_counts, more_counts
+        return np.concatenate((known.ids.data[: known.ids.used], more_ids)), start, count
 
     def _hits(self, nodes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrence and place of each candidate of ``nodes`` that its draw skips, in order of occurrence."""
-        occurrence, place, candidates = self.known.of(nodes)
+        occurrence, place, candidates = self.known.candidates.of(nodes)
         hit = np.flatnonzero(self._skipped(draws[occurrence], candidates))
         return occurrence[hit], place[hit]
 
-    def _with_skips(self, wanted: list[tuple[int, int]], spelled: dict[int, str]) -> None:
-        """Remember the segmentations of units that skip the candidates in a mask and no others."""
+    def _with_skips(self, keys: np.ndarray, words: list[str]) -> None:
+        """Remember the segmentations of words that skip the candidates in a mask and no others."""
         known = self.known
-        nodes, masks = np.array(wanted, np.int64).T
-        which, place, candidates = known.of(nodes)
-        skipped = masks[which] >> place & 1 == 1
-        ids, of_unit, seen = self.traced([self.spelled(spelled[node]) for node, _ in wanted], (which[skipped], candidates[skipped]))
+        which, place, candidates = known.candidates.of(keys >> MASKED)
+        skipped = keys[which] >> place & 1 == 1
+        ids, counts, of_unit, seen = self.traced([self.spelled(w) for w in words], (which[skipped], candidates[skipped]))
         new = ~np.isin(self._in_row(of_unit, seen), self._in_row(which, candidates))
-        known.skips.update(zip(wanted, range(len(known.ids), len(known.ids) + len(ids)), strict=True))
-        known.add(ids, of_unit[new], seen[new])
+        numbers = known.ids.size + np.arange(len(keys))
+        known.add(ids, counts, of_unit[new], seen[new])
+        at = np.searchsorted(known.skips, keys)
+        known.skips, known.skipped = np.insert(known.skips, at, keys), np.insert(known.skipped, at, numbers)
 
     # -- segmentation ------------------------------------------------------------------------------
 
     def segment(self, units: list[str], draws: int | np.ndarray) -> list[bytes]:
         """The ids of each unit as 32-bit numbers, under one draw or a draw for each."""
-        draws = np.broadcast_to(np.asarray(draws, np.uint64), len(units))
-        out: list[bytes] = [b""] * len(units)
+        ids, counts = self._segmented(units, np.broadcast_to(np.asarray(draws, np.uint64), len(units)))
+        ends = np.cumsum(counts).tolist()
+        return [ids[end - n : end].tobytes() for end, n in zip(ends, counts.tolist(), strict=True)]
+
+    def _segmented(self, units: list[str], draws: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units one after another, and how many each has; without draws nothing is skipped."""
+        parts = []
         for chosen, width in self._runs(units):
-            own = draws[chosen]
-            if width:
-                found = self._rows([units[i] for i in chosen], width, lambda rows, at, own=own: self._skipped(own[rows], at))
-            else:
-                found = [self._agenda(units[i], int(draws[i])) for i in chosen]
-            for i, ids in zip(chosen, found, strict=True):
-                out[i] = ids
-        return out
-
-    def traced(self, units: list[str], skips: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The ids of each unit, the candidates they came by as numbers of units and of places; none for long units.
+            own = None if draws is None else draws[chosen]
+            if not width:
+                found = [np.frombuffer(self._agenda(units[i], None if draws is None else int(draws[i])), np.int32) for i in chosen.tolist()]
+                parts.append((chosen, np.concatenate(found), np.array(list(map(len, found)), np.int64)))
+                continue
+            skips = (lambda rows, at: np.zeros(len(rows), bool)) if own is None else (lambda rows, at, own=own: self._skipped(own[rows], at))
+            parts.append((chosen, *self._rows([units[i] for i in chosen.tolist()], width, skips)))
+        return self._in_order(parts, len(units))
+
+    @staticmethod
+    def _in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of units, put in the order of the units."""
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        chosen, ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        back = np.argsort(chosen)
+        start, count = (np.cumsum(counts) - counts)[back], counts[back]
+        which = np.repeat(start - (np.cumsum(count) - count), count)
+        return ids[which + np.arange(len(which))], count
+
+    def traced(self, units: list[str], skips: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the units and how many each has, and the candidates they came by as numbers of units and of places; none for
+        long units.
 
         A unit skips the candidates that ``skips`` lists for it in the same form, and no others.
         """
-        out, traces = [b""] * len(units), [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        parts, traces = [], [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         listed = np.sort(self._in_row(*skips)) if skips and len(skips[0]) else None
         for chosen, width in self._runs(units):
             if not width:
-                for i in chosen:
-                    out[i] = self._agenda(units[i], None)
+                found = [np.frombuffer(self._agenda(units[i], None), np.int32) for i in chosen.tolist()]
+                parts.append((chosen, np.concatenate(found), np.array(list(map(len, found)), np.int64)))
                 continue
-            numbers = np.array(chosen)
 
-            def skipped(rows: np.ndarray, at: np.ndarray, numbers: np.ndarray = numbers) -> np.ndarray:
+            def skipped(rows: np.ndarray, at: np.ndarray, numbers: np.ndarray = chosen) -> np.ndarray:
                 traces.append((numbers[rows], at))
                 if listed is None:
                     return np.zeros(len(rows), bool)
                 wanted = self._in_row(numbers[rows], at)
                 return listed[np.minimum(np.searchsorted(listed, wanted), len(listed) - 1)] == wanted
 
-            for i, ids in zip(chosen, self._rows([units[i] for i in chosen], width, skipped), strict=True):
-                out[i] = ids
+            parts.append((chosen, *self._rows([units[i] for i in chosen.tolist()], width, skipped)))
         of_unit, at = (np.concatenate(x) for x in zip(*traces, strict=True))
         order = np.argsort(of_unit, kind="stable")
-        return out, of_unit[order], at[order]
+        return *self._in_order(parts, len(units)), of_unit[order], at[order]
 
     @staticmethod
     def _in_row(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -296,19 +360,17 @@ class Encoder:
         return rows << np.uint64(21) | (at >> np.uint64(42)) << np.uint64(14) | (at >> np.uint64(21) & short) << np.uint64(7) | at & short
 
     @staticmethod
-    def _runs(units: list[str]) -> Iterator[tuple[list[int], int]]:
+    def _runs(units: Sequence[str]) -> Iterator[tuple[np.ndarray, int]]:
         """Units of like length that fit into one matrix, with its width; 0 for those too long for one."""
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        at = 0
-        while at < len(order) and len(units[order[at]]) <= LONGEST_ROW:
-            width = max(4, -(-len(units[order[at]]) // 4) * 4)
-            end = at
-            while end < len(order) and len(units[order[end]]) <= width and (end - at) * width < CELLS:
-                end += 1
-            yield order[at:end], width
-            at = end
-        if at < len(order):
-            yield order[at:], 0
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(lengths, kind="stable")
+        widths = np.where(lengths > LONGEST_ROW, 0, np.maximum(4, -(-lengths // 4) * 4))[order]
+        edges = np.flatnonzero(np.concatenate(([True], widths[1:] != widths[:-1], [True]))) if len(units) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            width = int(widths[a])
+            step = CELLS // width if width else b - a
+            for start in range(a, b, step):
+                yield order[start : min(start + step, b)], width
 
     def _skipped(self, draws: np.ndarray, at: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -317,7 +379,7 @@ class Encoder:
     def _codes(self, text: str) -> np.ndarray:
         return self.model.char_ids[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
-    def _rows(self, units: list[str], width: int, skips: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[bytes]:
+    def _rows(self, units: list[str], width: int, skips: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Segment units of at most ``width`` characters side by side, one merge in each for every round.
 
         ``skips`` tells which candidate merges are skipped, from their rows and places.
@@ -364,21 +426,25 @@ class Encoder:
             earlier = before[active, best]
             more = earlier >= 0
             offer(active[more], earlier[more], best[more])
-        return self._bytes(units, symbols[:, :width], alive)
-
-    def _bytes(self, units: list[str], symbols: np.ndarray, alive: np.ndarray) -> list[bytes]:
-        plain = ~((symbols >= self.model.size) & alive).any(axis=1)
-        flat = symbols[alive].astype(np.int32).tobytes()
-        ends = np.cumsum(alive.sum(axis=1)).tolist()
-        out, start = [], 0
-        for i, end in enumerate(ends):
-            if plain[i]:
-                out.append(flat[4 * start : 4 * end])
-            else:
-                places = np.flatnonzero(alive[i]).tolist()
-                out.append(self._with_bytes([(symbols[i, p], units[i][p]) for p in places]))
-            start = end
-        return out
+        return self._flat(units, symbols[:, :width], alive)
+
+    def _flat(self, units: list[str], symbols: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows one after another, and how many each has."""
+        odd = np.flatnonzero(((symbols >= self.model.size) & alive).any(axis=1))
+        if not len(odd):
+            return symbols[alive], alive.sum(axis=1)
+        spelled = {i: np.frombuffer(self._with_bytes([(symbols[i, p], units[i][p]) for p in np.flatnonzero(alive[i]).tolist()]), np.int32) for i in odd.tolist()}
+        alive = alive.copy()
+        alive[odd] = False
+        counts = alive.sum(axis=1)
+        counts[odd] = list(map(len, spelled.values()))
+        ids, ends = np.zeros(counts.sum(), np.int32), np.cumsum(counts)
+        plain = np.ones(len(ids), bool)
+        for i, own in spelled.items():
+            ids[ends[i] - len(own) : ends[i]] = own
+            plain[ends[i] - len(own) : ends[i]] = False
+        ids[plain] = symbols[alive]
+        return ids, counts
 
     def _with_bytes(self, symbols: list[tuple[int, str]]) -> bytes:
         """Symbols without a piece are single characters, spelled in bytes."""

@@ -31,32 +31,51 @@ from pyspark.sql import functions as F
 
 from stowage.llm.batches import column, slices
 from stowage.llm.components import components
-from stowage.llm.members import likely_among
+from stowage.llm.members import Filter
 from stowage.session import scratch_dir, written
 
 WORDS, PERCENT, SKETCH = 5, 75, 64
 DEVIATIONS = 4.5
-CACHED_WORDS = 300_000
+#: Bytes of remembered words, about; longer words are not remembered.
+CACHE_BYTES, CACHED_WORD = 24_000_000, 40
+HUB_ROWS = 4096
 # Lower-cases A-Z; bytes.split() then cuts at exactly the characters [\x20\x09-\x0D].
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_WORDS: dict[bytes, int] = {}
 
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
+class WordHashes:
+    """64-bit hashes of words, the usual ones remembered within bounds."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.held = 0
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        fresh = set(found).difference(self.known)
+        for word in fresh:
+            self.known[word] = xxhash.xxh3_64_intdigest(word)
+        hashes = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
+        for word in fresh:
+            if len(word) > CACHED_WORD:
+                del self.known[word]
+            else:
+                self.held += len(word) + 130
+        return hashes
+
+
+def shingle_set(text: str | None, width: int = WORDS, hashes_of: WordHashes | None = None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; of a shorter sequence of words, the one hash of the whole."""
     found = words(text or "")
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > CACHED_WORDS:
-        _WORDS.clear()
-    for word in set(found).difference(_WORDS):
-        _WORDS[word] = xxhash.xxh3_64_intdigest(word)
-    hashes = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    hashes = (hashes_of or WordHashes()).of(found)
     size = min(width, len(hashes))
     with np.errstate(over="ignore"):
         total = np.full(len(hashes) - size + 1, size, np.uint64)
@@ -81,8 +100,9 @@ def sketches(docs: DataFrame, k: int = SKETCH, width: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, set_digest, sketch)``: the set's size, a 128-bit digest of all of it, its ``k`` smallest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in slices(batches, "text"):
-            sets = [shingle_set(t, width) for t in column(batch, "text")]
+            sets = [shingle_set(t, width, known) for t in column(batch, "text")]
             least = [s[:k].view(np.int64) for s in sets]
             offsets = np.cumsum([0, *map(len, least)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -102,16 +122,25 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
 
 
-def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """``(doc_id, set_digest, members)``: the whole set of each row, eight bytes for each shingle."""
+def full_sets(docs: DataFrame, wanted: DataFrame, path: str, width: int = WORDS) -> DataFrame:
+    """``(doc_id, set_digest, members)`` for the rows of ``wanted(doc_id, set_digest)``: whole sets, eight bytes a shingle.
+
+    Other documents are left out by a filter before their sets are made. An id that several rows have stands for the
+    one set that has the digest. Written to ``path``.
+    """
+    likely = Filter.of(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = [shingle_set(t, width).tobytes() for t in column(batch, "text")]
+        known = WordHashes()
+        for batch in slices((likely.passing(b, b.column(0)) for b in batches), "text"):
+            sets = [shingle_set(t, width, known).tobytes() for t in column(batch, "text")]
             digests = pa.array(map(xxhash.xxh3_128_hexdigest, sets), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(sets, pa.binary())], ["doc_id", "set_digest", "members"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, set_digest string, members binary")
+    sets = _texts(docs).mapInArrow(run, "doc_id bigint, set_digest string, members binary")
+    found = written(sets.join(wanted, ["doc_id", "set_digest"], "left_semi").dropDuplicates(["doc_id"]), path)
+    likely.close()
+    return found
 
 
 def retained_lists(classes: DataFrame, k: int, shared: int, scratch: str) -> DataFrame:
@@ -172,27 +201,39 @@ def candidate_pairs(pairs: DataFrame, classes: DataFrame, k: int, shared: int) -
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: str, width: int = WORDS) -> DataFrame:
-    """``(a, b)`` of ``pairs(a, b)`` with ``100 * intersection >= PERCENT * union`` on full sets."""
+    """``(a, b)`` of ``pairs(a, b)`` with ``100 * intersection >= PERCENT * union`` on full sets.
+
+    The partners of an ``a`` stream past its set, which is sent once for every few thousand of them.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = written(classes.select("doc_id", "set_digest").join(ids, "doc_id", "left_semi"), f"{scratch}/wanted")
-    sets = full_sets(likely_among(_texts(docs), wanted), width)
-    # An id that several rows have stands for the one set that its class was made from.
-    sets = written(sets.join(wanted, ["doc_id", "set_digest"], "left_semi").dropDuplicates(["doc_id"]), f"{scratch}/sets")
+    sets = full_sets(docs, wanted, f"{scratch}/sets", width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "b_members"):
-            keep = []
-            for row in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(i)[row].as_py(), np.uint64) for i in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    members = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("b_members"))
-    hubs = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("a_members"))
-    joined = pairs.join(members, "b").join(hubs, "a").select("a", "b", "a_members", "b_members")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+        own, hub = None, np.zeros(0, np.uint64)
+        for batch in slices(batches, "members"):
+            left, right = [], []
+            for a, b, members in zip(*(column(batch, n) for n in ("a", "b", "members")), strict=True):
+                x = np.frombuffer(members, np.uint64)
+                if b is None:
+                    own, hub = a, x
+                    continue
+                if a != own:
+                    raise RuntimeError(f"the set of {a} did not come before its partners")
+                both = len(np.intersect1d(x, hub, assume_unique=True))
+                if 100 * both >= PERCENT * (len(x) + len(hub) - both):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("parts"))
+    hubs = written(hubs, f"{scratch}/hubs")
+    dealt = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    partners = dealt.join(sets.select(F.col("doc_id").alias("b"), "members"), "b").select("a", "part", "b", "members")
+    own = hubs.join(sets.select(F.col("doc_id").alias("a"), "members"), "a")
+    own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "members")
+    met = own.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return met.select("a", "b", "members").mapInArrow(run, "a bigint, b bigint")
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
@@ -222,8 +263,7 @@ def set_postings(docs: DataFrame, classes: DataFrame, open_ids: DataFrame, scrat
     least ``PERCENT`` of a set, so two linked sets share a member within the first ``n - needed + 1`` of either.
     """
     wanted = written(classes.select("doc_id", "set_digest").join(open_ids, "doc_id", "left_semi"), f"{scratch}/open")
-    sets = full_sets(likely_among(_texts(docs), wanted), width)
-    sets = sets.join(wanted, ["doc_id", "set_digest"], "left_semi").dropDuplicates(["doc_id"])
+    sets = full_sets(docs, wanted, f"{scratch}/open-sets", width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "members"):

@@ -7,6 +7,7 @@ epochs as its budget holds, and then the documents whose prefix sum lies below w
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -106,15 +107,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(
         F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(1)
     )
-    keyed = mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_mix_id"), times.cast("int").alias("_mix_times"))
-    counts = keyed.groupBy("_mix_id").agg(F.max("_mix_times").alias("_mix_times")).where("_mix_times > 0")
+    key, taken = (f"_{name}_{uuid.uuid4().hex}" for name in ("key", "times"))
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    counts = mixed.groupBy(id_text.alias(key)).agg(F.max(times.cast("int")).alias(taken)).where(F.col(taken) > 0)
     columns = [F.col(quote(c)) for c in docs.columns]
-    named = docs.withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return (
-        named.join(counts, "_mix_id")
-        .withColumn("_mix_times", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-        .select(*columns)
-    )
+    repeated = docs.withColumn(key, id_text).join(counts, key)
+    return repeated.withColumn(taken, F.explode(F.sequence(F.lit(1), F.col(taken)))).select(*columns)
 
 
 def quote(name: str) -> str:

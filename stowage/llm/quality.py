@@ -17,6 +17,7 @@ which are likely to any such model: the share of a document's word pairs that re
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -151,11 +152,11 @@ def train(spark: SparkSession, texts: DataFrame) -> DataFrame:
 
 VECTORS = (
     "shard int, salt int, part int, seq int, vectors binary, "
-    "doc_ids array<bigint>, langs array<string>, lengths array<bigint>, counts array<bigint>, repeats array<double>"
+    "doc_ids array<bigint>, langs array<string>, lengths array<bigint>, counts array<bigint>, repeats array<double>, digests array<string>"
 )
-ABOUT = ("doc_ids", "langs", "lengths", "counts", "repeats")
+ABOUT = ("doc_ids", "langs", "lengths", "counts", "repeats", "digests")
 PARTIAL = "part int, seq int, of_words boolean, " + VECTORS.partition("seq int, ")[2].replace("vectors", "sums")
-SCORES = "doc_id bigint, lang string, n_symbols bigint, perplexity double, n_words bigint, word_perplexity double, repeated double"
+SCORES = "doc_id bigint, lang string, n_symbols bigint, perplexity double, n_words bigint, word_perplexity double, repeated double, text_md5 string"
 
 
 def _pack(entries: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
@@ -210,7 +211,7 @@ def _partial(table: np.ndarray, vectors: bytes) -> bytes:
 
 
 def perplexities(docs: DataFrame, model: DataFrame, words: tuple[DataFrame, float] | None = None) -> DataFrame:
-    """``(doc_id, lang, n_symbols, perplexity, n_words, word_perplexity, repeated)`` of whole texts, a row for each row.
+    """``(doc_id, lang, n_symbols, perplexity, n_words, word_perplexity, repeated, text_md5)`` of whole texts, a row for each row.
 
     ``words`` is what :func:`stowage.llm.words.train` gives. Without text the perplexity is null, without words or a
     model of them that of the words.
@@ -237,6 +238,7 @@ def perplexities(docs: DataFrame, model: DataFrame, words: tuple[DataFrame, floa
                 pa.array([[len(t) for t in texts], *rest], pa.list_(pa.int64())),
                 pa.array([counts.tolist(), *rest], pa.list_(pa.int64())),
                 pa.array([repeats.tolist(), *rest], pa.list_(pa.float64())),
+                pa.array([[hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], *rest], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["shard", "salt", "part", "seq", "vectors", *ABOUT])
 
@@ -271,6 +273,7 @@ def perplexities(docs: DataFrame, model: DataFrame, words: tuple[DataFrame, floa
             [
                 pa.array(about[0], pa.int64()), pa.array(about[1], pa.string()), pa.array(lengths), pa.array(perplexity, mask=lengths == 0),
                 pa.array(counts), pa.array(word_perplexity, mask=(counts == 0) | (word_shards == 0)), pa.array(about[4], pa.float64()),
+                pa.array(about[5], pa.string()),
             ],
             names=[x.split()[0] for x in SCORES.split(", ")],
         )
@@ -310,7 +313,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK,
              allowance: float = ALLOWANCE) -> DataFrame:
     """``(doc_id, lang, n_symbols, perplexity, threshold, n_words, word_perplexity, word_threshold, repeated,
-    repeated_threshold, kept)``, one row for each row of ``docs(doc_id, text, lang)``.
+    repeated_threshold, kept, text_md5)``, one row for each row of ``docs(doc_id, text, lang)``.
 
     The perplexity by words and the share of repeated pairs have thresholds of their own, found in the same way; a document
     must pass all three. The models are trained on four fifths of the trusted documents, chosen by hash; the others set the thresholds. A
@@ -348,5 +351,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
         "doc_id", "lang", "n_symbols", "perplexity", thresholds["perplexity"].alias("threshold"),
         "n_words", "word_perplexity", thresholds["word_perplexity"].alias("word_threshold"),
         "repeated", thresholds["repeated"].alias("repeated_threshold"),
-        functools.reduce(Column.__and__, fits, F.col("perplexity").isNotNull()).alias("kept"),
+        functools.reduce(Column.__and__, fits, F.col("perplexity").isNotNull()).alias("kept"), "text_md5",
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +13,9 @@ from stowage.llm import (
 )
 from stowage.session import scratch_dir, written
 
-#: Folder of the public vocabulary files; the same on every machine.
-TOKENIZERS = os.environ.get("STOWAGE_TOKENIZERS", "/opt/tokenizers")
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: Public vocabulary files, which every machine has.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 QUERY_STEP = 50
 
 

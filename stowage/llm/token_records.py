@@ -32,8 +32,12 @@ from pyspark.sql.window import Window
 from stowage.llm.batches import column, slices
 
 END_ID = 0
-CACHED_WORDS = 1_200_000
+#: Bytes of remembered words, about; the memory is emptied beyond.
+CACHE_BYTES = 160_000_000
+JOINED = 2000
 MARKS = ".,;:!?"
+# Fixed value: how a byte-level vocabulary writes a blank.
+BLANK = "\u0120"
 # Fixed value: the constant by which the checksums of such record files are masked.
 MASK_DELTA = 0xA282EAD8
 LENGTH = struct.Struct("<QI")
@@ -84,7 +88,8 @@ class WordCache:
     A byte-level tokenizer never merges over the start of a word, so a text's ids are its words' ids one after another
     as long as white space is single blanks and line breaks. Any other text, and one that holds a special token, is
     encoded whole. The words that are not known yet are encoded together, without a mark at their end, and the cache is
-    emptied when it is full.
+    emptied when it is full. New words that begin with a blank are encoded many in one text and told apart by the blank with
+    which their first token begins.
     """
 
     tokenizer: object
@@ -92,8 +97,11 @@ class WordCache:
     by_word: bool
     specials: tuple[str, ...]
     known: dict[str, bytes]
+    held: int = 0
 
     def __post_init__(self) -> None:
+        tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.begins = np.fromiter((t.startswith(BLANK) for t in tokens), bool, self.tokenizer.get_vocab_size())
         self.everything = (*self.RUNS, *self.ASCII_SPACE, *self.OTHER_SPACE, *self.specials)
         self.marks = {m: np.array(ids, self.dtype).tobytes() for m, ids in zip(MARKS, self._ids(list(MARKS)), strict=True)}
 
@@ -137,17 +145,18 @@ class WordCache:
         return word[:-1] if word[-1:] and word[-1] in MARKS and word[-2:-1].isalpha() else word
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         cut = [self.words(t) for t in texts]
         fresh = set().union(*(w for w in cut if w is not None)).difference(self.known)
         stems = {word: self._stem(word) for word in fresh}
-        unknown = list(set(stems.values()).difference(self.known))
-        for word, found in zip(unknown, self._ids([self.spelled(w) for w in unknown]), strict=True):
-            self.known[word] = np.array(found, self.dtype).tobytes()
+        added = self._by_word(list(set(stems.values()).difference(self.known)))
+        self.known.update(added)
         for word, stem in stems.items():
             if word not in self.known:
-                self.known[word] = self.known[stem] + self.marks[word[-1]]
+                added[word] = self.known[word] = self.known[stem] + self.marks[word[-1]]
+        self.held += sum(map(len, added)) + sum(map(len, added.values())) + 200 * len(added)
         whole = iter(self._ids([t for t, w in zip(texts, cut, strict=True) if w is None]))
         get = self.known.__getitem__
         return [
@@ -155,6 +164,25 @@ class WordCache:
             for words in cut
         ]
 
+    def _by_word(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word."""
+        found: dict[str, bytes] = {}
+        plain = [w for w in words if w and w[0] not in "\n\0"]
+        others = [w for w in words if not w or w[0] in "\n\0"]
+        runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for run in runs:
+            ids = np.array(self._ids([" " + " ".join(run)])[0], np.int64)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(run) or starts[0]:
+                others += run
+                continue
+            data, edges = ids.astype(self.dtype).tobytes(), (starts * self.dtype.itemsize).tolist()
+            found.update(zip(run, (data[a:b] for a, b in zip(edges, [*edges[1:], len(data)], strict=True)), strict=True))
+        for start in range(0, len(others), JOINED):
+            some = others[start : start + JOINED]
+            found.update(zip(some, (np.array(i, self.dtype).tobytes() for i in self._ids([self.spelled(w) for w in some])), strict=True))
+        return found
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 

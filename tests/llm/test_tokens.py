@@ -64,7 +64,7 @@ def test_dropout_varies_and_repeats(model, real):
     plain = merge_dropout.Encoder(model, 0.0).encode(keys, texts)
     assert sum(map(len, first)) > sum(map(len, plain))
     word = {tuple(one.encode([k], ["antidisestablishment"])[0].tolist()) for k in range(200)}
-    assert 1 < len(word) <= merge_dropout.DRAWS
+    assert 1 < len(word) <= 200
     assert all(len(x) == len(t) + 1 for x, t in zip(merge_dropout.Encoder(model, 1.0).encode([0], ["abc"]), ["abc"]))
 
 
@@ -99,6 +99,51 @@ def test_remembered_segmentations_are_those_of_each_draw(model, real):
                 at += len(units)
 
 
+def naive(model, unit, draw, rate):
+    """One unit by the definition: again and again the best candidate merge of neighbours, each skipped for good by its draw."""
+    limit = min(int(rate * 2**64), 2**64 - 1)
+    parts = [(i, i + 1, int(model.char_ids[ord(c)])) for i, c in enumerate(unit)]
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % 2**64
+        return x ^ (x >> 32)
+
+    def skipped(left, middle, end):
+        place = (left << 42) ^ (middle << 21) ^ end
+        return mixed(draw ^ (place * 0x9E3779B97F4A7C15 % 2**64)) < limit
+
+    while True:
+        found = []
+        for (a, b, x), (_, c, y) in zip(parts, parts[1:]):
+            rank, symbol = model.merges.get(x << 20 | y, (None, None))
+            if rank is not None and not skipped(a, b, c):
+                found.append((rank, a, b, c, symbol))
+        if not found:
+            break
+        _, a, _, c, symbol = min(found)
+        parts = [p for p in parts if not a <= p[0] < c] + [(a, c, symbol)]
+        parts.sort()
+    ids = []
+    for a, _, symbol in parts:
+        ids += [symbol] if symbol < model.size else [model.byte_id[b] for b in unit[a].encode("utf-8", "surrogatepass")]
+    return ids
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5])
+def test_equals_a_naive_encoder(model, real, rate):
+    texts = [*real[:25], "the and of with " * 40, " 日本語 é x\n" + "ab" * 60 + " \n  x" + "n" * 44, *ODD]
+    tool = merge_dropout.Encoder(model, rate, seed=9)
+    cut = [tool.units(t) for t in texts]
+    draws, at = tool._draws(list(range(len(texts))), cut).tolist(), 0
+    for _ in range(2):
+        at = 0
+        for ids, units in zip(tool.encode(list(range(len(texts))), texts), cut, strict=True):
+            expected = [i for k, u in enumerate(units) for i in naive(model, tool.spelled(u), draws[at + k], rate)]
+            assert ids.tolist() == expected
+            at += len(units)
+
+
 def test_rows_and_agenda_agree(model, real):
     tool = merge_dropout.Encoder(model, 0.15, seed=3)
     units = list({" " + w for t in real[:30] for w in t.split()} | {" 日本語", " é\0x", "\n", "   ", " " + "ab" * 40})
