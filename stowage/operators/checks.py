@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowage.errors import StowageError
 from stowage.operators.views import create_materialized_view
@@ -104,18 +105,59 @@ def orphan_rows(df: DataFrame, columns: Iterable[str], parent: DataFrame, parent
     return values.join(keys, matches, "left_anti")
 
 
+COARSE_BITS, FINE_BITS = 12, 12
+FIRST, SECOND = 1, 2
+
+
+def row_hash(columns: Iterable[tuple[Column, T.DataType]], seed: int) -> Column:
+    """A 64-bit hash of values of any type that tells NULL from every value, at any depth; equal values hash alike."""
+    parts = [F.lit(seed)]
+    for column, kind in columns:
+        if isinstance(kind, T.StructType):
+            hashed = row_hash([(column.getField(f.name), f.dataType) for f in kind], seed)
+        elif isinstance(kind, T.ArrayType):
+            elements = F.transform(column, lambda x, kind=kind: row_hash([(x, kind.elementType)], seed))
+            hashed = F.xxhash64(F.size(column), elements)
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            hashed = column + F.lit(0.0)
+        else:
+            hashed = column
+        parts += [column.isNull(), hashed]
+    return F.xxhash64(*parts)
+
+
+def _hashed(df: DataFrame, sign: int) -> DataFrame:
+    columns = [(F.col(quoted(f.name)), f.dataType) for f in df.schema]
+    first, second = (row_hash(columns, seed) for seed in (FIRST, SECOND))
+    return df.select(F.struct(*[c for c, _ in columns]).alias("row"), F.lit(sign).alias("sign"), first.alias("first"), second.alias("second"))
+
+
+def _unequal(rows: DataFrame, *buckets: Column) -> DataFrame:
+    """Buckets in which the multisets of both sides differ, from the sums of two hashes of each row and the rows' number."""
+    signed = [F.sum(F.col(c).cast("decimal(38,0)") * F.col("sign")).alias(c) for c in ("first", "second")]
+    return rows.groupBy(*buckets).agg(F.sum("sign").alias("rows"), *signed).where("rows <> 0 OR first <> 0 OR second <> 0")
+
+
 def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that occur a different number of times on both sides: ``left_rows`` and ``right_rows`` per row.
 
-    One union and one aggregate over whole rows; equal rows meet before the shuffle where they can.
+    Both sides are reduced to sums of row hashes in 4,096 buckets, so tables that are equal shuffle nothing but these. Only
+    rows in buckets that differ are looked at again, in 4,096 finer buckets each, and only rows in finer buckets that differ
+    are compared themselves. Unequal tables that agree in both 64-bit sums of a bucket are not told apart.
     """
     if [f.dataType for f in left.schema] != [f.dataType for f in right.schema] or left.columns != right.columns:
         raise StowageError("tables with different columns cannot be compared")
-    both = left.withColumn("__left", F.lit(1)).unionAll(right.withColumn("__left", F.lit(0)))
-    counted = both.groupBy([F.col(quoted(c)) for c in left.columns]).agg(
-        F.sum("__left").alias("left_rows"), F.sum(F.lit(1) - F.col("__left")).alias("right_rows")
+    rows = _hashed(left, 1).unionAll(_hashed(right, -1))
+    coarse = F.col("first").bitwiseAND((1 << COARSE_BITS) - 1)
+    fine = F.shiftright("first", COARSE_BITS).bitwiseAND((1 << FINE_BITS) - 1)
+    differ = [r.coarse for r in _unequal(rows, coarse.alias("coarse")).select("coarse").collect()]
+    some = rows.where(coarse.isin(differ)) if differ else rows.limit(0)
+    keyed = some.select("row", "sign", "first", "second", coarse.alias("coarse"), fine.alias("fine"))
+    wrong = _unequal(keyed, F.col("coarse"), F.col("fine")).select("coarse", "fine")
+    found = keyed.join(wrong, ["coarse", "fine"], "left_semi").groupBy("row").agg(
+        F.count_if(F.col("sign") == 1).alias("left_rows"), F.count_if(F.col("sign") == -1).alias("right_rows")
     )
-    return counted.filter("left_rows <> right_rows")
+    return found.where("left_rows <> right_rows").select("row.*", "left_rows", "right_rows")
 
 
 def run_checks(

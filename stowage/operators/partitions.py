@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import datetime
 import json
-import re
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,6 +137,17 @@ def cluster_for_write(df: DataFrame, config: PartitionConfig) -> DataFrame:
     return df.hint("rebalance", *[F.col(quoted(name)) for name in config.physical_columns])
 
 
+def sorted_for_write(df: DataFrame, config: PartitionConfig) -> DataFrame:
+    """Sort each task's rows by partition and partition field.
+
+    The statistics of files and row groups then span little of the field, so any predicate on it, also one in plain SQL
+    over the view, skips most of what it does not want.
+    """
+    if not config.is_derived:
+        return df
+    return df.sortWithinPartitions(HIDDEN_COLUMN, F.col(quoted(config.field)))
+
+
 def retention_predicate(config: PartitionConfig, as_of: datetime.datetime | None) -> Column | None:
     """Partitions that have not expired at ``as_of``; rows without a partition never expire."""
     if not config.expiration_ms or config.expiration_ms <= 0 or as_of is None or config.category != "TIME":
@@ -227,65 +238,27 @@ def _partition_bound(operator: str, value: object, data_type: T.DataType, config
     return None if value >= end else part.isNull() if value < start else part.isNull() | (part <= bucket(value))
 
 
-_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]+`|[\w.]+|<=>|[<>!]=|<>|\S")
-_MOMENT = re.compile(r"\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d(?::\d\d(?:\.\d{1,6})?)?)?")
-_MIRRORED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+def names_column(df: DataFrame, predicate: Column, name: str) -> bool:
+    """Whether a predicate over ``df`` needs the column ``name``, as Spark's own analysis tells."""
+    df.where(predicate)
+    others = T.StructType([f for f in df.schema if f.name.lower() != name.lower()])
+    try:
+        df.sparkSession.createDataFrame([], others).where(predicate)
+    except AnalysisException:
+        return True
+    return False
 
 
-def bounds_in(where: str, schema: T.StructType, config: PartitionConfig, utc: bool) -> list[Filter]:
-    """Filters on the partition field that every row of ``where`` meets.
+def touched_partitions(storage: DataFrame, predicate: Column) -> Column:
+    """A condition on the derived column for the partitions in which some row meets ``predicate``.
 
-    Read are the conditions that the predicate joins by AND outside of parentheses: the field compared with a literal, or
-    BETWEEN two. Anything else is passed over, and a predicate with a comment, or OR or CASE outside of parentheses, has none.
-    ``utc`` tells whether the session's time zone is UTC: elsewhere, instants and zone-less times are not compared.
+    Any predicate will do: the partitions are found by a scan of the columns that it reads and no others. The driver gets
+    one value for each partition.
     """
-    conditions: list[list[str]] = [[]]
-    depth, between = 0, False
-    if "--" in where or "/*" in where:
-        return []
-    for token in _TOKEN.findall(where):
-        word = token.upper()
-        depth += (token == "(") - (token == ")")
-        if depth or token == ")":
-            conditions[-1].append("(")
-            continue
-        if word in ("OR", "CASE"):
-            return []
-        if word == "AND" and not between:
-            conditions.append([])
-            continue
-        between = word == "BETWEEN" or between and word != "AND"
-        conditions[-1].append(token)
-
-    field = schema[next(f.name for f in schema if f.name.lower() == config.field.lower())]
-
-    def value(tokens: list[str]) -> object | None:
-        prefix, text = (tokens[0].upper(), tokens[1]) if len(tokens) == 2 else ("", tokens[0]) if len(tokens) == 1 else ("", "")
-        if config.category == "RANGE":
-            return int(text) if not prefix and re.fullmatch(r"\d+", text) else None
-        local = not isinstance(field.dataType, T.TimestampType)
-        crosses = prefix == ("TIMESTAMP" if local else "TIMESTAMP_NTZ")
-        if prefix not in ("", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ") or crosses and not utc:
-            return None
-        return text[1:-1] if text[:1] == "'" and _MOMENT.fullmatch(text[1:-1]) else None
-
-    def is_field(token: str) -> bool:
-        return token.strip("`").lower() == config.field.lower()
-
-    found: list[Filter] = []
-    for condition in conditions:
-        words = [t.upper() for t in condition]
-        if len(condition) >= 3 and is_field(condition[0]) and condition[1] in _MIRRORED:
-            bound = value(condition[2:])
-            found += [(field.name, condition[1], bound)] if bound is not None else []
-        elif len(condition) >= 3 and is_field(condition[-1]) and condition[-2] in _MIRRORED:
-            bound = value(condition[:-2])
-            found += [(field.name, _MIRRORED[condition[-2]], bound)] if bound is not None else []
-        elif len(condition) >= 5 and is_field(condition[0]) and words[1] == "BETWEEN" and "AND" in words:
-            middle = words.index("AND")
-            low, high = value(condition[2:middle]), value(condition[middle + 1 :])
-            found += [(field.name, "between", (low, high))] if low is not None and high is not None else []
-    return found
+    found = [r[0] for r in storage.where(predicate).select(HIDDEN_COLUMN).distinct().collect()]
+    part = F.col(HIDDEN_COLUMN)
+    inside = part.isin([F.lit(v).cast(storage.schema[HIDDEN_COLUMN].dataType) for v in found if v is not None])
+    return inside | part.isNull() if None in found else inside
 
 
 def require_partition_filter(name: str, config: PartitionConfig, filtered: set[str]) -> None:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import datetime
 import json
-import re
 import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage.errors import ObjectExists, StowageError
 from stowage.operators import partitions as parts
+from stowage.operators import zones
 from stowage.operators.partitions import PartitionConfig
 from stowage.session import literal, properties_clause, quoted
 from stowage.sources import catalog, formats, schemas
@@ -33,8 +33,14 @@ def drop_object(spark: SparkSession, database: str, name: str) -> None:
     kind = "VIEW" if description.get("type") == "VIEW" else "TABLE"
     spark.sql(f"DROP {kind} IF EXISTS {quoted(database, name)}")
     storage = catalog.properties_of(description).get(catalog.STORAGE)
-    if storage:
-        spark.sql(f"DROP TABLE IF EXISTS {quoted(database, storage)}")
+    for table in (storage, catalog.properties_of(description).get(catalog.PREVIOUS)):
+        if table:
+            _drop_storage(spark, database, table)
+
+
+def _drop_storage(spark: SparkSession, database: str, storage: str) -> None:
+    for table in (storage, zones.map_of(storage)):
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(database, table)}")
 
 
 def create_physical(df: DataFrame, database: str, name: str, partition_columns: Iterable[str],
@@ -76,11 +82,13 @@ def publish(spark: SparkSession, database: str, name: str, df: DataFrame, schema
     """Write a storage table and put a view over it that shows exactly the columns of ``schema``.
 
     Replacing the view is the last step, so readers see the old content or the new, and a failed
-    write leaves the old content in place. The storage table of the previous content is dropped.
+    write leaves the old content in place. The storage table of the previous content stays for readers that are still at
+    it, and is dropped when the view is replaced again.
     """
-    previous = None
+    previous = before = None
     if spark.catalog.tableExists(quoted(database, name)):
-        previous = catalog.properties_of(catalog.describe(spark, database, name)).get(catalog.STORAGE)
+        found = catalog.properties_of(catalog.describe(spark, database, name))
+        previous, before = found.get(catalog.STORAGE), found.get(catalog.PREVIOUS)
     storage = f"{name}__{uuid.uuid4().hex[:12]}"
     physical: tuple[str, ...] = ()
     if partition is not None:
@@ -89,16 +97,19 @@ def publish(spark: SparkSession, database: str, name: str, df: DataFrame, schema
         physical = partition.physical_columns
         if not clustered:
             df = parts.cluster_for_write(df, partition)
+        df = parts.sorted_for_write(df, partition)
     rows = create_physical(df, database, storage, physical, {catalog.STORAGE_OF: name})
+    if partition is not None and partition.is_derived:
+        zones.write_map(spark, database, storage, name, [partition.field])
     selected = ", ".join(quoted(f.name) for f in schema)
     comment = f"COMMENT {literal(description)}" if description else ""
     spark.sql(
         f"CREATE OR REPLACE VIEW {quoted(database, name)} ({view_columns(schema)}) {comment} "
-        f"TBLPROPERTIES {properties_clause(catalog.stored({**properties, catalog.STORAGE: storage}))} "
+        f"TBLPROPERTIES {properties_clause(catalog.stored({**properties, catalog.STORAGE: storage, **({catalog.PREVIOUS: previous} if previous else {})}))} "
         f"AS SELECT {selected} FROM {quoted(database, storage)}"
     )
-    if previous:
-        spark.sql(f"DROP TABLE IF EXISTS {quoted(database, previous)}")
+    if before:
+        _drop_storage(spark, database, before)
     return rows
 
 
@@ -131,13 +142,7 @@ def write_table(
             return append_rows(spark, database, table, df)
         behind_view = catalog.STORAGE in catalog.properties_of(catalog.describe(spark, database, table))
         if not (behind_view and partition is not None and partition.is_derived):
-            # Written beside the old content, which may be read on the way and stays if the write fails.
-            staged = f"{table}__{uuid.uuid4().hex[:12]}"
-            rows = write_table(spark, f"{database}.{staged}", df, partition, description, labels, schema, "error", clustered)
-            drop_object(spark, database, table)
-            kind = "VIEW" if partition is not None and partition.is_derived else "TABLE"
-            spark.sql(f"ALTER {kind} {quoted(database, staged)} RENAME TO {quoted(database, table)}")
-            return rows
+            return _replace_table(spark, database, table, df, partition, description, labels, schema, clustered)
 
     hidden = parts.HIDDEN_COLUMN if parts.HIDDEN_COLUMN in df.columns else None
     visible = T.StructType([f for f in schema if f.name != hidden])
@@ -160,6 +165,58 @@ def write_table(
     return create_physical(df, database, table, physical, properties, description)
 
 
+def _replace_table(spark: SparkSession, database: str, table: str, df: DataFrame, partition: PartitionConfig | None,
+                   description: str | None, labels: Mapping[str, str] | None, schema: T.StructType, clustered: bool) -> int:
+    """Write new content beside the old, which may be read on the way, and put it in its place.
+
+    A table of the same columns without partitions is moved to the new files in one catalog operation: readers see the old
+    content or the new and never miss the table. The old files stay until the next overwrite. Other tables
+    are dropped and the new one renamed; what a crash leaves between the two, :func:`recover_overwrites` puts right.
+    """
+    recover_overwrites(spark, database, table)
+    staged = f"{table}__{uuid.uuid4().hex[:12]}"
+    marked = {**(labels or {}), catalog.REPLACES: table}
+    rows = write_table(spark, f"{database}.{staged}", df, partition, description, marked, schema, "error", clustered)
+    old, new = (catalog.describe(spark, database, t) for t in (table, staged))
+    plain = all(d.get("type") == "MANAGED" and not d.get("partition_columns") and d.get("provider") == "parquet" for d in (old, new))
+    same = [(f.name, f.dataType) for f in spark.table(quoted(database, table)).schema] == [(f.name, f.dataType) for f in spark.table(quoted(database, staged)).schema]
+    if plain and same:
+        was = catalog.properties_of(old)
+        spark.sql(f"ALTER TABLE {quoted(database, table)} SET LOCATION {literal(new['location'])}")
+        # From here on the staged name stands for the old files; the next overwrite drops them.
+        spark.sql(f"ALTER TABLE {quoted(database, staged)} SET LOCATION {literal(old['location'])}")
+        if was.get(catalog.PREVIOUS):
+            spark.sql(f"DROP TABLE IF EXISTS {quoted(database, was[catalog.PREVIOUS])}")
+        now = {k: v for k, v in catalog.properties_of(new).items() if k != catalog.REPLACES}
+        gone = [k for k in was if k not in now and k != catalog.PREVIOUS]
+        if gone:
+            spark.sql(f"ALTER TABLE {quoted(database, table)} UNSET TBLPROPERTIES IF EXISTS ({', '.join(literal(k) for k in gone)})")
+        spark.sql(f"ALTER TABLE {quoted(database, table)} SET TBLPROPERTIES {properties_clause(catalog.stored({**now, catalog.PREVIOUS: staged}))}")
+        spark.sql(f"ALTER TABLE {quoted(database, staged)} SET TBLPROPERTIES {properties_clause(catalog.stored({catalog.STORAGE_OF: table}))}")
+        spark.sql(f"COMMENT ON TABLE {quoted(database, table)} IS {literal(description) if description else 'NULL'}")
+        return rows
+    drop_object(spark, database, table)
+    _rename(spark, database, staged, table)
+    return rows
+
+
+def _rename(spark: SparkSession, database: str, staged: str, table: str) -> None:
+    kind = "VIEW" if catalog.describe(spark, database, staged).get("type") == "VIEW" else "TABLE"
+    spark.sql(f"ALTER {kind} {quoted(database, staged)} RENAME TO {quoted(database, table)}")
+    spark.sql(f"ALTER {kind} {quoted(database, table)} UNSET TBLPROPERTIES IF EXISTS ({', '.join(literal(k) for k in catalog.stored({catalog.REPLACES: ''}))})")
+
+
+def recover_overwrites(spark: SparkSession, database: str, table: str) -> bool:
+    """Put a table in place whose overwrite was cut off after the old one was dropped; tells whether there was one."""
+    if spark.catalog.tableExists(quoted(database, table)):
+        return False
+    for found in spark.catalog.listTables(database, f"{table}__*"):
+        if not found.isTemporary and catalog.properties_of(catalog.describe(spark, database, found.name)).get(catalog.REPLACES) == table:
+            _rename(spark, database, found.name, table)
+            return True
+    return False
+
+
 def append_rows(spark: SparkSession, database: str, table: str, df: DataFrame) -> int:
     """Add rows to an existing table, through its storage table if it has one."""
     found = catalog.describe(spark, database, table)
@@ -174,10 +231,12 @@ def append_rows(spark: SparkSession, database: str, table: str, df: DataFrame) -
         target = properties[catalog.STORAGE]
         df = parts.add_partition_column(df, config)
     if config is not None:
-        df = parts.cluster_for_write(df, config)
+        df = parts.sorted_for_write(parts.cluster_for_write(df, config), config)
     counted = Observation(f"rows-{uuid.uuid4().hex}")
     in_order = [F.col(quoted(c)) for c in spark.table(quoted(database, target)).columns]
     df.select(in_order).observe(counted, F.count(F.lit(1)).alias("rows")).write.insertInto(quoted(database, target))
+    if target != table:
+        zones.extend_map(spark, database, target)
     return counted.get["rows"]
 
 
@@ -190,32 +249,41 @@ def partition_of(description: dict) -> PartitionConfig | None:
     return parts.column_partition(*columns) if columns else None
 
 
-def read_table(spark: SparkSession, name: str, filters: Iterable[parts.Filter] = (), where: str | None = None) -> DataFrame:
-    """Read a table, pruning partitions by ``filters`` on the partition field.
+def read_table(spark: SparkSession, name: str, filters: Iterable[parts.Filter | Column] = (), where: str | None = None) -> DataFrame:
+    """Read a table, leaving out partitions and files by ``filters`` and ``where``.
 
-    ``filters`` is a conjunction of ``(column, operator, value)`` with operators ``= > >= < <= in
-    between``; ``where`` is a SQL predicate on top, and conditions in it that bound the partition field prune too.
-    A table that requires a partition filter raises unless one of them bounds its partition field.
+    ``filters`` is a conjunction of ``(column, operator, value)`` with operators ``= > >= < <= in between``, and of columns
+    that hold any predicate. The former bound the partitions and, by the zone map, the files that are opened; the latter
+    are first evaluated over the columns they read, to find the partitions with rows that meet them. ``where`` is a SQL
+    predicate on top, which Spark pushes down to row groups. A table that requires a partition filter raises unless one
+    of them reads its partition field.
     """
     database, table = split_name(spark, name)
     filters = list(filters)
+    triples = [f for f in filters if not isinstance(f, Column)]
+    predicates = [f for f in filters if isinstance(f, Column)]
     found = catalog.describe(spark, database, table)
     config = partition_of(found)
     visible = spark.table(quoted(database, table))
-    bounds = []
-    if config is not None and config.is_derived and where:
-        utc = spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z")
-        bounds = parts.bounds_in(where, visible.schema, config, utc)
-    if config is not None:
-        parts.require_partition_filter(f"{database}.{table}", config, {f[0] for f in [*filters, *bounds]})
+    given = [*predicates, *([F.expr(where)] if where else [])]
+    if config is not None and config.require_filter:
+        named = {f[0] for f in triples} | {config.field for p in given if parts.names_column(visible, p, config.field)}
+        parts.require_partition_filter(f"{database}.{table}", config, named)
     df = visible
     if config is not None and config.is_derived:
-        df = spark.table(quoted(database, catalog.properties_of(found)[catalog.STORAGE]))
-    predicate = parts.filter_predicate([*filters, *bounds], visible.schema, config)
+        storage = catalog.properties_of(found)[catalog.STORAGE]
+        files = zones.matching_files(spark, database, storage, triples)
+        df = spark.table(quoted(database, storage)) if files is None else zones.read_files(spark, database, storage, files)
+    predicate = parts.filter_predicate(triples, visible.schema, config)
     if predicate is not None:
         df = df.filter(predicate)
-    df = df.select([F.col(quoted(c)) for c in visible.columns])
-    return df.filter(where) if where else df
+    if config is not None and config.is_derived:
+        for one in predicates:
+            if parts.names_column(visible, one, config.field):
+                df = df.filter(parts.touched_partitions(df, one))
+    for one in given:
+        df = df.filter(one)
+    return df.select([F.col(quoted(c)) for c in visible.columns])
 
 
 def snapshot_table(df: DataFrame, path: str, fmt: FileFormat, partition: PartitionConfig | None = None) -> dict:

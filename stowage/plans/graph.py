@@ -1,9 +1,12 @@
 """Dependency graphs as two DataFrames: ``nodes(key)`` and ``edges(key, requisite)``.
 
-Both walks below go round by round. A round joins the edges with the keys found in the round
-before, and writes its state as a table in the scratch folder: the plan never grows, an executor
-may be lost at any time, and Spark sees the true size of the small side and broadcasts it only if
-it is small. Where it is not, adaptive execution splits a requisite that many nodes wait for.
+Both walks below first contract chains: a node with one requisite is only as far from the next node that has none or
+several as its chain is long, which pointer doubling finds in as many rounds as the length has binary digits. The rest
+goes round by round over the nodes with several requisites.
+
+A round joins the edges with the keys found in the round before, and writes its state as a table in the scratch folder: the
+plan never grows, an executor may be lost at any time, and Spark sees the true size of the small side and broadcasts it only
+if it is small. Where it is not, adaptive execution splits a requisite that many nodes wait for.
 """
 
 from __future__ import annotations
@@ -56,87 +59,143 @@ def ready_nodes(nodes: DataFrame, edges: DataFrame, done: DataFrame) -> DataFram
     return remaining.join(pending.select("key").distinct(), "key", "left_anti")
 
 
+def _raise_cycle(stuck: DataFrame) -> None:
+    some = [str(r.key) for r in stuck.select("key").orderBy("key").limit(5).collect()]
+    raise GraphError(f"{stuck.count()} nodes wait for each other in a cycle, such as {', '.join(some)}")
+
+
+def contracted(links: DataFrame, marks: DataFrame, scratch: str) -> DataFrame:
+    """``(key, root, steps, mark)`` for every node with exactly one requisite in ``links(key, requisite)``.
+
+    ``root`` is the first node on the way down that has none or several requisites, ``steps`` how far it is. ``mark`` is the
+    smallest mark in ``marks(key, mark)`` on the way, its own included and the root's not. A way that leads back into
+    itself has no root: its nodes keep pointing at each other, with ``root`` NULL.
+    """
+    single = links.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("requisite").alias("next")).where("n = 1").select("key", "next")
+    state = single.join(marks, "key", "left").select("key", "next", F.lit(1).cast("bigint").alias("steps"), "mark")
+    state, found = _counted(state, f"{scratch}/chains-0", rows=F.count(F.lit(1)))
+    # A chain has no more steps than there are such nodes; whoever has made more goes round in a circle.
+    nodes, turn, before = found["rows"], 0, None
+    open_nodes = state.select("key", "next", "steps", "mark", F.lit(True).alias("open"))
+    while nodes and before != 0 and 1 << turn <= 2 * nodes:
+        turn += 1
+        ahead = open_nodes.select(F.col("key").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"), F.col("mark").alias("there"))
+        moved = open_nodes.where("open").join(ahead, "next", "left").select(
+            "key", F.coalesce("after", "next").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.least("mark", "there").alias("mark"), F.col("after").isNotNull().alias("open"),
+        )
+        # A node whose way has ended points at its root; others go through it there, and it moves no more.
+        both = moved.unionByName(open_nodes.where("NOT open"))
+        open_nodes, found = _counted(both, f"{scratch}/chains-{turn}", open=F.count_if("open"))
+        before = found["open"]
+    return open_nodes.select("key", F.when(~F.col("open"), F.col("next")).alias("root"), "steps", "mark")
+
+
+def _contracted_links(links: DataFrame, chains: DataFrame) -> DataFrame:
+    """``(key, requisite, steps, mark)`` between the nodes that are left, for those with several requisites."""
+    several = links.join(chains.select("key"), "key", "left_anti")
+    through = chains.select(F.col("key").alias("requisite"), "root", F.col("steps").alias("more"), "mark")
+    return several.join(through, "requisite", "left").select(
+        "key", F.coalesce("root", "requisite").alias("requisite"), (F.coalesce("more", F.lit(0)) + 1).alias("steps"), "mark"
+    )
+
+
 def restore_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(key, wave)``: wave 0 has no requisites, every other node comes one wave after its last one.
 
-    Each node carries the number of requisites it still waits for. A round counts, per node, the
-    requisites that became ready in the round before and subtracts them; a node reaching zero is
-    ready and leaves the state. Duplicate nodes and cycles raise.
+    Nodes with one requisite follow their chain's root at a known distance. Each other node carries the number of requisites
+    it still waits for and the latest wave among those that are ready; a round subtracts what became ready in the
+    round before, and a node reaching zero is ready and leaves the state. Duplicate nodes and cycles raise.
     """
     spark: SparkSession = nodes.sparkSession
     base = scratch_dir(spark, "waves")
-    state_path = base + "/state"
-
+    copies, found = _counted(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), base + "/nodes", duplicates=F.count_if(F.col("copies") > 1))
+    if found["duplicates"]:
+        some = [str(r.key) for r in copies.filter("copies > 1").select("key").orderBy("key").limit(5).collect()]
+        raise GraphError(f"duplicate nodes: {', '.join(some)}")
     links = written(dependency_edges(nodes, edges), base + "/edges")
+    no_marks = links.limit(0).select("key", F.lit(None).cast("string").alias("mark"))
+    chains = written(contracted(links, no_marks, base), base + "/chains")
+    turning = chains.where("root IS NULL")
+    if not turning.isEmpty():
+        _raise_cycle(turning)
+    links = written(_contracted_links(links, chains).select("key", "requisite", "steps"), base + "/contracted")
 
     waiting = links.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
-    copies = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    state = copies.join(waiting, "key", "left").select("key", F.coalesce("left", F.lit(0)).alias("left"), "copies")
-    wave, kept = 0, 0
+    state = copies.select("key").join(chains.select("key"), "key", "left_anti").join(waiting, "key", "left").select(
+        "key", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).cast("bigint").alias("wave")
+    )
+    turn, kept = 0, 0
     while True:
         state, found = _counted(
-            state,
-            f"{state_path}/wave={wave}",
-            ready=F.count_if(F.col("left") == 0),
-            waiting=F.count_if(F.col("left") > 0),
-            duplicates=F.count_if(F.col("copies") > 1),
+            state, f"{base}/state/turn={turn}", ready=F.count_if(F.col("left") == 0), waiting=F.count_if(F.col("left") > 0)
         )
-        if found["duplicates"]:
-            some = [str(r.key) for r in state.filter("copies > 1").select("key").orderBy("key").limit(5).collect()]
-            raise GraphError(f"duplicate nodes: {', '.join(some)}")
         if found["waiting"] == 0:
             break
-        blocked = state.filter("left > 0")
-        if wave == 0:
+        blocked = state.filter("left > 0").select("key", "left", "wave")
+        if turn == 0:
             kept = found["waiting"]
         if found["ready"] == 0:
-            some = [str(r.key) for r in blocked.select("key").orderBy("key").limit(5).collect()]
-            raise GraphError(f"{found['waiting']} nodes wait for each other in a cycle, such as {', '.join(some)}")
+            behind = chains.join(blocked.select(F.col("key").alias("root")), "root", "left_semi").select("key")
+            _raise_cycle(blocked.select("key").unionByName(behind))
         if found["waiting"] * SHRINK_FACTOR <= kept:
             # Edges of finished nodes are dead weight in every later round.
             kept = found["waiting"]
-            links = written(links.join(blocked.select("key"), "key", "left_semi"), f"{base}/edges-{wave}")
-        ready = state.filter("left = 0").select(F.col("key").alias("requisite"))
-        released = links.join(ready, "requisite").groupBy("key").agg(F.count(F.lit(1)).alias("released"))
+            links = written(links.join(blocked.select("key"), "key", "left_semi"), f"{base}/edges-{turn}")
+        ready = state.filter("left = 0").select(F.col("key").alias("requisite"), F.col("wave").alias("of"))
+        released = links.join(ready, "requisite").groupBy("key").agg(
+            F.count(F.lit(1)).alias("released"), F.max(F.col("of") + F.col("steps")).alias("after")
+        )
         state = blocked.join(released, "key", "left").select(
-            "key", (F.col("left") - F.coalesce("released", F.lit(0))).alias("left"), "copies"
+            "key", (F.col("left") - F.coalesce("released", F.lit(0))).alias("left"), F.greatest("wave", "after").alias("wave")
         )
-        wave += 1
-    return spark.read.parquet(state_path).filter("left = 0").select("key", "wave")
+        turn += 1
+    own = spark.read.parquet(f"{base}/state").filter("left = 0").select("key", "wave")
+    follow = chains.join(own.select(F.col("key").alias("root"), F.col("wave").alias("of")), "root")
+    return own.unionByName(follow.select("key", (F.col("of") + F.col("steps")).alias("wave"))).select("key", F.col("wave").cast("int").alias("wave"))
 
 
 def blocked_dependents(nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:
     """``(key, failed_requisite)``: nodes that can never become ready because an ancestor failed.
 
-    Where several ancestors failed the smallest key is reported. A round passes each node's cause to
-    its dependents and keeps only those that are new or got a smaller cause.
+    Where several ancestors failed the smallest key is reported. Causes run down chains of single requisites at once; among
+    the other nodes a round passes causes on from nodes whose cause is new or got smaller in the round before. What
+    is known so far is one table of best causes in few pieces: pieces of like size are merged, so each cause is
+    rewritten a number of times that grows with the logarithm of their number.
     """
     spark: SparkSession = nodes.sparkSession
     base = scratch_dir(spark, "blocked")
-    reached_path = base + "/reached"
     links = written(dependency_edges(nodes, edges), base + "/edges")
-
-    fresh, found = _counted(
-        failed.select("key", F.col("key").alias("cause")).distinct(), reached_path + "/round=0", rows=F.count(F.lit(1))
+    marks = written(failed.select("key", F.col("key").alias("mark")).distinct(), base + "/failed")
+    chains = written(contracted(links, marks, base), base + "/chains")
+    # A circle of single requisites is one class of its own: whatever failed in it blocks all of it.
+    short = written(_contracted_links(links, chains), base + "/contracted")
+    heads = written(
+        marks.unionByName(short.where("mark IS NOT NULL").select("key", "mark")).groupBy("key").agg(F.min("mark").alias("mark")), base + "/heads"
     )
-    schema = fresh.schema
-    step = 0
+    fresh, found = _counted(heads, base + "/round-0", rows=F.count(F.lit(1)))
+    pieces, step = [(fresh, found["rows"])], 0
     while found["rows"] > 0:
         step += 1
-        passed = (
-            links.join(fresh.select(F.col("key").alias("requisite"), "cause"), "requisite")
-            .groupBy("key")
-            .agg(F.min("cause").alias("cause"))
-        )
-        known = (
-            spark.read.schema(schema).parquet(*[f"{reached_path}/round={i}" for i in range(step)])
-            .groupBy("key").agg(F.min("cause").alias("known"))
-        )
-        better = passed.join(known, "key", "left").filter("known is null or cause < known").select("key", "cause")
-        fresh, found = _counted(better, f"{reached_path}/round={step}", rows=F.count(F.lit(1)))
-    return (
-        spark.read.schema(schema).parquet(reached_path)
-        .groupBy("key")
-        .agg(F.min("cause").alias("failed_requisite"))
-        .join(failed.select("key"), "key", "left_anti")
-    )
+        passed = short.join(fresh.select(F.col("key").alias("requisite"), F.col("mark").alias("cause")), "requisite")
+        passed = passed.groupBy("key").agg(F.min("cause").alias("mark"))
+        known = _best([piece for piece, _ in pieces]).withColumnRenamed("mark", "known")
+        better = passed.join(known, "key", "left").filter("known IS NULL OR mark < known").select("key", "mark")
+        fresh, found = _counted(better, f"{base}/round-{step}", rows=F.count(F.lit(1)))
+        pieces.append((fresh, found["rows"]))
+        while len(pieces) > 1 and pieces[-2][1] <= 2 * pieces[-1][1]:
+            last, other = pieces.pop(), pieces.pop()
+            pieces.append((written(_best([other[0], last[0]]), f"{base}/merged-{step}-{len(pieces)}"), other[1] + last[1]))
+    best = written(_best([piece for piece, _ in pieces]), base + "/best")
+    # A chain's node is blocked by what failed on its way or blocks its root; a failed node's own mark blocks others only.
+    below = chains.join(best.select(F.col("key").alias("root"), F.col("mark").alias("of_root")), "root", "left")
+    below = below.select("key", F.least("mark", "of_root").alias("mark")).where("mark IS NOT NULL")
+    every = best.unionByName(below).groupBy("key").agg(F.min("mark").alias("failed_requisite"))
+    return every.join(failed.select("key"), "key", "left_anti")
+
+
+def _best(pieces: list[DataFrame]) -> DataFrame:
+    both = pieces[0]
+    for piece in pieces[1:]:
+        both = both.unionByName(piece)
+    return both.groupBy("key").agg(F.min("mark").alias("mark"))

@@ -18,6 +18,8 @@ RESERVED = "stowage."
 KIND = RESERVED + "kind"
 STORAGE = RESERVED + "storage"
 STORAGE_OF = RESERVED + "storage_of"
+PREVIOUS = RESERVED + "previous"
+REPLACES = RESERVED + "replaces"
 PARTITION = RESERVED + "partition"
 REQUIRED = RESERVED + "required"
 QUERY = RESERVED + "query"

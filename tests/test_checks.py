@@ -90,3 +90,33 @@ def test_differing_rows_counts_copies(spark):
     assert found == {(1, "a", 2, 1), (3, "c", 1, 0), (4, "d", 0, 1)}
     with pytest.raises(StowageError):
         differing_rows(left, right.select("y", "x"))
+
+
+def counted(df):
+    return sorted(((*r[:-2],), r.left_rows, r.right_rows) for r in df.collect())
+
+
+def test_differences_of_any_type_are_found(spark):
+    schema = "a int, b string, c double, d array<string>, e struct<x: int, y: string>, f timestamp_ntz"
+    rows = [
+        (1, "x", 0.5, ["p", None], (1, "q"), None), (None, "1", 0.0, [], (None, "1"), None), (1, None, -0.0, None, None, None), (1, "x", 0.5, ["p", None], (1, "q"), None),
+    ]
+    left = spark.createDataFrame(rows, schema)
+    assert differing_rows(left, left.orderBy("b")).isEmpty()
+    for changed in (
+        (1, "x", 0.5, [None, "p"], (1, "q"), None), (1, "x", 0.5, ["p"], (1, "q"), None), (1, "x", 0.5, ["p", None], (1, None), None),
+        (1, "x", 0.5, ["p", None], None, None), (None, "x", 0.5, ["p", None], (1, "q"), None), (1, "x", None, ["p", None], (1, "q"), None),
+    ):
+        found = differing_rows(left, spark.createDataFrame([changed, *rows[1:]], schema)).collect()
+        assert sorted((r.left_rows, r.right_rows) for r in found) == [(0, 1), (2, 1)], changed
+    assert differing_rows(left, spark.createDataFrame([(1, None, 0.0, None, None, None), rows[0], rows[0], rows[1]], schema)).isEmpty()
+
+
+def test_only_digests_and_unequal_rows_are_shuffled(spark):
+    rows = spark.range(0, 30_000, 1, 4).selectExpr("id % 1000 AS k", "sha2(CAST(id AS STRING), 256) AS v")
+    planted = rows.where("v <> sha2('77', 256)").unionByName(spark.sql("SELECT 5L AS k, 'new' AS v"))
+    found = sorted((r.v == "new", r.left_rows, r.right_rows) for r in differing_rows(rows, planted).collect())
+    assert found == [(False, 1, 0), (True, 0, 1)]
+    assert differing_rows(rows, rows.repartition(7)).isEmpty()
+    everything = differing_rows(rows, spark.createDataFrame([], rows.schema))
+    assert everything.count() == 30_000 and everything.agg({"right_rows": "max"}).first()[0] == 0

@@ -83,3 +83,42 @@ def test_random_graphs_match_brute_force(spark, seed, size):
     found = waves(spark, nodes, edges)
     assert found == expected_waves(nodes, edges)
     assert all(found[k] > found[r] for k, r in edges)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, written = 3000, []
+    counted = graph._counted
+    monkeypatch.setattr(graph, "_counted", lambda df, path, **m: written.append(path) or counted(df, path, **m))
+    nodes = spark.range(n).selectExpr("CAST(id AS STRING) AS key")
+    edges = spark.range(1, n).selectExpr("CAST(id AS STRING) AS key", "CAST(id - 1 AS STRING) AS requisite")
+    assert graph.restore_waves(nodes, edges).where("wave <> CAST(key AS INT)").isEmpty()
+    assert len(written) < 20
+    written.clear()
+    failed = spark.createDataFrame([("100",), ("2000",)], "key string")
+    found = {r.key: r.failed_requisite for r in graph.blocked_dependents(nodes, edges, failed).collect()}
+    assert found == {str(i): "100" for i in range(101, n) if i != 2000}
+    assert len(written) < 20
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 2**32))
+def test_contracted_walks_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(40)]
+    rng.shuffle(names)
+    edges = {(names[i], names[j]) for i in range(40) for j in rng.sample(range(i), min(i, rng.choice((0, 1, 1, 1, 2, 3))))}
+    assert waves(spark, names, edges) == expected_waves(names, edges)
+    failed = set(rng.sample(names, 5))
+    causes = {n: {n} & failed for n in names}
+    for _ in names:
+        for k, r in edges:
+            causes[k] = causes[k] | causes[r]
+    expected = {n: min(c) for n, c in causes.items() if c and n not in failed}
+    found = graph.blocked_dependents(*frames(spark, names, edges), spark.createDataFrame([(f,) for f in failed], "key string"))
+    assert {r.key: r.failed_requisite for r in found.collect()} == expected
+
+
+def test_blocked_in_and_behind_a_circle(spark):
+    nodes, edges = frames(spark, list("abcdefg"), [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("e", "g"), ("f", "g")])
+    found = {r.key: r.failed_requisite for r in graph.blocked_dependents(nodes, edges, spark.createDataFrame([("b",)], "key string")).collect()}
+    assert found == {"a": "b", "c": "b", "d": "b", "e": "b"}
