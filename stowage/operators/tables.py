@@ -6,6 +6,7 @@ import datetime
 import json
 import uuid
 from collections.abc import Iterable, Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -203,9 +204,24 @@ def _replace_table(spark: SparkSession, database: str, table: str, df: DataFrame
 def _rename(spark: SparkSession, database: str, staged: str, table: str) -> None:
     kind = "VIEW" if catalog.describe(spark, database, staged).get("type") == "VIEW" else "TABLE"
     spark.sql(f"ALTER {kind} {quoted(database, staged)} RENAME TO {quoted(database, table)}")
+    _follow(spark, database, table)
     spark.sql(f"ALTER {kind} {quoted(database, table)} UNSET TBLPROPERTIES IF EXISTS ({', '.join(literal(k) for k in catalog.stored({catalog.REPLACES: ''}))})")
 
 
+def _follow(spark: SparkSession, database: str, table: str) -> None:
+    """Point the partitions of a renamed table at its folder, where a catalog has moved the folder and not them."""
+    found = catalog.describe(spark, database, table)
+    if not found.get("partition_columns") or found.get("type") == "VIEW":
+        return
+    for row in spark.sql(f"SHOW PARTITIONS {quoted(database, table)}").collect():
+        pairs = [part.split("=", 1) for part in row.partition.split("/")]
+        spec = ", ".join(f"{quoted(unquote(name))} = {literal(unquote(value))}" for name, value in pairs)
+        lines = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(database, table)} PARTITION ({spec})").collect()
+        if next(r.data_type for r in lines if r.col_name == "Location").startswith(found["location"].rstrip("/") + "/"):
+            continue
+        spark.sql(f"ALTER TABLE {quoted(database, table)} PARTITION ({spec}) SET LOCATION {literal(found['location'].rstrip('/') + '/' + row.partition)}")
+
+
 def recover_overwrites(spark: SparkSession, database: str, table: str) -> bool:
     """Put a table in place whose overwrite was cut off after the old one was dropped; tells whether there was one."""
     if spark.catalog.tableExists(quoted(database, table)):

@@ -98,7 +98,13 @@ def refresh_materialized(spark: SparkSession, name: str, as_of: datetime.datetim
     age = as_of - datetime.datetime.fromisoformat(properties[catalog.REFRESHED_AT])
     if age.total_seconds() < int(properties[catalog.REFRESH_INTERVAL]):
         return False
-    properties.pop(catalog.STORAGE)
+    if catalog.INCREMENTAL in properties:
+        from stowage.operators.incremental import refresh_incremental
+
+        refresh_incremental(spark, name, as_of)
+        return True
+    for key in (catalog.STORAGE, catalog.PREVIOUS):
+        properties.pop(key, None)
     _materialize(spark, database, view, properties, found.get("comment"), partition_of(found), as_of)
     return True
 

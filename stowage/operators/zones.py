@@ -51,18 +51,23 @@ def has_map(spark: SparkSession, database: str, storage: str) -> bool:
     return spark.catalog.tableExists(quoted(database, map_of(storage)))
 
 
-def _plain(file: str) -> str:
+def plain_path(file: str) -> str:
     """A file's path as Spark takes it; local ones are told by one slash or by three."""
     return re.sub(r"^file:/+", "file:/", unquote(file))
 
 
+def files_of(table: DataFrame) -> list[str]:
+    """The files that a table has now."""
+    return sorted(map(plain_path, table.inputFiles()))
+
+
 def extend_map(spark: SparkSession, database: str, storage: str) -> None:
     """Add the files that an append has put into the storage table; files that are in the map are not read again."""
     if not has_map(spark, database, storage):
         return
     table, known = spark.table(quoted(database, storage)), spark.table(quoted(database, map_of(storage)))
-    seen = {_plain(r.file) for r in known.select("file").collect()}
-    fresh = [f for f in map(_plain, table.inputFiles()) if f not in seen]
+    seen = {plain_path(r.file) for r in known.select("file").collect()}
+    fresh = [f for f in map(plain_path, table.inputFiles()) if f not in seen]
     if fresh:
         zones(_of_files(spark, table, fresh), known.schema["zones"].dataType.names).write.insertInto(quoted(database, map_of(storage)))
 
@@ -101,7 +106,7 @@ def matching_files(spark: SparkSession, database: str, storage: str, filters: It
             condition, used = condition & may_match(F.col("zones")[field.name], operator, value, field.dataType["low"].dataType), True
     if not used:
         return None
-    marked = [(_plain(r.file), r.may) for r in known.select("file", condition.alias("may")).collect()]
+    marked = [(plain_path(r.file), r.may) for r in known.select("file", condition.alias("may")).collect()]
     return None if all(may for _, may in marked) else [file for file, may in marked if may]
 
 

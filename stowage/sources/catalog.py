@@ -26,6 +26,7 @@ QUERY = RESERVED + "query"
 NAMESPACE = RESERVED + "namespace"
 ENABLE_REFRESH = RESERVED + "enable_refresh"
 REFRESH_INTERVAL = RESERVED + "refresh_interval_seconds"
+INCREMENTAL = RESERVED + "incremental"
 REFRESHED_AT = RESERVED + "refreshed_at"
 LABELS = RESERVED + "labels"
 

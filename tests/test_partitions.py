@@ -290,3 +290,11 @@ def test_an_overwrite_cut_off_is_recovered(spark, database, monkeypatch):
     assert tables.recover_overwrites(spark, database, "t") and spark.table(name).columns == ["id", "other"] and spark.table(name).count() == 5
     assert not tables.recover_overwrites(spark, database, "t")
     assert catalog.REPLACES not in catalog.properties_of(catalog.describe(spark, database, "t"))
+
+
+def test_overwriting_a_column_partitioned_table_keeps_its_rows(spark, database):
+    rows = spark.createDataFrame([(1, "a b"), (2, "x=1/y"), (3, None), (4, "100%")], "id int, kind string")
+    for n, df in enumerate((rows, rows.selectExpr("id + 10 AS id", "kind"), rows.selectExpr("id + 20 AS id", "kind"))):
+        write_table(spark, f"{database}.t", df, parts.column_partition("kind"), mode="overwrite")
+        assert sorted(map(str, spark.table(f"{database}.t").select("id", "kind").collect())) == sorted(map(str, df.collect())), n
+    assert spark.table(f"{database}.t").where("kind = 'a b'").first().id == 21
