@@ -536,6 +536,8 @@ def encode_documents(docs: DataFrame, model_path: str, rate: float = RATE, seed:
                 ],
                 ["doc_id", "n_tokens", "ids", "text_sha256", "decoded_sha256"],
             )
+        # The worker may next serve a task of another kind.
+        tool.known = Known()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInArrow(run, ENCODED)

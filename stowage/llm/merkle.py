@@ -159,7 +159,8 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "sour
     columns = [docs[f"`{f}`"] for f in fields]
     item = F.struct(docs[order].alias("key"), *[c.alias(f"c{i}") for i, c in enumerate(carry.values())])
     leaves = docs.select(docs[group].cast("string").alias("grp"), leaf_digest(columns).alias("digest"), item.alias("item"))
-    leaves = ranked(leaves, [F.col("item.key").asc_nulls_first(), F.col("digest")], f"{scratch}/leaves")
+    # Written first, as dealing by ranges reads its input twice.
+    leaves = ranked(written(leaves, f"{scratch}/digests"), [F.col("item.key").asc_nulls_first(), F.col("digest")], f"{scratch}/leaves")
     tables = rollup(leaves, f"{scratch}/leaves")
     roots = tables[-1].select(F.lit(0).alias("grp"), "digest", F.struct(F.col("grp").alias("key")).alias("item"))
     roots = ranked(roots, [F.col("item.key").asc_nulls_first()], f"{scratch}/roots")

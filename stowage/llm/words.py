@@ -61,7 +61,7 @@ def train(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, float]:
     from stowage.llm.quality import _discount, discounts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 24):
+        for batch in slices(batches, "text", 1 << 22):
             _, first, second, key = pairs(*sequences(column(batch, "text"))[:2])
             key, index, n = np.unique(key, return_index=True, return_counts=True)
             arrays = [*(pa.array(x.view(np.int64)) for x in (first[index], second[index], key)), pa.array(n.astype(np.int32))]
