@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from stowage.llm import words as word_pairs
 from stowage.llm.batches import column, slices
 from stowage.llm.members import exactly_among
-from stowage.session import scratch_dir, written
+from stowage.session import discard, scratch_dir, written
 
 ORDER, CLASS_BITS, SHARD_BITS = 4, 5, 4
 CLASSES = 1 << CLASS_BITS
@@ -145,7 +145,9 @@ def train(spark: SparkSession, texts: DataFrame) -> DataFrame:
         p = F.when(F.col("total").isNull(), F.col("lower_p")).otherwise(own + F.col("gamma") * F.col("lower_p"))
         if order < ORDER:
             lower = written(joined.select(F.col("gram").alias("lower_gram"), p.alias("lower_p")), f"{scratch}/p-{order}")
-    return joined.select("gram", F.log(p).alias("logp"))
+    model = written(joined.select("gram", F.log(p).alias("logp")), f"{scratch}/model")
+    discard(spark, *(f"{scratch}/order-{o}" for o in range(1, ORDER + 1)), *(f"{scratch}/p-{o}" for o in range(1, ORDER)))
+    return model
 
 
 # -- scoring ---------------------------------------------------------------------------------------
@@ -330,9 +332,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(HELD_OUT)), F.lit(HELD_OUT)) == 0
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = exactly_among(texts, trusted.where(~held_out), scratch)
-    model = written(train(spark, texts), f"{scratch}/model")
-    pairs, unseen = word_pairs.train(spark, texts)
-    scores = written(perplexities(docs, model, (written(pairs, f"{scratch}/pairs"), unseen)), f"{scratch}/scores")
+    model, words = train(spark, texts), word_pairs.train(spark, texts)
+    discard(spark, f"{scratch}/members", f"{scratch}/wrong-ids")
+    scores = written(perplexities(docs, model, words), f"{scratch}/scores")
     known = scores.join(trusted.where(held_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     # A quantile of few documents is uncertain.
     wider = slack * (1 + 1 / F.sqrt(F.greatest(F.count(F.lit(1)), F.lit(1))))

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from stowage.llm.batches import column, slices
 from stowage.llm.merge_dropout import mixed
-from stowage.session import scratch_dir, written
+from stowage.session import discard, scratch_dir, written
 
 KEY_BITS, LOW_BITS = 40, 24
 #: So many rows of the table are one shard.
 SHARD_ROWS = 1_000_000
+#: So many pairs a task adds up before it sends their counts.
+GATHERED = 1_500_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707345)
 
 
@@ -60,12 +62,29 @@ def train(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, float]:
     """``(gram, value)`` for every word and pair in the column ``text``, and the value of unseen words."""
     from stowage.llm.quality import _discount, discounts
 
+    def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        first, second, key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        return first[order[start]], second[order[start]], key[order[start]], np.add.reduceat(n[order], start)
+
+    def batch_of(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        *keys, n = added(parts)
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in keys), pa.array(n.astype(np.int32))], ["first", "second", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in slices(batches, "text", 1 << 22):
             _, first, second, key = pairs(*sequences(column(batch, "text"))[:2])
+            if not len(key):
+                continue
             key, index, n = np.unique(key, return_index=True, return_counts=True)
-            arrays = [*(pa.array(x.view(np.int64)) for x in (first[index], second[index], key)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["first", "second", "gram", "n"])
+            parts.append((first[index], second[index], key, n))
+            if sum(len(p[2]) for p in parts) > GATHERED:
+                yield batch_of(parts)
+                parts = []
+        if parts:
+            yield batch_of(parts)
 
     scratch = scratch_dir(spark, "word-pairs")
     counted = texts.select("text").dropna().mapInArrow(run, "first bigint, second bigint, gram bigint, n int")
@@ -90,7 +109,9 @@ def train(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, float]:
         F.coalesce("second", "first").alias("gram"),
         (F.coalesce(F.log("p"), F.lit(0.0)) + F.coalesce(F.log("gamma"), F.lit(0.0))).alias("value"),
     )
-    return own.unionByName(singles), float(np.log(unseen))
+    model = written(own.unionByName(singles), f"{scratch}/model")
+    discard(spark, *(f"{scratch}/{name}" for name in ("pairs", "words", "contexts", "p-1")))
+    return model, float(np.log(unseen))
 
 
 def placed(gram: np.ndarray, shards: int) -> np.ndarray:
