@@ -13,10 +13,11 @@ from collections.abc import Callable
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stowage.functions import references as refs
 from stowage.functions import routines
-from stowage.operators import checks, partitions, views
+from stowage.operators import checks, incremental, partitions, views, zones
 from stowage.operators.tables import load_table, read_snapshot, read_table, snapshot_table, split_name, write_table
 from stowage.plans import graph
 from stowage.plans.archive import archive_dataset, snapshot_of
@@ -288,24 +289,135 @@ def table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def required_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as nested rows with required fields at three depths, archived and loaded with their checks."""
+    ws = Workspace(spark, sf_dir)
+    turn = F.struct("turn", "role", "text")
+    nested = ws.read("conversations").groupBy("conv_id").agg(F.struct(F.sort_array(F.collect_list(turn)).alias("turns")).alias("talk"))
+    marked = schemas.annotate(nested.schema, ["conv_id", ["talk", "turns", "[]", "turn"], ["talk", "turns", "[]"]])
+    write_table(spark, f"{ws.source}.talks", nested, schema=marked)
+    ws.round_trip()
+    required = catalog.required_of(catalog.properties_of(catalog.describe(spark, ws.target, "talks")))
+    paths = ",".join(r if isinstance(r, str) else ".".join(r) for r in required)
+    return ws.table("talks").select("conv_id", F.inline("talk.turns")).withColumn("required", F.lit(paths))
+
+
+def predicate_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guarded table read by predicates that no comparison with a constant expresses; only partitions with rows are read."""
+    config = partitions.time_partition("ts", "DAY", require_filter=True)
+    _, name = _file_round_trip(spark, sf_dir, "events", PARQUET, config)
+    return read_table(spark, name, [(F.dayofweek("ts") == 2) | F.to_date("ts").isin(datetime.date(2024, 1, 3)), ("ts", "<", "2024-01-20")])
+
+
+def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the zone map of a table says of its files after a load and an append, by month."""
+    config = partitions.time_partition("l_shipdate", "MONTH")
+    ws, name = _file_round_trip(spark, sf_dir, "lineitem", PARQUET, config)
+    write_table(spark, name, ws.read("lineitem").where("l_linenumber = 1"), mode="append")
+    storage = catalog.properties_of(catalog.describe(spark, *split_name(spark, name)))[catalog.STORAGE]
+    files = spark.table(f"{ws.source}.{zones.map_of(storage)}").select("rows", "zones.l_shipdate.*")
+    return files.groupBy(F.trunc("low", "MONTH").alias("month")).agg(
+        F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("nulls").alias("nulls")
+    )
+
+
+def materialized_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals that are refreshed from new files after an append and from dropped files after an overwrite."""
+    ws = Workspace(spark, sf_dir)
+    base, view = f"{ws.source}.orders", f"{ws.source}.totals"
+    orders = ws.read("orders")
+    write_table(spark, base, orders.where("o_orderstatus = 'F'"))
+    incremental.create_incremental_view(
+        spark, view, base, ["o_orderpriority"],
+        {"orders": ("count", "*"), "total": ("sum", "CAST(o_totalprice AS DECIMAL(18, 2))"), "last": ("max", "o_orderdate")},
+    )
+    write_table(spark, base, orders.where("o_orderstatus = 'O'"), mode="append")
+    first = incremental.refresh_incremental(spark, view)
+    write_table(spark, base, spark.table(base).where("o_custkey % 2 = 0"), mode="overwrite")
+    second = incremental.refresh_incremental(spark, view)
+    return ws.spark.table(view).select(
+        "o_orderpriority", "orders", F.col("total").cast("double").alias("total"), "last",
+        F.lit(first["added"] > 0 and first["dropped"] == 0 and second["dropped"] > 0).alias("by_files"),
+    )
+
+
+def chain_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves where each order waits for the one its customer placed before it."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.col("o_orderkey").alias("key"))
+    before = F.lag("key").over(Window.partitionBy("o_custkey").orderBy("key"))
+    edges = orders.select("key", before.alias("requisite")).where("requisite IS NOT NULL")
+    return graph.restore_waves(orders.select("key"), edges).select("key", F.col("wave").cast("bigint").alias("wave"))
+
+
+def restore_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a restore in which a view fails, with and without going on after it."""
+    ws = Workspace(spark, sf_dir)
+    ws.copy("orders", "customer")
+    views.create_view(spark, f"{ws.source}.open_orders", "SELECT * FROM orders WHERE o_orderstatus = 'O'")
+    views.create_view(spark, f"{ws.source}.open_customers", "SELECT DISTINCT o_custkey FROM open_orders")
+    views.create_view(spark, f"{ws.source}.rich", "SELECT * FROM customer WHERE c_acctbal > 0")
+    routines.create_script(spark, ws.source, "noop", "BEGIN SELECT 1 AS one; END")
+    snapshot = ws.archive()
+    found = None
+    for go_on in (True, False):
+        target = f"dst_{go_on}_{ws.tag}".lower()
+        ledger = restore_dataset(
+            spark, snapshot, target, location=f"{ws.path}/{target}", continue_on_failure=go_on, skip_restore={"orders": True}
+        ).select(F.lit(go_on).alias("go_on"), "kind", "name", "status", F.coalesce("rows", F.lit(-1)).cast("bigint").alias("rows"))
+        found = ledger if found is None else found.unionByName(ledger)
+    return found.where("kind <> 'dataset'")
+
+
+def script_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A restored script that draws a token and writes some columns of a row with VALUES and a formatted text."""
+    ws = Workspace(spark, sf_dir)
+    ws.copy("supplier")
+    routines.create_script(
+        spark, ws.source, "note",
+        "BEGIN DECLARE token STRING; DECLARE held BIGINT; SET token = uuid(); SET held = (SELECT count(*) FROM supplier); "
+        f"INSERT INTO {ws.source}.supplier (s_suppkey, s_name) VALUES (:id, format_string('%s of %d suppliers', substr(token, 9, 1), held)); "
+        "SELECT token; END",
+        [{"name": "id", "type": "bigint"}],
+    )
+    ws.round_trip()
+    routines.run_script(spark, f"{ws.target}.note", id=-1).collect()
+    return ws.table("supplier")
+
+
+def tag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function that reads a JSON array of tags into a struct: known keys only, one renamed, the last of several counts."""
+    ws = Workspace(spark, sf_dir)
+    ws.copy("events")
+    of = "try_element_at(filter(transform(from_json(tags, 'array<string>'), t -> split(t, ':')), p -> p[0] = '{0}' AND size(p) > 1), -1)[1]"
+    routines.create_function(
+        spark, ws.source, "tagged", "tags STRING", "STRUCT<action: STRING, account: STRING, missing: STRING>",
+        f"named_struct('action', {of.format('type')}, 'account', {of.format('user')}, 'missing', {of.format('none')})",
+    )
+    tags = "to_json(array(concat('type:', event_type), concat('user:', user_id), 'other:x', concat('user:', user_id + 1, ':more'), 'bare'))"
+    views.create_view(
+        spark, f"{ws.source}.tags", f"SELECT event_id, tagged({tags}).action AS action, `{ws.source}`.tagged({tags}).account AS account, tagged('[]').missing AS missing FROM events"
+    )
+    ws.round_trip()
+    return ws.table("tags")
+
+
 # -- views, references, graphs -----------------------------------------------------------------
 
 
 def view_union_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading parties of both sides from three inputs under names of one, two and three parts, one of them a view."""
     ws = Workspace(spark, sf_dir)
-    ws.copy("orders", "events")
+    ws.copy("customer", "supplier", "orders")
     project, source = spark.catalog.currentCatalog(), ws.source
-    views.create_view(spark, f"{source}.literal_view", "SELECT CAST(-3 AS BIGINT) AS id, 'ccc' AS name")
+    views.create_view(spark, f"{source}.buyers", "SELECT DISTINCT o_custkey AS party, 'buyer' AS role FROM orders")
     views.create_view(
-        spark, f"{source}.referencing_view",
-        "SELECT * EXCEPT (o_custkey, o_totalprice, o_orderdate, o_orderpriority) "
-        f"FROM {project}.{source}.orders AS {source} "
-        f"UNION ALL SELECT * EXCEPT (ts, user_id, value, props) FROM `{source}`.events "
-        f"UNION ALL SELECT * FROM {source}.literal_view -- not {source}.orders",
+        spark, f"{source}.parties",
+        f"SELECT * FROM buyers UNION ALL SELECT s_suppkey, 'seller' FROM (SELECT * EXCEPT (s_name, s_acctbal) FROM `{source}`.supplier) "
+        f"UNION ALL SELECT c_custkey, c_mktsegment FROM {project}.{source}.customer AS {source} -- not {source}.orders",
     )
     ws.round_trip()
     spark.sql(f"DROP DATABASE {source} CASCADE")
-    return ws.table("referencing_view").toDF("id", "name")
+    return ws.table("parties")
 
 
 def view_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,8 +632,9 @@ def script_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws.copy("orders")
     routines.create_script(
         spark, ws.source, "book_fees",
-        "BEGIN DECLARE fee DOUBLE; SET fee = :percent / 100.0; "
-        f"INSERT INTO {ws.source}.orders SELECT -o_orderkey, o_custkey, 'X', round(o_totalprice * fee, 2), o_orderdate, 'fee' "
+        "BEGIN DECLARE fee DECIMAL(9, 4); SET fee = :percent / 100.0; "
+        f"INSERT INTO {ws.source}.orders SELECT -o_orderkey, o_custkey, 'X', "
+        "CAST(CAST(o_totalprice AS DECIMAL(18, 2)) * fee AS DECIMAL(18, 2)), o_orderdate, 'fee' "
         f"FROM orders WHERE o_orderstatus = 'P'; SELECT count(*) AS booked FROM {ws.source}.orders WHERE o_orderstatus = 'X'; END",
         [{"name": "percent", "type": "bigint"}],
     )
@@ -681,9 +794,14 @@ def check_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def same_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that went through CSV, held against its source; and against the source without some rows, one of them doubled."""
     _, name = _file_round_trip(spark, sf_dir, "lineitem", CSV)
-    source = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return checks.differing_rows(source, spark.table(name)).agg(F.count(F.lit(1)).alias("n"))
+    source, found = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.table(name)
+    facts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("left_rows"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("right_rows"), F.lit(0)).alias("right_rows"))
+    planted = found.where("l_orderkey % 10 <> 3").unionByName(found.where("l_orderkey % 10 = 4 AND l_linenumber = 1"))
+    return facts(checks.differing_rows(source, found)).withColumn("planted", F.lit(False)).unionByName(
+        facts(checks.differing_rows(source, planted)).withColumn("planted", F.lit(True))
+    )
 
 
 def changed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -724,7 +842,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             external_requisites, materialized_refresh, materialized_partition, external_table, external_partitioned,
             external_over_snapshot, sql_function, tag_struct, python_function, script_insert,
             script_relocated, materialized_url, overwrite_table, archive_stale_view, check_errors, check_suite, check_build,
-            check_relationship, check_unique, same_content, changed_content,
+            check_relationship, check_unique, same_content, changed_content, required_nested, predicate_read, zone_map,
+            materialized_incremental, chain_waves, restore_failures, script_values, tag_list,
         )
     }
     if llm is not None:
@@ -837,8 +956,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "restore_newest_snapshot": "SELECT * FROM labels UNION ALL SELECT * FROM labels",
         "table_labels": "SELECT *, 'who delivers' AS description, 'supply' AS team, '20240101000000' AS archive_ts FROM supplier",
-        "view_union_except": "SELECT o_orderkey AS id, o_orderstatus AS name FROM orders "
-        "UNION ALL SELECT event_id, event_type FROM events UNION ALL SELECT CAST(-3 AS BIGINT), 'ccc'",
+        "view_union_except": "SELECT DISTINCT o_custkey AS party, 'buyer' AS role FROM orders UNION ALL SELECT s_suppkey, 'seller' FROM supplier "
+        "UNION ALL SELECT c_custkey, c_mktsegment FROM customer",
         "view_chain": "SELECT n_name, o_orderpriority, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey "
         "JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 1000 GROUP BY n_name, o_orderpriority",
         "table_references": "SELECT o_orderkey, reference, CASE length(reference) - length(replace(reference, '.', '')) "
@@ -875,7 +994,8 @@ def oracle_sql() -> dict[str, str]:
         "FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
         "python_function": "SELECT l_orderkey, l_linenumber, l_extendedprice * 2 AS doubled FROM lineitem",
         "script_insert": "SELECT *, 'source' AS place FROM orders UNION ALL SELECT *, 'target' FROM orders UNION ALL "
-        "SELECT -o_orderkey, o_custkey, 'X', round(o_totalprice * 0.05, 2), o_orderdate, 'fee', 'target' FROM orders WHERE o_orderstatus = 'P'",
+        "SELECT -o_orderkey, o_custkey, 'X', CAST(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) * CAST(0.05 AS DECIMAL(9, 4)) AS DECIMAL(18, 2)) AS DOUBLE), "
+        "o_orderdate, 'fee', 'target' FROM orders WHERE o_orderstatus = 'P'",
         "script_relocated": "SELECT place, 'nation' AS object, n_name AS value FROM nation, (VALUES ('source'), ('target')) AS p(place) "
         "UNION ALL SELECT 'target', o, n FROM (SELECT n_name AS n FROM nation UNION ALL SELECT upper(n_name) FROM nation), "
         "(VALUES ('nation_copy'), ('names')) AS v(o) UNION ALL SELECT 'source', 'region', r_name FROM region "
@@ -901,7 +1021,25 @@ def oracle_sql() -> dict[str, str]:
         "check_relationship": "SELECT doc_id, count(*) AS rows FROM documents d "
         "WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY doc_id",
         "check_unique": "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
-        "same_content": "SELECT count(*) AS n FROM (SELECT * FROM lineitem EXCEPT SELECT * FROM lineitem)",
+        "same_content": "WITH l AS (SELECT *, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, n * (CASE WHEN l_orderkey % 10 = 3 THEN 0 "
+        "WHEN l_orderkey % 10 = 4 AND l_linenumber = 1 THEN 2 ELSE 1 END) AS m FROM l) "
+        "SELECT 0::BIGINT AS n, 0::BIGINT AS left_rows, 0::BIGINT AS right_rows, FALSE AS planted "
+        "UNION ALL SELECT count(*), coalesce(sum(n), 0)::BIGINT, coalesce(sum(m), 0)::BIGINT, TRUE FROM r WHERE n <> m",
+        "required_nested": "SELECT conv_id, turn, role, text, 'conv_id,talk.turns.[],talk.turns.[].turn' AS required FROM conversations",
+        "predicate_read": "SELECT * FROM events WHERE (dayofweek(ts) = 1 OR ts::DATE = DATE '2024-01-03') AND ts < TIMESTAMP '2024-01-20'",
+        "zone_map": "SELECT date_trunc('month', l_shipdate)::DATE AS month, count(*) AS rows, min(l_shipdate) AS low, max(l_shipdate) AS high, "
+        "0::BIGINT AS nulls FROM (SELECT l_shipdate FROM lineitem UNION ALL SELECT l_shipdate FROM lineitem WHERE l_linenumber = 1) GROUP BY 1",
+        "materialized_incremental": "SELECT o_orderpriority, count(*) AS orders, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total, max(o_orderdate) AS last, "
+        "TRUE AS by_files FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey % 2 = 0 GROUP BY o_orderpriority",
+        "chain_waves": "SELECT o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS wave FROM orders",
+        "restore_failures": "SELECT go_on, kind, name, status, CASE WHEN name = 'customer' THEN (SELECT count(*) FROM customer) ELSE -1 END AS rows FROM (VALUES "
+        "(TRUE, 'table', 'orders', 'SKIPPED'), (TRUE, 'table', 'customer', 'OK'), (TRUE, 'view', 'open_orders', 'FAILED'), "
+        "(TRUE, 'view', 'open_customers', 'BLOCKED'), (TRUE, 'view', 'rich', 'OK'), (TRUE, 'stored_procedure', 'noop', 'OK'), "
+        "(FALSE, 'table', 'orders', 'SKIPPED'), (FALSE, 'table', 'customer', 'OK'), (FALSE, 'view', 'open_orders', 'FAILED'), "
+        "(FALSE, 'view', 'open_customers', 'BLOCKED'), (FALSE, 'view', 'rich', 'NOT_RUN'), (FALSE, 'stored_procedure', 'noop', 'NOT_RUN')"
+        ") AS v(go_on, kind, name, status)",
+        "script_values": "SELECT * FROM supplier UNION ALL SELECT -1, '- of ' || count(*) || ' suppliers', NULL, NULL FROM supplier",
+        "tag_list": "SELECT event_id, event_type AS action, (user_id + 1)::VARCHAR AS account, NULL::VARCHAR AS missing FROM events",
         "changed_content": "SELECT *, CAST(1 AS BIGINT) AS left_rows, CAST(0 AS BIGINT) AS right_rows FROM orders WHERE o_orderstatus = 'P' AND o_totalprice <> 0 "
         "UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, 0.0, o_orderdate, o_orderpriority, 0, 1 FROM orders WHERE o_orderstatus = 'P' AND o_totalprice <> 0",
     }

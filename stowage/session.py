@@ -79,6 +79,15 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove intermediate tables below a :func:`scratch_dir` that nothing will read again."""
+    for path in paths:
+        if "/stowage/" not in path:
+            raise ValueError(f"{path} is no scratch folder")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextlib.contextmanager
 def using_database(spark: SparkSession, database: str) -> Iterator[None]:
     """Make ``database`` current inside the block and put the previous one back afterwards.
