@@ -1036,7 +1036,7 @@ def oracle_sql() -> dict[str, str]:
         "(TRUE, 'table', 'orders', 'SKIPPED'), (TRUE, 'table', 'customer', 'OK'), (TRUE, 'view', 'open_orders', 'FAILED'), "
         "(TRUE, 'view', 'open_customers', 'BLOCKED'), (TRUE, 'view', 'rich', 'OK'), (TRUE, 'stored_procedure', 'noop', 'OK'), "
         "(FALSE, 'table', 'orders', 'SKIPPED'), (FALSE, 'table', 'customer', 'OK'), (FALSE, 'view', 'open_orders', 'FAILED'), "
-        "(FALSE, 'view', 'open_customers', 'BLOCKED'), (FALSE, 'view', 'rich', 'NOT_RUN'), (FALSE, 'stored_procedure', 'noop', 'NOT_RUN')"
+        "(FALSE, 'view', 'open_customers', 'NOT_RUN'), (FALSE, 'view', 'rich', 'NOT_RUN'), (FALSE, 'stored_procedure', 'noop', 'NOT_RUN')"
         ") AS v(go_on, kind, name, status)",
         "script_values": "SELECT * FROM supplier UNION ALL SELECT -1, '- of ' || count(*) || ' suppliers', NULL, NULL FROM supplier",
         "tag_list": "SELECT event_id, event_type AS action, (user_id + 1)::VARCHAR AS account, NULL::VARCHAR AS missing FROM events",

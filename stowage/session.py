@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import threading
 import uuid
 from collections.abc import Iterator, Sequence
@@ -80,12 +81,18 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Remove intermediate tables below a :func:`scratch_dir` that nothing will read again."""
+    """Remove intermediate tables below a :func:`scratch_dir` that nothing will read again.
+
+    Spark keeps the shuffle files of finished plans until the driver collects its garbage, which a driver with room to
+    spare puts off for long, so that is asked for as well.
+    """
     for path in paths:
         if "/stowage/" not in path:
             raise ValueError(f"{path} is no scratch folder")
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 @contextlib.contextmanager
