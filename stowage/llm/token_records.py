@@ -33,7 +33,7 @@ from stowage.llm.batches import column, slices
 
 END_ID = 0
 #: Bytes of remembered words, about; the memory is emptied beyond.
-CACHE_BYTES = 160_000_000
+CACHE_BYTES = 200_000_000
 JOINED = 2000
 MARKS = ".,;:!?"
 # Fixed value: how a byte-level vocabulary writes a blank.
@@ -148,8 +148,10 @@ class WordCache:
         if self.held > CACHE_BYTES:
             self.known.clear()
             self.held = 0
-        cut = [self.words(t) for t in texts]
-        fresh = set().union(*(w for w in cut if w is not None)).difference(self.known)
+        cut, get = [self.words(t) for t in texts], self.known.get
+        parts = [None if words is None else list(map(get, words)) for words in cut]
+        holes = [[] if found is None else [i for i, ids in enumerate(found) if ids is None] for found in parts]
+        fresh = {words[i] for words, places in zip(cut, holes, strict=True) for i in places}
         stems = {word: self._stem(word) for word in fresh}
         added = self._by_word(list(set(stems.values()).difference(self.known)))
         self.known.update(added)
@@ -158,11 +160,15 @@ class WordCache:
                 added[word] = self.known[word] = self.known[stem] + self.marks[word[-1]]
         self.held += sum(map(len, added)) + sum(map(len, added.values())) + 200 * len(added)
         whole = iter(self._ids([t for t, w in zip(texts, cut, strict=True) if w is None]))
-        get = self.known.__getitem__
-        return [
-            np.array(next(whole), self.dtype) if words is None else np.frombuffer(b"".join(map(get, words)), self.dtype)
-            for words in cut
-        ]
+        out = []
+        for words, found, places in zip(cut, parts, holes, strict=True):
+            if found is None:
+                out.append(np.array(next(whole), self.dtype))
+                continue
+            for i in places:
+                found[i] = self.known[words[i]]
+            out.append(np.frombuffer(b"".join(found), self.dtype))
+        return out
 
     def _by_word(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word."""

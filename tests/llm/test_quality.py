@@ -115,7 +115,7 @@ def test_held_out_documents(spark):
     good = [r.kept for r in rows if r.quality == 1]
     bad = [r.kept for r in rows if r.quality == 0]
     assert verdict.count() == docs.count()
-    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.5 * len(bad)
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
 def test_languages_labels_and_empty(spark):
