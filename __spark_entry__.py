@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from stowage.functions import references as refs
 from stowage.functions import routines
 from stowage.operators import checks, incremental, partitions, views, zones
-from stowage.operators.tables import load_table, read_snapshot, read_table, snapshot_table, split_name, write_table
+from stowage.operators.tables import expire_partitions, load_table, read_snapshot, read_table, snapshot_table, split_name, write_table
 from stowage.plans import graph
 from stowage.plans.archive import archive_dataset, snapshot_of
 from stowage.plans.restore import restore_dataset
@@ -187,6 +187,14 @@ def partition_expiration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(_file_round_trip(spark, sf_dir, "events", PARQUET, config, as_of=as_of)[1])
 
 
+def partition_expiration_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table loaded whole whose partitions expire afterwards, at two times; the zone map follows."""
+    config = partitions.time_partition("ts", "DAY", expiration_ms=7 * partitions.MILLIS_PER_DAY)
+    _, name = _file_round_trip(spark, sf_dir, "events", PARQUET, config)
+    dropped = [expire_partitions(spark, name, datetime.datetime(2024, 1, day)) for day in (15, 22, 22)]
+    return read_table(spark, name, [("ts", ">=", "2024-01-01")]).withColumn("again", F.lit(dropped[2]).cast("bigint"))
+
+
 def guarded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = partitions.time_partition("l_shipdate", "MONTH", require_filter=True)
     _, name = _file_round_trip(spark, sf_dir, "lineitem", PARQUET, config)
@@ -835,7 +843,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             roundtrip_parquet, roundtrip_csv_schema, roundtrip_csv_text, roundtrip_csv_inferred, roundtrip_nested,
             format_mapping, datetime_restore, time_partition_day, time_partition_hour, time_partition_month,
-            time_partition_year, range_partition, column_partition, partition_expiration, guarded_read,
+            time_partition_year, range_partition, column_partition, partition_expiration, partition_expiration_later, guarded_read,
             guarded_range_read, archive_status, skip_restore, manifest_columns, snapshot_addressing,
             restore_newest_snapshot, table_labels, view_union_except, view_chain, table_references,
             function_references, rewrite_references, rewrite_table_names, restore_waves, blocked_dependents, ready_nodes,
@@ -909,6 +917,7 @@ def oracle_sql() -> dict[str, str]:
         "count(*) AS n FROM customer GROUP BY 1",
         "column_partition": "SELECT * FROM customer",
         "partition_expiration": "SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'",
+        "partition_expiration_later": "SELECT *, 0::BIGINT AS again FROM events WHERE ts >= TIMESTAMP '2024-01-15'",
         "guarded_read": "SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-03-10' "
         "AND l_shipdate < TIMESTAMP '1997-02-03' AND l_quantity > 10",
         "guarded_range_read": "SELECT * FROM customer WHERE c_custkey BETWEEN 250 AND 1200",

@@ -302,6 +302,32 @@ def read_table(spark: SparkSession, name: str, filters: Iterable[parts.Filter |
     return df.select([F.col(quoted(c)) for c in visible.columns])
 
 
+def expire_partitions(spark: SparkSession, name: str, as_of: datetime.datetime) -> int:
+    """Drop the partitions of a table that have expired at ``as_of`` and return how many there were.
+
+    The partition list of the catalog tells which they are, so no data file is opened. Rows without a partition
+    stay. What is kept from is recorded on the table; a second call at the same time drops nothing.
+    """
+    database, table = split_name(spark, name)
+    found = catalog.describe(spark, database, table)
+    config = partition_of(found)
+    kept = parts.retention_predicate(config, as_of) if config is not None else None
+    if kept is None:
+        return 0
+    storage = catalog.properties_of(found)[catalog.STORAGE]
+    kind = spark.table(quoted(database, storage)).schema[parts.HIDDEN_COLUMN].dataType
+    listed = spark.sql(f"SHOW PARTITIONS {quoted(database, storage)}")
+    value = F.regexp_extract("partition", "=(.*)$", 1)
+    told = listed.select(value.alias("text"), F.when(value != "__HIVE_DEFAULT_PARTITION__", value).cast(kind).alias(parts.HIDDEN_COLUMN))
+    expired = [r.text for r in told.where(~kept).collect()]
+    if expired:
+        specs = ", ".join(f"PARTITION ({quoted(parts.HIDDEN_COLUMN)} = {literal(v)})" for v in expired)
+        spark.sql(f"ALTER TABLE {quoted(database, storage)} DROP IF EXISTS {specs}")
+        zones.shrink_map(spark, database, storage, expired)
+    spark.sql(f"ALTER VIEW {quoted(database, table)} SET TBLPROPERTIES {properties_clause(catalog.stored({catalog.KEPT_FROM: as_of.isoformat()}))}")
+    return len(expired)
+
+
 def snapshot_table(df: DataFrame, path: str, fmt: FileFormat, partition: PartitionConfig | None = None) -> dict:
     """Write all rows of ``df`` to files: a map-only job, one pass, counting rows as it goes.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage.operators.partitions import HIDDEN_COLUMN
-from stowage.session import properties_clause, quoted
+from stowage.session import properties_clause, quoted, scratch_dir, written
 from stowage.sources import catalog
 
 SUFFIX = "__zones"
@@ -77,6 +77,15 @@ def _of_files(spark: SparkSession, table: DataFrame, files: list[str]) -> DataFr
     return spark.read.schema(table.schema).option("basePath", base).parquet(*files)
 
 
+def shrink_map(spark: SparkSession, database: str, storage: str, dropped: Iterable[str]) -> None:
+    """Take the files of dropped partitions out of the map."""
+    if not has_map(spark, database, storage):
+        return
+    known, part = spark.table(quoted(database, map_of(storage))), F.regexp_extract("file", f"/{HIDDEN_COLUMN}=([^/]*)/", 1)
+    left = written(known.where(~part.isin(list(dropped))), f"{scratch_dir(spark, 'zones')}/left")
+    left.write.insertInto(quoted(database, map_of(storage)), overwrite=True)
+
+
 def may_match(zone: Column, operator: str, value: object, kind: T.DataType) -> Column:
     """Whether a file with this zone can hold a row for which ``column operator value`` is true."""
     low, high = zone["low"], zone["high"]

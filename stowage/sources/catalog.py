@@ -18,6 +18,7 @@ RESERVED = "stowage."
 KIND = RESERVED + "kind"
 STORAGE = RESERVED + "storage"
 STORAGE_OF = RESERVED + "storage_of"
+KEPT_FROM = RESERVED + "kept_from"
 PREVIOUS = RESERVED + "previous"
 REPLACES = RESERVED + "replaces"
 PARTITION = RESERVED + "partition"

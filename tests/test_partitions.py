@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stowage.errors import PartitionFilterRequired, StowageError
 from stowage.operators import partitions as parts
 from stowage.operators import tables, zones
-from stowage.operators.tables import drop_object, load_table, read_table, snapshot_table, write_table
+from stowage.operators.tables import drop_object, expire_partitions, load_table, read_table, snapshot_table, write_table
 from stowage.sources import catalog
 from stowage.sources.formats import FileFormat
 
@@ -298,3 +298,17 @@ def test_overwriting_a_column_partitioned_table_keeps_its_rows(spark, database):
         write_table(spark, f"{database}.t", df, parts.column_partition("kind"), mode="overwrite")
         assert sorted(map(str, spark.table(f"{database}.t").select("id", "kind").collect())) == sorted(map(str, df.collect())), n
     assert spark.table(f"{database}.t").where("kind = 'a b'").first().id == 21
+
+
+def test_expired_partitions_are_dropped_by_the_catalog(spark, database, data):
+    events, name = data(spark, "events"), f"{database}.events"
+    rows = events.unionByName(events.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    write_table(spark, name, rows, parts.time_partition("ts", "DAY", expiration_ms=7 * parts.MILLIS_PER_DAY))
+    before = len(spark.table(name).inputFiles())
+    assert expire_partitions(spark, name, datetime.datetime(2024, 1, 22)) > 0
+    assert same_rows(spark.table(name), rows.where("ts IS NULL OR ts >= '2024-01-15'")) and len(spark.table(name).inputFiles()) < before
+    assert same_rows(read_table(spark, name, [("ts", "<", "2024-01-16")]), rows.where("ts >= '2024-01-15' AND ts < '2024-01-16'"))
+    assert expire_partitions(spark, name, datetime.datetime(2024, 1, 22)) == 0
+    assert catalog.properties_of(catalog.describe(spark, database, "events"))[catalog.KEPT_FROM] == "2024-01-22T00:00:00"
+    write_table(spark, f"{database}.plain", events, parts.time_partition("ts", "DAY"))
+    assert expire_partitions(spark, f"{database}.plain", datetime.datetime(2030, 1, 1)) == 0
