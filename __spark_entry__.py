@@ -273,6 +273,25 @@ def snapshot_addressing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def commit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest snapshots by the commit index, past one that is short of rows and one of another version."""
+    ws = Workspace(spark, sf_dir)
+    ws.copy("nation")
+    ws.archive(archive_ts="20240101000000")
+    ws.copy("orders")
+    good = ws.archive(archive_ts="20240102000000")
+    for stamp, change in (("20240103000000", {"object_count": F.lit(99)}), ("20240104000000", {"metadata_version": F.lit("v9")})):
+        rows = spark.read.json(f"{good}/dataset.json").withColumns(change)
+        rows.write.json(f"{good.replace('20240102000000', stamp)}/dataset.json")
+    added = manifest.rebuild_commits(spark, f"{ws.path}/archive")
+    newest = manifest.newest_snapshots(spark, f"{ws.path}/archive")
+    listed = manifest.latest_snapshots(manifest.read_manifests(spark, f"{ws.path}/archive")).first().archive_ts
+    tables = manifest.read_manifest(spark, good).where("kind = 'table'").select("archive_ts", "name", "rows")
+    return tables.join(newest, "archive_ts").select(
+        "archive_ts", "name", "rows", F.lit(added).cast("bigint").alias("added"), F.lit(listed).alias("listed"),
+    )
+
+
 def restore_newest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, sf_dir)
     ws.copy("labels")
@@ -845,7 +864,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             format_mapping, datetime_restore, time_partition_day, time_partition_hour, time_partition_month,
             time_partition_year, range_partition, column_partition, partition_expiration, partition_expiration_later, guarded_read,
             guarded_range_read, archive_status, skip_restore, manifest_columns, snapshot_addressing,
-            restore_newest_snapshot, table_labels, view_union_except, view_chain, table_references,
+            commit_index, restore_newest_snapshot, table_labels, view_union_except, view_chain, table_references,
             function_references, rewrite_references, rewrite_table_names, restore_waves, blocked_dependents, ready_nodes,
             external_requisites, materialized_refresh, materialized_partition, external_table, external_partitioned,
             external_over_snapshot, sql_function, tag_struct, python_function, script_insert,
@@ -963,6 +982,8 @@ def oracle_sql() -> dict[str, str]:
                  "(SELECT count(*) + count(*) FILTER (WHERE event_type = 'click') FROM events)", "TRUE"),
             )
         ),
+        "commit_index": "SELECT '20240102000000' AS archive_ts, name, rows, 1::BIGINT AS added, '20240102000000' AS listed FROM "
+        "(SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'orders', count(*) FROM orders)",
         "restore_newest_snapshot": "SELECT * FROM labels UNION ALL SELECT * FROM labels",
         "table_labels": "SELECT *, 'who delivers' AS description, 'supply' AS team, '20240101000000' AS archive_ts FROM supplier",
         "view_union_except": "SELECT DISTINCT o_custkey AS party, 'buyer' AS role FROM orders UNION ALL SELECT s_suppkey, 'seller' FROM supplier "

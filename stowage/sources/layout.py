@@ -22,6 +22,7 @@ KIND_DIRECTORIES = {
     "external_table": ("external_tables", "external_table"),
 }
 MANIFEST = "dataset.json"
+COMMITS = "commits"
 
 
 def format_archive_ts(moment: datetime.datetime | None = None) -> str:

@@ -40,6 +40,7 @@ OBJECT_SCHEMA = fields(
     imported_libraries=T.ArrayType(_TEXT),
 )
 ADDRESS_SCHEMA = fields(project=_TEXT, dataset=_TEXT, archive_ts=_TEXT)
+COMMIT_SCHEMA = T.StructType(ADDRESS_SCHEMA.fields + fields(metadata_version=_TEXT, object_count=_COUNT).fields)
 MANIFEST_SCHEMA = T.StructType(OBJECT_SCHEMA.fields + ADDRESS_SCHEMA.fields)
 
 
@@ -69,6 +70,52 @@ def write_manifest(spark: SparkSession, snapshot: str, rows: list[dict]) -> None
             .json(f"{snapshot}/{directory}")
         )
     df.write.json(f"{snapshot}/{layout.MANIFEST}")
+    _index(spark, layout.prefix_of(snapshot), [(*layout.address_of(snapshot), _archive_ts(snapshot), METADATA_VERSION, len(rows))])
+
+
+def _archive_ts(snapshot: str) -> str:
+    return snapshot.rstrip("/").rpartition("archive_ts=")[2]
+
+
+def _index(spark: SparkSession, prefix: str, rows: list[tuple]) -> None:
+    small_frame(spark, rows, COMMIT_SCHEMA).coalesce(1).write.mode("append").json(f"{prefix}/{layout.COMMITS}")
+
+
+def commits(spark: SparkSession, prefix: str) -> DataFrame:
+    """``(project, dataset, archive_ts, metadata_version, object_count)``: the append-only index of committed snapshots.
+
+    A snapshot enters it after its manifest. Empty for a prefix whose snapshots are older than the index; see
+    :func:`rebuild_commits`.
+    """
+    try:
+        return spark.read.schema(COMMIT_SCHEMA).json(f"{prefix.rstrip('/')}/{layout.COMMITS}").distinct()
+    except AnalysisException:
+        return small_frame(spark, [], COMMIT_SCHEMA)
+
+
+def newest_snapshots(spark: SparkSession, prefix: str) -> DataFrame:
+    """The newest committed snapshot of each project and dataset that this version can read, found without listing any."""
+    readable = commits(spark, prefix).where(F.col("metadata_version") == METADATA_VERSION)
+    return readable.groupBy("project", "dataset").agg(F.max_by(F.struct("archive_ts", "object_count"), "archive_ts").alias("s")).select("project", "dataset", "s.*")
+
+
+def rebuild_commits(spark: SparkSession, prefix: str) -> int:
+    """Put snapshots into the index that are committed and not in it, from all manifests; returns how many."""
+    known = [F.col(c) for c in ADDRESS_SCHEMA.names]
+    found = committed(read_manifests(spark, prefix)).join(commits(spark, prefix).select(*known), ADDRESS_SCHEMA.names, "left_anti")
+    rows = [tuple(r) for r in found.select(COMMIT_SCHEMA.names).collect()]
+    if rows:
+        _index(spark, prefix.rstrip("/"), rows)
+    return len(rows)
+
+
+def committed(manifests: DataFrame) -> DataFrame:
+    """Of snapshots in ``manifests``, those with all their rows; a snapshot of mixed versions is none."""
+    whole = manifests.groupBy(*ADDRESS_SCHEMA.names).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("object_count").alias("object_count"),
+        F.min("metadata_version").alias("metadata_version"), F.max("metadata_version").alias("last_version"),
+    )
+    return whole.where("rows = object_count AND metadata_version = last_version").select(*COMMIT_SCHEMA.names)
 
 
 def read_manifests(spark: SparkSession, prefix: str, where: Column | None = None) -> DataFrame:
@@ -109,8 +156,9 @@ def read_manifest(spark: SparkSession, snapshot: str) -> DataFrame:
 
 
 def latest_snapshots(manifests: DataFrame) -> DataFrame:
-    """The newest ``archive_ts`` of each project and dataset."""
-    return manifests.groupBy("project", "dataset").agg(F.max("archive_ts").alias("archive_ts"))
+    """The newest committed ``archive_ts`` of each project and dataset that this version can read."""
+    readable = committed(manifests).where(F.col("metadata_version") == METADATA_VERSION)
+    return readable.groupBy("project", "dataset").agg(F.max("archive_ts").alias("archive_ts"))
 
 
 def archived_columns(manifests: DataFrame) -> DataFrame:
