@@ -335,6 +335,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     model, words = train(spark, texts), word_pairs.train(spark, texts)
     discard(spark, f"{scratch}/members", f"{scratch}/wrong-ids")
     scores = written(perplexities(docs, model, words), f"{scratch}/scores")
+    # What the documents sent to the shards is the largest shuffle, and nothing needs it any more.
+    discard(spark)
     known = scores.join(trusted.where(held_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     # A quantile of few documents is uncertain.
     wider = slack * (1 + 1 / F.sqrt(F.greatest(F.count(F.lit(1)), F.lit(1))))
