@@ -506,7 +506,7 @@ def rewrite_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rewrite_table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole table names are mapped; aliases, literals and comments of the same name stay."""
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_custkey"))
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderkey")
     statements = orders.select(
         "o_orderkey",
         F.concat(

@@ -14,14 +14,13 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Alternatives in order: line comment, block comment, raw, triple-quoted and plain string literals, a dotted chain of
-# names, number, white space, any other character.
+# White space and comments before a token. Then, alternatives in order: raw, triple-quoted and plain string literals, a
+# dotted chain of names, number, any other character, the end of the text.
 _NAME = r"(?:`(?:[^`]|``)+`|[\p{L}_][\p{L}\p{N}_$]*)"
 _NEXT_NAME = r"(?:`(?:[^`]|``)+`|[\p{L}\p{N}_$]+)"
-TOKEN_PATTERN = (
-    r"--[^\n]*"
-    r"|(?s:/\*.*?\*/)"
-    r"|(?s:[rR]?'''.*?''')"
+_GAP = r"(?:\s+|--[^\n]*|(?s:/\*.*?\*/))*+"
+_TOKEN = (
+    r"(?s:[rR]?'''.*?''')"
     r'|(?s:[rR]?""".*?""")'
     r"|[rR]'[^']*'"
     r'|[rR]"[^"]*"'
@@ -29,11 +28,11 @@ TOKEN_PATTERN = (
     r'|"[^"\\]*+(?:(?:\\(?s:.)|"")[^"\\]*+)*+"'
     rf"|{_NAME}(?:\.{_NEXT_NAME})*"
     r"|[0-9][\w.]*"
-    r"|\s+"
     r"|(?s:.)"
+    r"|\z"
 )
+TOKEN_PATTERN = f"{_GAP}(?:{_TOKEN})"
 NAME_START = r"^(?![rR]['\"])(?:`|[\p{L}_])"
-IGNORED = r"^(?:\s|--|/\*)"
 
 # Keywords after which a FROM list is over.
 ENDS_FROM_LIST = ("WHERE", "GROUP", "HAVING", "ORDER", "SORT", "CLUSTER", "DISTRIBUTE", "LIMIT", "OFFSET", "WINDOW",
@@ -71,7 +70,7 @@ _DEFINES, _DEFINED = "D", "F"
 
 
 def tokens(sql: Column) -> Column:
-    """The token array of a statement; joined together it is the statement again."""
+    """The tokens of a statement, each with the white space and comments before it; joined together it is the statement again."""
     return F.regexp_extract_all(sql, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
@@ -85,138 +84,125 @@ def plain_name(token: Column) -> Column:
 _PLAIN = "replace(replace(replace({0}, '``', char(0)), '`', ''), char(0), '`')"
 
 
-def _meaningful(token_array: Column) -> Column:
-    """Tokens but white space and comments, with their positions."""
-    return F.filter(
-        F.transform(token_array, lambda t, i: F.struct(t.alias("text"), i.alias("at"))),
-        lambda s: ~s["text"].rlike(IGNORED),
-    )
+def _words(words: Iterable[str]) -> str:
+    return ", ".join(f"'{word}'" for word in words)
 
 
-def _significant(kept: Column) -> Column:
-    """Tokens the reading of a statement depends on, with their neighbours in the text.
+def _quoted(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
-    These are the marks and words that steer it, names in places where a table or CTE may stand, and
-    names that are called.
-    """
-    word = F.transform(kept, lambda s: F.upper(s["text"]))
-    with_neighbours = F.transform(
-        F.arrays_zip(kept.alias("token"), word.alias("word")),
-        lambda s, i: F.struct(
-            s["token"]["text"].alias("text"),
-            s["token"]["at"].alias("at"),
-            s["word"].alias("word"),
-            s["word"].isin(*STEERING).alias("steers"),
-            F.when(i > 0, F.upper(F.get(kept, i - 1)["text"])).otherwise("").alias("before"),
-            F.coalesce(F.get(kept, i + 1)["text"], F.lit("")).alias("next"),
-        ),
-    )
-    return F.filter(
-        with_neighbours,
-        lambda s: s["steers"] | ((s["before"].isin(*BEFORE_NAMES) | (s["next"] == "(")) & s["text"].rlike(NAME_START)),
-    )
 
+# Written as SQL, because one parsed expression is built far faster than hundreds of column calls.
+# Lambdas are interpreted for every token, so they are kept short, and what most tokens need is asked first.
+
+# The token of a piece ``p`` without the white space and comments before it.
+_BARE = rf"""
+transform(__pieces, p -> IF(
+  contains(p, '--') OR contains(p, '/*'),
+  regexp_replace(p, '^{_GAP.replace(chr(92), chr(92) * 2)}', ''),
+  ltrim('\t\n\u000B\u000C\r ', p)))
+"""
 
-def _words(words: Iterable[str]) -> str:
-    return ", ".join(f"'{word}'" for word in words)
+# Tokens the reading of a statement depends on, by their positions: the marks and words that steer it, names in places
+# where a table or CTE may stand, and names that are called.
+_SIGNIFICANT = f"""
+transform(
+  filter(
+    sequence(0, size(__words) - 1),
+    i -> get(__words, i) IN ({_words(STEERING)})
+      OR (get(__words, i - 1) IN ({_words(BEFORE_NAMES)}) OR get(__words, i + 1) = '(') AND get(__words, i) RLIKE '{_quoted(NAME_START)}'),
+  i -> named_struct(
+    'at', i,
+    'word', get(__words, i),
+    'steers', get(__words, i) IN ({_words(STEERING)}),
+    'ends', get(__words, i) IN ({_words(ENDS_FROM_LIST)})))
+"""
 
 
-# Written as SQL, because one parsed expression is built far faster than hundreds of column calls.
+def _state(top: str, below: str = "s.below", tables: str = "s.tables", ctes: str = "s.ctes") -> str:
+    return f"named_struct('top', {top}, 'below', {below}, 'tables', {tables}, 'ctes', {ctes})"
+
+
+# The words beside a part ``t``.
+_BEFORE, _AFTER_IT = "coalesce(get(__words, t.at - 1), '')", "coalesce(get(__words, t.at + 1), '')"
+# Names the object last spoken of before ``t``.
+_OBJECT = f"coalesce(try_element_at(filter(__parts, p -> p.at < t.at AND p.word IN ({_words(OBJECTS)})), -1).word, '')"
 # ``s`` is the state: ``top`` is the state of the innermost parenthesis level, ``below`` those around it.
 _READ = f"""
 aggregate(
   __parts,
-  named_struct(
-    'top', '{_OUTSIDE}',
-    'below', '',
-    'object', '',
-    'tables', CAST(array() AS ARRAY<STRUCT<at: INT, name: STRING>>),
-    'ctes', CAST(array() AS ARRAY<STRING>)
-  ),
-  (s, t) -> named_struct(
-    'top', CASE
-      WHEN NOT t.steers THEN CASE s.top
-        WHEN '{_EXPECT}' THEN '{_AFTER}'
-        WHEN '{_DEFINES}' THEN '{_DEFINED}'
-        WHEN '{_WITH}' THEN '{_CTE}'
-        ELSE s.top END
-      WHEN t.word = ',' THEN CASE s.top
-        WHEN '{_AFTER}' THEN '{_EXPECT}'
-        WHEN '{_CTE}' THEN '{_WITH}'
-        ELSE s.top END
-      WHEN t.word = '(' THEN CASE
-        WHEN t.before IN ({_words(FROM_ARGUMENT_FUNCTIONS)}) THEN '{_ARGUMENT}'
-        WHEN s.top = '{_EXPECT}' THEN '{_EXPECT}'
-        ELSE '{_OUTSIDE}' END
-      WHEN t.word = ')' THEN IF(s.below = '', s.top, right(s.below, 1))
-      WHEN t.word = ';' THEN '{_OUTSIDE}'
-      WHEN t.word = 'FROM' THEN IF(s.top = '{_ARGUMENT}' OR t.before = 'DISTINCT', s.top, '{_EXPECT}')
+  {_state(f"'{_OUTSIDE}'", "''", "CAST(array() AS ARRAY<INT>)", "CAST(array() AS ARRAY<STRING>)")},
+  (s, t) -> CASE
+    -- A name before a parenthesis is a table function, except for the column list of an INSERT.
+    WHEN NOT t.steers THEN CASE s.top
+      WHEN '{_OUTSIDE}' THEN s
+      WHEN '{_EXPECT}' THEN {_state(f"'{_AFTER}'", tables=f"IF({_AFTER_IT} <> '(' OR {_BEFORE} IN ('INTO', 'TABLE', 'OVERWRITE'), array_append(s.tables, t.at), s.tables)")}
+      WHEN '{_DEFINES}' THEN {_state(f"'{_DEFINED}'", tables=f"IF({_AFTER_IT} <> '(' OR {_OBJECT} <> 'FUNCTION', array_append(s.tables, t.at), s.tables)")}
+      WHEN '{_WITH}' THEN {_state(f"'{_CTE}'", ctes=f"array_append(s.ctes, lower({_PLAIN.format('get(__tokens, t.at)')}))")}
+      ELSE s END
+    WHEN t.ends THEN IF(s.top IN ('{_OUTSIDE}', '{_ARGUMENT}'), s, {_state(f"'{_OUTSIDE}'")})
+    WHEN t.word = ',' THEN CASE s.top
+      WHEN '{_AFTER}' THEN {_state(f"'{_EXPECT}'")}
+      WHEN '{_CTE}' THEN {_state(f"'{_WITH}'")}
+      ELSE s END
+    WHEN t.word = '(' THEN {_state(f"""CASE
+      WHEN {_BEFORE} IN ({_words(FROM_ARGUMENT_FUNCTIONS)}) THEN '{_ARGUMENT}'
+      WHEN s.top = '{_EXPECT}' THEN '{_EXPECT}'
+      ELSE '{_OUTSIDE}' END""", f"s.below || IF(s.top = '{_EXPECT}', '{_AFTER}', s.top)")}
+    WHEN t.word = ')' THEN {_state("IF(s.below = '', s.top, right(s.below, 1))", "left(s.below, length(s.below) - 1)")}
+    WHEN t.word = ';' THEN {_state(f"'{_OUTSIDE}'", "''")}
+    ELSE {_state(f"""CASE
+      WHEN t.word = 'FROM' THEN IF(s.top = '{_ARGUMENT}' OR {_BEFORE} = 'DISTINCT', s.top, '{_EXPECT}')
       WHEN t.word IN ('JOIN', 'INTO') THEN '{_EXPECT}'
-      WHEN t.word = 'OVERWRITE' THEN IF(t.before = 'INSERT', '{_EXPECT}', s.top)
-      WHEN t.word = 'UPDATE' THEN IF(t.before IN ({_words(STATEMENT_STARTS)}), '{_EXPECT}', s.top)
-      WHEN t.word = 'MERGE' THEN IF(t.before IN ({_words(STATEMENT_STARTS)}), '{_EXPECT}', s.top)
-      WHEN t.word IN ('DESCRIBE', 'DESC') THEN IF(t.before IN ({_words(STATEMENT_STARTS)}), '{_DEFINES}', s.top)
+      WHEN t.word = 'OVERWRITE' THEN IF({_BEFORE} = 'INSERT', '{_EXPECT}', s.top)
+      WHEN t.word = 'UPDATE' THEN IF({_BEFORE} IN ({_words(STATEMENT_STARTS)}), '{_EXPECT}', s.top)
+      WHEN t.word = 'MERGE' THEN IF({_BEFORE} IN ({_words(STATEMENT_STARTS)}), '{_EXPECT}', s.top)
+      WHEN t.word IN ('DESCRIBE', 'DESC') THEN IF({_BEFORE} IN ({_words(STATEMENT_STARTS)}), '{_DEFINES}', s.top)
       WHEN t.word IN ({_words(OBJECTS)}) THEN CASE
-        WHEN t.before IN ({_words(DEFINING)}) AND s.top NOT IN ('{_EXPECT}', '{_AFTER}') THEN '{_DEFINES}'
-        WHEN t.word = 'TABLE' AND t.before IN ({_words(QUERY_STARTS)}) AND t.next <> '(' THEN '{_EXPECT}'
+        WHEN {_BEFORE} IN ({_words(DEFINING)}) AND s.top NOT IN ('{_EXPECT}', '{_AFTER}') THEN '{_DEFINES}'
+        WHEN t.word = 'TABLE' AND {_BEFORE} IN ({_words(QUERY_STARTS)}) AND {_AFTER_IT} <> '(' THEN '{_EXPECT}'
         WHEN t.word = 'VIEW' THEN '{_OUTSIDE}'
         ELSE s.top END
       WHEN t.word IN ('LIKE', 'CLONE', 'COPY') THEN IF(s.top = '{_DEFINED}', '{_DEFINES}', s.top)
-      WHEN t.word = 'TO' THEN IF(s.top = '{_DEFINED}' AND t.before = 'RENAME', '{_DEFINES}', s.top)
-      WHEN t.word = 'USING' THEN IF(s.top = '{_AFTER}' AND t.next <> '(', '{_EXPECT}', s.top)
+      WHEN t.word = 'TO' THEN IF(s.top = '{_DEFINED}' AND {_BEFORE} = 'RENAME', '{_DEFINES}', s.top)
+      WHEN t.word = 'USING' THEN IF(s.top = '{_AFTER}' AND {_AFTER_IT} <> '(', '{_EXPECT}', s.top)
       WHEN t.word = 'WITH' THEN IF(s.top IN ('{_OUTSIDE}', '{_EXPECT}'), '{_WITH}', s.top)
-      WHEN t.word IN ({_words(PASSED_OVER)}) OR s.top = '{_ARGUMENT}' THEN s.top
-      ELSE '{_OUTSIDE}' END,
-    'below', CASE
-      WHEN NOT t.steers THEN s.below
-      WHEN t.word = '(' THEN s.below || IF(s.top = '{_EXPECT}', '{_AFTER}', s.top)
-      WHEN t.word = ')' THEN left(s.below, length(s.below) - 1)
-      WHEN t.word = ';' THEN ''
-      ELSE s.below END,
-    'object', IF(t.word IN ({_words(OBJECTS)}), t.word, s.object),
-    -- A name before a parenthesis is a table function, except for the column list of an INSERT.
-    'tables', IF(
-      NOT t.steers AND (s.top = '{_EXPECT}' AND (t.next <> '(' OR t.before IN ('INTO', 'TABLE', 'OVERWRITE'))
-        OR s.top = '{_DEFINES}' AND (t.next <> '(' OR s.object <> 'FUNCTION')),
-      array_append(s.tables, named_struct('at', t.at, 'name', t.text)), s.tables),
-    'ctes', IF(
-      NOT t.steers AND s.top = '{_WITH}', array_append(s.ctes, lower({_PLAIN.format('t.text')})), s.ctes)
-  )
+      ELSE s.top END""")}
+    END
 )
 """
 
 
 def _analysed(df: DataFrame, sql_col: str) -> DataFrame:
-    """Add ``__tokens``, ``__parts`` and ``__read`` columns, checking that no text was lost."""
+    """Add ``__pieces``, ``__tokens``, ``__words``, ``__parts``, ``__read`` and ``__named`` columns, checking that no text was lost."""
     sql = F.col(sql_col)
-    df = df.withColumn("__tokens", tokens(sql))
+    df = df.withColumn("__pieces", tokens(sql))
     df = df.withColumn(
-        "__tokens",
-        F.when(F.array_join("__tokens", "") == sql, F.col("__tokens")).when(
+        "__pieces",
+        F.when(F.array_join("__pieces", "") == sql, F.col("__pieces")).when(
             sql.isNotNull(), F.raise_error(F.lit("statement could not be cut into tokens"))
         ),
     )
-    df = df.withColumn("__parts", _meaningful(F.col("__tokens")))
+    df = df.withColumn("__tokens", F.expr(_BARE))
+    df = df.withColumn("__words", F.transform("__tokens", F.upper))
     # Operators, numbers and literals change nothing in how a statement is read.
-    df = df.withColumn("__parts", _significant(F.col("__parts")))
-    # A fold over the tokens; collects table references with their positions, and CTE names.
+    df = df.withColumn("__parts", F.expr(_SIGNIFICANT))
+    # A fold over the tokens; collects positions of table references, and CTE names.
     df = df.withColumn("__read", F.expr(_READ))
     # Where a table name stands, bare hyphens belong to it.
     df = df.withColumn("__spans", F.expr(_SPANS))
-    df = df.withColumn("__tokens", F.expr(_JOINED))
-    named = F.transform(
-        F.col("__read")["tables"],
-        lambda t: F.struct(t["at"].alias("at"), plain_name(F.get(F.col("__tokens"), t["at"])).alias("name")),
-    )
-    return df.withColumn("__read", F.col("__read").withField("tables", named)).drop("__spans")
+    df = df.withColumns({name: F.expr(_JOINED.format(name)) for name in ("__pieces", "__tokens")})
+    named = F.transform(F.col("__read")["tables"], lambda at: F.struct(at.alias("at"), plain_name(F.get(F.col("__tokens"), at)).alias("name")))
+    tables = F.filter(named, lambda t: _not_a_cte(t["name"], F.col("__read")["ctes"]))
+    return df.withColumn("__named", tables).drop("__spans")
 
 
 # For each table name that a hyphen follows, its position and that of the last token which belongs to it.
 _SPANS = r"""
 transform(
-  filter(__read.tables, t -> get(__tokens, t.at + 1) = '-'),
-  t -> named_struct('at', t.at, 'last', t.at + aggregate(
-    slice(__tokens, t.at + 2, size(__tokens)),
+  filter(__read.tables, at -> get(__pieces, at + 1) = '-'),
+  at -> named_struct('at', at, 'last', at + aggregate(
+    slice(__pieces, at + 2, size(__pieces)),
     named_struct('n', 0, 'whole', 0, 'on', true),
     (s, x) -> named_struct(
       'n', s.n + 1,
@@ -225,9 +211,9 @@ transform(
     s -> s.whole)))
 """
 _JOINED = """
-IF(size(__spans) = 0, __tokens, transform(__tokens, (x, i) -> CASE
+IF(size(__spans) = 0, {0}, transform({0}, (x, i) -> CASE
   WHEN exists(__spans, s -> s.at = i)
-    THEN array_join(slice(__tokens, i + 1, filter(__spans, s -> s.at = i)[0].last - i + 1), '')
+    THEN array_join(slice({0}, i + 1, filter(__spans, s -> s.at = i)[0].last - i + 1), '')
   WHEN exists(__spans, s -> s.at < i AND i <= s.last) THEN ''
   ELSE x END))
 """
@@ -237,33 +223,25 @@ def _not_a_cte(name: Column, ctes: Column) -> Column:
     return ~F.array_contains(ctes, F.lower(name))
 
 
-def _calls(parts: Column, read: Column) -> Column:
-    """Names used as functions, with their positions."""
-    table_positions = F.transform(read["tables"], lambda t: t["at"])
-    return F.transform(
-        F.filter(
-            parts,
-            lambda p: ~p["steers"]
-            & (p["next"] == "(")
-            & ~p["word"].isin(*NOT_A_CALL)
-            & ~F.array_contains(table_positions, p["at"])
-            & _not_a_cte(p["text"], read["ctes"]),
-        ),
-        lambda p: F.struct(p["at"].alias("at"), plain_name(p["text"]).alias("name")),
+def _calls(read: Column) -> Column:
+    """Positions of names used as functions."""
+    return F.filter(
+        F.transform(F.filter("__parts", lambda p: ~p["steers"] & (F.get(F.col("__words"), p["at"] + 1) == "(")), lambda p: p["at"]),
+        lambda at: ~F.get(F.col("__words"), at).isin(*NOT_A_CALL)
+        & ~F.array_contains(read["tables"], at)
+        & _not_a_cte(F.get(F.col("__tokens"), at), read["ctes"]),
     )
 
 
 def _drop_helpers(df: DataFrame) -> DataFrame:
-    return df.drop("__tokens", "__parts", "__read")
+    return df.drop("__pieces", "__tokens", "__words", "__parts", "__read", "__named")
 
 
 def with_references(df: DataFrame, sql_col: str, tables_col: str = "tables", functions_col: str = "functions") -> DataFrame:
     """Add the distinct table names and function names of each statement as two arrays."""
     read = F.col("__read")
-    tables = F.filter(
-        F.transform(read["tables"], lambda t: t["name"]), lambda name: _not_a_cte(name, read["ctes"])
-    )
-    calls = F.transform(_calls(F.col("__parts"), read), lambda c: c["name"])
+    tables = F.transform("__named", lambda t: t["name"])
+    calls = F.transform(_calls(read), lambda at: plain_name(F.get(F.col("__tokens"), at)))
     return _drop_helpers(
         _analysed(df, sql_col)
         .withColumn(tables_col, F.array_distinct(tables))
@@ -330,12 +308,15 @@ def _lookup(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*entries)
 
 
-# The new text of one token ``t`` at position ``i``. ``n`` holds the parts of its name.
+# The new text of the piece ``p`` at position ``i``. ``n`` holds the parts of its name. Most pieces are no table, no call and
+# do not begin with a table name, and stay. What is asked of every piece is used twice, or Spark would compute it anew for each of them.
 _REPLACED = r"""
-transform(__tokens, (t, i) -> IF(
-  NOT t RLIKE '__name_start',
-  t,
-  transform(
+transform(__pieces, (p, i) -> IF(
+  NOT (array_contains(__at, i) OR array_contains(__calls, i)
+    OR contains(get(__tokens, i), '.') AND get(__tokens, i) RLIKE '__name_start'
+      AND exists(__names, name -> startswith(lower(__plain(t)), name || '.'))),
+  p,
+  left(p, length(p) - length(get(__tokens, i))) || transform(
     array(split(__plain(t), '\\.')),
     n -> coalesce(
       CASE
@@ -347,7 +328,7 @@ transform(__tokens, (t, i) -> IF(
         WHEN size(n) > 1 THEN try_element_at(
           filter(
             transform(sequence(1, size(n) - 1), k -> IF(
-              array_contains(__names, lower(array_join(slice(n, 1, k), '.'))),
+              array_contains(__names, lower(array_join(slice(n, 1, k), '.'))) AND size(__names) > 0,
               coalesce(
                 __whole[lower(array_join(slice(n, 1, k), '.'))],
                 __datasets[lower(array_join(slice(n, 1, k - 1), '.'))] || __tail(slice(n, 1, k), k - 1)
@@ -356,7 +337,7 @@ transform(__tokens, (t, i) -> IF(
             x -> x IS NOT NULL),
           -1)
       END,
-      t)
+      get(__tokens, i))
   )[0]
 ))
 """
@@ -369,7 +350,7 @@ _REPLACED = re.sub(
     r"__tail\(((?:slice\([^()]*\)|n)), ((?:size\(n\)|k)(?: - 1)?)\)",
     lambda m: _TAIL.format(parts=m[1], count=m[2]),
     _REPLACED,
-).replace("__plain(t)", _PLAIN.format("t")).replace("__name_start", NAME_START.replace("\\", "\\\\").replace("'", "\\'"))
+).replace("__plain(t)", _PLAIN.format("get(__tokens, i)")).replace("__name_start", _quoted(NAME_START))
 
 
 def rewrite_references(
@@ -386,21 +367,15 @@ def rewrite_references(
     qualified by a full table name follow that table. String literals, comments, aliases and names
     that merely contain a key stay as they are. Names compare without regard to case.
     """
-    read, parts = F.col("__read"), F.col("__parts")
     df = _analysed(df, sql_col)
     df = df.withColumns(
         {
-            "__calls": F.transform(_calls(parts, read), lambda c: c["at"]),
-            "__tables": F.filter(read["tables"], lambda t: _not_a_cte(t["name"], read["ctes"])),
-        }
-    )
-    df = df.withColumns(
-        {
-            "__at": F.transform("__tables", lambda t: t["at"]),
-            "__names": F.transform("__tables", lambda t: F.lower(t["name"])),
+            "__calls": _calls(F.col("__read")),
+            "__at": F.transform("__named", lambda t: t["at"]),
+            "__names": F.transform("__named", lambda t: F.lower(t["name"])),
             "__datasets": _lookup(mapping),
             "__whole": _lookup(table_mapping or {}),
         }
     )
     df = df.withColumn(sql_col, F.array_join(F.expr(_REPLACED), ""))
-    return _drop_helpers(df).drop("__calls", "__tables", "__at", "__names", "__datasets", "__whole")
+    return _drop_helpers(df).drop("__calls", "__at", "__names", "__datasets", "__whole")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.functions import references as refs
+from stowage.session import spread
 
 # statement, table names, called functions
 STATEMENTS = [
@@ -104,3 +105,22 @@ def test_long_literals_do_not_overflow_the_matcher(spark):
     text = "select '" + "a''b\\'c" * 20000 + "' /*" + "*" * 50000 + "*/ from ds.t"
     df = spark.createDataFrame([(text,)], "sql string")
     assert refs.with_references(df, "sql").first().tables == ["ds.t"]
+
+
+def test_blanks_and_comments_lie_before_their_token(spark):
+    text = "\f from_c\x0b/* a\n-- b */ -- c\r\n+ 'x--y' /*/ z"
+    df = spark.createDataFrame([(text,), ("",), (" -- only\n",)], "sql string")
+    found = [r.t for r in df.select(refs.tokens(F.col("sql")).alias("t")).collect()]
+    assert [p for p in found[0] if p] == ["\f from_c", "\x0b/* a\n-- b */ -- c\r\n+", " 'x--y'", " /", "*", "/", " z"]
+    assert ["".join(t) for t in found] == [text, "", " -- only\n"]
+    df = spark.createDataFrame([("select\ffrom_c from/**/ds.f--\n,\x0bfrom_t -- ds.u\r\n, ds.g-1, (ds.h -1) /* ds.i",)], "sql string")
+    assert refs.with_references(df, "sql").first().tables == ["ds.f", "from_t", "ds.g-1", "ds.h"]
+    renamed = refs.rewrite_references(df, "sql", {"ds": "new"}).first().sql
+    assert renamed == "select\ffrom_c from/**/new.f--\n,\x0bfrom_t -- ds.u\r\n, new.`g-1`, (new.h -1) /* ds.i"
+
+
+def test_tasks_have_bounded_rows(spark):
+    rows = spark.range(0, 5000, 1, 40)
+    assert spread(rows, "id", rows_per_task=50).rdd.getNumPartitions() == 100
+    # Splits may be empty, so their number does not count.
+    assert max(len(p) for p in spread(rows.where("id < 1000"), "id", rows_per_task=100).rdd.glom().collect()) < 250
