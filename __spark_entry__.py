@@ -488,7 +488,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     for priority, (form, *_rest) in _FORMS.items():
         text = F.when(F.col("o_orderpriority") == priority, F.lit(form)).otherwise(text)
     number = F.col("o_custkey").cast("string")
-    return spread(orders).select("o_orderkey", F.replace(text, F.lit("{n}"), number).alias("sql"))
+    return spread(orders, "o_orderkey").select("o_orderkey", F.replace(text, F.lit("{n}"), number).alias("sql"))
 
 
 def table_references(spark: SparkSession, sf_dir: str) -> DataFrame:
