@@ -72,19 +72,24 @@ def contracted(links: DataFrame, marks: DataFrame, scratch: str) -> DataFrame:
     itself has no root: its nodes keep pointing at each other, with ``root`` NULL.
     """
     single = links.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("requisite").alias("next")).where("n = 1").select("key", "next")
-    state = single.join(marks, "key", "left").select("key", "next", F.lit(1).cast("bigint").alias("steps"), "mark")
-    state, found = _counted(state, f"{scratch}/chains-0", rows=F.count(F.lit(1)))
+    # Open is who points at such a node, and so has further to go. Only open nodes are joined by whom they point at: in the end
+    # all nodes may point at one root, which would take them to one task.
+    further = single.select(F.col("key").alias("next"), F.lit(True).alias("open"))
+    state = single.join(further, "next", "left").join(marks, "key", "left").select(
+        "key", "next", F.lit(1).cast("bigint").alias("steps"), "mark", F.coalesce("open", F.lit(False)).alias("open")
+    )
+    open_nodes, found = _counted(state, f"{scratch}/chains-0", rows=F.count(F.lit(1)), open=F.count_if("open"))
     # A chain has no more steps than there are such nodes; whoever has made more goes round in a circle.
-    nodes, turn, before = found["rows"], 0, None
-    open_nodes = state.select("key", "next", "steps", "mark", F.lit(True).alias("open"))
-    while nodes and before != 0 and 1 << turn <= 2 * nodes:
+    nodes, turn, before = found["rows"], 0, found["open"]
+    while before != 0 and 1 << turn <= 2 * nodes:
         turn += 1
-        ahead = open_nodes.select(F.col("key").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"), F.col("mark").alias("there"))
-        moved = open_nodes.where("open").join(ahead, "next", "left").select(
-            "key", F.coalesce("after", "next").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            F.least("mark", "there").alias("mark"), F.col("after").isNotNull().alias("open"),
+        ahead = open_nodes.select(
+            F.col("key").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"), F.col("mark").alias("there"), F.col("open").alias("on")
+        )
+        # Whoever reaches a node whose way has ended is at its root, and moves no more.
+        moved = open_nodes.where("open").join(ahead, "next").select(
+            "key", F.col("after").alias("next"), (F.col("steps") + F.col("more")).alias("steps"), F.least("mark", "there").alias("mark"), F.col("on").alias("open")
         )
-        # A node whose way has ended points at its root; others go through it there, and it moves no more.
         both = moved.unionByName(open_nodes.where("NOT open"))
         open_nodes, found = _counted(both, f"{scratch}/chains-{turn}", open=F.count_if("open"))
         before = found["open"]

@@ -122,3 +122,24 @@ def test_blocked_in_and_behind_a_circle(spark):
     nodes, edges = frames(spark, list("abcdefg"), [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("e", "g"), ("f", "g")])
     found = {r.key: r.failed_requisite for r in graph.blocked_dependents(nodes, edges, spark.createDataFrame([("b",)], "key string")).collect()}
     assert found == {"a": "b", "c": "b", "d": "b", "e": "b"}
+
+
+def test_nodes_at_their_root_are_not_joined_again(spark, monkeypatch):
+    seen, counted = {}, graph._counted
+
+    def noted(df, path, **metrics):
+        out, found = counted(df, path, **metrics)
+        if "/chains-" in path:
+            seen[path.rsplit("-", 1)[1]] = found["open"]
+        return out, found
+
+    monkeypatch.setattr(graph, "_counted", noted)
+    assert waves(spark, ["hub", "a", "b", "c"], [(n, "hub") for n in "abc"]) == {"hub": 0, "a": 1, "b": 1, "c": 1}
+    assert seen == {"0": 0}
+    seen.clear()
+    nodes = spark.range(64).selectExpr("id AS key")
+    edges = spark.range(1, 64).selectExpr("id AS key", "id DIV 2 AS requisite")
+    found = {r.key: r.wave for r in graph.restore_waves(nodes, edges).collect()}
+    assert found == {n: n.bit_length() for n in range(64)}
+    # Of the nodes 1 to 63, those one, two and four steps or more above node 1; before, all 63 were joined at node 0.
+    assert seen == {"0": 62, "1": 60, "2": 48, "3": 0}
