@@ -133,9 +133,14 @@ def _hashed(df: DataFrame, sign: int) -> DataFrame:
 
 
 def _unequal(rows: DataFrame, *buckets: Column) -> DataFrame:
-    """Buckets in which the multisets of both sides differ, from the sums of two hashes of each row and the rows' number."""
-    signed = [F.sum(F.col(c).cast("decimal(38,0)") * F.col("sign")).alias(c) for c in ("first", "second")]
-    return rows.groupBy(*buckets).agg(F.sum("sign").alias("rows"), *signed).where("rows <> 0 OR first <> 0 OR second <> 0")
+    """Buckets in which the multisets of both sides differ, from the sums of two hashes of each row and the rows' number.
+
+    The halves of a hash are summed apart, as whole numbers that cannot overflow below 2^31 rows in a bucket.
+    """
+    halves = {f"{c}_{half}": F.sum(of(F.col(c)) * F.col("sign")) for c in ("first", "second") for half, of in
+              (("high", lambda x: F.shiftright(x, 32)), ("low", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))}
+    found = rows.groupBy(*buckets).agg(F.sum("sign").alias("rows"), *[total.alias(name) for name, total in halves.items()])
+    return found.where(" OR ".join(f"{name} <> 0" for name in ("rows", *halves)))
 
 
 def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -154,7 +159,8 @@ def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     some = rows.where(coarse.isin(differ)) if differ else rows.limit(0)
     keyed = some.select("row", "sign", "first", "second", coarse.alias("coarse"), fine.alias("fine"))
     wrong = _unequal(keyed, F.col("coarse"), F.col("fine")).select("coarse", "fine")
-    found = keyed.join(wrong, ["coarse", "fine"], "left_semi").groupBy("row").agg(
+    # Equal rows share a bucket, so they are grouped where the join has put them, without another shuffle.
+    found = keyed.join(wrong, ["coarse", "fine"], "left_semi").groupBy("coarse", "fine", "row").agg(
         F.count_if(F.col("sign") == 1).alias("left_rows"), F.count_if(F.col("sign") == -1).alias("right_rows")
     )
     return found.where("left_rows <> right_rows").select("row.*", "left_rows", "right_rows")
