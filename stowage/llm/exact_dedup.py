@@ -54,8 +54,13 @@ class DigestIndex:
         return digests.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, fresh: DataFrame) -> None:
-        """Add ``fresh(digest, keep_id)``, whose digests must be new to the index; each task writes one bucket."""
-        fresh.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(self.table)
+        """Add ``fresh(digest, keep_id)``, whose digests must be new to the index; each bucket gets one file.
+
+        Rows are dealt by their bucket, so a bucket is whole in one task however many tasks there are. There are more tasks
+        than buckets, as that puts two buckets into one task less often.
+        """
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        fresh.select("digest", "keep_id").repartition(4 * self.buckets, bucket).write.insertInto(self.table)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")

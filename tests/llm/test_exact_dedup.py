@@ -1,6 +1,8 @@
 import hashlib
 import os
 
+from pyspark.sql.classic.dataframe import DataFrame
+
 from stowage.llm.exact_dedup import DigestIndex, deduplicate
 
 SCHEMA = "doc_id bigint, text string"
@@ -63,3 +65,14 @@ def test_index_is_bucketed_and_not_shuffled(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     files = [f for f in index.rows().inputFiles() if os.path.basename(f).startswith("part-")]
     assert len(files) <= 4
+
+
+def test_one_file_for_each_bucket_whatever_the_number_of_tasks(spark, monkeypatch):
+    dealt = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *cols: dealt(self, max(n, 45), *cols))
+    index = DigestIndex.create(spark, buckets=4)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 1500 AS string) AS text")
+    assert deduplicate(index, docs).where("kept").count() == 1500
+    files = [f.rsplit("/", 1)[-1] for f in index.rows().inputFiles()]
+    assert len(files) == 4 and index.rows().count() == 1500
+    index.drop()
