@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import threading
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -84,11 +85,16 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many seconds after Python let go of a plan the JVM has done so too.
+RELEASED_S = 1.3
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove intermediate tables below a :func:`scratch_dir` that nothing will read again.
 
     Spark keeps the shuffle files of finished plans until the driver collects its garbage, which a driver with room to
-    spare puts off for long, so that is asked for as well.
+    spare puts off for long, so that is asked for as well, once the JVM has been told which plans Python has let go: that
+    is done by a thread of its own that looks for them once a second.
     """
     for path in paths:
         if "/stowage/" not in path:
@@ -96,6 +102,7 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     gc.collect()
+    time.sleep(RELEASED_S)
     spark._jvm.System.gc()
 
 
