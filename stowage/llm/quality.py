@@ -5,12 +5,13 @@ model is of order four over these, so it knows at most 32 ** 4 = 1,048,576 n-gra
 trained on trusted documents: tasks count n-grams, the counts are summed by Spark, and joins of each order's counts
 with those of its contexts and of the next lower order give the probability of every n-gram.
 
-Scoring is a sharded join. A shard is the n-grams that begin alike; every document sends each of the 16 shards its counts
-of the n-grams there, compressed, and the shard's probabilities turn them into a partial sum. The parts of a document are
-added up to its perplexity, which is held against a quantile of its language.
+That table takes 8 MB whatever the corpus, so every executor has it, and a document's perplexity is found where it is read. It
+is held against a quantile of its language.
 
-That model cannot grow, so a second one of word pairs does, as rows keyed by hash (see :mod:`stowage.llm.words`). Its shards
-are scored in the same join, their number follows its rows. A third measure catches words that are repeated over and over,
+That model cannot grow, so a second one of word pairs does, keyed by hash (see :mod:`stowage.llm.words`). Scoring by it is a
+sharded join: documents send each shard what they have of it, compressed, the shard's values turn that into partial sums, and
+the parts of a document are added up. One of so many slices of the documents is scored at a time, so that what
+they send takes a part of the disk only. A third measure catches words that are repeated over and over,
 which are likely to any such model: the share of a document's word pairs that repeat its most frequent pair.
 """
 
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +33,12 @@ from stowage.llm.batches import column, slices
 from stowage.llm.members import exactly_among
 from stowage.session import discard, scratch_dir, written
 
-ORDER, CLASS_BITS, SHARD_BITS = 4, 5, 4
+ORDER, CLASS_BITS = 4, 5
 CLASSES = 1 << CLASS_BITS
 GRAM_BITS = ORDER * CLASS_BITS
-GRAMS, SHARDS, IN_SHARD = 1 << GRAM_BITS, 1 << SHARD_BITS, 1 << (GRAM_BITS - SHARD_BITS)
+GRAMS = 1 << GRAM_BITS
+#: Documents are scored in so many slices, one after the other.
+SLICES = 6
 DIGIT, BLANK, BREAK, SENTENCE, MARK, OTHER = range(26, 32)
 QUANTILE, SLACK = 0.99, 1.1
 #: One in so many trusted documents is left out of the model and sets the thresholds, as texts the model has seen fit it too well.
@@ -72,13 +74,23 @@ def _classes() -> np.ndarray:
 
 def grams(text: str) -> np.ndarray:
     """The code of the n-gram that ends at each character; before the text there are line breaks."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = _classes()[np.minimum(points, 0xFFFF)].astype(np.int64)
-    padded = np.concatenate((np.full(ORDER - 1, BREAK), classes))
-    codes = np.zeros(len(classes), np.int64)
-    for i in range(ORDER):
-        codes = codes << CLASS_BITS | padded[i : i + len(classes)]
-    return codes
+    return all_grams([text])[0]
+
+
+def all_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts one after the other, and how many each text has."""
+    before = "\n" * (ORDER - 1)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join([before + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    classes = _classes()[np.minimum(points, 0xFFFF)].astype(np.int32)
+    codes = classes.copy()
+    for i in range(1, ORDER):
+        codes[i:] |= classes[:-i] << CLASS_BITS * i
+    inner = np.ones(len(codes), bool)
+    start = np.cumsum(sizes + len(before)) - sizes
+    for i in range(1, ORDER):
+        inner[start - i] = False
+    return codes[inner], sizes
 
 
 # -- training --------------------------------------------------------------------------------------
@@ -90,9 +102,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GRAMS, np.int64)
         for batch in slices(batches, "text"):
-            for text in column(batch, "text"):
-                found, n = np.unique(grams(text), return_counts=True)
-                total[found] += n
+            total += np.bincount(all_grams(column(batch, "text"))[0], minlength=GRAMS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["gram", "n"])
 
@@ -153,157 +163,95 @@ def train(spark: SparkSession, texts: DataFrame) -> DataFrame:
 # -- scoring ---------------------------------------------------------------------------------------
 
 VECTORS = (
-    "shard int, salt int, part int, seq int, vectors binary, "
-    "doc_ids array<bigint>, langs array<string>, lengths array<bigint>, counts array<bigint>, repeats array<double>, digests array<string>"
+    "shard int, part int, seq int, vectors binary, doc_ids array<bigint>, langs array<string>, lengths array<bigint>, "
+    "totals array<double>, counts array<bigint>, repeats array<double>, digests array<string>"
 )
-ABOUT = ("doc_ids", "langs", "lengths", "counts", "repeats", "digests")
-PARTIAL = "part int, seq int, of_words boolean, " + VECTORS.partition("seq int, ")[2].replace("vectors", "sums")
+ABOUT = ("doc_ids", "langs", "lengths", "totals", "counts", "repeats", "digests")
+PARTIAL = VECTORS.partition(", ")[2].replace("vectors", "sums")
 SCORES = "doc_id bigint, lang string, n_symbols bigint, perplexity double, n_words bigint, word_perplexity double, repeated double, text_md5 string"
 
 
-def _pack(entries: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
-    """What a run of documents sends to one shard: entries of each, their codes in ascending order, their counts.
-
-    Codes go as differences and in two planes of bytes, counts in one, with 255 for those that follow in full at the end;
-    compressed, an entry takes about one and a half bytes.
-    """
-    steps = np.diff(codes.astype(np.uint16), prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2)
-    small = np.minimum(counts, 255).astype(np.uint8)
-    large = counts[small == 255].astype("<u4")
-    head = np.array([len(entries), len(codes), len(large)], "<u4")
-    planes = (head, entries.astype("<u4"), large, steps[:, 1], small, steps[:, 0])
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
-
-
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    docs, n, many = np.frombuffer(raw, "<u4", 3).tolist()
-    entries, large = np.frombuffer(raw, "<u4", docs, 12), np.frombuffer(raw, "<u4", many, 12 + 4 * docs)
-    high, small, low = np.frombuffer(raw, np.uint8, 3 * n, 12 + 4 * (docs + many)).reshape(3, n)
-    codes = np.cumsum(high.astype(np.uint16) << np.uint16(8) | low, dtype=np.uint16)
-    counts = small.astype(np.int64)
-    counts[small == 255] = large
-    return entries, codes, counts
-
-
-def _vectors(texts: list[str]) -> list[bytes]:
-    """What the documents send to each shard."""
-    docs, codes, counts = [], [], []
-    for i, text in enumerate(texts):
-        found, n = np.unique(grams(text), return_counts=True)
-        docs.append(np.full(len(found), i, np.int32))
-        codes.append(found)
-        counts.append(n)
-    doc, code, count = (np.concatenate(x) for x in (docs, codes, counts))
-    shard = code >> (GRAM_BITS - SHARD_BITS)
-    order = np.argsort(shard, kind="stable")
-    doc, code, count = doc[order], code[order] & (IN_SHARD - 1), count[order]
-    edges = np.searchsorted(shard[order], np.arange(SHARDS + 1)).tolist()
-    return [
-        _pack(np.bincount(doc[low:high], minlength=len(texts)), code[low:high], count[low:high])
-        for low, high in zip(edges[:-1], edges[1:], strict=True)
-    ]
-
-
-def _partial(table: np.ndarray, vectors: bytes) -> bytes:
-    """Each document's sum over one shard."""
-    entries, codes, counts = _unpack(vectors)
-    doc = np.repeat(np.arange(len(entries)), entries)
-    return np.bincount(doc, weights=table[codes] * counts, minlength=len(entries)).astype("<f8").tobytes()
-
-
-def perplexities(docs: DataFrame, model: DataFrame, words: tuple[DataFrame, float] | None = None) -> DataFrame:
+def perplexities(docs: DataFrame, model: DataFrame, words: tuple[word_pairs.Table, float] | None = None) -> DataFrame:
     """``(doc_id, lang, n_symbols, perplexity, n_words, word_perplexity, repeated, text_md5)`` of whole texts, a row for each row.
 
     ``words`` is what :func:`stowage.llm.words.train` gives. Without text the perplexity is null, without words or a
-    model of them that of the words.
+    model of them that of the words. The rows are written to the scratch folder.
     """
-    parts = docs.rdd.getNumPartitions()
-    salts = max(1, parts // 2)
-    unseen = words[1] if words else 0.0
-    word_shards = max(SHARDS, parts, -(-words[0].count() // word_pairs.SHARD_ROWS)) if words else 0
+    spark = docs.sparkSession
+    unseen, shards = (words[1], words[0].number) if words else (0.0, word_pairs.SHARDS)
+    table = words[0].shards.select("shard", "logps") if words else spark.createDataFrame([], "shard int, logps binary")
+    unknown = words is None
+    logp, known = np.zeros(GRAMS), model.select("gram", "logp").toArrow()
+    logp[known.column("gram").to_numpy()] = known.column("logp").to_numpy()
+    logp = spark.sparkContext.broadcast(logp)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for seq, batch in enumerate(slices(batches, "text", 1 << 22)):
+        for seq, batch in enumerate(slices(batches, "text", 1 << 21)):
             texts = [t or "" for t in column(batch, "text")]
-            of_words, counts, repeats = word_pairs.vectors(texts, max(1, word_shards))
-            sent = [*_vectors(texts), *of_words[:word_shards]]
+            codes, lengths = all_grams(texts)
+            totals = np.zeros(len(texts))
+            if len(codes):
+                some = lengths > 0
+                totals[some] = np.add.reduceat(logp.value[codes], (np.cumsum(lengths) - lengths)[some])
+            del codes
+            of_words, counts, repeats = word_pairs.vectors(texts, shards)
+            # One row says what the documents are, and so there is one even if they have no words.
+            first = (part + seq) % shards
+            sent = {first: of_words.pop(first, None), **of_words}
             rest = [None] * (len(sent) - 1)
             arrays = [
-                pa.array(range(len(sent)), pa.int32()),
-                pa.array([part % salts] * SHARDS + [0] * word_shards, pa.int32()),
+                pa.array(list(sent), pa.int32()),
                 *(pa.array([x] * len(sent), pa.int32()) for x in (part, seq)),
-                pa.array(sent, pa.binary()),
+                pa.array(list(sent.values()), pa.binary()),
                 pa.array([column(batch, "doc_id"), *rest], pa.list_(pa.int64())),
                 pa.array([column(batch, "lang"), *rest], pa.list_(pa.string())),
-                pa.array([[len(t) for t in texts], *rest], pa.list_(pa.int64())),
+                pa.array([lengths.tolist(), *rest], pa.list_(pa.int64())),
+                pa.array([totals.tolist(), *rest], pa.list_(pa.float64())),
                 pa.array([counts.tolist(), *rest], pa.list_(pa.int64())),
                 pa.array([repeats.tolist(), *rest], pa.list_(pa.float64())),
                 pa.array([[hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], *rest], pa.list_(pa.string())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["shard", "salt", "part", "seq", "vectors", *ABOUT])
+            yield pa.RecordBatch.from_arrays(arrays, ["shard", "part", "seq", "vectors", *ABOUT])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        of_words = bool(left.num_rows) and left.column("shard")[0].as_py() >= SHARDS
-        given = b"".join(right.column("logps").to_pylist())
-        if of_words:
-            known = word_pairs.unpacked(given)
-            packer = zstandard.ZstdCompressor(level=1)
-            sums = [packer.compress(word_pairs.partial(known, x, unseen).astype("<f8").tobytes()) for x in left.column("vectors").to_pylist()]
-        else:
-            table = np.frombuffer(given, "<f8") if given else np.zeros(IN_SHARD)
-            sums = [_partial(table, row) for row in left.column("vectors").to_pylist()]
+        given = right.column("logps").to_pylist()
+        found = word_pairs.unpacked(given[0]) if given and left.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
+        sums = [x and word_pairs.partial(found, x, unseen) for x in left.column("vectors").to_pylist()]
         return pa.table(
-            [left.column("part"), left.column("seq"), pa.array([of_words] * len(sums), pa.bool_()), pa.array(sums, pa.binary()), *(left.column(n) for n in ABOUT)],
-            names=["part", "seq", "of_words", "sums", *ABOUT],
+            [left.column("part"), left.column("seq"), pa.array(sums, pa.binary()), *(left.column(n) for n in ABOUT)], names=["part", "seq", "sums", *ABOUT]
         )
 
     def add(rows: pa.Table) -> pa.Table:
-        about = [next(x for x in rows.column(n).to_pylist() if x is not None) for n in ABOUT]
-        lengths, counts = np.array(about[2], np.int64), np.array(about[3], np.int64)
-        total, of_words = np.zeros(len(lengths)), np.zeros(len(lengths))
-        unpacker = zstandard.ZstdDecompressor()
-        for data, word in zip(rows.column("sums").to_pylist(), rows.column("of_words").to_pylist(), strict=True):
-            if word:
-                of_words += np.frombuffer(unpacker.decompress(data), "<f8")
-            else:
-                total += np.frombuffer(data, "<f8")
+        ids, langs, lengths, totals, counts, repeats, digests = (next(x for x in rows.column(n).to_pylist() if x is not None) for n in ABOUT)
+        lengths, totals, counts = np.array(lengths, np.int64), np.array(totals), np.array(counts, np.int64)
+        of_words = np.zeros(len(lengths))
+        for data in rows.column("sums").to_pylist():
+            if data:
+                word_pairs.add_partial(of_words, data)
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            perplexity, word_perplexity = np.exp(-total / lengths), np.exp(-of_words / (counts + 1))
+            perplexity, word_perplexity = np.exp(-totals / lengths), np.exp(-of_words / (counts + 1))
         return pa.table(
             [
-                pa.array(about[0], pa.int64()), pa.array(about[1], pa.string()), pa.array(lengths), pa.array(perplexity, mask=lengths == 0),
-                pa.array(counts), pa.array(word_perplexity, mask=(counts == 0) | (word_shards == 0)), pa.array(about[4], pa.float64()),
-                pa.array(about[5], pa.string()),
+                pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(lengths), pa.array(perplexity, mask=lengths == 0),
+                pa.array(counts), pa.array(word_perplexity, mask=(counts == 0) | unknown), pa.array(repeats, pa.float64()),
+                pa.array(digests, pa.string()),
             ],
             names=[x.split()[0] for x in SCORES.split(", ")],
         )
 
-    def pack(rows: pa.Table) -> pa.Table:
-        shard = rows.column("shard").slice(0, 1)
-        if shard[0].as_py() >= SHARDS:
-            data = word_pairs.packed(rows.column("place").to_numpy(), rows.column("logp").to_numpy())
-        else:
-            table = np.zeros(IN_SHARD)
-            table[rows.column("place").to_numpy()] = rows.column("logp").to_numpy()
-            data = table.astype("<f8").tobytes()
-        return pa.table([shard, pa.array([data], pa.binary())], names=["shard", "logps"])
-
-    grams = model.select(
-        F.shiftright("gram", GRAM_BITS - SHARD_BITS).alias("shard"), F.col("gram").bitwiseAND(IN_SHARD - 1).cast("bigint").alias("place"), "logp"
-    )
-    if words:
-        low = F.shiftright(F.col("gram").bitwiseAND((1 << word_pairs.LOW_BITS) - 1), 1)
-        of_words = words[0].select((low % word_shards + SHARDS).cast("int").alias("shard"), F.col("gram").alias("place"), F.col("value").alias("logp"))
-        grams = grams.unionByName(of_words)
-    shards = grams.groupBy("shard").applyInArrow(pack, "shard int, logps binary")
-    copies = F.when(F.col("shard") < SHARDS, F.lit(salts - 1)).otherwise(0)
-    shards = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), copies))).select("shard", "salt", "logps")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sent = rows.mapInArrow(vectors, VECTORS)
-    partial = sent.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInArrow(score, PARTIAL)
-    return partial.groupBy("part", "seq").applyInArrow(add, SCORES)
+    scratch, rows = scratch_dir(spark, "perplexities"), docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    # By length as well, as ids may be missing or repeat.
+    place = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(SLICES))
+    for i in range(SLICES):
+        sent = rows.where(place == i).mapInArrow(vectors, VECTORS)
+        partial = sent.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(score, PARTIAL)
+        partial.groupBy("part", "seq").applyInArrow(add, SCORES).write.parquet(f"{scratch}/{i}")
+        del sent, partial
+        # What the documents sent to the shards is the largest shuffle, and nothing needs it any more.
+        discard(spark)
+    logp.destroy()
+    return spark.read.schema(SCORES).parquet(*[f"{scratch}/{i}" for i in range(SLICES)])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -332,11 +280,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(HELD_OUT)), F.lit(HELD_OUT)) == 0
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = exactly_among(texts, trusted.where(~held_out), scratch)
-    model, words = train(spark, texts), word_pairs.train(spark, texts)
+    model, words = train(spark, texts), word_pairs.train(spark, texts, docs.rdd.getNumPartitions())
     discard(spark, f"{scratch}/members", f"{scratch}/wrong-ids")
-    scores = written(perplexities(docs, model, words), f"{scratch}/scores")
-    # What the documents sent to the shards is the largest shuffle, and nothing needs it any more.
-    discard(spark)
+    scores = perplexities(docs, model, words)
     known = scores.join(trusted.where(held_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     # A quantile of few documents is uncertain.
     wider = slack * (1 + 1 / F.sqrt(F.greatest(F.count(F.lit(1)), F.lit(1))))

@@ -129,3 +129,26 @@ def test_languages_labels_and_empty(spark):
     without = quality.classify(docs, labels.limit(0)).collect()
     assert all(r.kept == bool(r.n_symbols) and r.threshold is None for r in without)
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_only_shards_that_have_something_get_a_row():
+    sent, counts, _ = words.vectors(["one two", "", "two"], 1000)
+    assert 0 < len(sent) <= 3 + 4 + 2 and counts.tolist() == [2, 0, 1]
+    assert len(words.partial(words.unpacked(words.packed(*[words.np.zeros(0, t) for t in ("u8", "f8")])), next(iter(sent.values())), -1.0)) < 60
+
+
+def test_words_are_those_of_split():
+    some = ["", " ", " a  b\n", "\u3000x\u00a0y\x1cz\u200b", "été\t\u2028ok"]
+    found, counts = words.split_words(some)
+    assert found.to_pylist() == [w for t in some for w in t.split()] and counts.tolist() == [len(t.split()) for t in some]
+
+
+def test_counts_of_pairs_come_back():
+    _, keys, _ = words.sequences(["a b a b", "b a", "c"])
+    first, second, n = keys[:-1], keys[1:], words.np.arange(1, len(keys))
+    key, one, two, total = words._added([(words.pair_keys(first, second), first, second, n)])
+    known, i, j, m = words.counts_unpacked(words.counts_packed(one, two, total))
+    expected = Counter()
+    for a, b, k in zip(first.tolist(), second.tolist(), n.tolist(), strict=True):
+        expected[a, b] += k
+    assert dict(zip(zip(known[i].tolist(), known[j].tolist(), strict=True), m.tolist(), strict=True)) == expected
