@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from stowage.llm import words as word_pairs
 from stowage.llm.batches import column, slices
 from stowage.llm.members import exactly_among
-from stowage.session import discard, scratch_dir, written
+from stowage.session import batches_of, discard, scratch_dir, written
 
 ORDER, CLASS_BITS = 4, 5
 CLASSES = 1 << CLASS_BITS
 GRAM_BITS = ORDER * CLASS_BITS
 GRAMS = 1 << GRAM_BITS
+#: Texts are handed to Python in batches of about so many bytes; Spark's own limit, 64 MB, has every task hold that much several times over.
+BATCH_BYTES = 4 << 20
 #: Documents are scored in so many slices, one after the other.
 SLICES = 6
 DIGIT, BLANK, BREAK, SENTENCE, MARK, OTHER = range(26, 32)
@@ -162,6 +165,22 @@ def train(spark: SparkSession, texts: DataFrame) -> DataFrame:
 
 # -- scoring ---------------------------------------------------------------------------------------
 
+#: Texts of about so many characters are scored at a time.
+RUN_CHARS = 1 << 18
+
+
+def log_likelihoods(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each text's log probabilities, and its length."""
+    lengths, totals = np.fromiter(map(len, texts), np.int64, len(texts)), np.zeros(len(texts))
+    starts = np.flatnonzero(np.diff(np.cumsum(lengths) // RUN_CHARS, prepend=-1)).tolist()
+    for low, high in itertools.pairwise([*starts, len(texts)]):
+        codes, sizes = all_grams(texts[low:high])
+        some = np.flatnonzero(sizes)
+        if len(some):
+            totals[low + some] = np.add.reduceat(logp[codes], (np.cumsum(sizes) - sizes)[some])
+    return totals, lengths
+
+
 VECTORS = (
     "shard int, part int, seq int, vectors binary, doc_ids array<bigint>, langs array<string>, lengths array<bigint>, "
     "totals array<double>, counts array<bigint>, repeats array<double>, digests array<string>"
@@ -189,12 +208,7 @@ def perplexities(docs: DataFrame, model: DataFrame, words: tuple[word_pairs.Tabl
         part = TaskContext.get().partitionId()
         for seq, batch in enumerate(slices(batches, "text", 1 << 21)):
             texts = [t or "" for t in column(batch, "text")]
-            codes, lengths = all_grams(texts)
-            totals = np.zeros(len(texts))
-            if len(codes):
-                some = lengths > 0
-                totals[some] = np.add.reduceat(logp.value[codes], (np.cumsum(lengths) - lengths)[some])
-            del codes
+            totals, lengths = log_likelihoods(texts, logp.value)
             of_words, counts, repeats = word_pairs.vectors(texts, shards)
             # One row says what the documents are, and so there is one even if they have no words.
             first = (part + seq) % shards
@@ -260,6 +274,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return marks.where("doc_id IS NOT NULL AND quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
 
 
+def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column, DataFrame]:
+    """The trusted documents' ids, which of them are held out, and all documents' :func:`perplexities`."""
+    spark = docs.sparkSession
+    scratch = scratch_dir(spark, "quality")
+    trusted = written(trusted_ids(labels), f"{scratch}/trusted")
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(HELD_OUT)), F.lit(HELD_OUT)) == 0
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = exactly_among(texts, trusted.where(~held_out), scratch)
+    model, words = train(spark, texts), word_pairs.train(spark, texts, docs.rdd.getNumPartitions())
+    discard(spark, f"{scratch}/members", f"{scratch}/wrong-ids")
+    return trusted, held_out, perplexities(docs, model, words)
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK,
              allowance: float = ALLOWANCE) -> DataFrame:
     """``(doc_id, lang, n_symbols, perplexity, threshold, n_words, word_perplexity, word_threshold, repeated,
@@ -275,14 +302,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     are ignored; an empty input gives no rows.
     """
     spark = docs.sparkSession
-    scratch = scratch_dir(spark, "quality")
-    trusted = written(trusted_ids(labels), f"{scratch}/trusted")
-    held_out = F.pmod(F.xxhash64("doc_id", F.lit(HELD_OUT)), F.lit(HELD_OUT)) == 0
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = exactly_among(texts, trusted.where(~held_out), scratch)
-    model, words = train(spark, texts), word_pairs.train(spark, texts, docs.rdd.getNumPartitions())
-    discard(spark, f"{scratch}/members", f"{scratch}/wrong-ids")
-    scores = perplexities(docs, model, words)
+    with batches_of(spark, BATCH_BYTES):
+        trusted, held_out, scores = _scored(docs, labels)
     known = scores.join(trusted.where(held_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     # A quantile of few documents is uncertain.
     wider = slack * (1 + 1 / F.sqrt(F.greatest(F.count(F.lit(1)), F.lit(1))))

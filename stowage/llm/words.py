@@ -26,8 +26,8 @@ from stowage.session import discard, scratch_dir, written
 KEY_BITS, LOW_BITS = 40, 24
 #: The pairs of so many bytes of trusted text are one shard; there are so many shards at least.
 SHARD_BYTES, SHARDS = 8 << 20, 16
-#: So many pairs a task adds up before it sends their counts.
-GATHERED = 1_500_000
+#: So many pairs a task adds up before it sends their counts, a run of so many bytes of text at a time.
+GATHERED, RUN_BYTES = 1_500_000, 1 << 20
 #: The values of pairs are made for one in so many shards at a time, which bounds what lies on disk.
 ROUNDS = 2
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707345)
@@ -70,7 +70,7 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of text and key of each word, with marks around texts that have words, and the words of each text."""
     words, counts = split_words(texts)
     sizes = counts + 2 * (counts > 0)
-    doc, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)[counts > 0]
+    doc, ends = np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.cumsum(sizes)[counts > 0]
     keys = np.zeros(len(doc), np.uint64)
     inner = np.ones(len(doc), bool)
     inner[ends - 1] = inner[ends - sizes[counts > 0]] = False
@@ -93,11 +93,20 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Key, first and second word and count of each different pair."""
-    key, first, second, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, first, second, n = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(key)
     key = key[order]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return key[start], first[order[start]], second[order[start]], np.add.reduceat(n[order], start)
+    n = np.add.reduceat(n[order], start, dtype=np.int64)
+    order = order[start]
+    return key[start], first[order], second[order], n
+
+
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    """All arrays as one; the list is emptied, so that the whole is not held twice."""
+    whole = np.concatenate(arrays)
+    arrays.clear()
+    return whole
 
 
 def _planes(values: np.ndarray, kind: str, width: int) -> bytes:
@@ -131,6 +140,41 @@ def counts_unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return np.cumsum(_of_planes(raw, 8, known, "<u8", 8), dtype=np.uint64), np.cumsum(one, dtype=np.int64), two.astype(np.int64), n.astype(np.int64)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """``(shard, pairs)``: the counts of the pairs in the column ``text``, for each shard that has some, as :func:`counts_packed`.
+
+    What is held of a pair until it is sent are its shard, words and count, 24 bytes; only one shard's pairs are sorted at a time.
+    """
+    held: tuple[list[np.ndarray], ...] = ([], [], [], [])
+
+    def sent() -> pa.RecordBatch:
+        shard, first, second, n = map(_joined, held)
+        order = np.argsort(shard, kind="stable")
+        edges = np.cumsum(np.bincount(shard, minlength=shards)).tolist()
+        del shard
+        some, data = [], []
+        for i, (low, high) in enumerate(zip([0, *edges], edges)):
+            if low < high:
+                one, two, times = (x[order[low:high]] for x in (first, second, n))
+                some.append(i)
+                data.append(counts_packed(*_added([(pair_keys(one, two), one, two, times)])[1:]))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["shard", "pairs"])
+
+    for batch in slices(batches, "text", RUN_BYTES):
+        _, first, second, key = pairs(*sequences(column(batch, "text"))[:2])
+        if not len(key):
+            continue
+        key, first, second, n = _added([(key, first, second, np.ones(len(key), np.uint32))])
+        shard = placed(key, shards) >> np.uint64(KEY_BITS)
+        for parts, x in zip(held, (shard.astype(np.uint32), first, second, n.astype(np.uint32)), strict=True):
+            parts.append(x)
+        del first, second, key, n, shard, x
+        if sum(map(len, held[0])) > GATHERED:
+            yield sent()
+    if held[0]:
+        yield sent()
+
+
 def train(spark: SparkSession, texts: DataFrame, least: int = SHARDS) -> tuple[Table, float]:
     """The value of every word and pair in the column ``text``, in ``least`` shards or more, and the value of unseen words.
 
@@ -143,35 +187,17 @@ def train(spark: SparkSession, texts: DataFrame, least: int = SHARDS) -> tuple[T
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, least, -(-size // SHARD_BYTES))
 
-    def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, first, second, n = _added(parts)
-        shard = placed(key, shards) >> np.uint64(KEY_BITS)
-        order = np.argsort(shard, kind="stable")
-        first, second, n = first[order], second[order], n[order]
-        edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64)).tolist()
-        some = [i for i in range(shards) if edges[i] < edges[i + 1]]
-        data = [counts_packed(*(x[edges[i] : edges[i + 1]] for x in (first, second, n))) for i in some]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["shard", "pairs"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        for batch in slices(batches, "text", 1 << 22):
-            _, first, second, key = pairs(*sequences(column(batch, "text"))[:2])
-            if not len(key):
-                continue
-            parts.append(_added([(key, first, second, np.ones(len(key), np.int64))]))
-            if sum(len(p[0]) for p in parts) > GATHERED:
-                yield sent(parts)
-                parts = []
-        if parts:
-            yield sent(parts)
+        yield from gathered(batches, shards)
 
     def count(rows: pa.Table) -> pa.Table:
-        parts = []
-        for data in rows.column("pairs").to_pylist():
-            known, one, two, n = counts_unpacked(data)
-            parts.append((pair_keys(known[one], known[two]), known[one], known[two], n))
-        data = counts_packed(*_added(parts)[1:])
+        parts: tuple[list[np.ndarray], ...] = ([], [], [])
+        for data in rows.column("pairs"):
+            known, one, two, n = counts_unpacked(data.as_py())
+            for some, x in zip(parts, (known[one], known[two], n.astype(np.uint32)), strict=True):
+                some.append(x)
+        first, second, n = map(_joined, parts)
+        data = counts_packed(*_added([(pair_keys(first, second), first, second, n)])[1:])
         return pa.table([rows.column("shard").slice(0, 1), pa.array([data], pa.binary())], names=["shard", "pairs"])
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,18 +275,26 @@ def placed(gram: np.ndarray, shards: int) -> np.ndarray:
 def vectors(texts: list[str], shards: int) -> tuple[dict[int, bytes], np.ndarray, np.ndarray]:
     """What the texts send to each shard of which they have words or pairs; their words; and the share of pairs that repeat their most frequent one."""
     doc, keys, counts = sequences(texts)
-    pair_doc, _, _, pair = pairs(doc, keys)
-    doc, place = np.concatenate((doc, pair_doc)).astype(np.uint64), placed(np.concatenate((keys, pair)), shards)
+    pair_doc, *_, pair = pairs(doc, keys)
+    del _
+    place = np.concatenate((placed(keys, shards), placed(pair, shards)))
+    del keys, pair
+    doc = np.concatenate((doc, pair_doc)).astype(np.uint64)
+    del pair_doc
     width = max(len(texts) - 1, 1).bit_length()
     if KEY_BITS + (shards - 1).bit_length() + width <= 64:
-        both = np.sort(place << np.uint64(width) | doc)
-        doc, place = both & np.uint64((1 << width) - 1), both >> np.uint64(width)
+        place <<= np.uint64(width)
+        place |= doc
+        place.sort()
+        np.bitwise_and(place, np.uint64((1 << width) - 1), out=doc)
+        place >>= np.uint64(width)
     else:
         order = np.lexsort((doc, place))
         doc, place = doc[order], place[order]
     start = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))) if len(doc) else np.zeros(0, np.int64)
     n = np.diff(start, append=len(doc)).astype(np.uint32)
     doc, place = doc[start].astype(np.int64), place[start]
+    del start
     most = np.ones(len(texts))
     two = (place & np.uint64(1) == 0) & (n > 1)
     np.maximum.at(most, doc[two], n[two].astype(float))

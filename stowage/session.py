@@ -106,6 +106,34 @@ def discard(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_ARROW_USERS: dict[int, list[str]] = {}
+_ARROW_LOCK = threading.Lock()
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside the block hand Python Arrow batches of about ``size`` bytes at most; a smaller limit of the session stays.
+
+    The limit belongs to the session, which threads share, so the last block to end puts the previous one back.
+    """
+    key = id(spark._jsparkSession)
+    with _ARROW_LOCK:
+        before = spark.conf.get(_ARROW_BYTES)
+        _ARROW_USERS.setdefault(key, []).append(_ARROW_USERS[key][0] if _ARROW_USERS.get(key) else before)
+        limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+        if not 0 < limit <= size:
+            spark.conf.set(_ARROW_BYTES, f"{size}b")
+    try:
+        yield
+    finally:
+        with _ARROW_LOCK:
+            previous = _ARROW_USERS[key].pop()
+            if not _ARROW_USERS[key]:
+                del _ARROW_USERS[key]
+                spark.conf.set(_ARROW_BYTES, previous)
+
+
 @contextlib.contextmanager
 def using_database(spark: SparkSession, database: str) -> Iterator[None]:
     """Make ``database`` current inside the block and put the previous one back afterwards.

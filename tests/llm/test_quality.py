@@ -1,12 +1,16 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stowage.llm import quality, words
+from stowage.session import batches_of
 
 
 def naive_model(texts):
@@ -152,3 +156,58 @@ def test_counts_of_pairs_come_back():
     for a, b, k in zip(first.tolist(), second.tolist(), n.tolist(), strict=True):
         expected[a, b] += k
     assert dict(zip(zip(known[i].tolist(), known[j].tolist(), strict=True), m.tolist(), strict=True)) == expected
+
+
+def traced(run):
+    """What ``run`` gives, and the bytes it held at its peak."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_gathering_pairs_takes_few_bytes_a_pair():
+    rng = np.random.default_rng(3)
+    some = [" ".join(map(str, rng.integers(0, 1 << 30, 2000))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(some)], ["text"])
+    out, peak = traced(lambda: list(words.gathered(iter([batch]), 16)))
+    assert peak < 110 * 600_000
+    found = Counter()
+    for data in (d for b in out for d in b.column("pairs").to_pylist()):
+        known, one, two, n = words.counts_unpacked(data)
+        found.update(dict(zip(words.pair_keys(known[one], known[two]).tolist(), n.tolist(), strict=True)))
+    assert found == Counter(words.pairs(*words.sequences(some)[:2])[3].tolist())
+
+
+def test_characters_are_scored_a_few_at_a_time():
+    logp, some = np.random.default_rng(3).random(quality.GRAMS), ["", *["Ab c." * 400] * 900, "", "x" * (2 * quality.RUN_CHARS), ""]
+    quality._classes()
+    (totals, lengths), peak = traced(lambda: quality.log_likelihoods(some, logp))
+    assert lengths.tolist() == list(map(len, some)) and peak < 8 * lengths.sum()
+    assert totals.tolist() == [pytest.approx(logp[quality.grams(t)].sum()) for t in some]
+    assert [len(x) for x in quality.log_likelihoods([], logp)] == [0, 0]
+
+
+def test_python_gets_texts_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"), F.lit("en").alias("lang"))
+    with batches_of(spark, 1 << 16):
+        with batches_of(spark, 1 << 20):
+            pass
+        got = [r.size for r in docs.mapInArrow(sizes, "size bigint").collect()]
+    assert sum(got) > 400 * 5000 and max(got) < 1 << 17
+    with pytest.raises(ValueError, match="x"), batches_of(spark, 1 << 16):
+        raise ValueError("x")
+    assert spark.conf.get(key) == before
+    perplexities = quality.perplexities
+    monkeypatch.setattr(quality, "perplexities", lambda *a: seen.append(spark.conf.get(key)) or perplexities(*a))
+    labels = spark.range(2).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.classify(docs.limit(2), labels).count() == 2
+    assert seen == [f"{quality.BATCH_BYTES}b"] and spark.conf.get(key) == before
