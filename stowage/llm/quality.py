@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from stowage.llm import words as word_pairs
 from stowage.llm.batches import column, slices
 from stowage.llm.members import exactly_among
-from stowage.session import batches_of, discard, scratch_dir, written
+from stowage.session import batches_of, discard, scratch_dir, shuffles_dropped, written
 
 ORDER, CLASS_BITS = 4, 5
 CLASSES = 1 << CLASS_BITS
@@ -302,7 +302,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     are ignored; an empty input gives no rows.
     """
     spark = docs.sparkSession
-    with batches_of(spark, BATCH_BYTES):
+    with batches_of(spark, BATCH_BYTES), shuffles_dropped(spark):
         trusted, held_out, scores = _scored(docs, labels)
     known = scores.join(trusted.where(held_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     # A quantile of few documents is uncertain.

@@ -107,31 +107,42 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_ARROW_USERS: dict[int, list[str]] = {}
-_ARROW_LOCK = threading.Lock()
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CHANGED: dict[tuple[int, str], list[str | None]] = {}
+_CHANGED_LOCK = threading.Lock()
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
-    """Jobs run inside the block hand Python Arrow batches of about ``size`` bytes at most; a smaller limit of the session stays.
-
-    The limit belongs to the session, which threads share, so the last block to end puts the previous one back.
-    """
-    key = id(spark._jsparkSession)
-    with _ARROW_LOCK:
-        before = spark.conf.get(_ARROW_BYTES)
-        _ARROW_USERS.setdefault(key, []).append(_ARROW_USERS[key][0] if _ARROW_USERS.get(key) else before)
-        limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
-        if not 0 < limit <= size:
-            spark.conf.set(_ARROW_BYTES, f"{size}b")
+def _changed(spark: SparkSession, setting: str, value: str | None) -> Iterator[None]:
+    """Give a setting a value, or leave it if that is None; threads share it, so the last block to end puts the previous value back."""
+    key = (id(spark._jsparkSession), setting)
+    with _CHANGED_LOCK:
+        users = _CHANGED.setdefault(key, [])
+        users.append(users[0] if users else spark.conf.get(setting, None))
+        if value is not None:
+            spark.conf.set(setting, value)
     try:
         yield
     finally:
-        with _ARROW_LOCK:
-            previous = _ARROW_USERS[key].pop()
-            if not _ARROW_USERS[key]:
-                del _ARROW_USERS[key]
-                spark.conf.set(_ARROW_BYTES, previous)
+        with _CHANGED_LOCK:
+            previous = users.pop()
+            if not users:
+                del _CHANGED[key]
+                if previous is None:
+                    spark.conf.unset(setting)
+                else:
+                    spark.conf.set(setting, previous)
+
+
+def batches_of(spark: SparkSession, size: int) -> contextlib.AbstractContextManager[None]:
+    """Jobs run inside the block hand Python Arrow batches of about ``size`` bytes at most; a smaller limit of the session stays."""
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_ARROW_BYTES))
+    return _changed(spark, _ARROW_BYTES, None if 0 < limit <= size else f"{size}b")
+
+
+def shuffles_dropped(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Spark removes the shuffle files of each job run inside the block when it ends, whether or not its driver collects garbage."""
+    return _changed(spark, _DROP_SHUFFLES, "true")
 
 
 @contextlib.contextmanager

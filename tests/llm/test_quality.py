@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.llm import quality, words
-from stowage.session import batches_of
+from stowage.session import batches_of, shuffles_dropped
 
 
 def naive_model(texts):
@@ -206,8 +207,24 @@ def test_python_gets_texts_in_small_batches(spark, monkeypatch):
     with pytest.raises(ValueError, match="x"), batches_of(spark, 1 << 16):
         raise ValueError("x")
     assert spark.conf.get(key) == before
-    perplexities = quality.perplexities
-    monkeypatch.setattr(quality, "perplexities", lambda *a: seen.append(spark.conf.get(key)) or perplexities(*a))
+    perplexities, keys = quality.perplexities, [key, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    monkeypatch.setattr(quality, "perplexities", lambda *a: seen.extend(map(spark.conf.get, keys)) or perplexities(*a))
     labels = spark.range(2).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     assert quality.classify(docs.limit(2), labels).count() == 2
-    assert seen == [f"{quality.BATCH_BYTES}b"] and spark.conf.get(key) == before
+    assert seen == [f"{quality.BATCH_BYTES}b", "true"] and [spark.conf.get(k) for k in keys] == [before, "false"]
+
+
+def test_shuffle_files_go_with_their_job(spark, tmp_path):
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(f.getName().startswith("shuffle") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()))
+
+    counted = spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    before = files()
+    with shuffles_dropped(spark):
+        counted.write.parquet(str(tmp_path / "counted"))
+        assert counted.where("k < 5").count() == 5
+        deadline = time.monotonic() + 20
+        while files() > before and time.monotonic() < deadline:
+            time.sleep(0.1)
+    assert files() <= before
