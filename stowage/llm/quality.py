@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import words as word_pairs
-from stowage.llm.batches import column, slices
+from stowage.llm.batches import BATCH_BYTES, column, slices
 from stowage.llm.members import exactly_among
 from stowage.session import batches_of, discard, scratch_dir, shuffles_dropped, written
 
@@ -38,8 +38,6 @@ ORDER, CLASS_BITS = 4, 5
 CLASSES = 1 << CLASS_BITS
 GRAM_BITS = ORDER * CLASS_BITS
 GRAMS = 1 << GRAM_BITS
-#: Texts are handed to Python in batches of about so many bytes; Spark's own limit, 64 MB, has every task hold that much several times over.
-BATCH_BYTES = 4 << 20
 #: Documents are scored in so many slices, one after the other.
 SLICES = 6
 DIGIT, BLANK, BREAK, SENTENCE, MARK, OTHER = range(26, 32)

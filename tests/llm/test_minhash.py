@@ -102,3 +102,13 @@ def test_components(spark):
     found = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert sorted(map(tuple, found)) == sorted((n, find(n)) for n in parent)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_texts_and_sets_reach_python_in_small_batches(spark, monkeypatch):
+    setting, limits, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, path: limits.append(spark.conf.get(setting)) or write(df, path))
+    before = spark.conf.get(setting)
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, None)], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert limits and set(limits) == {f"{minhash.BATCH_BYTES}b"}
+    assert spark.conf.get(setting) == before
